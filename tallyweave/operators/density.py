@@ -199,6 +199,16 @@ def _covered_counts(stacked, combos, sizes, max_cells):
     return reduce(DataFrame.union, frames)
 
 
+def _rows(df: DataFrame) -> Column:
+    """The row count as a scalar subquery, which reads no columns of a stored table.
+
+    Nulls are cells like any other, so every combination adds up to all the rows.
+    """
+    n = F.count(F.lit(1))
+    empty = F.raise_error(F.lit("a table to compare is empty")).cast("bigint")
+    return df.agg(F.when(n > 0, n).otherwise(empty).alias("n")).scalar()
+
+
 def joint_probs(
     target: DataFrame,
     synthetic: DataFrame,
@@ -215,7 +225,8 @@ def joint_probs(
     ``sizes`` (distinct values per column, as a profile or an encoding plan
     knows them) lets the rows be counted on fewer, wider column sets of up to
     ``max_cells`` cells, whose cells are then added up; worth it when the rows
-    outnumber the cells by far.
+    outnumber the cells by far. The tables are read once per batch of sets and
+    once to count rows, so write a computed table before comparing it.
     """
     combos = column_combinations(target.columns, orders)
     stacked = _stack(target, synthetic)
@@ -224,25 +235,16 @@ def joint_probs(
     else:
         counts = _covered_counts(stacked, combos, sizes, max_cells)
 
-    # One row per combination, and built from the same exchange as the cells.
-    totals = counts.groupBy("set").agg(
-        F.sum("n_target").alias("total_target"), F.sum("n_synth").alias("total_synth")
-    )
     names = F.array(*[F.lit("_".join(c)) for c in combos])
     lengths = F.array(*[F.lit(len(c)) for c in combos])
-
-    def share(n, total):
-        empty = F.raise_error(F.lit("a table to compare is empty")).cast("bigint")
-        return F.col(n) / F.when(F.col(total) > 0, F.col(total)).otherwise(empty)
-
-    return counts.join(F.broadcast(totals), "set").select(
+    return counts.select(
         F.get(lengths, F.col("set")).alias("order"),
         F.get(names, F.col("set")).alias("combo"),
         "cell",
         "n_target",
         "n_synth",
-        share("n_target", "total_target").alias("p"),
-        share("n_synth", "total_synth").alias("q"),
+        (F.col("n_target") / _rows(target)).alias("p"),
+        (F.col("n_synth") / _rows(synthetic)).alias("q"),
     )
 
 

@@ -106,8 +106,8 @@ def abs_error_cells(spark, folder):
     return round_doubles(density.absolute_errors(probs).select("combo", "cell", "abs_error"))
 
 
-def _errors(spark, folder, orders, columns=NARROW):
-    return density.evaluate(*halves(spark, folder, columns), orders=orders)
+def _errors(spark, folder, orders, columns=NARROW, **options):
+    return density.evaluate(*halves(spark, folder, columns), orders=orders, **options)
 
 
 @query(_errors_sql(NARROW, (2,), "SELECT combo, cells, round(mae, 9) AS mae FROM errors"))
@@ -140,7 +140,7 @@ def cross_entropy_by_combo(spark, folder):
     )
 )
 def mmae_orders(spark, folder):
-    return round_doubles(density.mean_errors(_errors(spark, folder, [1, 2, 3], COLUMNS)))
+    return round_doubles(density.mean_errors(_errors(spark, folder, [1, 2, 3], COLUMNS, sizes=SIZES)))
 
 
 _ERROR_COLUMNS = """"order", combo, cells, round(mae, 9) AS mae, round(mnae, 9) AS mnae,

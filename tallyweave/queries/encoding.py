@@ -1 +1,322 @@
-"""Queries."""
+"""Profiles, vocabularies and the table encoding both ways."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyweave.functions import arrays, scale
+from tallyweave.operators import encode, profile
+from tallyweave.queries.registry import query, round_doubles, rounded, table
+
+PROFILED = {
+    "l_linenumber": "int",
+    "l_quantity": "double",
+    "l_extendedprice": "double",
+    "l_discount": "double",
+    "l_returnflag": "string",
+}
+# Small discounts become "not applicable".
+_LINES_SQL = """lines AS (SELECT * REPLACE (CASE WHEN l_discount < 0.02 THEN -8 ELSE l_discount END
+    AS l_discount) FROM lineitem)"""
+
+
+def lines(spark, folder):
+    df = table(spark, folder, "lineitem").select(*PROFILED)
+    small = F.col("l_discount") < 0.02
+    return df.withColumn("l_discount", F.when(small, -8.0).otherwise(F.col("l_discount")))
+
+
+def _stats_sql(name, kind):
+    number = name if kind != "string" else "CAST(NULL AS DOUBLE)"
+    return f"""SELECT '{name}' AS "column", '{kind}' AS dtype, count(*) AS n_rows,
+        count(*) - count({name}) AS n_null, CAST(min({number}) AS DOUBLE) AS minimum,
+        CAST(max({number}) AS DOUBLE) AS maximum,
+        CAST(max({number}) - min({number}) AS DOUBLE) AS span,
+        round(avg({number}), 6) AS mean, round(stddev_samp({number}), 6) AS std,
+        coalesce(bool_or({number} = -8), false) AS has_sentinel,
+        count(DISTINCT {name}) + CAST(bool_or({name} IS NULL) AS BIGINT) AS n_distinct FROM lines"""
+
+
+@query(
+    f"WITH {_LINES_SQL} " + " UNION ALL ".join(_stats_sql(n, k) for n, k in PROFILED.items())
+)
+def column_profile(spark, folder):
+    return profile.profile(lines(spark, folder), exact=True).withColumns(
+        {"mean": F.round("mean", 6), "std": F.round("std", 6)}
+    )
+
+
+@query(
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", count({c}) AS n, count(*) - count({c}) AS n_null,
+            round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
+            CAST(min({c}) AS DOUBLE) AS minimum, CAST(max({c}) AS DOUBLE) AS maximum,
+            CAST(quantile_disc({c}, 0.25) AS DOUBLE) AS q25,
+            CAST(quantile_disc({c}, 0.5) AS DOUBLE) AS q50,
+            CAST(quantile_disc({c}, 0.75) AS DOUBLE) AS q75
+        FROM lineitem"""
+        for c in ("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    )
+)
+def summary_stats(spark, folder):
+    columns = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+    found = profile.summary(table(spark, folder, "lineitem"), columns)
+    return found.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+
+
+@query(
+    f"WITH {_LINES_SQL} "
+    + " UNION ALL ".join(
+        f"""SELECT '{n}' AS "column", CASE WHEN {"true" if k == "string" else "false"}
+            OR coalesce(bool_or(CAST({n} AS VARCHAR) IN ('-8', '-8.0')), false)
+            OR count(DISTINCT {n}) + CAST(bool_or({n} IS NULL) AS INTEGER) < 25
+            THEN 'categorical' ELSE 'continuous' END AS kind FROM lines"""
+        for n, k in PROFILED.items()
+    )
+)
+def infer_kinds(spark, folder):
+    return encode.infer_kinds(lines(spark, folder))
+
+
+WORDS = {"lineitem": ["l_returnflag", "l_linenumber", "l_tax"], "part": ["p_brand", "p_size", "p_name"]}
+
+
+def _words_sql(columns, source):
+    counted = " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", CAST(row_number() OVER (ORDER BY {c} NULLS FIRST) - 1 AS INTEGER)
+            AS token, CAST({c} AS VARCHAR) AS value, n FROM
+            (SELECT {c}, count(*) AS n FROM {source} GROUP BY {c})"""
+        for c in columns
+    )
+    return f"""SELECT "column", token, value, n,
+        round(avg(n) OVER (PARTITION BY "column") / n, 9) AS weight FROM ({counted})"""
+
+
+@query(
+    _words_sql(WORDS["lineitem"], "lineitem") + " UNION ALL " + _words_sql(WORDS["part"], "part")
+)
+def vocabulary(spark, folder):
+    found = [encode.vocabulary(table(spark, folder, t), c) for t, c in WORDS.items()]
+    return round_doubles(found[0].union(found[1]))
+
+
+@query(
+    f"""SELECT "column", round(avg(weight), 9) AS mean_weight,
+        round(sum(weight * n) / sum(n), 9) AS counted_mean_weight
+    FROM ({_words_sql(WORDS["part"], "part")}) GROUP BY "column" """
+)
+def category_weights(spark, folder):
+    """The plain mean weight depends on the column, the count-weighted mean is 1."""
+    words = encode.vocabulary(table(spark, folder, "part"), WORDS["part"])
+    return round_doubles(
+        words.groupBy("column").agg(
+            rounded(F.avg(rounded("weight"))).alias("mean_weight"),
+            rounded(F.sum(rounded("weight") * F.col("n")) / F.sum("n")).alias("counted_mean_weight"),
+        )
+    )
+
+
+def _rank_sql(column, source):
+    return f"(SELECT {column}, CAST(row_number() OVER (ORDER BY {column}) - 1 AS INTEGER) AS token FROM (SELECT DISTINCT {column} FROM {source}))"
+
+
+def _part_plan(spark, folder):
+    parts = table(spark, folder, "part")
+    columns = ["p_brand", "p_type", "p_size", "p_name"]
+    return parts, encode.fit(parts, include=columns, overrides={c: "categorical" for c in columns})
+
+
+@query(
+    f"""SELECT p_partkey, b.token AS p_brand, t.token AS p_type, s.token AS p_size, n.token AS p_name
+    FROM part JOIN {_rank_sql("p_brand", "part")} b USING (p_brand)
+    JOIN {_rank_sql("p_type", "part")} t USING (p_type)
+    JOIN {_rank_sql("p_size", "part")} s USING (p_size)
+    JOIN {_rank_sql("p_name", "part")} n USING (p_name)"""
+)
+def tokenise(spark, folder):
+    parts, plan = _part_plan(spark, folder)
+    return encode.encode(parts, plan, keep=["p_partkey"])
+
+
+@query(
+    f"""SELECT p_partkey, coalesce(t.token, -1) AS p_type FROM part
+    LEFT JOIN {_rank_sql("p_type", "(SELECT * FROM part WHERE p_size <= 25 AND p_type <> 'PROMO')")} t USING (p_type)"""
+)
+def tokenise_unseen(spark, folder):
+    """Encoding all parts with the vocabulary of some: unknown types become -1."""
+    parts = table(spark, folder, "part")
+    known = parts.where((F.col("p_size") <= 25) & (F.col("p_type") != "PROMO"))
+    plan = encode.fit(known, include=["p_type"])
+    return encode.encode(parts, plan, keep=["p_partkey"], unseen="code")
+
+
+@query(
+    """SELECT 'p_name' AS "column", p_name AS value, count(*) AS n FROM part
+    WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_type <> 'PROMO' AND p_size <= 2)
+    GROUP BY p_name"""
+)
+def unseen_values(spark, folder):
+    parts = table(spark, folder, "part")
+    known = parts.where((F.col("p_size") <= 2) & (F.col("p_type") != "PROMO"))
+    return encode.unseen_values(parts, encode.fit(known, include=["p_name"]))
+
+
+@query("SELECT p_partkey, p_brand, p_type, p_size, p_name FROM part")
+def detokenise(spark, folder):
+    parts, plan = _part_plan(spark, folder)
+    tokens = encode.encode(parts, plan, keep=["p_partkey"])
+    return encode.decode(tokens, plan, keep=["p_partkey"])
+
+
+@query(
+    """SELECT o_orderkey, round((o_totalprice - (SELECT min(o_totalprice) FROM orders))
+        / (SELECT max(o_totalprice) - min(o_totalprice) FROM orders), 9) AS o_totalprice FROM orders"""
+)
+def minmax(spark, folder):
+    orders = table(spark, folder, "orders")
+    plan = encode.fit(orders, include=["o_totalprice"])
+    return round_doubles(encode.encode(orders, plan, keep=["o_orderkey"]))
+
+
+@query("SELECT o_orderkey, round(o_totalprice, 4) AS o_totalprice FROM orders")
+def minmax_inverse(spark, folder):
+    orders = table(spark, folder, "orders")
+    plan = encode.fit(orders, include=["o_totalprice"])
+    scaled = encode.encode(orders, plan, keep=["o_orderkey"])
+    decoded = encode.decode(scaled, plan, keep=["o_orderkey"])
+    return decoded.withColumn("o_totalprice", F.round("o_totalprice", 4))
+
+
+@query(
+    """SELECT event_id, CAST(hour(ts) * 60 + minute(ts) AS INTEGER) AS minute,
+        round((hour(ts) * 60 + minute(ts)) / 1440.0::DOUBLE, 9) AS share FROM events"""
+)
+def time_cycle(spark, folder):
+    """Minute of the day as a share of the day, and back from it."""
+    minute = F.hour("ts") * 60 + F.minute("ts")
+    events = table(spark, folder, "events").select("event_id", minute.alias("minute"))
+    share = scale.cycle_scale(F.col("minute"))
+    return events.select(
+        "event_id",
+        scale.cycle_unscale(share, "int").alias("minute"),
+        rounded(share).alias("share"),
+    )
+
+
+ENCODED = ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_tax"]
+
+
+def _line_plan(spark, folder):
+    df = table(spark, folder, "lineitem")
+    return df, encode.fit(df, include=ENCODED, overrides={"l_quantity": "continuous"})
+
+
+@query(
+    f"""SELECT l_orderkey, f.token AS l_returnflag, s.token AS l_linestatus, m.token AS l_linenumber,
+        round((l_quantity - (SELECT min(l_quantity) FROM lineitem))
+            / (SELECT max(l_quantity) - min(l_quantity) FROM lineitem), 9) AS l_quantity,
+        t.token AS l_tax
+    FROM lineitem JOIN {_rank_sql("l_returnflag", "lineitem")} f USING (l_returnflag)
+    JOIN {_rank_sql("l_linestatus", "lineitem")} s USING (l_linestatus)
+    JOIN {_rank_sql("l_linenumber", "lineitem")} m USING (l_linenumber)
+    JOIN {_rank_sql("l_tax", "lineitem")} t USING (l_tax)"""
+)
+def encode_table(spark, folder):
+    df, plan = _line_plan(spark, folder)
+    return round_doubles(encode.encode(df, plan, keep=["l_orderkey"]))
+
+
+@query(
+    f"""WITH kinds(c, kind, dtype) AS (VALUES ('l_returnflag', 'categorical', 'string'),
+        ('l_linestatus', 'categorical', 'string'), ('l_linenumber', 'categorical', 'int'),
+        ('l_quantity', 'continuous', 'double'), ('l_tax', 'categorical', 'double')),
+    sizes AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, count(DISTINCT {c}) AS n, CAST(min({c}) AS VARCHAR) AS low FROM lineitem" for c in ENCODED)})
+    SELECT c AS "column", kind, dtype,
+        CAST(CASE kind WHEN 'categorical' THEN n ELSE 1 END AS INTEGER) AS size,
+        CASE kind WHEN 'continuous' THEN CAST(low AS DOUBLE) END AS minimum
+    FROM kinds JOIN sizes USING (c)"""
+)
+def encoding_plan(spark, folder):
+    _, plan = _line_plan(spark, folder)
+    return plan.frame(spark).select("column", "kind", "dtype", "size", "minimum")
+
+
+@query(f"SELECT l_orderkey, {', '.join(ENCODED)} FROM lineitem")
+def decode_roundtrip(spark, folder):
+    df, plan = _line_plan(spark, folder)
+    numbers = encode.encode(df, plan, keep=["l_orderkey"])
+    decoded = encode.decode(numbers, plan, keep=["l_orderkey"])
+    return decoded.withColumn("l_quantity", rounded("l_quantity"))
+
+
+# Shares of each return flag given the line status, one array per line status.
+_FLAG_SQL = """flags AS (SELECT l_returnflag, CAST(row_number() OVER (ORDER BY l_returnflag) - 1 AS INTEGER)
+        AS token FROM (SELECT DISTINCT l_returnflag FROM lineitem)),
+    statuses AS (SELECT DISTINCT l_linestatus FROM lineitem),
+    probs AS (SELECT s.l_linestatus, f.l_returnflag, f.token, coalesce(c.n, 0)
+            / sum(coalesce(c.n, 0)) OVER (PARTITION BY s.l_linestatus)::DOUBLE AS p
+        FROM statuses s CROSS JOIN flags f LEFT JOIN (SELECT l_linestatus, l_returnflag, count(*) AS n
+            FROM lineitem GROUP BY ALL) c
+        ON c.l_linestatus = s.l_linestatus AND c.l_returnflag = f.l_returnflag)"""
+
+
+def flag_probabilities(spark, folder):
+    """The plan of the return flag and ``l_linestatus, p_l_returnflag``."""
+    df = table(spark, folder, "lineitem").select("l_linestatus", "l_returnflag")
+    plan = encode.fit(df, include=["l_returnflag"])
+    tokens = encode.encode(df, plan, keep=["l_linestatus"])
+    n = plan["l_returnflag"].size
+    counts = [F.count_if(F.col("l_returnflag") == k) for k in range(n)]
+    given = tokens.groupBy("l_linestatus").agg(
+        F.array(*[c / F.count(F.lit(1)) for c in counts]).alias("p_l_returnflag")
+    )
+    return plan, given
+
+
+@query(
+    f"""WITH {_FLAG_SQL} SELECT o_orderkey, o_orderstatus, l_returnflag
+    FROM orders JOIN (SELECT l_linestatus, arg_min(l_returnflag, (-p, token)) AS l_returnflag
+        FROM probs GROUP BY l_linestatus) ON o_orderstatus = l_linestatus"""
+)
+def argmax_decode(spark, folder):
+    """The most likely return flag of each order by its status."""
+    plan, given = flag_probabilities(spark, folder)
+    rows = _orders_with(spark, folder, given)
+    return encode.decode_probabilities(rows, plan, keep=["o_orderkey", "o_orderstatus"])
+
+
+def _orders_with(spark, folder, given):
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", "o_orderstatus", F.col("o_orderstatus").alias("l_linestatus")
+    )
+    # One row per line status, of which there are a handful.
+    return orders.join(F.broadcast(given.limit(1000)), "l_linestatus")
+
+
+@query(
+    f"""WITH {_FLAG_SQL}, running AS (SELECT *, sum(p) OVER (PARTITION BY l_linestatus ORDER BY token
+            ROWS UNBOUNDED PRECEDING) AS upto, sum(p) OVER (PARTITION BY l_linestatus ORDER BY token
+            ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS total,
+            count(*) OVER (PARTITION BY l_linestatus) AS k FROM probs),
+    drawn AS (SELECT o_orderkey, o_orderstatus, ('0x' || substr(md5('7:l_returnflag:' || o_orderkey), 1, 8))
+            ::UBIGINT / 4294967296.0::DOUBLE AS u FROM orders),
+    tokens AS (SELECT o_orderkey, o_orderstatus, least(count(*) FILTER (upto <= u * total), any_value(k) - 1) AS token
+        FROM drawn JOIN running ON o_orderstatus = l_linestatus GROUP BY o_orderkey, o_orderstatus)
+    SELECT o_orderkey, o_orderstatus, l_returnflag FROM tokens JOIN flags USING (token)"""
+)
+def multinomial_decode(spark, folder):
+    """A return flag drawn for each order from the shares of its status."""
+    plan, given = flag_probabilities(spark, folder)
+    rows = _orders_with(spark, folder, given)
+    return encode.decode_probabilities(
+        rows, plan, keep=["o_orderkey", "o_orderstatus"], seed=7, row_key=["o_orderkey"]
+    )
+
+
+@query(
+    f"""WITH {_FLAG_SQL} SELECT l_linestatus, arg_min(token, (-p, token)) AS token FROM probs
+    GROUP BY l_linestatus"""
+)
+def most_likely_token(spark, folder):
+    _, given = flag_probabilities(spark, folder)
+    return given.select("l_linestatus", arrays.most_likely(F.col("p_l_returnflag")).alias("token"))

@@ -1 +1,61 @@
-"""Queries."""
+"""Repeatable splits, draws, row ids and pairing."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyweave.operators import lookups, sample, tables
+from tallyweave.queries.registry import query, rounded, table
+
+_U_SQL = "('0x' || substr(md5('1234:' || o_orderkey), 1, 8))::UBIGINT / 4294967296.0::DOUBLE"
+
+
+@query(
+    f"""SELECT o_orderkey, CASE WHEN {_U_SQL} < 0.7 THEN 'train' WHEN {_U_SQL} < 0.9 THEN 'val'
+        ELSE 'test' END AS split FROM orders"""
+)
+def hash_split(spark, folder):
+    orders = table(spark, folder, "orders").select("o_orderkey")
+    return sample.split(orders, ["o_orderkey"], seed=1234, val=0.2, test=0.1)
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN place <= n - floor(n * 0.1 + 1e-9) THEN 'train' ELSE 'val' END AS split
+    FROM (SELECT o_orderkey, count(*) OVER () AS n, row_number() OVER (
+        ORDER BY md5('1234:' || o_orderkey) || ':' || o_orderkey) AS place FROM orders)"""
+)
+def exact_split(spark, folder):
+    orders = table(spark, folder, "orders").select("o_orderkey")
+    return sample.exact_split(orders, ["o_orderkey"], seed=1234, val=0.1)
+
+
+@query(
+    """SELECT o_orderkey, CAST(dim AS INTEGER) AS dim, round(sqrt(-2 * ln(1 -
+            ('0x' || substr(h, 1, 8))::UBIGINT / 4294967296.0::DOUBLE))
+        * cos(2 * pi() * ('0x' || substr(h, 9, 8))::UBIGINT / 4294967296.0::DOUBLE), 9) AS z
+    FROM (SELECT o_orderkey, dim, md5('99:' || o_orderkey || ':' || dim) AS h
+        FROM orders, range(4) r(dim))"""
+)
+def latent_draws(spark, folder):
+    orders = table(spark, folder, "orders").select("o_orderkey")
+    drawn = sample.with_latents(orders, ["o_orderkey"], size=4, seed=99)
+    return drawn.select("o_orderkey", F.posexplode("z").alias("dim", "z")).withColumn(
+        "z", rounded("z")
+    )
+
+
+@query(
+    """SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS pid, o_orderkey
+    FROM orders"""
+)
+def row_ids(spark, folder):
+    orders = table(spark, folder, "orders")
+    return tables.with_row_ids(orders, ["o_orderdate", "o_orderkey"]).select("pid", "o_orderkey")
+
+
+@query("SELECT doc_id, lang, n_chars FROM documents")
+def pair_rows(spark, folder):
+    documents = table(spark, folder, "documents")
+    return lookups.pair(
+        documents.select("doc_id", "lang"), documents.select("doc_id", "n_chars"), "doc_id"
+    )
