@@ -1 +1,242 @@
-"""Queries."""
+"""Losses, the fitted conditional model, synthesis and trials."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from tallyweave.functions import arrays, draws
+from tallyweave.operators import density, encode, losses
+from tallyweave.plans import model as modelling
+from tallyweave.plans import synthesis, trials
+from tallyweave.queries.encoding import _FLAG_SQL, flag_probabilities
+from tallyweave.queries.registry import query, round_doubles, rounded, table
+from tallyweave.session import shared_dir
+
+
+def _scored_lines(spark, folder):
+    """Each line's return flag token and weight, and the flag shares of its line status."""
+    plan, given = flag_probabilities(spark, folder)
+    lines = table(spark, folder, "lineitem").select("l_linestatus", "l_returnflag")
+    tokens = encode.encode(lines, plan, keep=["l_linestatus"])
+    # One row per line status, of which there are a handful.
+    return plan, tokens.join(F.broadcast(given.limit(1000)), "l_linestatus")
+
+
+_NLL_SQL = f"""WITH {_FLAG_SQL}, counts AS (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL),
+    weights AS (SELECT l_returnflag, avg(n) OVER () / n AS w FROM counts),
+    lines AS (SELECT l.l_linestatus, -ln(p) AS nll, w FROM lineitem l
+        JOIN probs p ON l.l_linestatus = p.l_linestatus AND l.l_returnflag = p.l_returnflag
+        JOIN weights w ON l.l_returnflag = w.l_returnflag)"""
+
+
+@query(
+    f"""{_NLL_SQL} SELECT l_linestatus, round(sum(w * nll) / sum(w), 9) AS nll FROM lines
+    GROUP BY l_linestatus"""
+)
+def weighted_nll(spark, folder):
+    plan, rows = _scored_lines(spark, folder)
+    weights = F.array(*map(F.lit, plan.weights("l_returnflag")))
+    token = F.col("l_returnflag")
+    cost = losses.weighted_mean(
+        losses.token_loss(token, F.col("p_l_returnflag")), F.get(weights, token)
+    )
+    return rows.groupBy("l_linestatus").agg(rounded(cost).alias("nll"))
+
+
+_KL_SQL = """(SELECT vec_id, label, -0.5 * sum(1 + lv - mu * mu - exp(lv)) AS kl FROM (
+    SELECT vec_id, label, CAST(embedding[d] AS DOUBLE) AS mu, CAST(embedding[d + 32] AS DOUBLE) AS lv
+    FROM embeddings, range(1, 33) r(d)) GROUP BY vec_id, label)"""
+
+
+def _latents(spark, folder):
+    """The first half of each embedding as means, the second as log variances."""
+    vectors = F.col("embedding").cast("array<double>")
+    return table(spark, folder, "embeddings").select(
+        "vec_id",
+        "label",
+        F.slice(vectors, 1, 32).alias("mu"),
+        F.slice(vectors, 33, 32).alias("log_var"),
+    )
+
+
+@query(f"SELECT label, round(avg(kl), 9) AS kld FROM {_KL_SQL} GROUP BY label")
+def kl_divergence(spark, folder):
+    return _latents(spark, folder).groupBy("label").agg(
+        rounded(losses.mean_kl(F.col("mu"), F.col("log_var"))).alias("kld")
+    )
+
+
+@query(
+    """SELECT vec_id, CAST(d - 1 AS INTEGER) AS dim, round(mu + exp(lv / 2) * sqrt(-2 * ln(1 -
+            ('0x' || substr(h, 1, 8))::UBIGINT / 4294967296.0::DOUBLE))
+        * cos(2 * pi() * ('0x' || substr(h, 9, 8))::UBIGINT / 4294967296.0::DOUBLE), 9) AS z
+    FROM (SELECT vec_id, d, CAST(embedding[d] AS DOUBLE) AS mu, CAST(embedding[d + 32] AS DOUBLE) AS lv,
+        md5('3:' || vec_id || ':' || (d - 1)) AS h FROM embeddings, range(1, 33) r(d))"""
+)
+def reparameterised(spark, folder):
+    eps = draws.normals(32, 3, F.col("vec_id"))
+    z = arrays.reparameterise(F.col("mu"), F.col("log_var"), eps)
+    return _latents(spark, folder).select(
+        "vec_id", F.posexplode(z).alias("dim", "z")
+    ).withColumn("z", rounded("z"))
+
+
+@query(
+    f"""{_NLL_SQL}, parts AS (SELECT (SELECT sum(w * nll) / sum(w) FROM lines) AS nll,
+        (SELECT avg(kl) FROM {_KL_SQL}) AS kl)
+    SELECT round(0.9::DOUBLE * nll + 0.1::DOUBLE * kl, 9) AS loss, round(0.9::DOUBLE * nll, 9) AS recon,
+        round(0.1::DOUBLE * kl, 9) AS kld FROM parts"""
+)
+def elbo(spark, folder):
+    """Reconstruction of the return flags and divergence of the embeddings as one loss."""
+    plan, rows = _scored_lines(spark, folder)
+    weights = F.array(*map(F.lit, plan.weights("l_returnflag")))
+    token = F.col("l_returnflag")
+    recon = losses.weighted_mean(
+        losses.token_loss(token, F.col("p_l_returnflag")), F.get(weights, token)
+    )
+    nll = rows.agg(recon.alias("nll")).scalar()
+    kl = losses.mean_kl(F.col("mu"), F.col("log_var"))
+    parts = _latents(spark, folder).agg(kl.alias("kl")).withColumn("nll", nll)
+    loss, recon_part, kld_part = losses.total_loss(F.col("nll"), F.col("kl"), 0.1)
+    return parts.select(
+        rounded(loss).alias("loss"), rounded(recon_part).alias("recon"), rounded(kld_part).alias("kld")
+    )
+
+
+_SYNTH_SQL = """real AS (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders),
+    words AS (SELECT o_orderpriority, CAST(row_number() OVER (ORDER BY o_orderpriority) - 1 AS INTEGER)
+        AS token FROM (SELECT DISTINCT o_orderpriority FROM real)),
+    groups AS (SELECT DISTINCT o_orderstatus FROM real),
+    probs AS (SELECT g.o_orderstatus, w.token, coalesce(c.n, 0)
+            / sum(coalesce(c.n, 0)) OVER (PARTITION BY g.o_orderstatus)::DOUBLE AS p
+        FROM groups g CROSS JOIN words w LEFT JOIN (SELECT o_orderstatus, o_orderpriority, count(*) AS n
+            FROM real GROUP BY ALL) c
+        ON c.o_orderstatus = g.o_orderstatus AND c.o_orderpriority = w.o_orderpriority),
+    running AS (SELECT *, sum(p) OVER (PARTITION BY o_orderstatus ORDER BY token
+            ROWS UNBOUNDED PRECEDING) AS upto, sum(p) OVER (PARTITION BY o_orderstatus ORDER BY token
+            ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS total,
+            count(*) OVER (PARTITION BY o_orderstatus) AS k FROM probs),
+    drawn AS (SELECT o_orderkey, o_orderstatus, ('0x' || substr(md5('11:o_orderpriority:' || o_orderkey), 1, 8))
+            ::UBIGINT / 4294967296.0::DOUBLE AS u FROM real),
+    tokens AS (SELECT o_orderkey, o_orderstatus, least(count(*) FILTER (upto <= u * total), any_value(k) - 1) AS token
+        FROM drawn JOIN running USING (o_orderstatus) GROUP BY o_orderkey, o_orderstatus),
+    synthetic AS (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM tokens JOIN words USING (token))"""
+
+
+def _drawn_orders(spark, folder):
+    """Real orders, and the same orders with a priority drawn given their status."""
+    real = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    plan = encode.fit(real, include=["o_orderpriority"])
+    tokens = encode.encode(real, plan, keep=["o_orderstatus"], prefix="x_")
+    size = plan["o_orderpriority"].size
+    rows = F.count(F.lit(1))
+    shares = [F.count_if(F.col("x_o_orderpriority") == k) / rows for k in range(size)]
+    given = tokens.groupBy("o_orderstatus").agg(F.array(*shares).alias("p_o_orderpriority"))
+    controls = real.select("o_orderkey", "o_orderstatus")
+    # One row per order status, of which there are a handful.
+    paired = controls.join(F.broadcast(given.limit(1000)), "o_orderstatus")
+    synthetic = encode.decode_probabilities(
+        paired, plan, keep=["o_orderkey", "o_orderstatus"], seed=11, row_key=["o_orderkey"]
+    )
+    return real, synthetic
+
+
+@query(f"WITH {_SYNTH_SQL} SELECT * FROM synthetic")
+def synthetic_rows(spark, folder):
+    return _drawn_orders(spark, folder)[1]
+
+
+def _mae_sql(keys):
+    on = " AND ".join(f"t.{k} = s.{k}" for k in keys)
+    names = ", ".join(keys)
+    return f"""SELECT '{"_".join(keys)}' AS combo, round(avg(abs(coalesce(t.n, 0) / total::DOUBLE
+            - coalesce(s.n, 0) / total::DOUBLE)), 9) AS mae
+        FROM (SELECT {names}, count(*) AS n FROM real GROUP BY ALL) t
+        FULL JOIN (SELECT {names}, count(*) AS n FROM synthetic GROUP BY ALL) s ON {on},
+        (SELECT count(*) AS total FROM real)"""
+
+
+@query(
+    f"""WITH {_SYNTH_SQL} {_mae_sql(["o_orderstatus"])} UNION ALL {_mae_sql(["o_orderpriority"])}
+    UNION ALL {_mae_sql(["o_orderstatus", "o_orderpriority"])}"""
+)
+def conditional_synthesis(spark, folder):
+    """Draw a feature for every control row from its conditional shares, and judge the result."""
+    real, synthetic = _drawn_orders(spark, folder)
+    errors = density.evaluate(real, synthetic, [1, 2], exclude=["o_orderkey"])
+    return round_doubles(errors.select("combo", "mae"))
+
+
+SETTINGS = modelling.Settings(
+    latent_size=4, width=16, lr=0.01, batch_size=256, min_epochs=2, max_epochs=2
+)
+
+
+def prepared_orders(spark, folder):
+    """Orders with two controls and three features, one of them a number."""
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey",
+        "o_orderstatus",
+        "o_orderpriority",
+        F.month("o_orderdate").alias("month"),
+        F.dayofweek("o_orderdate").alias("weekday"),
+        "o_totalprice",
+    )
+    controls = ["o_orderstatus", "o_orderpriority"]
+    return synthesis.prepare(orders, controls, ["o_orderkey"], seed=1234, val=0.1, test=0.1)
+
+
+@query()
+def fit_cvae_losses(spark, folder):
+    """Losses by split of a model trained for two epochs."""
+    prepared = prepared_orders(spark, folder)
+    model, _ = synthesis.train(prepared, SETTINGS, seed=1234)
+    return modelling.split_losses(prepared.encoded, model, prepared.key, 1234)
+
+
+@query()
+def infer_latents(spark, folder):
+    prepared = prepared_orders(spark, folder)
+    model, _ = synthesis.train(prepared, SETTINGS, seed=1234)
+    return modelling.infer(prepared.encoded, model, ["o_orderkey"], 1234, ["o_orderkey"])
+
+
+@query()
+def fitted_synthesis(spark, folder):
+    """A synthetic order for every order, from the fitted model."""
+    prepared = prepared_orders(spark, folder)
+    model, _ = synthesis.train(prepared, SETTINGS, seed=1234)
+    return modelling.generate(prepared.data, model, prepared.key, 1234, sample=True)
+
+
+@query()
+def unconditional_synthesis(spark, folder):
+    """The variant without controls and category weights."""
+    orders = table(spark, folder, "orders").select(
+        "o_orderkey", "o_orderstatus", "o_orderpriority", F.month("o_orderdate").alias("month")
+    )
+    prepared = synthesis.prepare(orders, [], ["o_orderkey"], seed=1234)
+    settings = modelling.Settings(
+        latent_size=4, width=16, lr=0.01, max_epochs=1, min_epochs=1, weighted=False
+    )
+    model, _ = synthesis.train(prepared, settings, seed=1234)
+    return modelling.generate(orders, model, prepared.key, 1234, sample=True)
+
+
+@query()
+def trial_ranking(spark, folder):
+    """Two trials over the width and learning rate of the model, the best one first."""
+    tree = {
+        "width": trials.Choice([8, 16]),
+        "latent_size": trials.IntRange(2, 4, step=2),
+        "lr": trials.FloatRange(0.001, 0.05, log=True),
+        "max_epochs": 1,
+        "min_epochs": 1,
+    }
+    path = f"{shared_dir(spark)}/trials-{uuid.uuid4().hex}"
+    prepared = prepared_orders(spark, folder)
+    scored = synthesis.tune(prepared, tree, path, trials=2, seed=7)
+    return trials.best_trials(scored, 2)

@@ -1 +1,67 @@
-"""Queries."""
+"""Sinks and sources, written to and read back from the shared folder."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from tallyweave.operators import density, sample
+from tallyweave.queries.density import _errors_sql, halves
+from tallyweave.queries.registry import query, rounded, table
+from tallyweave.session import shared_dir
+from tallyweave.sources import files
+
+_CSV_SCHEMA = "o_orderkey bigint, o_orderstatus string, o_totalprice double, o_orderpriority string"
+
+
+def scratch(spark, name):
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def csv_roundtrip(spark, folder):
+    path = scratch(spark, "orders")
+    orders = table(spark, folder, "orders")
+    files.write_csv(
+        orders.select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority"), path
+    )
+    return files.read_csv(spark, path, _CSV_SCHEMA)
+
+
+@query("SELECT c_custkey, c_mktsegment, c_nationkey FROM customer")
+def csv_inferred(spark, folder):
+    """Types inferred from the text: small numbers come back as int."""
+    path = scratch(spark, "customers")
+    customers = table(spark, folder, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    files.write_csv(customers, path)
+    return files.read_csv(spark, path).withColumn("c_custkey", F.col("c_custkey").cast("bigint"))
+
+
+@query(
+    """SELECT round(sqrt(-2 * ln(1 - ('0x' || substr(a, 1, 8))::UBIGINT / 4294967296.0::DOUBLE))
+            * cos(2 * pi() * ('0x' || substr(a, 9, 8))::UBIGINT / 4294967296.0::DOUBLE), 9) AS z0,
+        round(sqrt(-2 * ln(1 - ('0x' || substr(b, 1, 8))::UBIGINT / 4294967296.0::DOUBLE))
+            * cos(2 * pi() * ('0x' || substr(b, 9, 8))::UBIGINT / 4294967296.0::DOUBLE), 9) AS z1
+    FROM (SELECT md5('5:' || o_orderkey || ':0') AS a, md5('5:' || o_orderkey || ':1') AS b FROM orders)"""
+)
+def latents_csv(spark, folder):
+    path = scratch(spark, "latents")
+    orders = table(spark, folder, "orders").select("o_orderkey")
+    files.write_latents(sample.with_latents(orders, ["o_orderkey"], 2, seed=5), path, 2)
+    back = spark.read.schema("z0 double, z1 double").csv(path)
+    return back.select(rounded("z0").alias("z0"), rounded("z1").alias("z1"))
+
+
+@query(
+    _errors_sql(
+        ["l_returnflag", "l_linestatus"],
+        (1, 2),
+        'SELECT combo, cells, round(mae, 9) AS mae FROM errors',
+    )
+)
+def metrics_sink(spark, folder):
+    path = scratch(spark, "metrics")
+    errors = density.evaluate(*halves(spark, folder, ["l_returnflag", "l_linestatus"]), [1, 2])
+    files.write_losses(errors.select("combo", "cells", rounded("mae").alias("mae")), path)
+    return spark.read.schema("combo string, cells bigint, mae double").json(path)
