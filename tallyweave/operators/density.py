@@ -66,7 +66,7 @@ def grouping_set_counts(
     """Count several column sets in one pass each batch.
 
     Returns per batch the positions of its sets, its columns and a frame of
-    those columns (null where not part of the set), ``set`` (the position) and
+    those columns (null where not part of the set), ``__set`` (the position) and
     the aggregates.
     """
     out = []
@@ -85,7 +85,7 @@ def grouping_set_counts(
             ids.items(),
             F.when(F.lit(False), -1),
         )
-        out.append((batch, names, grouped.withColumn("set", position).drop("__id")))
+        out.append((batch, names, grouped.withColumn("__set", position).drop("__id")))
     return out
 
 
@@ -140,18 +140,18 @@ def _stack(target: DataFrame, synthetic: DataFrame) -> DataFrame:
 
 
 def _counts() -> list[Column]:
-    return [F.sum("__t").alias("n_target"), F.sum("__s").alias("n_synth")]
+    return [F.sum("__t").alias("__n_target"), F.sum("__s").alias("__n_synth")]
 
 
 def _direct_counts(stacked, combos):
     frames = []
     for batch, _, frame in grouping_set_counts(stacked, combos, _counts()):
         cell = reduce(
-            lambda case, i: case.when(F.col("set") == i, cell_name(combos[i])),
+            lambda case, i: case.when(F.col("__set") == i, cell_name(combos[i])),
             batch,
             F.when(F.lit(False), F.lit("")),
         )
-        frames.append(frame.select("set", cell.alias("cell"), "n_target", "n_synth"))
+        frames.append(frame.select("__set", cell.alias("__cell"), "__n_target", "__n_synth"))
     return reduce(DataFrame.union, frames)
 
 
@@ -164,38 +164,38 @@ def _covered_counts(stacked, combos, sizes, max_cells):
         # One row per member of the cover: its position and the set of its columns as bits.
         members = reduce(
             lambda case, i: case.when(
-                F.col("set") == i,
+                F.col("__set") == i,
                 F.array(
                     *[
                         F.struct(
-                            F.lit(position[m]).alias("combo"),
-                            F.lit(sum(1 << names.index(c) for c in m)).cast("long").alias("bits"),
+                            F.lit(position[m]).alias("__combo"),
+                            F.lit(sum(1 << names.index(c) for c in m)).cast("long").alias("__bits"),
                         )
                         for m in covers[i][1]
                     ]
                 ),
             ),
             batch,
-            F.when(F.lit(False), F.array(F.struct(F.lit(0).alias("combo"), F.lit(0).cast("long").alias("bits")))),
+            F.when(F.lit(False), F.array(F.struct(F.lit(0).alias("__combo"), F.lit(0).cast("long").alias("__bits")))),
         )
         rolled = frame.select("*", F.inline(members)).withColumns(
             {
-                c: F.when(F.col("bits").bitwiseAND(F.lit(1 << j).cast("long")) != 0, col(c))
+                c: F.when(F.col("__bits").bitwiseAND(F.lit(1 << j).cast("long")) != 0, col(c))
                 for j, c in enumerate(names)
             }
         )
-        summed = rolled.groupBy("combo", "bits", *map(col, names)).agg(
-            F.sum("n_target").alias("n_target"), F.sum("n_synth").alias("n_synth")
+        summed = rolled.groupBy("__combo", "__bits", *map(col, names)).agg(
+            F.sum("__n_target").alias("__n_target"), F.sum("__n_synth").alias("__n_synth")
         )
         # concat_ws skips nulls, so columns outside the combination leave no trace.
         cell = F.concat_ws(
             "_",
             *[
-                F.when(F.col("bits").bitwiseAND(F.lit(1 << j).cast("long")) != 0, text(col(c)))
+                F.when(F.col("__bits").bitwiseAND(F.lit(1 << j).cast("long")) != 0, text(col(c)))
                 for j, c in enumerate(names)
             ],
         )
-        frames.append(summed.select(F.col("combo").alias("set"), cell.alias("cell"), "n_target", "n_synth"))
+        frames.append(summed.select(F.col("__combo").alias("__set"), cell.alias("__cell"), "__n_target", "__n_synth"))
     return reduce(DataFrame.union, frames)
 
 
@@ -238,13 +238,13 @@ def joint_probs(
     names = F.array(*[F.lit("_".join(c)) for c in combos])
     lengths = F.array(*[F.lit(len(c)) for c in combos])
     return counts.select(
-        F.get(lengths, F.col("set")).alias("order"),
-        F.get(names, F.col("set")).alias("combo"),
-        "cell",
-        "n_target",
-        "n_synth",
-        (F.col("n_target") / _rows(target)).alias("p"),
-        (F.col("n_synth") / _rows(synthetic)).alias("q"),
+        F.get(lengths, F.col("__set")).alias("order"),
+        F.get(names, F.col("__set")).alias("combo"),
+        F.col("__cell").alias("cell"),
+        F.col("__n_target").alias("n_target"),
+        F.col("__n_synth").alias("n_synth"),
+        (F.col("__n_target") / _rows(target)).alias("p"),
+        (F.col("__n_synth") / _rows(synthetic)).alias("q"),
     )
 
 
@@ -314,6 +314,7 @@ def compare_value_counts(target: DataFrame, synthetic: DataFrame, column: str) -
         _stack(target.select(pick), synthetic.select(pick))
         .groupBy(col(column))
         .agg(*_counts())
+        .withColumnsRenamed({"__n_target": "n_target", "__n_synth": "n_synth"})
     )
 
 

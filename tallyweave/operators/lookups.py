@@ -19,8 +19,8 @@ HOT_KEYS = 1_000
 
 def checked_rows(lookup: DataFrame, key: str) -> int:
     """Rows of a lookup whose keys must be unique."""
-    per_key = lookup.groupBy(col(key)).agg(F.count(F.lit(1)).alias("n"))
-    got = per_key.agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+    per_key = lookup.groupBy(col(key)).agg(F.count(F.lit(1)).alias("__n"))
+    got = per_key.agg(F.sum("__n").alias("rows"), F.max("__n").alias("most")).first()
     if (got["most"] or 0) > 1:
         raise ValueError(f"lookup key {key!r} is not unique")
     return got["rows"] or 0
@@ -35,8 +35,8 @@ def look_up(
     hot = (
         df.where(col(key).isNotNull())
         .groupBy(col(key))
-        .count()
-        .orderBy(F.desc("count"), col(key))
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .orderBy(F.desc("__n"), col(key))
         .limit(HOT_KEYS)
         .select(col(key))
     )
@@ -74,15 +74,15 @@ def split_join(df: DataFrame, lookup: DataFrame, key: str, hot: DataFrame) -> Da
 
 def _key_sides(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Rows per key in each table."""
-    sides = left.select(col(key), F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
-        right.select(col(key), F.lit(0).alias("l"), F.lit(1).alias("r"))
+    sides = left.select(col(key), F.lit(1).alias("__l"), F.lit(0).alias("__r")).unionByName(
+        right.select(col(key), F.lit(0).alias("__l"), F.lit(1).alias("__r"))
     )
-    return sides.groupBy(col(key)).agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right"))
+    return sides.groupBy(col(key)).agg(F.sum("__l").alias("__left"), F.sum("__r").alias("__right"))
 
 
 def key_gaps(facts: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """Keys found in one table only, with the ``side`` that has them; empty means covered."""
-    side = F.when(F.col("n_right") == 0, "facts").when(F.col("n_left") == 0, "lookup")
+    side = F.when(F.col("__right") == 0, "facts").when(F.col("__left") == 0, "lookup")
     return _key_sides(facts, lookup, key).select(col(key), side.alias("side")).where("side is not null")
 
 
@@ -94,7 +94,7 @@ def require_same_keys(facts: DataFrame, lookup: DataFrame, key: str) -> None:
 
 def pair(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Join two tables row by row on a key that both must hold exactly once."""
-    odd = _key_sides(left, right, key).where((F.col("n_left") != 1) | (F.col("n_right") != 1))
+    odd = _key_sides(left, right, key).where((F.col("__left") != 1) | (F.col("__right") != 1))
     found = odd.take(10)
     if found:
         raise ValueError(f"rows do not pair up, for example {[tuple(r) for r in found]}")

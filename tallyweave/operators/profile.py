@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.columns import col
@@ -95,10 +97,10 @@ def column_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     frames = []
     wanted = df.select(*map(col, columns))
     for batch, _, frame in grouping_set_counts(
-        wanted, [(c,) for c in columns], [F.count(F.lit(1)).alias("n")]
+        wanted, [(c,) for c in columns], [F.count(F.lit(1)).alias("__n")]
     ):
         keyed = [
-            (F.col("set") == i, [F.lit(columns[i]), *value_order(columns[i], dtypes[columns[i]])])
+            (F.col("__set") == i, [F.lit(columns[i]), *value_order(columns[i], dtypes[columns[i]])])
             for i in batch
         ]
         picked = []
@@ -107,7 +109,7 @@ def column_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             for condition, values in keyed[1:]:
                 case = case.when(condition, values[j])
             picked.append(case.alias(name))
-        frames.append(frame.select(*picked, "n"))
+        frames.append(frame.select(*picked, F.col("__n").alias("n")))
     out = frames[0]
     for frame in frames[1:]:
         out = out.union(frame)
@@ -124,26 +126,124 @@ def identifier_like(profiled: DataFrame) -> DataFrame:
     return profiled.where((F.col("n_rows") > 0) & (F.col("n_distinct") == F.col("n_rows")))
 
 
-def summary(df: DataFrame, columns: Sequence[str] | None = None, accuracy: int = 10_000) -> DataFrame:
-    """Count, nulls, mean, std, min, quartiles and max of every numeric column.
+@dataclass
+class _Bracket:
+    """Values between which a rank is known to lie; None is unbounded."""
 
-    Quartiles are approximate with a rank error of ``rows / accuracy``.
+    column: str
+    rank: int
+    low: float | None = None
+    high: float | None = None
+    below: int = 0
+    inside: int = 0
+
+    def number(self) -> Column:
+        return col(self.column).cast("double")
+
+    def holds(self) -> Column:
+        condition = self.number().isNotNull()
+        if self.low is not None:
+            condition &= self.number() >= F.lit(self.low)
+        if self.high is not None:
+            condition &= self.number() <= F.lit(self.high)
+        return condition
+
+
+def _narrow(df: DataFrame, brackets: list[_Bracket], accuracy: int) -> None:
+    """Move the ends of each bracket to approximate quantiles around its rank.
+
+    The ranks of approximate quantiles are off by at most ``1 / accuracy`` of the
+    rows; the ends keep twice that distance. Counts then prove where the rank lies.
     """
+    ends = []
+    for i, b in enumerate(brackets):
+        share = (b.rank - b.below) / max(b.inside, 1)
+        near = [max(share - 2 / accuracy, 0.0), min(share + 2 / accuracy, 1.0)]
+        inside = F.when(b.holds(), b.number())
+        ends.append(F.percentile_approx(inside, near, accuracy).alias(f"e{i}"))
+    for b, found in zip(brackets, df.agg(*ends).first()):
+        if found is not None:
+            b.low, b.high = found
+
+
+def _count(df: DataFrame, brackets: list[_Bracket]) -> None:
+    counts = []
+    for i, b in enumerate(brackets):
+        low = F.lit(False) if b.low is None else b.number() < F.lit(b.low)
+        counts += [F.count_if(low).alias(f"b{i}"), F.count_if(b.holds()).alias(f"i{i}")]
+    got = df.agg(*counts).first()
+    for i, b in enumerate(brackets):
+        b.below, b.inside = got[f"b{i}"], got[f"i{i}"]
+
+
+def quantiles(
+    df: DataFrame,
+    columns: Sequence[str],
+    shares: Sequence[float] = (0.25, 0.5, 0.75),
+    accuracy: int = 10_000,
+    few: int = 1_000_000,
+) -> dict[str, list[float | None]]:
+    """Exact quantiles of numeric columns: the value whose rank is nearest to the share.
+
+    Approximate quantiles bracket each rank, until at most ``few`` values remain
+    that may hold it; only those are ranked. Every pass is one aggregation for
+    all columns, and each but the first leaves some ten-thousandths of the rows.
+    """
+    names = list(columns)
+    rows = df.agg(*[F.count(col(n)).alias(f"n{i}") for i, n in enumerate(names)]).first()
+    brackets = [
+        _Bracket(name, math.floor((rows[f"n{i}"] - 1) * share + 0.5), inside=rows[f"n{i}"])
+        for i, name in enumerate(names)
+        for share in shares
+        if rows[f"n{i}"] > 0
+    ]
+    wide = [b for b in brackets if b.inside > few]
+    while wide:
+        before = {id(b): (b.low, b.high, b.below, b.inside) for b in wide}
+        _narrow(df, wide, accuracy)
+        _count(df, wide)
+        for b in wide:
+            if not b.below <= b.rank < b.below + b.inside:
+                b.low, b.high, b.below, b.inside = before[id(b)]
+        # Stop where nothing shrinks any more: few distinct values, many times each.
+        wide = [b for b in wide if b.inside > few and b.inside < before[id(b)][3]]
+
+    found: dict[str, list[float | None]] = {name: [] for name in names}
+    if brackets:
+        entries = [
+            F.struct(F.lit(i).alias("i"), F.when(b.holds(), b.number()).alias("x"))
+            for i, b in enumerate(brackets)
+        ]
+        values = (
+            df.select(F.inline(F.array(*entries))).where("x is not null").groupBy("i", "x").count()
+        )
+        # Distinct values inside a bracket, no more than ``few`` of them per rank.
+        upto = F.sum("count").over(Window.partitionBy("i").orderBy("x"))
+        rank = F.get(F.array(*[F.lit(b.rank - b.below) for b in brackets]), F.col("i"))
+        hit = values.withColumn("upto", upto).where(F.col("upto") > rank)
+        for row in hit.groupBy("i").agg(F.min("x").alias("x")).orderBy("i").collect():
+            found[brackets[row["i"]].column].append(row["x"])
+    return {name: got or [None] * len(shares) for name, got in found.items()}
+
+
+def summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Count, nulls, mean, std, min, quartiles and max of every numeric column."""
     names = [c for c in (columns or df.columns) if is_number(dict(df.dtypes)[c])]
+    quartiles = quantiles(df, names)
 
     def stats(i, name):
         number = col(name).cast("double")
-        quartiles = F.percentile_approx(number, [0.25, 0.5, 0.75], accuracy)
+        q25, q50, q75 = (F.lit(q).cast("double") for q in quartiles[name])
         return F.struct(
             F.lit(name).alias("column"),
             F.count(number).alias("n"),
-            F.count_if(col(name).isNull()).alias("n_null"),
+            F.count_if(number.isNull()).alias("n_null"),
             F.avg(number).alias("mean"),
             F.stddev_samp(number).alias("std"),
             F.min(number).alias("minimum"),
-            F.get(quartiles, F.lit(0)).alias("q25"),
-            F.get(quartiles, F.lit(1)).alias("q50"),
-            F.get(quartiles, F.lit(2)).alias("q75"),
+            q25.alias("q25"),
+            q50.alias("q50"),
+            q75.alias("q75"),
             F.max(number).alias("maximum"),
         ).alias(f"s{i}")
 

@@ -51,9 +51,9 @@ def column_profile(spark, folder):
         f"""SELECT '{c}' AS "column", count({c}) AS n, count(*) - count({c}) AS n_null,
             round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
             CAST(min({c}) AS DOUBLE) AS minimum, CAST(max({c}) AS DOUBLE) AS maximum,
-            CAST(quantile_disc({c}, 0.25) AS DOUBLE) AS q25,
-            CAST(quantile_disc({c}, 0.5) AS DOUBLE) AS q50,
-            CAST(quantile_disc({c}, 0.75) AS DOUBLE) AS q75
+            CAST(list_sort(list({c}))[CAST(floor((count({c}) - 1) * 0.25 + 0.5) AS BIGINT) + 1] AS DOUBLE) AS q25,
+            CAST(list_sort(list({c}))[CAST(floor((count({c}) - 1) * 0.5 + 0.5) AS BIGINT) + 1] AS DOUBLE) AS q50,
+            CAST(list_sort(list({c}))[CAST(floor((count({c}) - 1) * 0.75 + 0.5) AS BIGINT) + 1] AS DOUBLE) AS q75
         FROM lineitem"""
         for c in ("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     )
