@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions import arrays, draws, scale
-from tallyweave.functions.columns import col
+from tallyweave.functions.columns import col, text
 from tallyweave.operators import profile as profiling
 from tallyweave.operators.lookups import BROADCAST_ROWS, HOT_KEYS, split_join
 from tallyweave.operators.tables import encodable_columns, require_columns, require_numeric, with_row_ids
@@ -165,7 +165,6 @@ def number_tokens(values: DataFrame, largest: int) -> DataFrame:
     vocabulary; beyond what one task sorts with ease, numbering is distributed.
     """
     order = [
-        F.expr("(whole is null and real is null and value is null) desc"),
         F.col("whole").asc_nulls_first(),
         F.col("real").asc_nulls_first(),
         F.col("value").asc_nulls_first(),
@@ -249,11 +248,8 @@ def _literal_words(plan: EncodingPlan) -> dict[str, list]:
     return words
 
 
-def _no_match(message: str, shown: Column, unseen: str) -> Column:
-    if unseen == "code":
-        return F.lit(-1)
-    shown = F.coalesce(shown.cast("string"), F.lit("null"))
-    return F.raise_error(F.concat(F.lit(message), shown)).cast("int")
+def _fail(message: str, shown: Column, dtype: str) -> Column:
+    return F.raise_error(F.concat(F.lit(message), text(shown))).cast(dtype)
 
 
 def _with_words(df: DataFrame, plan: EncodingPlan, name: str, by: str, adds: str, key: Column) -> DataFrame:
@@ -294,7 +290,11 @@ def encode(
         if c.kind != "categorical":
             out[c.name] = scale.scale(source, c.low, c.span)
             continue
-        unknown = _no_match(f"{c.name}: value not in the vocabulary: ", source, unseen)
+        unknown = (
+            F.lit(-1)
+            if unseen == "code"
+            else _fail(f"{c.name}: value not in the vocabulary: ", source, "int")
+        )
         if c.name in literal:
             pairs = []
             for token, value in enumerate(literal[c.name]):
@@ -355,7 +355,7 @@ def decode(
             found = col(f"__value_{c.name}")
         known = (source >= 0) & (source < c.size)
         out[c.name] = F.when(known, found).otherwise(
-            _no_match(f"{c.name}: token not in the vocabulary: ", source, "error").cast(c.dtype)
+            _fail(f"{c.name}: token not in the vocabulary: ", source, c.dtype)
         )
     return df.select(*map(col, keep), *[value.alias(name) for name, value in out.items()])
 

@@ -87,7 +87,8 @@ def run(
 def compare(prepared: Prepared, synthetic: DataFrame, orders: Sequence[int]) -> DataFrame:
     """Errors of the synthetic controls and features against the real ones."""
     plans = [prepared.features] + ([prepared.controls] if prepared.controls else [])
-    names = [n for plan in plans for n in plan.names()]
+    encoded = {n for plan in plans for n in plan.names()}
+    names = [n for n in prepared.data.columns if n in encoded]
     sizes = {n: s for plan in plans for n, s in plan.sizes().items()}
     continuous = [c.name for plan in plans for c in plan.columns if c.kind != "categorical"]
     return density.evaluate(
