@@ -12,7 +12,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel, TaskContext, cloudpickle
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +24,6 @@ from tallyweave.operators.encode import EncodingPlan
 from tallyweave.operators.sample import with_latents
 from tallyweave.plans import network
 
-# Tasks need the network without having this package installed.
-cloudpickle.register_pickle_by_value(network)
-
 # Columns of the encoded table: features and controls may share names with the key.
 X, Y = "x_", "y_"
 
