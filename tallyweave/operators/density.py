@@ -120,6 +120,16 @@ def cover(
     return [(tuple(sorted(columns)), members) for columns, members in covers]
 
 
+def column_sizes(*tables: DataFrame) -> dict[str, int]:
+    """Approximate distinct values per column, null counted as one, in one pass per table."""
+    sizes: dict[str, int] = {}
+    for df in tables:
+        counts = [F.approx_count_distinct(col(c)).alias(f"n{i}") for i, c in enumerate(df.columns)]
+        for name, n in zip(df.columns, df.agg(*counts).first()):
+            sizes[name] = max(sizes.get(name, 0), n + 1)
+    return sizes
+
+
 def _stack(target: DataFrame, synthetic: DataFrame) -> DataFrame:
     """Both tables in one frame with 0/1 side columns; mixed text and numbers meet as text."""
     require_same_columns(target, synthetic)

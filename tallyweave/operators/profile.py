@@ -181,7 +181,7 @@ def quantiles(
     columns: Sequence[str],
     shares: Sequence[float] = (0.25, 0.5, 0.75),
     accuracy: int = 10_000,
-    few: int = 1_000_000,
+    few: int = 100_000,
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of numeric columns: the value whose rank is nearest to the share.
 
@@ -205,8 +205,12 @@ def quantiles(
         for b in wide:
             if not b.below <= b.rank < b.below + b.inside:
                 b.low, b.high, b.below, b.inside = before[id(b)]
-        # Stop where nothing shrinks any more: few distinct values, many times each.
-        wide = [b for b in wide if b.inside > few and b.inside < before[id(b)][3]]
+        # Done where a single value is left, however often it occurs.
+        wide = [
+            b
+            for b in wide
+            if b.inside > few and b.inside < before[id(b)][3] and b.low != b.high
+        ]
 
     found: dict[str, list[float | None]] = {name: [] for name in names}
     if brackets:

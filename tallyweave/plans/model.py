@@ -7,6 +7,7 @@ parameter vector, whose length depends on the model and not on the data.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 
@@ -24,6 +25,8 @@ from tallyweave.operators.encode import EncodingPlan
 from tallyweave.operators.sample import with_latents
 from tallyweave.plans import network
 
+MAX_ROWS_PER_TASK = 5_000_000
+
 # Columns of the encoded table: features and controls may share names with the key.
 X, Y = "x_", "y_"
 
@@ -323,19 +326,20 @@ def fit(
     settings = model.settings
     weights = token_weights(model)
     sc = encoded.sparkSession.sparkContext
-    # Read in every epoch; recomputed from the source where an executor is lost.
-    kept = encoded.persist(StorageLevel.MEMORY_AND_DISK)
+    counts = {r["split"]: r["count"] for r in encoded.groupBy("split").count().collect()}
+    rows = counts.get("train", 0)
+    if not rows:
+        raise ValueError("no rows to train on")
+    # No task should have too few rows to learn from, or too many to redo if it is lost.
+    tasks = max(1, min(sc.defaultParallelism, rows // settings.rows_per_task))
+    tasks = max(tasks, math.ceil(rows / MAX_ROWS_PER_TASK))
+    # Dealt by key once, so that every task sees the whole mix, and read in every epoch;
+    # recomputed from the source where an executor is lost.
+    kept = encoded.repartition(tasks, F.xxhash64(*map(col, key))).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
     try:
-        counts = {r["split"]: r["count"] for r in kept.groupBy("split").count().collect()}
-        if not counts.get("train"):
-            raise ValueError("no rows to train on")
-        # Rows are dealt by key, so that every task sees the whole mix and none too few.
-        tasks = max(1, min(sc.defaultParallelism, counts["train"] // settings.rows_per_task))
-        train = (
-            kept.where(F.col("split") == "train")
-            .repartition(tasks, F.xxhash64(*map(col, key)))
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        )
+        train = kept.where(F.col("split") == "train")
         judged = kept.where(F.col("split") == ("val" if counts.get("val") else "train"))
         moments = (np.zeros(model.shape.length), np.zeros(model.shape.length))
         best, history, step, rate = None, [], 0, settings.lr
@@ -352,7 +356,6 @@ def fit(
                 best = (loss, epoch, vector)
             if epoch + 1 >= settings.min_epochs and epoch - best[1] >= settings.patience:
                 break
-        train.unpersist()
         return replace(model, vector=best[2]), history
     finally:
         kept.unpersist()

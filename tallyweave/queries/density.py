@@ -9,24 +9,14 @@ from pyspark.sql import functions as F
 from tallyweave.operators import density
 from tallyweave.queries.registry import query, round_doubles, table
 
-COLUMNS = ("l_returnflag", "l_linestatus", "l_linenumber", "l_discount", "l_tax", "l_quantity")
-NARROW = COLUMNS[:5]
-# Distinct values per column, as a profile of lineitem reports them.
-SIZES = {
-    "l_returnflag": 3,
-    "l_linestatus": 2,
-    "l_linenumber": 7,
-    "l_discount": 11,
-    "l_tax": 9,
-    "l_quantity": 50,
-}
-
-
-def halves(spark, folder, columns=NARROW):
-    """Even and odd orders of lineitem, standing in for a real and a synthetic table."""
+COLUMNS = ("l_returnflag", "l_linenumber", "l_discount", "l_tax", "l_quantity")
+NARROW = COLUMNS[:4]
+
+
+def populations(spark, folder, columns=NARROW):
+    """Lines of the one status and of the other, standing in for a real and a synthetic table."""
     lines = table(spark, folder, "lineitem")
-    even = F.col("l_orderkey") % 2 == 0
-    return lines.where(even).select(*columns), lines.where(~even).select(*columns)
+    return tuple(lines.where(F.col("l_linestatus") == s).select(*columns) for s in "OF")
 
 
 def _cells_sql(columns, orders):
@@ -46,8 +36,8 @@ def _cells_sql(columns, orders):
                 FULL JOIN (SELECT {keys}, count(*) AS n FROM synthetic GROUP BY {keys}) s
                 ON {on}"""
             )
-    return f"""WITH target AS (SELECT * FROM lineitem WHERE l_orderkey % 2 = 0),
-        synthetic AS (SELECT * FROM lineitem WHERE l_orderkey % 2 <> 0),
+    return f"""WITH target AS (SELECT * FROM lineitem WHERE l_linestatus = 'O'),
+        synthetic AS (SELECT * FROM lineitem WHERE l_linestatus = 'F'),
         counted AS ({" UNION ALL ".join(parts)}),
         cells AS (SELECT *, n_target / (SELECT count(*) FROM target)::DOUBLE AS p,
                   n_synth / (SELECT count(*) FROM synthetic)::DOUBLE AS q FROM counted)"""
@@ -83,7 +73,7 @@ def freq_2way(spark, folder):
     FROM cells"""
 )
 def joint_probs_2(spark, folder):
-    return round_doubles(density.joint_probs(*halves(spark, folder), orders=[2]))
+    return round_doubles(density.joint_probs(*populations(spark, folder), orders=[2]))
 
 
 @query(
@@ -93,8 +83,9 @@ def joint_probs_2(spark, folder):
 )
 def joint_probs_rolled_up(spark, folder):
     """All orders from a few wide column sets."""
-    tables = halves(spark, folder, COLUMNS)
-    return round_doubles(density.joint_probs(*tables, orders=[1, 2, 3], sizes=SIZES))
+    tables = populations(spark, folder, COLUMNS)
+    sizes = density.column_sizes(*tables)
+    return round_doubles(density.joint_probs(*tables, orders=[1, 2, 3], sizes=sizes))
 
 
 @query(
@@ -102,12 +93,12 @@ def joint_probs_rolled_up(spark, folder):
     + " SELECT combo, cell, round(abs(p - q), 9) AS abs_error FROM cells"
 )
 def abs_error_cells(spark, folder):
-    probs = density.joint_probs(*halves(spark, folder), orders=[2])
+    probs = density.joint_probs(*populations(spark, folder), orders=[2])
     return round_doubles(density.absolute_errors(probs).select("combo", "cell", "abs_error"))
 
 
-def _errors(spark, folder, orders, columns=NARROW, **options):
-    return density.evaluate(*halves(spark, folder, columns), orders=orders, **options)
+def _errors(spark, folder, orders, columns=NARROW):
+    return density.evaluate(*populations(spark, folder, columns), orders=orders)
 
 
 @query(_errors_sql(NARROW, (2,), "SELECT combo, cells, round(mae, 9) AS mae FROM errors"))
@@ -140,7 +131,7 @@ def cross_entropy_by_combo(spark, folder):
     )
 )
 def mmae_orders(spark, folder):
-    return round_doubles(density.mean_errors(_errors(spark, folder, [1, 2, 3], COLUMNS, sizes=SIZES)))
+    return round_doubles(density.mean_errors(_errors(spark, folder, [1, 2, 3], COLUMNS)))
 
 
 _ERROR_COLUMNS = """"order", combo, cells, round(mae, 9) AS mae, round(mnae, 9) AS mnae,

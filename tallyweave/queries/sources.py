@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tallyweave.operators import density, sample
-from tallyweave.queries.density import _errors_sql, halves
+from tallyweave.queries.density import _errors_sql, populations
 from tallyweave.queries.registry import query, rounded, table
 from tallyweave.session import shared_dir
 from tallyweave.sources import files
@@ -55,13 +55,13 @@ def latents_csv(spark, folder):
 
 @query(
     _errors_sql(
-        ["l_returnflag", "l_linestatus"],
+        ["l_returnflag", "l_linenumber"],
         (1, 2),
         'SELECT combo, cells, round(mae, 9) AS mae FROM errors',
     )
 )
 def metrics_sink(spark, folder):
     path = scratch(spark, "metrics")
-    errors = density.evaluate(*halves(spark, folder, ["l_returnflag", "l_linestatus"]), [1, 2])
+    errors = density.evaluate(*populations(spark, folder, ["l_returnflag", "l_linenumber"]), [1, 2])
     files.write_losses(errors.select("combo", "cells", rounded("mae").alias("mae")), path)
     return spark.read.schema("combo string, cells bigint, mae double").json(path)
