@@ -14,12 +14,13 @@ def most_likely(probs: Column) -> Column:
 def sampled(probs: Column, u: Column) -> Column:
     """Token drawn by inverse CDF from ``u`` in [0, 1); ``probs`` need not sum to one."""
     total = F.aggregate(probs, F.lit(0.0), lambda acc, p: acc + p)
-    start = F.struct(F.lit(0.0).alias("run"), F.lit(0).alias("below"))
+    # The limit is carried along, since a lambda would compute it for every element.
+    start = F.struct(F.lit(0.0).alias("run"), F.lit(0).alias("below"), (u * total).alias("limit"))
 
     def step(acc, p):
         run = acc["run"] + p
-        below = acc["below"] + F.when(run <= u * total, 1).otherwise(0)
-        return F.struct(run.alias("run"), below.alias("below"))
+        below = acc["below"] + F.when(run <= acc["limit"], 1).otherwise(0)
+        return F.struct(run.alias("run"), below.alias("below"), acc["limit"].alias("limit"))
 
     return F.least(F.aggregate(probs, start, step)["below"], F.size(probs) - 1)
 

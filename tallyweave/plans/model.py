@@ -28,7 +28,7 @@ from tallyweave.plans import network
 MAX_ROWS_PER_TASK = 5_000_000
 
 # Columns of the encoded table: features and controls may share names with the key.
-X, Y = "x_", "y_"
+X, Y, U = "x_", "y_", "u_"
 
 
 @dataclass(frozen=True)
@@ -171,22 +171,30 @@ def predict(df: DataFrame, model: Model, keep: Sequence[str], z: str = "z") -> D
     return _apply(df, model, keep, _output_columns(model, "p_"), compute)
 
 
-def _predict_tokens(df, model, keep, z="z"):
-    """As :func:`predict`, with the most likely token picked in the task.
+def _predict_tokens(df, model, keep, z="z", drawn=False):
+    """As :func:`predict`, with a token picked in the task: the most likely, or by ``u_<feature>``.
 
     Saves sending a probability per category of every row back to the JVM.
     """
     shape, decode = model.shape, network.decode
     names = [Y + n for n in model.control_names]
+    us = [U + n for n in model.features.names()]
+
+    def pick(batch, i, probs):
+        if not drawn:
+            return probs.argmax(axis=1)
+        limit = batch.column(us[i]).to_numpy() * probs.sum(axis=1)
+        below = (probs.cumsum(axis=1) <= limit[:, None]).sum(axis=1)
+        return np.minimum(below, probs.shape[1] - 1)
 
     def compute(p, batch):
         latents = _vectors(batch, z, shape.latent_size)
         outputs = decode(shape, p, latents, _numbers(batch, names))
         return [
-            pa.array(out.argmax(axis=1).astype(np.int32))
+            pa.array(pick(batch, i, out).astype(np.int32))
             if kind == "categorical"
             else pa.array(out[:, 0])
-            for (kind, _), out in zip(shape.features, outputs)
+            for i, ((kind, _), out) in enumerate(zip(shape.features, outputs))
         ]
 
     added = {
@@ -352,7 +360,7 @@ def fit(
             model = replace(model, vector=vector)
             loss = split_losses(judged, model, key, seed, (), weights).first()["loss"]
             history.append({"epoch": epoch, "loss": loss, "tasks": tasks})
-            if best is None or loss < best[0]:
+            if best is None or math.isnan(best[0]) or loss < best[0]:
                 best = (loss, epoch, vector)
             if epoch + 1 >= settings.min_epochs and epoch - best[1] >= settings.patience:
                 break
@@ -383,13 +391,10 @@ def generate(
     ys = [Y + n for n in model.control_names]
     keep = [*key, *ys, *(["z"] if keep_latents else [])]
     if sample:
-        probs = predict(rows, model, keep)
-        out = coding.decode_probabilities(
-            probs, model.features, keep=keep, seed=seed + 1, row_key=key
-        )
-    else:
-        tokens = _predict_tokens(rows, model, keep)
-        out = coding.decode(tokens, model.features, keep=keep, prefix=X)
+        u = {U + n: draws.uniform(seed + 1, F.lit(n), *map(col, key)) for n in model.features.names()}
+        rows = rows.withColumns(u)
+    tokens = _predict_tokens(rows, model, keep, drawn=sample)
+    out = coding.decode(tokens, model.features, keep=keep, prefix=X)
     if model.controls:
         rest = [*key, *model.features.names(), *(["z"] if keep_latents else [])]
         out = coding.decode(out, model.controls, keep=rest, prefix=Y)

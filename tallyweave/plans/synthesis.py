@@ -40,8 +40,10 @@ def prepare(
     """
     df = tables.rename_select(df, columns)
     ys, xs = tables.split_columns(df, controls)
-    features = encode.fit(df, include=xs, exclude=key)
-    plans = encode.fit(df, include=ys, exclude=key) if ys else None
+    xs = tables.encodable_columns(xs, exclude=key)
+    # Fitted together, so that the table is read once for both.
+    plan = encode.fit(df, include=[*xs, *ys], exclude=key)
+    features, plans = plan.only(xs), plan.only(ys) if ys else None
     parts = sample.split(df, key, seed, val, test)
     encoded = modelling.encode_rows(parts, features, plans, [*key, "split"])
     return Prepared(df, tuple(key), features, plans, encoded)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyweave.functions import arrays, scale
-from tallyweave.operators import encode, profile
+from tallyweave.operators import encode, lookups, profile
 from tallyweave.queries.registry import query, round_doubles, rounded, table
+from tallyweave.session import cut_lineage
 
 PROFILED = {
     "l_linenumber": "int",
@@ -261,7 +262,7 @@ _FLAG_SQL = """flags AS (SELECT l_returnflag, CAST(row_number() OVER (ORDER BY l
 
 
 def flag_probabilities(spark, folder):
-    """The plan of the return flag and ``l_linestatus, p_l_returnflag``."""
+    """The plan of the return flag and ``l_linestatus, p_l_returnflag``, written once."""
     df = table(spark, folder, "lineitem").select("l_linestatus", "l_returnflag")
     plan = encode.fit(df, include=["l_returnflag"])
     tokens = encode.encode(df, plan, keep=["l_linestatus"])
@@ -270,7 +271,7 @@ def flag_probabilities(spark, folder):
     given = tokens.groupBy("l_linestatus").agg(
         F.array(*[c / F.count(F.lit(1)) for c in counts]).alias("p_l_returnflag")
     )
-    return plan, given
+    return plan, cut_lineage(given)
 
 
 @query(
@@ -289,8 +290,8 @@ def _orders_with(spark, folder, given):
     orders = table(spark, folder, "orders").select(
         "o_orderkey", "o_orderstatus", F.col("o_orderstatus").alias("l_linestatus")
     )
-    # One row per line status, of which there are a handful.
-    return orders.join(F.broadcast(given.limit(1000)), "l_linestatus")
+    found = lookups.look_up(orders, given, "l_linestatus")
+    return found.where(F.col("p_l_returnflag").isNotNull())
 
 
 @query(

@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 
 from tallyweave.functions import arrays, draws
-from tallyweave.operators import density, encode, losses
+from tallyweave.operators import density, encode, lookups, losses
 from tallyweave.plans import model as modelling
 from tallyweave.plans import synthesis, trials
 from tallyweave.queries.encoding import _FLAG_SQL, flag_probabilities
 from tallyweave.queries.registry import query, round_doubles, rounded, table
-from tallyweave.session import shared_dir
+from tallyweave.session import cut_lineage, shared_dir, spread
 
 
 def _scored_lines(spark, folder):
@@ -20,8 +20,7 @@ def _scored_lines(spark, folder):
     plan, given = flag_probabilities(spark, folder)
     lines = table(spark, folder, "lineitem").select("l_linestatus", "l_returnflag")
     tokens = encode.encode(lines, plan, keep=["l_linestatus"])
-    # One row per line status, of which there are a handful.
-    return plan, tokens.join(F.broadcast(given.limit(1000)), "l_linestatus")
+    return plan, lookups.look_up(tokens, given, "l_linestatus")
 
 
 _NLL_SQL = f"""WITH {_FLAG_SQL}, counts AS (SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL),
@@ -136,8 +135,7 @@ def _drawn_orders(spark, folder):
     shares = [F.count_if(F.col("x_o_orderpriority") == k) / rows for k in range(size)]
     given = tokens.groupBy("o_orderstatus").agg(F.array(*shares).alias("p_o_orderpriority"))
     controls = real.select("o_orderkey", "o_orderstatus")
-    # One row per order status, of which there are a handful.
-    paired = controls.join(F.broadcast(given.limit(1000)), "o_orderstatus")
+    paired = lookups.look_up(controls, cut_lineage(given), "o_orderstatus")
     synthetic = encode.decode_probabilities(
         paired, plan, keep=["o_orderkey", "o_orderstatus"], seed=11, row_key=["o_orderkey"]
     )
@@ -177,7 +175,7 @@ SETTINGS = modelling.Settings(
 
 def prepared_orders(spark, folder):
     """Orders with two controls and three features, one of them a number."""
-    orders = table(spark, folder, "orders").select(
+    orders = spread(table(spark, folder, "orders")).select(
         "o_orderkey",
         "o_orderstatus",
         "o_orderpriority",
@@ -215,7 +213,7 @@ def fitted_synthesis(spark, folder):
 @query()
 def unconditional_synthesis(spark, folder):
     """The variant without controls and category weights."""
-    orders = table(spark, folder, "orders").select(
+    orders = spread(table(spark, folder, "orders")).select(
         "o_orderkey", "o_orderstatus", "o_orderpriority", F.month("o_orderdate").alias("month")
     )
     prepared = synthesis.prepare(orders, [], ["o_orderkey"], seed=1234)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators import lookups, sample, tables
 from tallyweave.queries.registry import query, rounded, table
+from tallyweave.session import spread
 
 _U_SQL = "('0x' || substr(md5('1234:' || o_orderkey), 1, 8))::UBIGINT / 4294967296.0::DOUBLE"
 
@@ -37,7 +38,7 @@ def exact_split(spark, folder):
         FROM orders, range(4) r(dim))"""
 )
 def latent_draws(spark, folder):
-    orders = table(spark, folder, "orders").select("o_orderkey")
+    orders = spread(table(spark, folder, "orders")).select("o_orderkey")
     drawn = sample.with_latents(orders, ["o_orderkey"], size=4, seed=99)
     return drawn.select("o_orderkey", F.posexplode("z").alias("dim", "z")).withColumn(
         "z", rounded("z")

@@ -27,3 +27,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder now, so that later steps read it from there."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal out a stored table that has fewer splits than the cluster has cores.
+
+    For work that is heavy per row. A large table has splits enough and is
+    returned as it is. ``scan`` must be a plain scan, since its plan is asked
+    for the number of its splits.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

@@ -123,13 +123,18 @@ def test_rows_do_not_depend_on_partitions(fitted, people):
     assert one.exceptAll(many).count() == 0
 
 
-def test_most_likely_in_the_task_and_in_the_jvm(fitted, people):
+def test_tokens_picked_in_the_task_and_in_the_jvm(fitted, people):
     trained = fitted[2]
     rows = encode.encode(people, trained.controls, keep=["id"], prefix="y_")
     probs = modelling.predict(sample.with_latents(rows, ["id"], 2, 4), trained, ["id"])
     slow = encode.decode_probabilities(probs, trained.features, keep=["id"])
     fast = modelling.generate(people, trained, ["id"], 4).select(slow.columns)
     assert slow.exceptAll(fast).count() == 0
+    slow = encode.decode_probabilities(
+        probs, trained.features, keep=["id"], seed=5, row_key=["id"]
+    )
+    fast = modelling.generate(people, trained, ["id"], 4, sample=True).select(slow.columns)
+    assert slow.exceptAll(fast).count() == 0
 
 
 def test_latents(fitted):
