@@ -283,14 +283,22 @@ def evaluate(
     orders: Sequence[int] = (1, 2, 3),
     include: Sequence[str] | None = None,
     exclude: Sequence[str] = (),
-    **options,
+    sizes: Mapping[str, int] | None = None,
+    max_cells: int = 20_000,
 ) -> DataFrame:
-    """Error measures of every combination at each order."""
+    """Error measures of every combination at each order.
+
+    Where there are more combinations than one pass counts, they are rolled up
+    from wider column sets, for which the ``sizes`` of the columns are estimated
+    in a first pass unless given.
+    """
     require_same_columns(target, synthetic)
     names = [c for c in target.columns if (include is None or c in include) and c not in exclude]
     keep = [col(c) for c in names]
-    probs = joint_probs(target.select(keep), synthetic.select(keep), orders, **options)
-    return errors_by_combo(probs)
+    target, synthetic = target.select(keep), synthetic.select(keep)
+    if sizes is None and len(column_combinations(names, orders)) > SETS_PER_JOB:
+        sizes = column_sizes(target, synthetic)
+    return errors_by_combo(joint_probs(target, synthetic, orders, sizes, max_cells))
 
 
 def mean_errors(errors: DataFrame) -> DataFrame:

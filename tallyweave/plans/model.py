@@ -25,7 +25,11 @@ from tallyweave.operators.encode import EncodingPlan
 from tallyweave.operators.sample import with_latents
 from tallyweave.plans import network
 
-MAX_ROWS_PER_TASK = 5_000_000
+MAX_ROWS_PER_TASK = 20_000_000
+MERGED_TASKS = 32
+STATE_SCHEMA = (
+    "task int, rows bigint, steps bigint, w array<double>, m array<double>, v array<double>"
+)
 
 # Columns of the encoded table: features and controls may share names with the key.
 X, Y, U = "x_", "y_", "u_"
@@ -263,7 +267,39 @@ def split_losses(
     return scoring.losses(rows, kinds, model.settings.beta, weights, by)
 
 
-def _train_round(train, model, moments, step, rate, weights, seed, epoch):
+def _state_row(task, rows, steps, vectors):
+    """One Arrow row of parameters and moments, multiplied by the rows behind them."""
+    columns = [pa.array([v], type=t) for v, t in ((task, pa.int32()), (rows, pa.int64()), (steps, pa.int64()))]
+    columns += [_lists(rows * vector[None, :]) for vector in vectors]
+    return pa.RecordBatch.from_arrays(columns, names=["task", "rows", "steps", "w", "m", "v"])
+
+
+def _merge_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sum all rows of a partition into one."""
+    total = None
+    for batch in batches:
+        rows = batch.num_rows
+        if not rows:
+            continue
+        sums = [
+            batch.column(c).flatten().to_numpy().reshape(rows, -1).sum(axis=0) for c in ("w", "m", "v")
+        ]
+        counted = sum(batch.column("rows").to_pylist())
+        steps = max(batch.column("steps").to_pylist())
+        if total is None:
+            total = [counted, steps, sums]
+        else:
+            total = [
+                total[0] + counted,
+                max(total[1], steps),
+                [a + b for a, b in zip(total[2], sums)],
+            ]
+    if total is not None:
+        counted, steps, sums = total
+        yield _state_row(0, counted, steps, [s / counted for s in sums])
+
+
+def _train_round(train, tasks, model, moments, step, rate, weights, seed, epoch):
     """One pass of every task over its rows, then the row-weighted mean of the results.
 
     Returns the mean parameters, both Adam moments and the steps taken by a task.
@@ -294,24 +330,19 @@ def _train_round(train, model, moments, step, rate, weights, seed, epoch):
                 adam_step(vector, moment, square, step + done, gradient, rate)
             rows += len(x)
         if rows:
-            n = shape.length
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(n, dtype=np.int32)),
-                    pa.array(vector),
-                    pa.array(moment),
-                    pa.array(square),
-                    pa.array(np.full(n, rows, dtype=np.int64)),
-                    pa.array(np.full(n, done, dtype=np.int64)),
-                ],
-                names=["at", "w", "m", "v", "n", "steps"],
-            )
-
-    trained = train.mapInArrow(run, "at int, w double, m double, v double, n bigint, steps bigint")
-    mean = {c: (F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in ("w", "m", "v")}
+            yield _state_row(task, rows, done, (vector, moment, square))
+
+    # Neighbouring tasks are merged first, so that few copies of the parameters are summed
+    # one by one; a merge holds one copy at a time.
+    trained = train.mapInArrow(run, STATE_SCHEMA)
+    merged = trained.repartition(
+        math.ceil(tasks / MERGED_TASKS), F.floor(F.col("task") / MERGED_TASKS)
+    ).mapInArrow(_merge_states, STATE_SCHEMA)
+    parts = merged.select("rows", "steps", F.posexplode(F.arrays_zip("w", "m", "v")).alias("at", "x"))
+    mean = {c: (F.sum(F.col("x")[c]) / F.sum("rows")).alias(c) for c in ("w", "m", "v")}
     # One row per parameter reaches the driver.
     got = (
-        trained.groupBy("at").agg(*mean.values(), F.max("steps").alias("steps")).toPandas()
+        parts.groupBy("at").agg(*mean.values(), F.max("steps").alias("steps")).toPandas()
     ).sort_values("at")
     state.unpersist()
     if got.empty:
@@ -353,7 +384,7 @@ def fit(
         best, history, step, rate = None, [], 0, settings.lr
         for epoch in range(settings.max_epochs):
             vector, moments, steps = _train_round(
-                train, model, moments, step, rate, weights, seed, epoch
+                train, tasks, model, moments, step, rate, weights, seed, epoch
             )
             step += steps
             rate *= settings.lr_decay
