@@ -52,8 +52,9 @@ def expand_controls(
     keys = [col(c) for c in totals.columns if c != count]
     n = col(count).cast("bigint")
     partitions = int(totals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    firsts = F.sequence(F.lit(1).cast("bigint"), n, F.lit(chunk).cast("bigint"))
     chunks = totals.where(n > 0).select(
-        *keys, n.alias("__n"), F.explode(F.sequence(F.lit(1).cast("bigint"), n, F.lit(chunk).cast("bigint"))).alias("__from")
+        *keys, n.alias("__n"), F.explode(firsts).alias("__from")
     )
     dealt = chunks.repartition(partitions, *keys, F.col("__from"))
     last = F.least(F.col("__from") + (chunk - 1), F.col("__n"))

@@ -80,11 +80,9 @@ def grouping_set_counts(
         grouped = df.groupingSets(
             [[col(c) for c in sets[i]] for i in batch], *map(col, names)
         ).agg(F.grouping_id().alias("__id"), *aggregates)
-        position = reduce(
-            lambda case, pair: case.when(F.col("__id") == pair[0], pair[1]),
-            ids.items(),
-            F.when(F.lit(False), -1),
-        )
+        position = F
+        for bits, i in ids.items():
+            position = position.when(F.col("__id") == bits, i)
         out.append((batch, names, grouped.withColumn("__set", position).drop("__id")))
     return out
 
@@ -156,11 +154,9 @@ def _counts() -> list[Column]:
 def _direct_counts(stacked, combos):
     frames = []
     for batch, _, frame in grouping_set_counts(stacked, combos, _counts()):
-        cell = reduce(
-            lambda case, i: case.when(F.col("__set") == i, cell_name(combos[i])),
-            batch,
-            F.when(F.lit(False), F.lit("")),
-        )
+        cell = F
+        for i in batch:
+            cell = cell.when(F.col("__set") == i, cell_name(combos[i]))
         frames.append(frame.select("__set", cell.alias("__cell"), "__n_target", "__n_synth"))
     return reduce(DataFrame.union, frames)
 
@@ -171,41 +167,31 @@ def _covered_counts(stacked, combos, sizes, max_cells):
     covers = cover(combos, sizes, max_cells)
     frames = []
     for batch, names, frame in grouping_set_counts(stacked, [c for c, _ in covers], _counts()):
-        # One row per member of the cover: its position and the set of its columns as bits.
-        members = reduce(
-            lambda case, i: case.when(
-                F.col("__set") == i,
-                F.array(
-                    *[
-                        F.struct(
-                            F.lit(position[m]).alias("__combo"),
-                            F.lit(sum(1 << names.index(c) for c in m)).cast("long").alias("__bits"),
-                        )
-                        for m in covers[i][1]
-                    ]
-                ),
-            ),
-            batch,
-            F.when(F.lit(False), F.array(F.struct(F.lit(0).alias("__combo"), F.lit(0).cast("long").alias("__bits")))),
-        )
+        # A member of a cover: its position and the set of its columns as bits.
+        def member(combo, names=names):
+            bits = sum(1 << names.index(c) for c in combo)
+            return F.struct(
+                F.lit(position[combo]).alias("__combo"), F.lit(bits).cast("long").alias("__bits")
+            )
+
+        def held(j):
+            return F.col("__bits").bitwiseAND(F.lit(1 << j).cast("long")) != 0
+
+        members = F
+        for i in batch:
+            members = members.when(F.col("__set") == i, F.array(*map(member, covers[i][1])))
         rolled = frame.select("*", F.inline(members)).withColumns(
-            {
-                c: F.when(F.col("__bits").bitwiseAND(F.lit(1 << j).cast("long")) != 0, col(c))
-                for j, c in enumerate(names)
-            }
+            {c: F.when(held(j), col(c)) for j, c in enumerate(names)}
         )
         summed = rolled.groupBy("__combo", "__bits", *map(col, names)).agg(
             F.sum("__n_target").alias("__n_target"), F.sum("__n_synth").alias("__n_synth")
         )
         # concat_ws skips nulls, so columns outside the combination leave no trace.
-        cell = F.concat_ws(
-            "_",
-            *[
-                F.when(F.col("__bits").bitwiseAND(F.lit(1 << j).cast("long")) != 0, text(col(c)))
-                for j, c in enumerate(names)
-            ],
+        cell = F.concat_ws("_", *[F.when(held(j), text(col(c))) for j, c in enumerate(names)])
+        position_of = F.col("__combo").alias("__set")
+        frames.append(
+            summed.select(position_of, cell.alias("__cell"), "__n_target", "__n_synth")
         )
-        frames.append(summed.select(F.col("__combo").alias("__set"), cell.alias("__cell"), "__n_target", "__n_synth"))
     return reduce(DataFrame.union, frames)
 
 

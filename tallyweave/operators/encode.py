@@ -17,7 +17,12 @@ from tallyweave.functions import arrays, draws, scale
 from tallyweave.functions.columns import col, text
 from tallyweave.operators import profile as profiling
 from tallyweave.operators.lookups import BROADCAST_ROWS, HOT_KEYS, split_join
-from tallyweave.operators.tables import encodable_columns, require_columns, require_numeric, with_row_ids
+from tallyweave.operators.tables import (
+    encodable_columns,
+    require_columns,
+    require_numeric,
+    with_row_ids,
+)
 from tallyweave.session import cut_lineage
 
 # A column of fewer distinct values is categorical; minutes of a day.
@@ -83,11 +88,16 @@ class EncodingPlan:
     def words(self, name: str) -> DataFrame:
         return self.vocabulary.where(F.col("column") == name)
 
-    def weights(self, name: str) -> list[float] | None:
-        """Weight of each token, none for numbers."""
-        if self[name].kind != "categorical":
-            return None
-        return [r["weight"] for r in self.words(name).orderBy("token").collect()]
+    def weights(self) -> dict[str, list[float] | None]:
+        """Weight of each token by column, none for numbers."""
+        found: dict[str, list[float] | None] = {
+            c.name: [] if c.kind == "categorical" else None for c in self.columns
+        }
+        names = [name for name, weights in found.items() if weights is not None]
+        rows = self.vocabulary.where(F.col("column").isin(names)).orderBy("column", "token")
+        for row in rows.collect() if names else []:
+            found[row["column"]].append(row["weight"])
+        return found
 
 
 def kind_rules(
@@ -136,7 +146,8 @@ def _facts(df, names, overrides, max_categories, sentinel):
     nested = [n for n in names if dict(df.dtypes)[n].startswith(("array", "map", "struct"))]
     if nested:
         raise ValueError(f"nested columns are not supported: {nested}")
-    require_numeric(df, [n for n, kind in overrides.items() if n in names and kind != "categorical"])
+    numbers = [n for n, kind in overrides.items() if n in names and kind != "categorical"]
+    require_numeric(df, numbers)
     rows = profiling.profile(df, names, sentinel).collect()
     facts = {row["column"]: row.asDict() for row in rows}
 
@@ -181,7 +192,11 @@ def number_tokens(values: DataFrame, largest: int) -> DataFrame:
         )
     means = F.broadcast(values.groupBy("column").agg(F.avg("n").alias("mean_n")))
     return numbered.join(means, "column").select(
-        "column", F.col("token").cast("int").alias("token"), "value", "n", (F.col("mean_n") / F.col("n")).alias("weight")
+        "column",
+        F.col("token").cast("int").alias("token"),
+        "value",
+        "n",
+        (F.col("mean_n") / F.col("n")).alias("weight"),
     )
 
 
@@ -210,9 +225,8 @@ def fit(
         if kind == "categorical":
             if forbid_identifiers and fact["n_distinct"] == fact["n_rows"]:
                 raise ValueError(f"column {name!r} has a different value in every row")
-            plans.append(
-                ColumnPlan(name, kind, fact["dtype"], fact["n_distinct"], has_null=fact["n_null"] > 0)
-            )
+            size, has_null = fact["n_distinct"], fact["n_null"] > 0
+            plans.append(ColumnPlan(name, kind, fact["dtype"], size, has_null=has_null))
             continue
         low, span = DAY if kind == "time" else (fact["minimum"], fact["span"])
         if not span:
@@ -252,8 +266,10 @@ def _fail(message: str, shown: Column, dtype: str) -> Column:
     return F.raise_error(F.concat(F.lit(message), text(shown))).cast(dtype)
 
 
-def _with_words(df: DataFrame, plan: EncodingPlan, name: str, by: str, adds: str, key: Column) -> DataFrame:
-    """Add ``adds`` of the vocabulary to each row, matching ``key`` with its ``by`` column."""
+def _with_words(
+    df: DataFrame, plan: EncodingPlan, name: str, by: str, adds: str, key: Column
+) -> DataFrame:
+    """Add ``adds`` of the vocabulary as ``__found``, matching ``key`` with its ``by`` column."""
     words = plan.words(name).where(F.col("value").isNotNull())
     value = F.col("value").cast(plan[name].dtype).alias("value")
     words = words.select(value, "token", "n")

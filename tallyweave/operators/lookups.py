@@ -52,7 +52,9 @@ def split_join(df: DataFrame, lookup: DataFrame, key: str, hot: DataFrame) -> Da
     )
     hot_rows = few.join(F.broadcast(matched), key, "left").withColumnRenamed(key, "__hot")
     rest = lookup.select(
-        col(key).alias("__key"), F.lit(0).alias("__spread"), F.struct(*map(col, added)).alias("__many")
+        col(key).alias("__key"),
+        F.lit(0).alias("__spread"),
+        F.struct(*map(col, added)).alias("__many"),
     )
     first = df.join(F.broadcast(hot_rows), col(key) == F.col("__hot"), "left")
     # Rows already served (and null keys) match nothing and are dealt out evenly.
@@ -83,7 +85,8 @@ def _key_sides(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def key_gaps(facts: DataFrame, lookup: DataFrame, key: str) -> DataFrame:
     """Keys found in one table only, with the ``side`` that has them; empty means covered."""
     side = F.when(F.col("__right") == 0, "facts").when(F.col("__left") == 0, "lookup")
-    return _key_sides(facts, lookup, key).select(col(key), side.alias("side")).where("side is not null")
+    sides = _key_sides(facts, lookup, key).select(col(key), side.alias("side"))
+    return sides.where(F.col("side").isNotNull())
 
 
 def require_same_keys(facts: DataFrame, lookup: DataFrame, key: str) -> None:

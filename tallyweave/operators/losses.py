@@ -30,7 +30,7 @@ def mean_kl(mu: Column, log_var: Column) -> Column:
 
 
 def total_loss(recon: Column, kld: Column, beta: float) -> tuple[Column, Column, Column]:
-    """``(loss, recon part, kl part)``: reconstruction weighs ``1 - beta``, divergence ``beta``."""
+    """``(loss, recon part, kl part)``: reconstruction weighs ``1 - beta``, the rest ``beta``."""
     require_beta(beta)
     recon_part = F.lit(1.0 - beta) * recon
     kld_part = F.lit(float(beta)) * kld

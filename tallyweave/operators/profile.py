@@ -24,7 +24,9 @@ def is_number(dtype: str) -> bool:
 
 
 def _as_double(df: DataFrame, name: str) -> Column:
-    return col(name).cast("double") if is_number(df.schema[name].dataType.simpleString()) else F.lit(None).cast("double")
+    """The column as a double, null if it is no number."""
+    kept = col(name) if is_number(df.schema[name].dataType.simpleString()) else F.lit(None)
+    return kept.cast("double")
 
 
 def profile(
@@ -105,8 +107,8 @@ def column_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         ]
         picked = []
         for j, name in enumerate(["column", "whole", "real", "value"]):
-            case = F.when(*[keyed[0][0], keyed[0][1][j]])
-            for condition, values in keyed[1:]:
+            case = F
+            for condition, values in keyed:
                 case = case.when(condition, values[j])
             picked.append(case.alias(name))
         frames.append(frame.select(*picked, F.col("__n").alias("n")))
@@ -155,15 +157,21 @@ def _narrow(df: DataFrame, brackets: list[_Bracket], accuracy: int) -> None:
     The ranks of approximate quantiles are off by at most ``1 / accuracy`` of the
     rows; the ends keep twice that distance. Counts then prove where the rank lies.
     """
+    # Ranks of a column with the same bracket share one sketch.
+    groups: dict[tuple, list[_Bracket]] = {}
+    for b in brackets:
+        groups.setdefault((b.column, b.low, b.high), []).append(b)
     ends = []
-    for i, b in enumerate(brackets):
-        share = (b.rank - b.below) / max(b.inside, 1)
-        near = [max(share - 2 / accuracy, 0.0), min(share + 2 / accuracy, 1.0)]
-        inside = F.when(b.holds(), b.number())
+    for i, group in enumerate(groups.values()):
+        near = []
+        for b in group:
+            share = (b.rank - b.below) / max(b.inside, 1)
+            near += [max(share - 2 / accuracy, 0.0), min(share + 2 / accuracy, 1.0)]
+        inside = F.when(group[0].holds(), group[0].number())
         ends.append(F.percentile_approx(inside, near, accuracy).alias(f"e{i}"))
-    for b, found in zip(brackets, df.agg(*ends).first()):
-        if found is not None:
-            b.low, b.high = found
+    for group, found in zip(groups.values(), df.agg(*ends).first()):
+        for j, b in enumerate(group if found is not None else []):
+            b.low, b.high = found[2 * j : 2 * j + 2]
 
 
 def _count(df: DataFrame, brackets: list[_Bracket]) -> None:
@@ -231,17 +239,21 @@ def quantiles(
 
 
 def summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Count, nulls, mean, std, min, quartiles and max of every numeric column."""
-    names = [c for c in (columns or df.columns) if is_number(dict(df.dtypes)[c])]
-    quartiles = quantiles(df, names)
+    """Counts, nulls and extremes of every column; mean, std and quartiles of the numeric ones.
+
+    ``least`` and ``greatest`` are the extremes of the other columns, as text.
+    """
+    names, dtypes = list(columns or df.columns), dict(df.dtypes)
+    quartiles = quantiles(df, [n for n in names if is_number(dtypes[n])])
 
     def stats(i, name):
-        number = col(name).cast("double")
-        q25, q50, q75 = (F.lit(q).cast("double") for q in quartiles[name])
+        number = _as_double(df, name)
+        other = F.lit(None).cast("string") if name in quartiles else col(name)
+        q25, q50, q75 = (F.lit(q).cast("double") for q in quartiles.get(name, [None] * 3))
         return F.struct(
             F.lit(name).alias("column"),
-            F.count(number).alias("n"),
-            F.count_if(number.isNull()).alias("n_null"),
+            F.count(col(name)).alias("n"),
+            F.count_if(col(name).isNull()).alias("n_null"),
             F.avg(number).alias("mean"),
             F.stddev_samp(number).alias("std"),
             F.min(number).alias("minimum"),
@@ -249,6 +261,8 @@ def summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
             q50.alias("q50"),
             q75.alias("q75"),
             F.max(number).alias("maximum"),
+            F.min(other).cast("string").alias("least"),
+            F.max(other).cast("string").alias("greatest"),
         ).alias(f"s{i}")
 
     return df.agg(*[stats(i, n) for i, n in enumerate(names)]).select(

@@ -208,7 +208,9 @@ def _predict_tokens(df, model, keep, z="z", drawn=False):
     return _apply(df, model, keep, added, compute)
 
 
-def infer(df: DataFrame, model: Model, keep: Sequence[str], seed: int, key: Sequence[str]) -> DataFrame:
+def infer(
+    df: DataFrame, model: Model, keep: Sequence[str], seed: int, key: Sequence[str]
+) -> DataFrame:
     """``mu, log_var`` and a draw ``z`` of the latents of encoded rows."""
     shape, encode = model.shape, network.encode
     xs = [X + n for n in model.features.names()]
@@ -224,7 +226,9 @@ def infer(df: DataFrame, model: Model, keep: Sequence[str], seed: int, key: Sequ
     return latents.withColumn("z", arrays.reparameterise(F.col("mu"), F.col("log_var"), eps))
 
 
-def reconstruct(df: DataFrame, model: Model, keep: Sequence[str], seed: int, key: Sequence[str]) -> DataFrame:
+def reconstruct(
+    df: DataFrame, model: Model, keep: Sequence[str], seed: int, key: Sequence[str]
+) -> DataFrame:
     """``mu, log_var`` and ``p_<feature>`` of encoded rows, through one draw of their latents."""
     shape, encode, decode = model.shape, network.encode, network.decode
     xs = [X + n for n in model.features.names()]
@@ -245,7 +249,7 @@ def token_weights(model: Model) -> dict[str, list[float] | None]:
     """Category weights per feature; one for every category if the model is not weighted."""
     if not model.settings.weighted:
         return {name: None for name in model.features.names()}
-    return {name: model.features.weights(name) for name in model.features.names()}
+    return model.features.weights()
 
 
 def split_losses(
@@ -269,7 +273,7 @@ def split_losses(
 
 def _state_row(task, rows, steps, vectors):
     """One Arrow row of parameters and moments, multiplied by the rows behind them."""
-    columns = [pa.array([v], type=t) for v, t in ((task, pa.int32()), (rows, pa.int64()), (steps, pa.int64()))]
+    columns = [pa.array([task], pa.int32()), pa.array([rows]), pa.array([steps])]
     columns += [_lists(rows * vector[None, :]) for vector in vectors]
     return pa.RecordBatch.from_arrays(columns, names=["task", "rows", "steps", "w", "m", "v"])
 
@@ -281,9 +285,8 @@ def _merge_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rows = batch.num_rows
         if not rows:
             continue
-        sums = [
-            batch.column(c).flatten().to_numpy().reshape(rows, -1).sum(axis=0) for c in ("w", "m", "v")
-        ]
+        vectors = [batch.column(c).flatten().to_numpy() for c in ("w", "m", "v")]
+        sums = [v.reshape(rows, -1).sum(axis=0) for v in vectors]
         counted = sum(batch.column("rows").to_pylist())
         steps = max(batch.column("steps").to_pylist())
         if total is None:
@@ -338,7 +341,8 @@ def _train_round(train, tasks, model, moments, step, rate, weights, seed, epoch)
     merged = trained.repartition(
         math.ceil(tasks / MERGED_TASKS), F.floor(F.col("task") / MERGED_TASKS)
     ).mapInArrow(_merge_states, STATE_SCHEMA)
-    parts = merged.select("rows", "steps", F.posexplode(F.arrays_zip("w", "m", "v")).alias("at", "x"))
+    values = F.posexplode(F.arrays_zip("w", "m", "v")).alias("at", "x")
+    parts = merged.select("rows", "steps", values)
     mean = {c: (F.sum(F.col("x")[c]) / F.sum("rows")).alias(c) for c in ("w", "m", "v")}
     # One row per parameter reaches the driver.
     got = (
@@ -422,7 +426,8 @@ def generate(
     ys = [Y + n for n in model.control_names]
     keep = [*key, *ys, *(["z"] if keep_latents else [])]
     if sample:
-        u = {U + n: draws.uniform(seed + 1, F.lit(n), *map(col, key)) for n in model.features.names()}
+        names = model.features.names()
+        u = {U + n: draws.uniform(seed + 1, F.lit(n), *map(col, key)) for n in names}
         rows = rows.withColumns(u)
     tokens = _predict_tokens(rows, model, keep, drawn=sample)
     out = coding.decode(tokens, model.features, keep=keep, prefix=X)

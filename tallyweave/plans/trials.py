@@ -7,6 +7,7 @@ import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,10 +170,12 @@ def append_trial(spark, path, trial, value, seconds, drawn) -> None:
 
 def read_trials(spark: SparkSession, path: str) -> DataFrame:
     """The stored trials, none if there is no table yet."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+    try:
+        return spark.read.schema(TRIALS_SCHEMA).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], TRIALS_SCHEMA)
-    return spark.read.schema(TRIALS_SCHEMA).parquet(path)
 
 
 def best_trials(trials: DataFrame, k: int = 1) -> DataFrame:

@@ -47,24 +47,48 @@ def column_profile(spark, folder):
     )
 
 
-@query(
-    " UNION ALL ".join(
-        f"""SELECT '{c}' AS "column", count({c}) AS n, count(*) - count({c}) AS n_null,
-            round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
-            CAST(min({c}) AS DOUBLE) AS minimum, CAST(max({c}) AS DOUBLE) AS maximum,
-            CAST(list_sort(list({c}))[CAST(floor((count({c}) - 1) * 0.25 + 0.5) AS BIGINT) + 1] AS DOUBLE) AS q25,
-            CAST(list_sort(list({c}))[CAST(floor((count({c}) - 1) * 0.5 + 0.5) AS BIGINT) + 1] AS DOUBLE) AS q50,
-            CAST(list_sort(list({c}))[CAST(floor((count({c}) - 1) * 0.75 + 0.5) AS BIGINT) + 1] AS DOUBLE) AS q75
-        FROM lineitem"""
-        for c in ("l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    )
-)
+SUMMARISED = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag"]
+
+
+def _summary_sql(c):
+    if c == "l_returnflag":
+        nothing = "CAST(NULL AS DOUBLE)"
+        numbers = ", ".join(
+            f"{nothing} AS {n}" for n in ("mean", "std", "minimum", "q25", "q50", "q75", "maximum")
+        )
+        extremes = f"min({c}) AS least, max({c}) AS greatest"
+    else:
+        quartiles = ", ".join(
+            f"""CAST(list_sort(list({c}))[CAST(floor((count({c}) - 1) * {q / 100} + 0.5) AS BIGINT)
+                + 1] AS DOUBLE) AS q{q}"""
+            for q in (25, 50, 75)
+        )
+        numbers = f"""round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std,
+            CAST(min({c}) AS DOUBLE) AS minimum, {quartiles}, CAST(max({c}) AS DOUBLE) AS maximum"""
+        extremes = "CAST(NULL AS VARCHAR) AS least, CAST(NULL AS VARCHAR) AS greatest"
+    return f"""SELECT '{c}' AS "column", count({c}) AS n, count(*) - count({c}) AS n_null,
+        {numbers}, {extremes} FROM lineitem"""
+
+
+@query(" UNION ALL ".join(map(_summary_sql, SUMMARISED)))
 def summary_stats(spark, folder):
-    columns = ["l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    found = profile.summary(table(spark, folder, "lineitem"), columns)
+    found = profile.summary(table(spark, folder, "lineitem"), SUMMARISED)
     return found.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
+@query(
+    """SELECT 'c_custkey' AS "column" FROM customer HAVING count(DISTINCT c_custkey) = count(*)
+    UNION ALL SELECT 'c_name' FROM customer HAVING count(DISTINCT c_name) = count(*)
+    UNION ALL SELECT 'c_nationkey' FROM customer HAVING count(DISTINCT c_nationkey) = count(*)
+    UNION ALL SELECT 'c_mktsegment' FROM customer HAVING count(DISTINCT c_mktsegment) = count(*)"""
+)
+def identifier_columns(spark, folder):
+    """Columns with a different value in every row."""
+    columns = ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"]
+    profiled = profile.profile(table(spark, folder, "customer"), columns, exact=True)
+    return profile.identifier_like(profiled).select("column")
+
+
 @query(
     f"WITH {_LINES_SQL} "
     + " UNION ALL ".join(
@@ -204,6 +228,15 @@ def time_cycle(spark, folder):
     )
 
 
+@query(
+    f"""SELECT p_partkey, t.token AS p_brand FROM part
+    JOIN {_rank_sql("p_brand", "part")} t USING (p_brand)"""
+)
+def encode_one_column(spark, folder):
+    parts, plan = _part_plan(spark, folder)
+    return encode.encode_column(parts, plan, "p_brand", keep=["p_partkey"])
+
+
 ENCODED = ["l_returnflag", "l_linestatus", "l_linenumber", "l_quantity", "l_tax"]
 
 

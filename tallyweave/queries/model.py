@@ -36,7 +36,7 @@ _NLL_SQL = f"""WITH {_FLAG_SQL}, counts AS (SELECT l_returnflag, count(*) AS n F
 )
 def weighted_nll(spark, folder):
     plan, rows = _scored_lines(spark, folder)
-    weights = F.array(*map(F.lit, plan.weights("l_returnflag")))
+    weights = F.array(*map(F.lit, plan.weights()["l_returnflag"]))
     token = F.col("l_returnflag")
     cost = losses.weighted_mean(
         losses.token_loss(token, F.col("p_l_returnflag")), F.get(weights, token)
@@ -91,7 +91,7 @@ def reparameterised(spark, folder):
 def elbo(spark, folder):
     """Reconstruction of the return flags and divergence of the embeddings as one loss."""
     plan, rows = _scored_lines(spark, folder)
-    weights = F.array(*map(F.lit, plan.weights("l_returnflag")))
+    weights = F.array(*map(F.lit, plan.weights()["l_returnflag"]))
     token = F.col("l_returnflag")
     recon = losses.weighted_mean(
         losses.token_loss(token, F.col("p_l_returnflag")), F.get(weights, token)
