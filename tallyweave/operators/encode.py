@@ -16,7 +16,12 @@ from pyspark.sql import functions as F
 from tallyweave.functions import arrays, draws, scale
 from tallyweave.functions.columns import col, text
 from tallyweave.operators import profile as profiling
-from tallyweave.operators.lookups import BROADCAST_ROWS, HOT_KEYS, split_join
+from tallyweave.operators.lookups import (
+    BROADCAST_BYTES,
+    BROADCAST_ROWS,
+    HOT_KEYS,
+    split_join,
+)
 from tallyweave.operators.tables import (
     encodable_columns,
     require_columns,
@@ -29,15 +34,19 @@ from tallyweave.session import cut_lineage
 MAX_CATEGORIES = 25
 DAY = (0.0, 1440.0)
 
-# Vocabularies up to this many values are written into the query as literals.
+# Vocabularies up to this size are written into the query as literals.
 LITERALS = 64
+LITERAL_BYTES = 64 << 10
 
 KINDS = ("categorical", "continuous", "time")
 
 
 @dataclass(frozen=True)
 class ColumnPlan:
-    """How one column is encoded. ``low`` and ``span`` are for numbers only."""
+    """How one column is encoded. ``low`` and ``span`` are for numbers only.
+
+    ``bytes`` is what the values of a vocabulary take as text.
+    """
 
     name: str
     kind: str
@@ -48,6 +57,14 @@ class ColumnPlan:
     mean: float | None = None
     std: float | None = None
     has_null: bool = False
+    bytes: int = 0
+
+    def is_literal(self) -> bool:
+        few = self.size <= LITERALS and self.bytes <= LITERAL_BYTES
+        return self.kind == "categorical" and few
+
+    def is_small(self) -> bool:
+        return self.size <= BROADCAST_ROWS and self.bytes <= BROADCAST_BYTES
 
 
 @dataclass(frozen=True)
@@ -163,8 +180,10 @@ def _facts(df, names, overrides, max_categories, sentinel):
     if not candidates:
         return facts, None
     values = cut_lineage(profiling.column_values(df, candidates))
-    for row in values.groupBy("column").count().collect():
-        facts[row["column"]]["n_distinct"] = row["count"]
+    length = F.sum(F.coalesce(F.octet_length("value"), F.lit(0)).cast("bigint"))
+    sizes = values.groupBy("column").agg(F.count(F.lit(1)).alias("n"), length.alias("bytes"))
+    for row in sizes.collect():
+        facts[row["column"]].update(n_distinct=row["n"], bytes=row["bytes"])
     return facts, values
 
 
@@ -226,7 +245,11 @@ def fit(
             if forbid_identifiers and fact["n_distinct"] == fact["n_rows"]:
                 raise ValueError(f"column {name!r} has a different value in every row")
             size, has_null = fact["n_distinct"], fact["n_null"] > 0
-            plans.append(ColumnPlan(name, kind, fact["dtype"], size, has_null=has_null))
+            plans.append(
+                ColumnPlan(
+                    name, kind, fact["dtype"], size, has_null=has_null, bytes=fact.get("bytes", 0)
+                )
+            )
             continue
         low, span = DAY if kind == "time" else (fact["minimum"], fact["span"])
         if not span:
@@ -252,7 +275,7 @@ def vocabulary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def _literal_words(plan: EncodingPlan) -> dict[str, list]:
     """Values in token order of the columns with few of them, in one small job."""
-    few = [c.name for c in plan.columns if c.kind == "categorical" and c.size <= LITERALS]
+    few = [c.name for c in plan.columns if c.is_literal()]
     words: dict[str, list] = {name: [] for name in few}
     if few:
         for row in (
@@ -275,7 +298,7 @@ def _with_words(
     words = words.select(value, "token", "n")
     lookup = words.select(F.col(by).alias("__key_in"), F.col(adds).alias("__found"))
     keyed = df.withColumn("__key_in", key)
-    if plan[name].size <= BROADCAST_ROWS:
+    if plan[name].is_small():
         return keyed.join(F.broadcast(lookup), "__key_in", "left").drop("__key_in")
     # The counts in the vocabulary already tell which values are frequent.
     hot = words.orderBy(F.desc("n"), by).limit(HOT_KEYS).select(F.col(by).alias("__key_in"))

@@ -1,36 +1,53 @@
 """Lookups and key checks.
 
-A lookup is broadcast only when a count shows that it is small. Beyond that, the
-rows of the most frequent keys (a fixed number of keys, found by counting) take
+A lookup is broadcast only when a pass over it shows that it is small, in rows and
+in bytes. Beyond that, the rows of the most frequent keys (a fixed number of keys, found by counting) take
 a broadcast of their few lookup rows, and the rest is joined by shuffling, where
 no key can be hot any more.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions.columns import col
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 HOT_KEYS = 1_000
 
 
-def checked_rows(lookup: DataFrame, key: str) -> int:
-    """Rows of a lookup whose keys must be unique."""
-    per_key = lookup.groupBy(col(key)).agg(F.count(F.lit(1)).alias("__n"))
-    got = per_key.agg(F.sum("__n").alias("rows"), F.max("__n").alias("most")).first()
-    if (got["most"] or 0) > 1:
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes the values of a row take: texts by length, nested values as JSON."""
+    total = F.lit(8 * len(df.columns))
+    for field in df.schema:
+        kind, column = field.dataType.typeName(), col(field.name)
+        if kind in ("string", "char", "varchar", "binary"):
+            total += F.coalesce(F.octet_length(column), F.lit(0))
+        elif kind in ("array", "map", "struct", "variant"):
+            total += F.octet_length(F.to_json(F.struct(column)))
+    return total.cast("bigint")
+
+
+def checked_size(lookup: DataFrame, key: str) -> tuple[int, int]:
+    """Rows and bytes of a lookup, whose keys must be unique."""
+    per_key = lookup.groupBy(col(key)).agg(
+        F.count(F.lit(1)).alias("__n"), F.sum(row_bytes(lookup)).alias("__bytes")
+    )
+    got = per_key.agg(F.sum("__n"), F.sum("__bytes"), F.max("__n")).first()
+    rows, size, most = (n or 0 for n in got)
+    if most > 1:
         raise ValueError(f"lookup key {key!r} is not unique")
-    return got["rows"] or 0
+    return rows, size
 
 
 def look_up(
     df: DataFrame, lookup: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """Left join on ``key``: adds the lookup's other columns, null where unmatched."""
-    if checked_rows(lookup, key) <= broadcast_rows:
+    rows, size = checked_size(lookup, key)
+    if rows <= broadcast_rows and size <= BROADCAST_BYTES:
         return df.join(F.broadcast(lookup), key, "left")
     hot = (
         df.where(col(key).isNotNull())

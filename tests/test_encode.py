@@ -169,6 +169,25 @@ def test_large_lookup_keeps_every_row(spark, monkeypatch):
         lookups.look_up(facts, table.union(table), "k")
 
 
+def test_wide_values_are_not_broadcast(spark, monkeypatch):
+    """Few rows, but more bytes than may be broadcast or written into a query."""
+    monkeypatch.setattr(lookups, "BROADCAST_BYTES", 1_000)
+    monkeypatch.setattr(encode, "BROADCAST_BYTES", 1_000)
+    monkeypatch.setattr(encode, "LITERAL_BYTES", 500)
+    facts = spark.range(40).select("id", (F.col("id") % 8).alias("k"))
+    table = spark.range(6).select(F.col("id").alias("k"), F.repeat(F.lit("v"), 300).alias("v"))
+    assert lookups.checked_size(table, "k") == (6, 6 * (16 + 300))
+    got = lookups.look_up(facts, table, "k")
+    assert got.count() == 40 and got.where("v is null").count() == 10
+    texts = facts.select("id", F.concat(F.col("k"), F.repeat(F.lit("x"), 300)).alias("t"))
+    plan = encode.fit(texts, include=["t"])
+    assert plan["t"].bytes == 8 * 301
+    assert not plan["t"].is_literal() and not plan["t"].is_small()
+    tokens = encode.encode(texts, plan, keep=["id"])
+    assert tokens.join(facts, "id").where("t <> k").count() == 0
+    assert encode.decode(tokens, plan, keep=["id"]).exceptAll(texts).count() == 0
+
+
 def test_pairs(spark):
     left = spark.range(5).select("id", F.lit("x").alias("a"))
     right = spark.range(5).select("id", F.lit("y").alias("b"))
