@@ -93,29 +93,38 @@ def cover(
     """Gather combinations into wider column sets of at most ``max_cells`` cells.
 
     Each combination belongs to exactly one set holding all its columns. A
-    combination that is larger than ``max_cells`` by itself stays alone.
+    combination that is larger than ``max_cells`` by itself stays alone. A set
+    starts with the largest combination left, and grows by the column that
+    brings in the most of the others, as long as it stays within bounds.
     """
 
     def cells(columns):
         return math.prod(sizes[c] for c in columns)
 
-    covers: list[tuple[set, list]] = []
-    for combo in sorted(combos, key=lambda c: (-cells(c), -len(c), c)):
-        home = next((c for c in covers if c[0] >= set(combo)), None) or next(
-            (
-                c
-                for c in covers
-                if len(c[0] | set(combo)) <= COLUMNS_PER_JOB
-                and cells(c[0] | set(combo)) <= max_cells
-            ),
-            None,
-        )
-        if home is None:
-            covers.append((set(combo), [combo]))
-        else:
-            home[0].update(combo)
-            home[1].append(combo)
-    return [(tuple(sorted(columns)), members) for columns, members in covers]
+    left = set(combos)
+    with_column = {c: [m for m in combos if c in m] for c in sizes}
+
+    def gain(columns, extra):
+        wider = columns | {extra}
+        if len(wider) > COLUMNS_PER_JOB or cells(wider) > max_cells:
+            return 0
+        return sum(m in left and wider.issuperset(m) for m in with_column[extra])
+
+    covers = []
+    for seed in sorted(combos, key=lambda c: (-len(c), -cells(c), c)):
+        if seed not in left:
+            continue
+        columns = set(seed)
+        while True:
+            gains = {c: gain(columns, c) for c in sizes if c not in columns}
+            best = max(gains, key=lambda c: (gains[c], -sizes[c]), default=None)
+            if best is None or not gains[best]:
+                break
+            columns.add(best)
+        members = [m for m in combos if m in left and columns.issuperset(m)]
+        left.difference_update(members)
+        covers.append((tuple(sorted(columns)), members))
+    return covers
 
 
 def column_sizes(*tables: DataFrame) -> dict[str, int]:
@@ -167,19 +176,18 @@ def _covered_counts(stacked, combos, sizes, max_cells):
     covers = cover(combos, sizes, max_cells)
     frames = []
     for batch, names, frame in grouping_set_counts(stacked, [c for c, _ in covers], _counts()):
-        # A member of a cover: its position and the set of its columns as bits.
-        def member(combo, names=names):
-            bits = sum(1 << names.index(c) for c in combo)
-            return F.struct(
-                F.lit(position[combo]).alias("__combo"), F.lit(bits).cast("long").alias("__bits")
-            )
-
         def held(j):
             return F.col("__bits").bitwiseAND(F.lit(1 << j).cast("long")) != 0
 
+        # A member of a cover: its position and the set of its columns as bits.
+        place = {c: j for j, c in enumerate(names)}
         members = F
         for i in batch:
-            members = members.when(F.col("__set") == i, F.array(*map(member, covers[i][1])))
+            listed = ", ".join(
+                f"struct({position[m]} AS __combo, {sum(1 << place[c] for c in m)}L AS __bits)"
+                for m in covers[i][1]
+            )
+            members = members.when(F.col("__set") == i, F.expr(f"array({listed})"))
         rolled = frame.select("*", F.inline(members)).withColumns(
             {c: F.when(held(j), col(c)) for j, c in enumerate(names)}
         )

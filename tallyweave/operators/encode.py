@@ -128,7 +128,7 @@ def kind_rules(
         dtype = facts["dtype"]
         if name in overrides:
             kinds[name] = overrides[name]
-        elif dtype in ("string", "boolean") or dtype.startswith(("char", "varchar")):
+        elif profiling.is_text(dtype):
             kinds[name] = "categorical"
         elif facts["has_sentinel"] or facts["n_distinct"] < max_categories:
             kinds[name] = "categorical"
@@ -174,7 +174,7 @@ def _facts(df, names, overrides, max_categories, sentinel):
         fact = facts[name]
         # The approximate count is within a few percent, so twice the limit is safely above it.
         few = fact["n_distinct"] <= 2 * max_categories
-        return fact["dtype"] in ("string", "boolean") or fact["has_sentinel"] or few
+        return profiling.is_text(fact["dtype"]) or fact["has_sentinel"] or few
 
     candidates = [n for n in names if may_be_categorical(n)]
     if not candidates:

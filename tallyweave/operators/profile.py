@@ -23,6 +23,11 @@ def is_number(dtype: str) -> bool:
     return dtype.startswith(NUMBERS)
 
 
+def is_text(dtype: str) -> bool:
+    """Types that are categorical whatever their values."""
+    return dtype.startswith(("string", "char", "varchar", "boolean"))
+
+
 def _as_double(df: DataFrame, name: str) -> Column:
     """The column as a double, null if it is no number."""
     kept = col(name) if is_number(df.schema[name].dataType.simpleString()) else F.lit(None)

@@ -75,6 +75,20 @@ def test_shares_sum_to_one(spark):
         assert rolled.exceptAll(probs).count() == 0 and rolled.count() == probs.count()
 
 
+def test_partitions_and_hot_cells_do_not_matter(spark):
+    """A third of the rows in one cell, on one partition and on many."""
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 17).alias("a"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id") % 5).alias("b"),
+    )
+    other = spark.range(500).select((F.col("id") % 17).alias("a"), F.lit("hot").alias("b"))
+    one = density.joint_probs(rows.repartition(1), other, [1, 2])
+    many = density.joint_probs(rows.repartition(13), other.repartition(5), [1, 2])
+    assert one.exceptAll(many).count() == 0 and many.exceptAll(one).count() == 0
+    hot = one.where("combo = 'a_b' and cell = '0_hot'").first()
+    assert (hot["n_target"], hot["n_synth"]) == (1000, 30)
+
+
 def test_columns_named_like_our_own(spark):
     names = ["set", "n", "n_target", "combo", "order", "p", "a.b", "cell"]
     rows = spark.range(20).select(*[(F.col("id") % 3).alias(n) for n in names])

@@ -128,6 +128,25 @@ def test_zipped_csv(spark, tmp_path):
     assert some.dtypes == [("zone", "string"), ("value", "int")] and some.count() == 200
 
 
+def test_projection_archive_to_people(spark, tmp_path):
+    """The whole way from a zipped projection to one row per person."""
+    lines = ["geogcode\tname\tGender\tAge\tvalue"]
+    for zone in ("z1", "z2"):
+        for sex in ("Male", "Female"):
+            lines += [f"{zone}\tx\t{sex}\t{age}\t2" for age in recode.AGE_BANDS]
+    with zipfile.ZipFile(tmp_path / "p.tsv.zip", "w") as archive:
+        archive.writestr("p.tsv", "\n".join(lines))
+    (tmp_path / "l.csv").write_bytes(LOOKUP.encode())
+    columns = ["geogcode", "Gender", "Age", "value"]
+    projection = files.read_zipped_csv(spark, str(tmp_path / "p.tsv.zip"), columns, sep="\t")
+    assert projection.dtypes[3] == ("value", "bigint")
+    zones = files.read_csv(spark, str(tmp_path / "l.csv")).select("zone", "region")
+    totals = controls.control_totals(controls.recode_projection(projection, zones))
+    assert totals.count() == 2 * 2 * 7
+    assert totals.where("zone = 'z1' and sex = 2 and age_group = '65+'").first()["value"] == 10
+    assert controls.expand_controls(totals).count() == 2 * 2 * 18 * 2
+
+
 SPACE = {
     "lr": trials.FloatRange(0.0001, 1, log=True),
     "beta": trials.FloatRange(0.1, 0.9, step=0.1),
