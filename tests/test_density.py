@@ -79,7 +79,7 @@ def test_partitions_and_hot_cells_do_not_matter(spark):
     """A third of the rows in one cell, on one partition and on many."""
     rows = spark.range(3000).select(
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 17).alias("a"),
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id") % 5).alias("b"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("b"), "id")).alias("b"),
     )
     other = spark.range(500).select((F.col("id") % 17).alias("a"), F.lit("hot").alias("b"))
     one = density.joint_probs(rows.repartition(1), other, [1, 2])
