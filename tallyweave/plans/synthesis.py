@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyweave.functions.columns import col
 from tallyweave.operators import density, encode, sample, tables
 from tallyweave.plans import model as modelling
+from tallyweave.plans import stored
 from tallyweave.plans import trials as trialling
 from tallyweave.sources import files
 
@@ -63,25 +64,28 @@ def run(
     out: str | None = None,
     orders: Sequence[int] = (1, 2, 3),
     sample_tokens: bool = False,
+    fitted: modelling.Model | None = None,
 ) -> dict[str, DataFrame]:
     """Fit, then ``losses`` by split, ``synthetic`` rows and their ``errors``.
 
-    With ``out`` losses, synthetic rows and latents are written below it, and
-    the errors are those of the written rows.
+    With ``out`` the model, losses, synthetic rows and latents are written below
+    it, and the errors are those of the written rows. A ``fitted`` model is taken
+    as it is.
     """
-    model, _ = train(prepared, settings, seed)
+    model = fitted or train(prepared, settings, seed)[0]
     key = list(prepared.key)
     losses = modelling.split_losses(prepared.encoded, model, key, seed)
     made = modelling.generate(prepared.data, model, key, seed, sample_tokens, keep_latents=True)
     synthetic = made.drop("z")
     if out is not None:
+        spark: SparkSession = prepared.data.sparkSession
+        stored.save_model(spark, model, f"{out}/model")
         files.write_losses(losses, f"{out}/losses")
         made.write.mode("overwrite").parquet(f"{out}/made")
-        spark: SparkSession = prepared.data.sparkSession
         made = spark.read.parquet(f"{out}/made")
         synthetic = made.drop("z")
         files.write_csv(synthetic, f"{out}/synthetic")
-        files.write_latents(made, f"{out}/latents", settings.latent_size)
+        files.write_latents(made, f"{out}/latents", model.shape.latent_size)
     errors = compare(prepared, synthetic, orders)
     return {"losses": losses, "synthetic": synthetic, "errors": errors}
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators import density, encode, losses, sample
 from tallyweave.plans import model as modelling
-from tallyweave.plans import network
+from tallyweave.plans import network, stored
 
 SHAPE = network.Shape(
     features=(("categorical", 3), ("continuous", 1)),
@@ -137,6 +137,17 @@ def test_tokens_picked_in_the_task_and_in_the_jvm(fitted, people):
     assert slow.exceptAll(fast).count() == 0
 
 
+def test_stored_model_generates_the_same(spark, fitted, people, tmp_path):
+    trained = fitted[2]
+    stored.save_model(spark, trained, str(tmp_path / "model"))
+    again = stored.load_model(spark, str(tmp_path / "model"))
+    assert np.array_equal(again.vector, trained.vector)
+    assert again.settings == trained.settings and again.shape == trained.shape
+    one = modelling.generate(people, trained, ["id"], 4, sample=True)
+    two = modelling.generate(people, again, ["id"], 4, sample=True)
+    assert one.exceptAll(two).count() == 0
+
+
 def test_latents(fitted):
     _, encoded, trained, _ = fitted
     got = modelling.infer(encoded, trained, ["id"], 9, ["id"])
