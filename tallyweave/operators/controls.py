@@ -44,7 +44,7 @@ def control_totals(recoded: DataFrame) -> DataFrame:
 def expand_controls(
     totals: DataFrame, count: str = "value", number: str = "person", chunk: int = 10_000
 ) -> DataFrame:
-    """One row per counted person, numbered from 1 within its row of totals.
+    """One row per counted person, numbered from 1 within its row of totals (one per group).
 
     A large count is first cut into chunks that are dealt out over the cluster,
     so that no task writes out a whole city.

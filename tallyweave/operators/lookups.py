@@ -68,20 +68,22 @@ def split_join(df: DataFrame, lookup: DataFrame, key: str, hot: DataFrame) -> Da
         col(key), F.struct(*map(col, added)).alias("__few")
     )
     hot_rows = few.join(F.broadcast(matched), key, "left").withColumnRenamed(key, "__hot")
+    # Always 0, but not a literal: the optimizer would take that out of the join keys.
+    zero = F.pmod(F.xxhash64(col(key)), F.lit(1)).cast("int")
     rest = lookup.select(
         col(key).alias("__key"),
-        F.lit(0).alias("__spread"),
+        zero.alias("__spread"),
         F.struct(*map(col, added)).alias("__many"),
     )
     first = df.join(F.broadcast(hot_rows), col(key) == F.col("__hot"), "left")
-    # Rows already served (and null keys) match nothing and are dealt out evenly.
+    # Rows already served (and null keys) match nothing and are dealt out evenly: by their
+    # values, and by where they are read, since a third of them may be the same.
     served = F.col("__hot").isNotNull() | col(key).isNull()
+    place = F.pmod(F.xxhash64(F.spark_partition_id(), *map(col, df.columns)), F.lit(4096))
     dealt = first.withColumns(
         {
             "__key": F.when(~served, col(key)),
-            "__spread": F.when(served, F.pmod(F.xxhash64(*map(col, df.columns)), F.lit(4096)))
-            .otherwise(0)
-            .cast("int"),
+            "__spread": F.when(served, place).otherwise(0).cast("int"),
         }
     )
     joined = dealt.join(rest, ["__key", "__spread"], "left")

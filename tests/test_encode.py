@@ -169,6 +169,24 @@ def test_large_lookup_keeps_every_row(spark, monkeypatch):
         lookups.look_up(facts, table.union(table), "k")
 
 
+def test_rows_of_a_hot_key_spread(spark):
+    """Equal rows of a hot key land on many partitions of the join."""
+    facts = spark.range(0, 40_000, 1, 64).select(F.when(F.col("id") % 3 > 0, 7).alias("k"))
+    table = spark.range(20).select(F.col("id").alias("k"), F.lit("v").alias("v"))
+    hot = spark.createDataFrame([(7,)], "k bigint")
+    # Kept from being broadcast, as a large lookup would be.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        got = lookups.split_join(facts, table, "k", hot)
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 40_000 and got.where("v = 'v'").count() == 26_666
+        assert len(sizes) == 8 and max(sizes) < 3 * 40_000 / 8
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_wide_values_are_not_broadcast(spark, monkeypatch):
     """Few rows, but more bytes than may be broadcast or written into a query."""
     monkeypatch.setattr(lookups, "BROADCAST_BYTES", 1_000)
