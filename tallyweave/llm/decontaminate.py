@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm.registry import query, table
-from tallyweave.llm.shared import alnum_words, stored, text_key
+from tallyweave.llm.shared import alnum_words, keyed, stored
 
 WINDOW = 10
 #: Anchors of a window: its rarest terms, which must all be in place before words are compared.
@@ -45,13 +45,7 @@ def item_words(items: DataFrame) -> DataFrame:
 
 def document_words(docs: DataFrame) -> DataFrame:
     """(doc, doc_id, words); rows equal in id and text are one ``doc``."""
-    return _documents(docs).select("doc", "doc_id", alnum_words(F.col("text")).alias("words"))
-
-
-def _documents(docs: DataFrame) -> DataFrame:
-    """With ``doc``, a key that is never null and so serves plain equality joins."""
-    known = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    return docs.withColumn("doc", F.struct(known.alias("id"), F.col("doc_id").isNull().alias("no_id"), text_key(F.col("text")).alias("text")))
+    return keyed(docs).select("doc", "doc_id", alnum_words(F.col("text")).alias("words"))
 
 
 def _item_terms(items: DataFrame) -> DataFrame:
@@ -138,7 +132,7 @@ class Search:
         aligned = stored(alignments(postings, self.picked))
         # Only documents with an alignment go on with their words, each once.
         hit = _sized(aligned.select("doc").distinct(), F.octet_length("doc.id"))
-        texts = _documents(self.docs).select("doc", "text").join(hit, "doc", "left_semi")
+        texts = keyed(self.docs).select("doc", "text").join(hit, "doc", "left_semi")
         texts = texts.dropDuplicates(["doc"]).select("doc", alnum_words(F.col("text")).alias("words"))
         placed = aligned.join(_sized(self.items.withColumnRenamed("words", "phrase"), F.octet_length(F.concat_ws(" ", "phrase"))), "item")
         return _stretches(placed.join(texts, "doc"), self.width).select("doc", "doc_id", "item", "item_id", "start", "stop")
@@ -209,7 +203,7 @@ def clean(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no window of an item occurs."""
     hit = Search(docs, items, width).phrases().select("doc").distinct()
     hit = _sized(hit, F.octet_length("doc.id"))
-    return _documents(docs).join(hit, "doc", "left_anti").select(docs.columns)
+    return keyed(docs).join(hit, "doc", "left_anti").select(docs.columns)
 
 
 def ids_digest(items: Column) -> Column:

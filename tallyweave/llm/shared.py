@@ -36,9 +36,15 @@ def space_words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")
 
 
-def text_key(text: Column) -> Column:
-    """Tells apart rows that share an id; rows equal in id and text are one document."""
-    return F.xxhash64(text)
+def keyed(docs: DataFrame) -> DataFrame:
+    """With ``doc``, a key that is never null and so serves plain equality joins.
+
+    Rows that are equal in id and text are one document.
+    """
+    known = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return docs.withColumn(
+        "doc", F.struct(known.alias("id"), F.col("doc_id").isNull().alias("no_id"), F.xxhash64("text").alias("text"))
+    )
 
 
 def stored(df: DataFrame) -> DataFrame:
