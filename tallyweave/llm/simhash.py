@@ -127,12 +127,13 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     ``fps`` has one column ``fp`` without repetitions. Every edge is a link.
     """
     spark, found = fps.sparkSession, []
-    crowded = fps.select(F.lit(0).alias("table"), "fp")
+    first = F.array(*[F.struct(F.lit(n).alias("next"), F.lit(_signed(m)).alias("mask")) for _, n, m in _tables(radius)[0]])
+    masked = fps.select("fp", F.inline(first))
     for depth, level in enumerate(_tables(radius)):
-        masks = spark.createDataFrame([(p, n, _signed(m)) for p, n, m in level], "table int, next int, mask long")
-        keys = crowded.join(F.broadcast(masks), "table").select(
-            F.col("next").alias("table"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"
-        )
+        if depth:
+            masks = spark.createDataFrame([(p, n, _signed(m)) for p, n, m in level], "table int, next int, mask long")
+            masked = crowded.join(F.broadcast(masks), "table")
+        keys = masked.select(F.col("next").alias("table"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
         sizes = stored(keys.groupBy("table", "key").agg(F.count("*").alias("size")).filter("size > 1"))
         shared = stored(keys.join(sizes, ["table", "key"]))
         last = depth == LEVELS - 1
