@@ -21,20 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm.registry import query, table
-from tallyweave.llm.shared import alnum_words, keyed, stored
+from tallyweave.llm.shared import alnum_words, if_small, keyed, stored, without
 
 WINDOW = 10
 #: Anchors of a window: its rarest terms, which must all be in place before words are compared.
 ANCHORS = 2
-#: Rows of a table that is broadcast, and bytes of its values that have no fixed size.
-SMALL, SMALL_BYTES = 200_000, 16_000_000
-
-
-def _sized(df: DataFrame, *sizes: Column) -> DataFrame:
-    """``df``, stored, and marked for broadcast if its rows and its ``sizes`` in bytes are few enough in all."""
-    df = stored(df)
-    rows, *sums = df.agg(F.count("*"), *[F.sum(size) for size in sizes]).first()
-    return F.broadcast(df) if rows <= SMALL and sum(n or 0 for n in sums) <= SMALL_BYTES else df
 
 
 def item_words(items: DataFrame) -> DataFrame:
@@ -84,10 +75,10 @@ def alignments(index: DataFrame, picked: DataFrame) -> DataFrame:
     The word at i of the item is then to stand at ``shift + i`` of the document. Lists are intersected as
     rows grouped by alignment, so that no list is gathered and a frequent term is split.
     """
-    lists = _sized(picked.select("item", "at", "term").distinct(), F.octet_length("term"))
+    lists = if_small(picked.select("item", "at", "term").distinct(), F.octet_length("term"))
     windows = picked.groupBy("item", "first").agg(F.collect_set("at").alias("ats"))
     windows = windows.groupBy("item").agg(F.collect_list("ats").alias("windows"))
-    windows = _sized(windows, 8 * F.size(F.flatten("windows")))
+    windows = if_small(windows, 8 * F.size(F.flatten("windows")))
     votes = index.join(lists, "term").select("doc", "doc_id", "item", (F.col("pos") - F.col("at")).alias("shift"), "at")
     placed = votes.groupBy("doc", "doc_id", "item", "shift").agg(F.collect_set("at").alias("placed"))
     whole = F.exists("windows", lambda ats: F.size(F.array_except(ats, F.col("placed"))) == 0)
@@ -107,7 +98,7 @@ class Search:
         self.docs, self.width = docs, width
         self.items = stored(item_words(items))
         self.words = document_words(docs)
-        terms = _sized(_item_terms(self.items).select("term").distinct(), F.octet_length("term"))
+        terms = if_small(_item_terms(self.items).select("term").distinct(), F.octet_length("term"))
         self.counts = stored(term_counts(self.words, terms))
         self.picked = stored(anchors(self.items, self.counts, width, rarest))
         self.index = self._index(self.picked.select("term").distinct())
@@ -119,7 +110,7 @@ class Search:
         """
         size = F.size("words").cast("long").alias("n_words")
         tokens = self.words.select("doc", "doc_id", size, F.posexplode_outer("words").alias("pos", "term"))
-        wanted = _sized(terms.withColumn("wanted", F.lit(True)), F.octet_length("term"))
+        wanted = if_small(terms.withColumn("wanted", F.lit(True)), F.octet_length("term"))
         kept = tokens.join(wanted, "term", "left").filter("wanted or pos is null or pos = 0")
         return stored(kept.select("doc", "doc_id", "n_words", "pos", F.when(F.col("wanted"), F.col("term")).alias("term")))
 
@@ -131,10 +122,10 @@ class Search:
         postings = self.index.filter("term is not null").select("doc", "doc_id", "pos", "term").distinct()
         aligned = stored(alignments(postings, self.picked))
         # Only documents with an alignment go on with their words, each once.
-        hit = _sized(aligned.select("doc").distinct(), F.octet_length("doc.id"))
+        hit = if_small(aligned.select("doc").distinct(), F.octet_length("doc.id"))
         texts = keyed(self.docs).select("doc", "text").join(hit, "doc", "left_semi")
         texts = texts.dropDuplicates(["doc"]).select("doc", alnum_words(F.col("text")).alias("words"))
-        placed = aligned.join(_sized(self.items.withColumnRenamed("words", "phrase"), F.octet_length(F.concat_ws(" ", "phrase"))), "item")
+        placed = aligned.join(if_small(self.items.withColumnRenamed("words", "phrase"), F.octet_length(F.concat_ws(" ", "phrase"))), "item")
         return _stretches(placed.join(texts, "doc"), self.width).select("doc", "doc_id", "item", "item_id", "start", "stop")
 
     def near(self, terms: int = 5, span: int = 2 * WINDOW) -> DataFrame:
@@ -149,12 +140,12 @@ class Search:
         ranked = ranked.withColumns({"need": F.count("*").over(own), "gone": F.max(F.col("n").isNull()).over(own)})
         ranked = stored(ranked.filter("not gone").select("item", "term", "need"))
         postings = self._index(ranked.select("term").distinct()).filter("term is not null")
-        hits = postings.select("doc", "doc_id", "pos", "term").distinct().join(_sized(ranked, F.octet_length("term")), "term")
+        hits = postings.select("doc", "doc_id", "pos", "term").distinct().join(if_small(ranked, F.octet_length("term")), "term")
         # Every posting opens a span, in which distinct terms are counted.
         ahead = Window.partitionBy("doc", "item").orderBy("pos").rangeBetween(0, span - 1)
         found = hits.withColumn("held", F.size(F.collect_set("term").over(ahead))).filter("held >= need")
         found = found.groupBy("doc", "doc_id", "item").agg(F.min("pos").alias("start"))
-        return found.join(_sized(self.items.select("item", "item_id")), "item").select("doc", "doc_id", "item", "item_id", "start")
+        return found.join(if_small(self.items.select("item", "item_id")), "item").select("doc", "doc_id", "item", "item_id", "start")
 
     def report(self) -> DataFrame:
         """(doc, doc_id, n_words, n_hit, items) of every document; ``items`` are the ids hit, as strings."""
@@ -201,9 +192,7 @@ def hit_words(stretches: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no window of an item occurs."""
-    hit = Search(docs, items, width).phrases().select("doc").distinct()
-    hit = _sized(hit, F.octet_length("doc.id"))
-    return keyed(docs).join(hit, "doc", "left_anti").select(docs.columns)
+    return without(docs, Search(docs, items, width).phrases())
 
 
 def ids_digest(items: Column) -> Column:

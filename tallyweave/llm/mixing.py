@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.llm.registry import query, table
-from tallyweave.llm.shared import space_words, stored
+from tallyweave.llm.shared import keyed, space_words, stored
 
 BLOCKS = 20_000
 SHARDS = 16
@@ -172,6 +172,24 @@ def mix(
     return laid.select("doc_id", "source", *keep, "size", "source_size", "target", taken)
 
 
+def select_rows(docs: DataFrame, seed: int = SEED, **settings) -> DataFrame:
+    """The mix as rows: each document as often as its ``taken`` says, in whole copies.
+
+    Between two counts of copies a seeded draw decides, so the words of a source come near its target. Rows
+    equal in id, source and text are one document, which has the copies of all of them.
+    """
+    own = keyed(docs).withColumn("doc", F.struct("doc.*", F.xxhash64("source").alias("source")))
+    taken = mix(own.select("doc_id", "text", "source", "doc"), seed=seed, keep=("doc",), **settings)
+    taken = taken.filter("taken > 0").groupBy("doc").agg((F.sum("taken") / F.first("size")).alias("times"))
+    draw = _draw(F.lit(f"copies:{seed}"), F.col("doc.id"), F.col("doc.text"))
+    part = F.conv(F.substring(draw, 1, 8), 16, 10).cast("double") / 2.0**32
+    copies = stored(taken.select("doc", F.floor(F.col("times") + part).cast("int").alias("copies")).filter("copies > 0"))
+    repeated = keyed(own.select("doc_id", "source", "text")).groupBy("doc", "source").count().filter("count > 1")
+    own = own if repeated.isEmpty() else own.dropDuplicates(["doc"])
+    rows = own.join(copies, "doc").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return rows.select(docs.columns)
+
+
 ORACLE = f"""
 WITH r AS (
   SELECT doc_id, source, coalesce(source, '') AS name, source IS NULL AS no_source,

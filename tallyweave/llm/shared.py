@@ -26,6 +26,10 @@ def lowered(text: Column) -> Column:
     return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
+#: Rows of a table that is broadcast, and bytes of its values that have no fixed size.
+SMALL, SMALL_BYTES = 200_000, 16_000_000
+
+
 def alnum_words(text: Column) -> Column:
     """Words of ASCII letters, digits and all non-ASCII characters, A-Z lowered; none for null."""
     return F.array_remove(F.split(lowered(F.coalesce(text, F.lit(""))), NOT_ALNUM), "")
@@ -59,3 +63,19 @@ def stored(df: DataFrame) -> DataFrame:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def if_small(df: DataFrame, *sizes: Column) -> DataFrame:
+    """``df``, stored, and marked for broadcast if its rows and its ``sizes`` in bytes are few enough in all.
+
+    Beyond that, a join with it is Spark's to plan.
+    """
+    df = stored(df)
+    rows, *sums = df.agg(F.count("*"), *[F.sum(size) for size in sizes]).first()
+    return F.broadcast(df) if rows <= SMALL and sum(n or 0 for n in sums) <= SMALL_BYTES else df
+
+
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the documents whose key ``doc`` is in ``dropped``."""
+    dropped = if_small(dropped.select("doc").distinct(), F.octet_length("doc.id"))
+    return keyed(docs).join(dropped, "doc", "left_anti").select(docs.columns)

@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.llm.graph import components
 from tallyweave.llm.registry import query, table
-from tallyweave.llm.shared import stored
+from tallyweave.llm.shared import keyed, stored, without
 
 BITS = 64
 RADIUS = 3
@@ -56,20 +57,17 @@ def _of_words(words: list[bytes], width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", width: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row, ``fp`` as a signed long.
+    """``docs`` with ``fp``, the fingerprint as a signed long, in place of the text.
 
     Words lie between white space and A-Z is lowered. Fewer words than ``width`` make one
     shingle, and no words (or a null text) fingerprint 0.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            made = [_of_words((t.as_py() or b"").lower().split(), width) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.int64())], names=["doc_id", "fp"])
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series([_of_words((t or "").encode().lower().split(), width) for t in batch], dtype="int64")
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.withColumn("fp", F.pandas_udf(run, "long")(text)).drop(text)
 
 
 def _signed(value: int) -> int:
@@ -149,20 +147,39 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return edges
 
 
-def classes(docs: DataFrame, text: str = "text", width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, root, component_id) of every row.
+def classes(
+    docs: DataFrame, text: str = "text", width: int = SHINGLE, radius: int = RADIUS, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(doc_id, *keep, fp, root, component_id) of every row.
 
     ``root`` is the smallest fingerprint reachable over links, as a signed long, and ``component_id`` the smallest
     ``doc_id`` of the component; a null one counts only where there is no other.
-    Repeated rows stay repeated, and an empty table gives no rows.
+    Repeated rows stay repeated, other columns are ignored, and an empty table gives no rows.
     """
-    marked = stored(fingerprints(docs, text, width))
+    marked = stored(fingerprints(docs.select("doc_id", *keep, text), text, width))
     own = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(own.select("fp"), radius)).withColumnRenamed("node", "fp")
     rooted = stored(own.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     named = stored(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     labels = stored(rooted.select("fp", "root").join(named, "root"))
-    return marked.join(labels, "fp").select("doc_id", "fp", "root", "component_id")
+    return marked.join(labels, "fp").select("doc_id", *keep, "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of every class of near-duplicates: that of the smallest id, of equal ids that of the smallest hash.
+
+    A null id is kept only where the class has no other.
+    """
+    found = classes(keyed(docs).select("doc_id", "doc", "text"), keep=("doc",))
+    rank = F.struct(F.col("doc.no_id").alias("no_id"), "doc_id", F.col("doc.text").alias("text"))
+    found = stored(found.select("doc", "root", rank.alias("rank")))
+    kept = stored(found.groupBy("root").agg(F.min("rank").alias("least")))
+    left = without(docs, found.join(kept, "root").filter(~F.col("rank").eqNullSafe(F.col("least"))))
+    repeated = found.groupBy("doc").count().filter("count > 1")
+    if repeated.isEmpty():
+        return left
+    # Rows that repeat id and text are in ``left`` together.
+    return keyed(left).dropDuplicates(["doc"]).select(docs.columns)
 
 
 @query()

@@ -39,6 +39,8 @@ START, END = "\x02", "\x03"
 ROWS, FOLD_ROWS = 6000, 2000
 #: Of ``FOLDS`` parts of the ids, labels of ``HELD_OUT`` are never read and ``CALIBRATE`` fits the regression.
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 1
+#: A text with this score or more is taken for toxic.
+LIMIT = 0.5
 #: Words whose score a task remembers.
 REMEMBERED = 500_000
 #: Evidence of a word, in nats, is counted beyond each of these and up to ``MOST``.
@@ -263,6 +265,11 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return measured(docs, model, name).withColumn("score", 1 / (1 + F.exp(-sums))).drop(name)
 
 
+def reject(docs: DataFrame, model: Model, limit: float = LIMIT) -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``."""
+    return scored(docs.select("text", F.struct(*docs.columns).alias("row")), model).filter(F.col("score") < limit).select("row.*")
+
+
 @query()
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Score of every document by models of the labels that are not held out."""
@@ -270,5 +277,5 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     made = scored(docs, fit(docs, table(spark, folder, "labels")))
     held_out = F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False))
     return made.select(
-        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+        "doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= LIMIT, 1).otherwise(0).alias("predicted")
     )

@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.llm import decontaminate
+from tallyweave.llm import decontaminate, shared
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -78,7 +78,7 @@ DOCS = [
 @pytest.mark.parametrize("small", [200_000, 0])
 def test_odd_rows(spark, monkeypatch, small):
     """Also with every table joined instead of broadcast."""
-    monkeypatch.setattr(decontaminate, "SMALL", small)
+    monkeypatch.setattr(shared, "SMALL", small)
     docs = spark.createDataFrame(DOCS, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     items = spark.createDataFrame(ITEMS, "item_id long, text string").withColumn("doc", F.lit("clash"))
     search = decontaminate.Search(docs, items)
