@@ -77,10 +77,10 @@ def longhand(texts, learn, model):
         spelled |= {words[i]: p for i, p in zip(group, made.tolist(), strict=True)}
 
     def share(w):
-        if not total:
-            return 0.5 * math.exp(spelled[w])
-        left = model.discount * kinds / total
-        return max(0, train[w] - model.discount) / total + left * math.exp(spelled[w])
+        """Natural logarithm; words that are too unlikely for a float are in pieces only."""
+        left = model.discount * kinds / total if total else 0.5
+        own = max(0, train[w] - model.discount) / total if total else 0.0
+        return math.log(own + left * math.exp(spelled[w])) if own else math.log(left) + spelled[w]
 
     end = (ends - model.discount) / total if total else 0.5
     out = []
@@ -90,7 +90,11 @@ def longhand(texts, learn, model):
         base += math.log10((ends + 1) / (total + kinds + 1))
         drawn, score = Counter(), 0.0
         for n, w in enumerate(own):
-            score += math.log10((scoring.URN * share(w) + drawn[w]) / (scoring.URN + n))
+            if drawn[w]:
+                score += math.log10(scoring.URN * math.exp(share(w)) + drawn[w])
+            else:
+                score += math.log10(scoring.URN) + share(w) / math.log(10)
+            score -= math.log10(scoring.URN + n)
             drawn[w] += 1
         score += math.log10(scoring.URN * end / (scoring.URN + len(own)))
         known = sum(train[w] > 0 for w in own) + (ends > 0)
