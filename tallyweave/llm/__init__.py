@@ -1,6 +1,6 @@
 """Operators for training-data pipelines, and their queries."""
 
-from tallyweave.llm import chat, decontaminate, licenses, mixing, scoring, sharding, simhash, toxicity  # noqa: F401
+from tallyweave.llm import chat, decontaminate, licenses, mixing, quality, scoring, sharding, simhash, toxicity  # noqa: F401
 from tallyweave.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
