@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.columns import col, text
@@ -311,8 +311,9 @@ def mean_mean_absolute_error(target: DataFrame, synthetic: DataFrame, order: int
 
 
 def rank_combos(errors: DataFrame, by: str = "mae") -> DataFrame:
-    """Combinations from the best to the worst."""
-    return errors.orderBy(by, "order", "combo")
+    """Combinations from the best to the worst, with their ``rank`` from 1; as many rows as combinations."""
+    place = F.row_number().over(Window.orderBy(by, "order", "combo"))
+    return errors.withColumn("rank", place).orderBy("rank")
 
 
 def worst_combos(errors: DataFrame, k: int = 1, by: str = "mae") -> DataFrame:

@@ -33,6 +33,8 @@ from tallyweave.session import cut_lineage
 # A column of fewer distinct values is categorical; minutes of a day.
 MAX_CATEGORIES = 25
 DAY = (0.0, 1440.0)
+#: Values of one column that a vocabulary takes, and weights that the driver reads.
+MAX_VALUES, MAX_WEIGHTS = 100_000_000, 20_000_000
 
 # Vocabularies up to this size are written into the query as literals.
 LITERALS = 64
@@ -106,7 +108,17 @@ class EncodingPlan:
         return self.vocabulary.where(F.col("column") == name)
 
     def weights(self) -> dict[str, list[float] | None]:
-        """Weight of each token by column, none for numbers."""
+        """Weight of each token by column, none for numbers.
+
+        They are read to the driver, so columns of more than ``MAX_WEIGHTS`` values in all are refused.
+        """
+        total = sum(c.size for c in self.columns if c.kind == "categorical")
+        if total > MAX_WEIGHTS:
+            largest = max(self.columns, key=lambda c: c.size)
+            raise ValueError(
+                f"{total} weights are more than {MAX_WEIGHTS}: column {largest.name!r} has {largest.size}"
+                " values; train without weights, or group its rare values"
+            )
         found: dict[str, list[float] | None] = {
             c.name: [] if c.kind == "categorical" else None for c in self.columns
         }
@@ -179,6 +191,12 @@ def _facts(df, names, overrides, max_categories, sentinel):
     candidates = [n for n in names if may_be_categorical(n)]
     if not candidates:
         return facts, None
+    # Texts in free form would go through the shuffle as keys.
+    large = [n for n in candidates if facts[n]["n_distinct"] > MAX_VALUES]
+    if large:
+        raise ValueError(
+            f"columns {large} have more than {MAX_VALUES} values; exclude them, or recode them before"
+        )
     values = cut_lineage(profiling.column_values(df, candidates))
     length = F.sum(F.coalesce(F.octet_length("value"), F.lit(0)).cast("bigint"))
     sizes = values.groupBy("column").agg(F.count(F.lit(1)).alias("n"), length.alias("bytes"))
@@ -223,7 +241,7 @@ def fit(
     df: DataFrame,
     include: Sequence[str] | None = None,
     exclude: Sequence[str] | None = None,
-    overrides: Mapping[str, str] | None = None,
+    overrides: Mapping[str, str | tuple[str, float, float]] | None = None,
     max_categories: int = MAX_CATEGORIES,
     sentinel: float = profiling.SENTINEL,
     forbid_identifiers: bool = False,
@@ -232,9 +250,11 @@ def fit(
 
     Two passes over ``df``: the profile of all columns and the distinct values
     of the ones that may be categorical. The latter, as many rows as there are
-    categories, go to the shared folder.
+    categories, go to the shared folder. ``overrides`` gives the kind of a column;
+    ``("time", start, cycle)`` is a time with its own start and length of cycle.
     """
-    overrides = dict(overrides or {})
+    cycles = {n: kind[1:] for n, kind in (overrides or {}).items() if not isinstance(kind, str)}
+    overrides = {n: "time" if n in cycles else kind for n, kind in (overrides or {}).items()}
     names = encodable_columns(df.columns, include, exclude)
     facts, values = _facts(df, names, overrides, max_categories, sentinel)
     kinds = kind_rules(facts, overrides, max_categories)
@@ -251,7 +271,7 @@ def fit(
                 )
             )
             continue
-        low, span = DAY if kind == "time" else (fact["minimum"], fact["span"])
+        low, span = cycles.get(name, DAY) if kind == "time" else (fact["minimum"], fact["span"])
         if not span:
             raise ValueError(f"column {name!r} has no range, cannot encode")
         plans.append(

@@ -31,8 +31,8 @@ def row_bytes(df: DataFrame) -> Column:
 
 
 def checked_size(lookup: DataFrame, key: str) -> tuple[int, int]:
-    """Rows and bytes of a lookup, whose keys must be unique."""
-    per_key = lookup.groupBy(col(key)).agg(
+    """Rows and bytes of a lookup, whose keys must be unique; null keys match nothing and may repeat."""
+    per_key = lookup.where(col(key).isNotNull()).groupBy(col(key)).agg(
         F.count(F.lit(1)).alias("__n"), F.sum(row_bytes(lookup)).alias("__bytes")
     )
     got = per_key.agg(F.sum("__n"), F.sum("__bytes"), F.max("__n")).first()
@@ -45,10 +45,13 @@ def checked_size(lookup: DataFrame, key: str) -> tuple[int, int]:
 def look_up(
     df: DataFrame, lookup: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """Left join on ``key``: adds the lookup's other columns, null where unmatched."""
+    """Left join on ``key``: adds the lookup's other columns behind those of ``df``, null where unmatched."""
+    lookup = lookup.where(col(key).isNotNull())
     rows, size = checked_size(lookup, key)
     if rows <= broadcast_rows and size <= BROADCAST_BYTES:
-        return df.join(F.broadcast(lookup), key, "left")
+        added = [c for c in lookup.columns if c != key]
+        joined = df.join(F.broadcast(lookup), key, "left")
+        return joined.select(*map(col, df.columns), *map(col, added))
     hot = (
         df.where(col(key).isNotNull())
         .groupBy(col(key))

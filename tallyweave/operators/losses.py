@@ -7,6 +7,7 @@ batches, and the columns are averaged without weights.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -42,6 +43,11 @@ def require_beta(beta: float) -> None:
         raise ValueError("beta must be at least 0 and below 1, or reconstruction counts for nothing")
 
 
+def _literal(numbers: Sequence[float]) -> Column:
+    """An array as one text in the plan, instead of an expression for every number."""
+    return F.from_json(F.lit(json.dumps([float(n) for n in numbers])), "array<double>")
+
+
 def losses(
     df: DataFrame,
     kinds: Mapping[str, str],
@@ -62,8 +68,8 @@ def losses(
         if kind == "categorical":
             known = (weights or {}).get(name)
             token = col(name).cast("int")
-            # A literal array of one weight per category, no longer than the probabilities are.
-            weight = F.lit(1.0) if known is None else F.get(F.array(*map(F.lit, known)), token)
+            # One literal with a weight per category, no longer than the probabilities are.
+            weight = F.lit(1.0) if known is None else F.get(_literal(known), token)
             parts[name] = weighted_mean(token_loss(token, col(prefix + name)), weight)
         elif kind == "continuous":
             difference = col(prefix + name) - col(name)

@@ -77,9 +77,11 @@ def with_row_ids(df: DataFrame, order_by: Sequence, name: str = "pid") -> DataFr
     Rows are range-partitioned and sorted once, and written to the shared folder
     so that their places stay fixed; a row's number is its place in the
     partition plus the sizes of the partitions before. No task sees more than its
-    own range. ``order_by`` should tell rows apart, or equal rows share a task.
+    own range; rows that are equal in all columns share one. Give it only the columns that are needed.
     """
-    ordered = cut_lineage(df.repartitionByRange(*order_by).sortWithinPartitions(*order_by))
+    # Rows that are equal in ``order_by`` are told apart by what else they hold.
+    order = [*order_by, F.xxhash64(*map(col, df.columns))]
+    ordered = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order))
     # monotonically_increasing_id is the partition above bit 33 and the place below.
     place = F.monotonically_increasing_id()
     placed = ordered.withColumn("__place", place).withColumn(
@@ -90,10 +92,9 @@ def with_row_ids(df: DataFrame, order_by: Sequence, name: str = "pid") -> DataFr
     for part, n in sorted(placed.groupBy("__part").count().collect()):
         starts[part] = rows
         rows += n
-    if not starts:
-        return df.withColumn(name, F.lit(0).cast("long"))
-    table = F.array(*[F.lit(starts.get(p, 0)).cast("long") for p in range(max(starts) + 1)])
+    # As many rows as partitions.
+    table = df.sparkSession.createDataFrame(list(starts.items()), "__part int, __start bigint")
     within = F.col("__place").bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
-    return placed.select(
-        (within + F.get(table, F.col("__part"))).alias(name), *[col(c) for c in df.columns]
+    return placed.join(F.broadcast(table), "__part").select(
+        (within + F.col("__start")).alias(name), *[col(c) for c in df.columns]
     )

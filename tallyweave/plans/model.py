@@ -24,8 +24,11 @@ from tallyweave.operators import losses as scoring
 from tallyweave.operators.encode import EncodingPlan
 from tallyweave.operators.sample import with_latents
 from tallyweave.plans import network
+from tallyweave.session import scratch
 
 MAX_ROWS_PER_TASK = 20_000_000
+#: Parameters that the driver and every task hold; categories have a row of ``width`` each.
+MAX_PARAMETERS = 20_000_000
 MERGED_TASKS = 32
 STATE_SCHEMA = (
     "task int, rows bigint, steps bigint, w array<double>, m array<double>, v array<double>"
@@ -53,6 +56,7 @@ class Settings:
     patience: int = 2
     lr_decay: float = 0.99
     rows_per_task: int = 1_000
+    shards: int = 8
 
 
 @dataclass(frozen=True)
@@ -93,6 +97,13 @@ def build(
         settings.encoder_depth,
         settings.decoder_depth,
     )
+    if shape.length > MAX_PARAMETERS:
+        known = [*features.columns, *(controls.columns if controls else ())]
+        largest = max(known, key=lambda c: c.size)
+        raise ValueError(
+            f"{shape.length} parameters are more than {MAX_PARAMETERS}: column {largest.name!r} has"
+            f" {largest.size} categories; group its rare values, or leave it out"
+        )
     return Model(features, controls, shape, settings, network.initial(shape, seed))
 
 
@@ -355,12 +366,21 @@ def _train_round(train, tasks, model, moments, step, rate, weights, seed, epoch)
     return vector, (moment, square), int(got["steps"].max())
 
 
+def _written(df: DataFrame) -> str:
+    path = scratch(df.sparkSession, "encoded")
+    df.write.parquet(path)
+    return path
+
+
 def fit(
     encoded: DataFrame, model: Model, key: Sequence[str], seed: int
 ) -> tuple[Model, list[dict]]:
     """Train on the rows of split ``train``, and keep the parameters of the best val loss.
 
-    Each epoch, every task takes minibatch Adam steps over its own rows from the
+    Rows are dealt by the hash of their key to ``shards`` tasks (fewer, if these had less than ``rows_per_task``
+    rows, and more beyond ``MAX_ROWS_PER_TASK``) and sorted by it, so that the model depends on
+    the settings, the rows and the seed, and not on the cluster. ``key`` must be unique. Each epoch, every
+    task takes minibatch Adam steps over its own rows from the
     common parameters, and the results are averaged. The rate shrinks by
     ``lr_decay`` per epoch; training stops after ``patience`` epochs without a
     better loss on split ``val`` (on ``train`` if there is no such row).
@@ -368,19 +388,19 @@ def fit(
     """
     settings = model.settings
     weights = token_weights(model)
-    sc = encoded.sparkSession.sparkContext
+    encoded = encoded.sparkSession.read.parquet(_written(encoded))
     counts = {r["split"]: r["count"] for r in encoded.groupBy("split").count().collect()}
     rows = counts.get("train", 0)
     if not rows:
         raise ValueError("no rows to train on")
     # No task should have too few rows to learn from, or too many to redo if it is lost.
-    tasks = max(1, min(sc.defaultParallelism, rows // settings.rows_per_task))
+    tasks = max(1, min(settings.shards, rows // settings.rows_per_task))
     tasks = max(tasks, math.ceil(rows / MAX_ROWS_PER_TASK))
     # Dealt by key once, so that every task sees the whole mix, and read in every epoch;
-    # recomputed from the source where an executor is lost.
-    kept = encoded.repartition(tasks, F.xxhash64(*map(col, key))).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    # dealt and sorted again from the written rows where an executor is lost.
+    place = F.xxhash64(*map(col, key))
+    dealt = encoded.repartition(tasks, place).sortWithinPartitions(place, *map(col, key))
+    kept = dealt.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         train = kept.where(F.col("split") == "train")
         judged = kept.where(F.col("split") == ("val" if counts.get("val") else "train"))

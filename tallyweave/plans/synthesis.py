@@ -12,6 +12,7 @@ from tallyweave.operators import density, encode, sample, tables
 from tallyweave.plans import model as modelling
 from tallyweave.plans import stored
 from tallyweave.plans import trials as trialling
+from tallyweave.session import scratch
 from tallyweave.sources import files
 
 
@@ -91,18 +92,20 @@ def run(
 
 
 def compare(prepared: Prepared, synthetic: DataFrame, orders: Sequence[int]) -> DataFrame:
-    """Errors of the synthetic controls and features against the real ones."""
+    """Errors of the synthetic controls and features against the real ones.
+
+    Numbers are left out: almost every value is a cell of its own. Cut them into bins before, to compare them.
+    """
     plans = [prepared.features] + ([prepared.controls] if prepared.controls else [])
-    encoded = {n for plan in plans for n in plan.names()}
+    encoded = {c.name for plan in plans for c in plan.columns if c.kind == "categorical"}
     names = [n for n in prepared.data.columns if n in encoded]
-    sizes = {n: s for plan in plans for n, s in plan.sizes().items()}
-    continuous = [c.name for plan in plans for c in plan.columns if c.kind != "categorical"]
+    sizes = {n: s for plan in plans for n, s in plan.sizes().items() if n in encoded}
     return density.evaluate(
         prepared.data.select(*map(col, names)),
         synthetic.select(*map(col, names)),
         [k for k in orders if k <= len(names)],
-        # The plan knows how many cells a combination can have, unless it holds a number.
-        sizes=None if continuous else sizes,
+        # The plan knows how many cells a combination can have.
+        sizes=sizes,
     )
 
 
@@ -111,23 +114,23 @@ def tune(
     tree: Mapping,
     path: str,
     trials: int = 20,
-    timeout: float = 600,
+    timeout: float | None = None,
     seed: int = 0,
     grid: bool = False,
 ) -> DataFrame:
     """Fit and score one model per trial; ``tree`` holds model settings, some of them ranges.
 
-    The objective compares the features only, at orders 1 and 2.
+    The objective compares the categorical features only, at orders 1 and 2.
     """
-    names = prepared.features.names()
+    names = [c.name for c in prepared.features.columns if c.kind == "categorical"]
     target = prepared.data.select(*map(col, names))
 
     def score(settings: dict, trial: int) -> float:
         model, _ = train(prepared, modelling.Settings(**settings), seed)
         made = modelling.generate(prepared.data, model, prepared.key, seed)
         # Written once, since the comparison reads it more than once.
-        folder = f"{path}-made/{trial}"
-        made.select(*map(col, names)).write.mode("overwrite").parquet(folder)
+        folder = scratch(made.sparkSession, f"trial-{trial}")
+        made.select(*map(col, names)).write.parquet(folder)
         return trialling.objective(target, target.sparkSession.read.parquet(folder))
 
     spark = prepared.data.sparkSession

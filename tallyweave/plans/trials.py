@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 import time
 from collections.abc import Callable, Mapping, Sequence
@@ -15,7 +17,9 @@ from tallyweave.functions import draws
 from tallyweave.functions.columns import col
 from tallyweave.operators import density
 
-TRIALS_SCHEMA = "trial bigint, objective double, seconds double, settings map<string, string>"
+TRIALS_SCHEMA = (
+    "trial bigint, objective double, seconds double, settings map<string, string>, study string"
+)
 
 
 @dataclass(frozen=True)
@@ -127,8 +131,12 @@ def resolve(tree: Mapping, drawn: Mapping, path: str = "") -> dict:
 
 
 def objective(target: DataFrame, synthetic: DataFrame) -> float:
-    """Mean over orders 1 and 2 of their mean mean absolute errors, in one evaluation."""
-    means = density.mean_errors(density.evaluate(target, synthetic, [1, 2]))
+    """Mean over orders 1 and 2 of their mean mean absolute errors, in one evaluation.
+
+    A single column has order 1 only.
+    """
+    orders = [1, 2][: len(target.columns)]
+    means = density.mean_errors(density.evaluate(target, synthetic, orders))
     return means.agg(F.avg("mmae")).first()[0]
 
 
@@ -138,33 +146,50 @@ def run_trials(
     score: Callable[[dict, int], float],
     path: str,
     trials: int = 20,
-    timeout: float = 600,
+    timeout: float | None = None,
     seed: int = 0,
     grid: bool = False,
 ) -> DataFrame:
     """Score trial after trial, appending each to the table at ``path``; resumes where it ended.
 
-    ``score(settings, trial)`` runs the distributed work of one trial. No trial
-    starts after ``timeout`` seconds.
+    ``score(settings, trial)`` runs the distributed work of one trial. A table that holds trials of
+    another tree or seed is refused. With a ``timeout`` in seconds no trial starts after it; the trials that
+    were asked for and did not run are in the result without an objective, and run when it is resumed.
     """
     started = time.monotonic()
-    done = {r["trial"] for r in read_trials(spark, path).select("trial").collect()}
+    study = study_of(tree, seed, grid)
+    known = read_trials(spark, path).select("trial", "study").collect()
+    if any(r["study"] != study for r in known):
+        raise ValueError(f"{path} holds trials of another tree or seed; give each study its own path")
+    done, missing = {r["trial"] for r in known}, []
     # As many rows as trials were asked for.
     for row in draw_trials(spark, tree, trials, seed, grid).orderBy("trial").collect():
         if row["trial"] in done:
             continue
-        if time.monotonic() - started > timeout:
-            break
         drawn = row.asDict()
         trial = drawn.pop("trial")
+        if timeout is not None and time.monotonic() - started > timeout:
+            missing.append(_trial_row(trial, None, None, drawn, study))
+            continue
         began = time.monotonic()
         value = score(resolve(tree, drawn), trial)
-        append_trial(spark, path, trial, value, time.monotonic() - began, drawn)
-    return read_trials(spark, path)
+        append_trial(spark, path, _trial_row(trial, value, time.monotonic() - began, drawn, study))
+    stored = read_trials(spark, path)
+    return stored.unionByName(spark.createDataFrame(missing, TRIALS_SCHEMA)) if missing else stored
+
+
+def study_of(tree: Mapping, seed: int, grid: bool = False) -> str:
+    """A digest of all that decides which settings a trial has."""
+    spec = json.dumps([tree, seed, grid], sort_keys=True, default=repr)
+    return hashlib.md5(spec.encode()).hexdigest()
+
+
+def _trial_row(trial, value, seconds, drawn, study) -> tuple:
+    value = None if value is None else float(value)
+    return (trial, value, seconds, {k: str(v) for k, v in drawn.items()}, study)
 
 
-def append_trial(spark, path, trial, value, seconds, drawn) -> None:
-    row = (trial, float(value), seconds, {k: str(v) for k, v in drawn.items()})
+def append_trial(spark, path, row) -> None:
     spark.createDataFrame([row], TRIALS_SCHEMA).coalesce(1).write.mode("append").parquet(path)
 
 

@@ -138,7 +138,8 @@ _ERROR_COLUMNS = """"order", combo, cells, round(mae, 9) AS mae, round(mnae, 9)
     round(cross_entropy, 9) AS cross_entropy"""
 
 
-@query(_errors_sql(NARROW, (1, 2), f'SELECT {_ERROR_COLUMNS} FROM errors ORDER BY mae, "order", combo'))
+@query(_errors_sql(NARROW, (1, 2), f"""SELECT {_ERROR_COLUMNS},
+    CAST(row_number() OVER (ORDER BY errors.mae, "order", combo) AS INTEGER) AS rank FROM errors"""))
 def rank_combos(spark, folder):
     return round_doubles(density.rank_combos(_errors(spark, folder, [1, 2])))
 
@@ -159,12 +160,13 @@ def worst_combo(spark, folder):
         coalesce(f.n, 0) AS n_target, coalesce(o.n, 0) AS n_synth
     FROM (SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) f
     FULL JOIN
-        (SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) o
+        (SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1) o
     ON f.o_orderpriority IS NOT DISTINCT FROM o.o_orderpriority"""
 )
 def value_counts_outer(spark, folder):
     orders = table(spark, folder, "orders")
-    pick = [orders.where(F.col("o_orderstatus") == s).drop("o_orderstatus") for s in "FO"]
+    filled = F.col("o_orderstatus") == "F"
+    pick = [orders.where(side).drop("o_orderstatus") for side in (filled, ~filled)]
     return density.compare_value_counts(*pick, "o_orderpriority")
 
 

@@ -302,13 +302,22 @@ def flag_probabilities(spark, folder):
     n = plan["l_returnflag"].size
     counts = [F.count_if(F.col("l_returnflag") == k) for k in range(n)]
     given = tokens.groupBy("l_linestatus").agg(
-        F.array(*[c / F.count(F.lit(1)) for c in counts]).alias("p_l_returnflag")
+        F.array(*[c / F.count(F.lit(1)) for c in counts]).alias("p_l_returnflag"),
+        F.count(F.lit(1)).alias("n"),
     )
     return plan, cut_lineage(given)
 
 
+# The same for every status of an order; one that no line has takes the shares of all lines.
+_ORDER_FLAG_SQL = _FLAG_SQL.replace("probs AS", "of_lines AS") + """,
+    every AS (SELECT l_returnflag, count(*) / sum(count(*)) OVER ()::DOUBLE AS share FROM lineitem GROUP BY 1),
+    probs AS (SELECT s.o_orderstatus AS l_linestatus, f.l_returnflag, f.token, coalesce(c.p, e.share) AS p
+        FROM (SELECT DISTINCT o_orderstatus FROM orders) s CROSS JOIN flags f JOIN every e USING (l_returnflag)
+        LEFT JOIN of_lines c ON c.l_linestatus = s.o_orderstatus AND c.token = f.token)"""
+
+
 @query(
-    f"""WITH {_FLAG_SQL} SELECT o_orderkey, o_orderstatus, l_returnflag
+    f"""WITH {_ORDER_FLAG_SQL} SELECT o_orderkey, o_orderstatus, l_returnflag
     FROM orders JOIN (SELECT l_linestatus, arg_min(l_returnflag, (-p, token)) AS l_returnflag
         FROM probs GROUP BY l_linestatus) ON o_orderstatus = l_linestatus"""
 )
@@ -323,12 +332,17 @@ def _orders_with(spark, folder, given):
     orders = table(spark, folder, "orders").select(
         "o_orderkey", "o_orderstatus", F.col("o_orderstatus").alias("l_linestatus")
     )
-    found = lookups.look_up(orders, given, "l_linestatus")
-    return found.where(F.col("p_l_returnflag").isNotNull())
+    found = lookups.look_up(orders, given.drop("n"), "l_linestatus")
+    # A status that no line has takes the shares of all lines.
+    places = given.select("n", F.posexplode("p_l_returnflag").alias("token", "p"))
+    shares = places.groupBy("token").agg((F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("p"))
+    every = shares.agg(F.sort_array(F.collect_list(F.struct("token", "p"))).alias("s"))
+    every = every.select(F.transform("s", lambda s: s["p"])).scalar()
+    return found.withColumn("p_l_returnflag", F.coalesce("p_l_returnflag", every))
 
 
 @query(
-    f"""WITH {_FLAG_SQL}, running AS (SELECT *, sum(p) OVER (PARTITION BY l_linestatus ORDER BY token
+    f"""WITH {_ORDER_FLAG_SQL}, running AS (SELECT *, sum(p) OVER (PARTITION BY l_linestatus ORDER BY token
             ROWS UNBOUNDED PRECEDING) AS upto, sum(p) OVER (PARTITION BY l_linestatus ORDER BY token
             ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS total,
             count(*) OVER (PARTITION BY l_linestatus) AS k FROM probs),

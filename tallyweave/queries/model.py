@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
+from dataclasses import replace
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions import arrays, draws
-from tallyweave.operators import density, encode, lookups, losses
+from tallyweave.functions.recode import AGE_BANDS, SEX_CODES, recode
+from tallyweave.operators import controls, density, encode, lookups, losses
 from tallyweave.plans import model as modelling
 from tallyweave.plans import synthesis, trials
 from tallyweave.queries.encoding import _FLAG_SQL, flag_probabilities
+from tallyweave.queries.recode import _TOTALS_SQL, projection, recoded_projection, zone_regions
 from tallyweave.queries.registry import query, round_doubles, rounded, table
-from tallyweave.session import cut_lineage, shared_dir, spread
+from tallyweave.session import cut_lineage, scratch, spread
 
 
 def _scored_lines(spark, folder):
@@ -134,8 +137,8 @@ def _drawn_orders(spark, folder):
     rows = F.count(F.lit(1))
     shares = [F.count_if(F.col("x_o_orderpriority") == k) / rows for k in range(size)]
     given = tokens.groupBy("o_orderstatus").agg(F.array(*shares).alias("p_o_orderpriority"))
-    controls = real.select("o_orderkey", "o_orderstatus")
-    paired = lookups.look_up(controls, cut_lineage(given), "o_orderstatus")
+    given_rows = real.select("o_orderkey", "o_orderstatus")
+    paired = lookups.look_up(given_rows, cut_lineage(given), "o_orderstatus")
     synthetic = encode.decode_probabilities(
         paired, plan, keep=["o_orderkey", "o_orderstatus"], seed=11, row_key=["o_orderkey"]
     )
@@ -183,36 +186,73 @@ def prepared_orders(spark, folder):
         F.dayofweek("o_orderdate").alias("weekday"),
         "o_totalprice",
     )
-    controls = ["o_orderstatus", "o_orderpriority"]
-    return synthesis.prepare(orders, controls, ["o_orderkey"], seed=1234, val=0.1, test=0.1)
+    given = ["o_orderstatus", "o_orderpriority"]
+    return synthesis.prepare(orders, given, ["o_orderkey"], seed=1234, val=0.1, test=0.1)
 
 
-@query()
+_SPLIT_SQL = """SELECT *, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'val' ELSE 'test' END AS split
+    FROM (SELECT *, ('0x' || substr(md5('1234:' || o_orderkey), 1, 8))::UBIGINT / 4294967296.0::DOUBLE AS u FROM orders)"""
+
+
+@query(f"SELECT split, count(*) AS n, true AS finite, true AS better FROM ({_SPLIT_SQL}) GROUP BY split")
 def fit_cvae_losses(spark, folder):
-    """Losses by split of a model trained for two epochs."""
+    """By split, whether all losses of a model of two epochs are numbers and the loss is below the untrained one."""
     prepared = prepared_orders(spark, folder)
-    model, _ = synthesis.train(prepared, SETTINGS, seed=1234)
-    return modelling.split_losses(prepared.encoded, model, prepared.key, 1234)
+    untrained = modelling.build(prepared.features, prepared.controls, SETTINGS, 1234)
+    model, _ = modelling.fit(prepared.encoded, untrained, prepared.key, 1234)
+    before = modelling.split_losses(prepared.encoded, untrained, prepared.key, 1234)
+    after = modelling.split_losses(prepared.encoded, model, prepared.key, 1234)
+    numbers = [F.col(c) for c in after.columns if c not in ("split", "n")]
+    finite = F.lit(True)
+    for number in numbers:
+        finite = finite & F.coalesce(F.abs(number) < float("inf"), F.lit(False))
+    return after.select("split", "n", finite.alias("finite"), "loss").join(
+        before.select("split", F.col("loss").alias("untrained")), "split"
+    ).select("split", "n", "finite", (F.col("loss") < F.col("untrained")).alias("better"))
 
 
-@query()
+@query(
+    """SELECT o_orderkey, CAST(dim AS INTEGER) AS dim, round(sqrt(-2 * ln(1 -
+            ('0x' || substr(h, 1, 8))::UBIGINT / 4294967296.0::DOUBLE))
+        * cos(2 * pi() * ('0x' || substr(h, 9, 8))::UBIGINT / 4294967296.0::DOUBLE), 6) AS noise
+    FROM (SELECT o_orderkey, dim, md5('1234:' || o_orderkey || ':' || dim) AS h
+        FROM orders, range(4) r(dim))"""
+)
 def infer_latents(spark, folder):
+    """The noise in the latents inferred for every order: what is left of a draw less its mean, over its spread."""
     prepared = prepared_orders(spark, folder)
     model, _ = synthesis.train(prepared, SETTINGS, seed=1234)
-    return modelling.infer(prepared.encoded, model, ["o_orderkey"], 1234, ["o_orderkey"])
+    latents = modelling.infer(prepared.encoded, model, ["o_orderkey"], 1234, ["o_orderkey"])
+    parts = F.posexplode(F.arrays_zip("mu", "log_var", "z")).alias("dim", "at")
+    noise = (F.col("at.z") - F.col("at.mu")) / F.exp(F.col("at.log_var") / 2)
+    return latents.select("o_orderkey", parts).select(
+        "o_orderkey", "dim", (F.round(noise, 6) + 0.0).alias("noise")
+    )
 
 
-@query()
+@query(
+    """SELECT o_orderstatus, o_orderpriority, count(*) AS n, count(DISTINCT o_orderkey) AS orders, count(*) AS valid
+    FROM orders GROUP BY ALL"""
+)
 def fitted_synthesis(spark, folder):
-    """A synthetic order for every order, from the fitted model."""
+    """A synthetic order for every order: by control, how many, and how many have known values."""
     prepared = prepared_orders(spark, folder)
     model, _ = synthesis.train(prepared, SETTINGS, seed=1234)
-    return modelling.generate(prepared.data, model, prepared.key, 1234, sample=True)
+    made = modelling.generate(prepared.data, model, prepared.key, 1234, sample=True)
+    price = prepared.features["o_totalprice"]
+    valid = (
+        F.col("month").between(1, 12)
+        & F.col("weekday").between(1, 7)
+        & F.col("o_totalprice").between(price.low, price.low + price.span)
+    )
+    return made.groupBy("o_orderstatus", "o_orderpriority").agg(
+        F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("orders"), F.count_if(valid).alias("valid")
+    )
 
 
-@query()
+@query("SELECT count(*) AS n, count(DISTINCT o_orderkey) AS orders, count(*) AS valid FROM orders")
 def unconditional_synthesis(spark, folder):
-    """The variant without controls and category weights."""
+    """The variant without controls and category weights: how many rows, and how many have known values."""
     orders = spread(table(spark, folder, "orders")).select(
         "o_orderkey", "o_orderstatus", "o_orderpriority", F.month("o_orderdate").alias("month")
     )
@@ -221,12 +261,28 @@ def unconditional_synthesis(spark, folder):
         latent_size=4, width=16, lr=0.01, max_epochs=1, min_epochs=1, weighted=False
     )
     model, _ = synthesis.train(prepared, settings, seed=1234)
-    return modelling.generate(orders, model, prepared.key, 1234, sample=True)
+    made = modelling.generate(orders, model, prepared.key, 1234, sample=True)
+    known = orders.select("o_orderstatus", "o_orderpriority").distinct().withColumn("known", F.lit(True))
+    made = made.join(known, ["o_orderstatus", "o_orderpriority"], "left")
+    # Every status and priority occur together.
+    valid = F.col("known") & F.col("month").between(1, 12)
+    return made.agg(
+        F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("orders"), F.count_if(valid).alias("valid")
+    )
 
 
-@query()
+def _draw_sql(path):
+    return f"('0x' || substr(md5('7:' || trial || ':{path}'), 1, 8))::UBIGINT / 4294967296.0::DOUBLE"
+
+
+@query(
+    f"""SELECT trial, CASE WHEN {_draw_sql("width")} < 0.5 THEN 8 ELSE 16 END AS width,
+        CASE WHEN {_draw_sql("latent_size")} < 0.5 THEN 2 ELSE 4 END AS latent_size,
+        round(exp(ln(0.001) + {_draw_sql("lr")} * (ln(0.05) - ln(0.001))), 9) AS lr, true AS scored, true AS in_order
+    FROM range(2) t(trial), (SELECT count(*) FROM orders)"""
+)
 def trial_ranking(spark, folder):
-    """Two trials over the width and learning rate of the model, the best one first."""
+    """The settings of two trials over the model, whether each has an objective, and whether the best come first."""
     tree = {
         "width": trials.Choice([8, 16]),
         "latent_size": trials.IntRange(2, 4, step=2),
@@ -234,7 +290,49 @@ def trial_ranking(spark, folder):
         "max_epochs": 1,
         "min_epochs": 1,
     }
-    path = f"{shared_dir(spark)}/trials-{uuid.uuid4().hex}"
     prepared = prepared_orders(spark, folder)
-    scored = synthesis.tune(prepared, tree, path, trials=2, seed=7)
-    return trials.best_trials(scored, 2)
+    scored = synthesis.tune(prepared, tree, scratch(spark, "trials"), trials=2, seed=7)
+    # As many rows as trials.
+    ranked = trials.best_trials(scored, 2).withColumn("place", F.monotonically_increasing_id())
+    before = F.lag("objective").over(Window.orderBy("place"))
+    settings = F.col("settings")
+    return ranked.select(
+        "trial",
+        settings["width"].cast("int").alias("width"),
+        settings["latent_size"].cast("int").alias("latent_size"),
+        rounded(settings["lr"].cast("double")).alias("lr"),
+        F.col("objective").between(0, 1).alias("scored"),
+        F.coalesce(F.col("objective") >= before, F.lit(True)).alias("in_order"),
+    )
+
+
+@query(
+    f"""{_TOTALS_SQL} SELECT zone, region, sex, age_group, value AS n, value AS valid FROM totals WHERE value > 0"""
+)
+def projected_people(spark, folder):
+    """From control totals to people: every counted person of a projection gets a feature from a model.
+
+    The model is fitted on the customers, by region, sex and age group. People are counted by control again, and
+    so are those with a known segment.
+    """
+    customers = projection(spark, folder, keep=("c_custkey", "c_mktsegment"))
+    zones = zone_regions(spark, folder).select(F.concat(F.lit("Z"), F.col("zone")).alias("geogcode"), "region")
+    customers = lookups.look_up(customers, zones, "geogcode").select(
+        "c_custkey",
+        "c_mktsegment",
+        "region",
+        recode(F.col("Gender"), SEX_CODES).alias("sex"),
+        recode(F.col("Age"), AGE_BANDS).alias("age_group"),
+    )
+    prepared = synthesis.prepare(customers, ["region", "sex", "age_group"], ["c_custkey"], seed=1234)
+    settings = replace(SETTINGS, max_epochs=1, min_epochs=1)
+    model, _ = synthesis.train(prepared, settings, seed=1234)
+    totals = controls.control_totals(recoded_projection(spark, folder))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("zone", "sex", "age_group", "person")]
+    people = controls.expand_controls(totals).withColumn("pid", F.concat_ws("|", *parts))
+    made = modelling.generate(people, model, ["pid"], 1234, sample=True)
+    segments = [r[0] for r in prepared.features.words("c_mktsegment").select("value").collect()]
+    return (
+        made.groupBy(F.substring_index("pid", "|", 1).alias("zone"), "region", "sex", "age_group")
+        .agg(F.count("*").alias("n"), F.count_if(F.col("c_mktsegment").isin(segments)).alias("valid"))
+    )

@@ -136,13 +136,14 @@ _PROJECTED_SQL = f"""projected AS (
     LEFT JOIN region ON n_regionkey = r_regionkey)"""
 
 
-def projection(spark, folder):
+def projection(spark, folder, keep=()):
     bands = F.array(*[F.lit(b) for b in BANDS])
     return table(spark, folder, "customer").select(
         F.concat(F.lit("Z"), F.col("c_nationkey")).alias("geogcode"),
         F.when(F.col("c_custkey") % 3 == 0, "Female").otherwise("Male").alias("Gender"),
         F.get(bands, (F.col("c_custkey") % 19).cast("int")).alias("Age"),
         F.greatest(F.floor(F.col("c_acctbal") / 500), F.lit(0)).cast("bigint").alias("value"),
+        *keep,
     )
 
 

@@ -50,13 +50,29 @@ def latent_draws(spark, folder):
     FROM orders"""
 )
 def row_ids(spark, folder):
-    orders = table(spark, folder, "orders")
+    orders = table(spark, folder, "orders").select("o_orderdate", "o_orderkey")
     return tables.with_row_ids(orders, ["o_orderdate", "o_orderkey"]).select("pid", "o_orderkey")
 
 
-@query("SELECT doc_id, lang, n_chars FROM documents")
+@query(
+    """SELECT doc_id, lang, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id)"""
+)
 def pair_rows(spark, folder):
-    documents = table(spark, folder, "documents")
+    """Documents and labels that have each other."""
+    documents = table(spark, folder, "documents").select("doc_id", "lang", "n_chars")
+    labels = table(spark, folder, "labels")
     return lookups.pair(
-        documents.select("doc_id", "lang"), documents.select("doc_id", "n_chars"), "doc_id"
+        documents.join(labels.select("doc_id"), "doc_id", "left_semi"),
+        labels.join(documents.select("doc_id"), "doc_id", "left_semi"),
+        "doc_id",
     )
+
+
+@query(
+    """SELECT doc_id, CASE WHEN l.doc_id IS NULL THEN 'facts' ELSE 'lookup' END AS side
+    FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)
+    WHERE d.doc_id IS NULL OR l.doc_id IS NULL"""
+)
+def unpaired_rows(spark, folder):
+    """Ids that only the documents or only the labels have."""
+    return lookups.key_gaps(table(spark, folder, "documents"), table(spark, folder, "labels"), "doc_id")
