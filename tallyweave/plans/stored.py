@@ -10,6 +10,7 @@ from pyspark.sql import SparkSession
 
 from tallyweave.operators.encode import ColumnPlan, EncodingPlan
 from tallyweave.plans.model import Model, Settings, build
+from tallyweave.session import cut_lineage
 
 
 def save_model(spark: SparkSession, model: Model, path: str) -> None:
@@ -26,7 +27,8 @@ def save_model(spark: SparkSession, model: Model, path: str) -> None:
     vocabulary = model.features.vocabulary
     if model.controls and model.controls.vocabulary is not vocabulary:
         vocabulary = vocabulary.union(model.controls.vocabulary).distinct()
-    vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    # Written elsewhere first, since the model may have been loaded from this path.
+    cut_lineage(vocabulary).write.mode("overwrite").parquet(f"{path}/vocabulary")
     spark.createDataFrame([(json.dumps(spec),)], "value string").coalesce(1).write.mode(
         "overwrite"
     ).text(f"{path}/spec")

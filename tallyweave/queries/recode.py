@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyweave.functions.recode import AGE_BANDS, apply_labels, null_count, recode
+from tallyweave.functions.recode import AGE_BANDS, apply_labels, null_count, recode, zero_if_null
 from tallyweave.operators import controls, lookups, tables
 from tallyweave.queries.registry import query, table
 
@@ -98,6 +98,14 @@ def recode_bands(spark, folder):
     return table(spark, folder, "orders").select("o_orderkey", band)
 
 
+@query("SELECT doc_id, coalesce(toxic, 0) AS toxic FROM documents LEFT JOIN labels USING (doc_id)")
+def zero_filled(spark, folder):
+    """The label of every document, 0 where it has none."""
+    labels = table(spark, folder, "labels").select("doc_id", "toxic")
+    found = lookups.look_up(table(spark, folder, "documents").select("doc_id"), labels, "doc_id")
+    return found.select("doc_id", zero_if_null(F.col("toxic")).alias("toxic"))
+
+
 @query(f"SELECT count(*) AS rows, count(*) - count({_BAND_SQL}) AS missing FROM orders")
 def recode_nulls(spark, folder):
     return recode_bands(spark, folder).agg(

@@ -66,6 +66,8 @@ def read_zipped_csv(
     def chunks(content, **options):
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             for member in archive.namelist():
+                if member.endswith("/"):
+                    continue
                 with archive.open(member) as handle:
                     yield from pd.read_csv(
                         handle,
@@ -97,8 +99,10 @@ def read_zipped_csv(
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                for frame in chunks(content, usecols=names):
-                    yield frame[names].astype(object).where(frame[names].notna(), None)
+                # A column that a member does not have is null in its rows.
+                for frame in chunks(content, usecols=lambda name: name in names):
+                    frame = frame.reindex(columns=names)
+                    yield frame.astype(object).where(frame[names].notna(), None)
 
     text = T.StructType([T.StructField(n, T.StringType()) for n in names])
     unpacked = archives.mapInPandas(rows, text)

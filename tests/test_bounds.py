@@ -1,11 +1,14 @@
 """Results do not depend on the cluster, and what the driver holds is bounded."""
 
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.operators import encode, lookups, sample, tables
 from tallyweave.plans import model as modelling
-from tallyweave.plans import synthesis, trials
+from tallyweave.plans import stored, synthesis, trials
+from tallyweave.sources import files
 
 
 @pytest.fixture
@@ -96,3 +99,23 @@ def test_numbers_are_not_compared_as_cells(spark):
     rows = spark.range(500).select("id", (F.col("id") % 2).cast("int").alias("a"), (F.col("id") * 1.5).alias("price"))
     prepared = synthesis.prepare(rows, ["a"], ["id"], seed=1)
     assert {r["combo"] for r in synthesis.compare(prepared, rows, [1, 2]).collect()} == {"a"}
+
+
+def test_archives_with_folders_and_other_columns(spark, tmp_path):
+    for name, text in (("one", "a,b\n1,x\n"), ("two", "b,c\ny,2\n")):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as archive:
+            archive.writestr("inner/", "")
+            archive.writestr("inner/rows.csv", text)
+    got = files.read_zipped_csv(spark, str(tmp_path / "*.zip"), schema="a int, b string")
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, "x"), (None, "y")]
+
+
+def test_a_model_is_stored_onto_its_own_path(spark, tmp_path):
+    df = spark.range(30).select("id", (F.col("id") % 3).cast("string").alias("name"))
+    model = modelling.build(encode.fit(df, include=["name"]), None, modelling.Settings(2, 4), 1)
+    path = str(tmp_path / "model")
+    stored.save_model(spark, model, path)
+    stored.save_model(spark, stored.load_model(spark, path), path)
+    again = stored.load_model(spark, path)
+    assert again.vector.tolist() == model.vector.tolist()
+    assert again.features.vocabulary.count() == 3
