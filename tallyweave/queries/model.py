@@ -336,3 +336,71 @@ def projected_people(spark, folder):
         made.groupBy(F.substring_index("pid", "|", 1).alias("zone"), "region", "sex", "age_group")
         .agg(F.count("*").alias("n"), F.count_if(F.col("c_mktsegment").isin(segments)).alias("valid"))
     )
+
+
+# A network of width 1 with weights set by hand, in place of trained ones. Token k has the k-th value.
+HAND_SET = {
+    "y0": [-0.1, 0.1, 0.3],
+    "label0": (0.8, 0.05),
+    "x0": [0.4, 0.2, 0.0, -0.2, -0.4],
+    "enc0": (1.5, 0.25),
+    "mu": (0.9, -0.3),
+    "var": (-0.5, 0.1),
+    "dec0": (0.7, 0.2),
+    "out0": ([-0.5, -0.2, 0.1, 0.4, 0.7], [0.0, 0.1, 0.2, 0.3, 0.4]),
+}
+_HAND_SQL = f"""rows AS (SELECT o_orderkey, o_totalprice / 100000.0 AS z,
+        dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS s, dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS t
+        FROM orders),
+    labels AS (SELECT *, {HAND_SET["y0"]}[s + 1]::DOUBLE * {HAND_SET["label0"][0]}::DOUBLE
+        + {HAND_SET["label0"][1]}::DOUBLE AS label FROM rows)"""
+
+
+def hand_set_model(spark, folder):
+    """Orders encoded with the status as control and the priority as feature, and the network."""
+    orders = spread(table(spark, folder, "orders")).select(
+        "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice"
+    )
+    plan = encode.fit(orders, include=["o_orderstatus", "o_orderpriority"])
+    features, given = plan.only(["o_orderpriority"]), plan.only(["o_orderstatus"])
+    model = modelling.build(features, given, modelling.Settings(1, 1, 0, 0, 0), 0)
+    views = model.shape.views(model.vector)
+    for name, value in HAND_SET.items():
+        if isinstance(value, list):
+            views[name][:, 0] = value
+        else:
+            views[f"{name}.w"][...], views[f"{name}.b"][...] = value
+    return modelling.encode_rows(orders, features, given, ["o_orderkey", "o_totalprice"]), model
+
+
+@query(
+    f"""WITH {_HAND_SQL}, hidden AS (SELECT o_orderkey, z * {HAND_SET["dec0"][0]}::DOUBLE
+            + {HAND_SET["dec0"][1]}::DOUBLE + label AS h FROM labels),
+    scores AS (SELECT o_orderkey, k AS token, exp(h * {HAND_SET["out0"][0]}[k + 1]::DOUBLE
+            + {HAND_SET["out0"][1]}[k + 1]::DOUBLE) AS e FROM hidden, range(5) r(k))
+    SELECT o_orderkey, CAST(token AS INTEGER) AS token,
+        round(e / sum(e) OVER (PARTITION BY o_orderkey), 9) AS p FROM scores"""
+)
+def predict_fixed(spark, folder):
+    """Probabilities of every priority by a network of known weights, from a latent that is the price."""
+    rows, model = hand_set_model(spark, folder)
+    rows = rows.withColumn("z", F.array(F.col("o_totalprice") / 100000.0))
+    made = modelling.predict(rows, model, ["o_orderkey"])
+    return made.select("o_orderkey", F.posexplode("p_o_orderpriority").alias("token", "p")).withColumn(
+        "p", rounded("p")
+    )
+
+
+@query(
+    f"""WITH {_HAND_SQL}, hidden AS (SELECT o_orderkey, ({HAND_SET["x0"]}[t + 1]::DOUBLE + label)
+            * {HAND_SET["enc0"][0]}::DOUBLE + {HAND_SET["enc0"][1]}::DOUBLE AS h FROM labels)
+    SELECT o_orderkey, round(h * {HAND_SET["mu"][0]}::DOUBLE + {HAND_SET["mu"][1]}::DOUBLE, 9) AS mu,
+        round(h * {HAND_SET["var"][0]}::DOUBLE + {HAND_SET["var"][1]}::DOUBLE, 9) AS log_var FROM hidden"""
+)
+def infer_fixed(spark, folder):
+    """Mean and log variance of every order's latent by a network of known weights."""
+    rows, model = hand_set_model(spark, folder)
+    made = modelling.infer(rows, model, ["o_orderkey"], 5, ["o_orderkey"])
+    return made.select(
+        "o_orderkey", rounded(F.get("mu", F.lit(0))).alias("mu"), rounded(F.get("log_var", F.lit(0))).alias("log_var")
+    )
