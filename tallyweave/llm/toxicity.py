@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,8 +41,8 @@ ROWS, FOLD_ROWS = 6000, 2000
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 1
 #: A text with this score or more is taken for toxic.
 LIMIT = 0.5
-#: Words whose score a task remembers.
-REMEMBERED = 500_000
+#: Words whose evidence a task remembers, texts that it takes at a time, and characters of words looked up at a time.
+REMEMBERED, TEXTS, CHARACTERS = 200_000, 500, 500_000
 #: Evidence of a word, in nats, is counted beyond each of these and up to ``MOST``.
 TAILS, MOST = (1.0, 3.0), 12.0
 FEATURES = ("mean", "top", "size", "all_1", "rate_1", "all_3", "rate_3")
@@ -55,76 +55,119 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
+@dataclass
+class Table:
+    """Of one order: sorted hashes of grams with their discounted shares in their contexts, and sorted hashes of
+    contexts with what these leave for shorter grams. Shares and rests have a row for toxic and one for ordinary texts.
+    """
+
+    grams: np.ndarray
+    shares: np.ndarray
+    contexts: np.ndarray
+    rests: np.ndarray
+
+
 @dataclass
 class Model:
-    """By order, from ``SHARED`` + 1 up: of a gram, the discounted share in its context, toxic and ordinary; of a
-    context, what is left for shorter grams. ``base`` has the shared probabilities of shorter grams.
+    """``tables`` by order from 1, and the probability of a character that no text has.
 
     ``weights`` are the regression's, beginning with the constant; ``base_rate`` is the score of every text if a
     class has no labels to learn from.
     """
 
-    shares: dict[str, tuple[float, float]]
-    left: dict[str, tuple[float, float]]
-    base: dict[str, float]
-    base_left: dict[str, float]
+    tables: list[Table]
     unseen: float
     weights: tuple[float, ...] = ()
     base_rate: float | None = None
 
-    def evidence(self, gram: str) -> float:
-        """log P(last character | those before) of toxic less that of ordinary texts."""
-        p = self.unseen
-        for n in range(1, SHARED + 1):
-            short = gram[-n:]
-            p = self.base.get(short, 0.0) + self.base_left.get(short[:-1], 1.0) * p
-        toxic = plain = p
-        for n in range(SHARED + 1, ORDER + 1):
-            short = gram[-n:]
-            own, rest = self.shares.get(short, (0.0, 0.0)), self.left.get(short[:-1], (1.0, 1.0))
-            toxic, plain = own[0] + rest[0] * toxic, own[1] + rest[1] * plain
-        return math.log(toxic / plain)
-
-
-def _interpolate(counts: dict[str, float]) -> tuple[dict[str, float], dict[str, float]]:
-    """Discounted shares of grams in their contexts, and what each context leaves."""
-    total, kinds = Counter(), Counter()
-    for gram, n in counts.items():
-        total[gram[:-1]] += n
-        kinds[gram[:-1]] += 1
-    shares = {gram: (n - DISCOUNT) / total[gram[:-1]] for gram, n in counts.items()}
-    return shares, {context: DISCOUNT * kinds[context] / total[context] for context in total}
-
-
-def _shorter(grams) -> Counter:
-    """Of grams without their first character: how many different ones come before."""
-    return Counter(gram[1:] for gram in grams)
-
-
-def build(grams: list[tuple[str, int, int]]) -> Model:
-    """From the counts of every gram of ``ORDER`` characters in toxic and in ordinary texts."""
-    shares, left = defaultdict(lambda: [0.0, 0.0]), defaultdict(lambda: [1.0, 1.0])
-    for side in (0, 1):
-        counts = {row[0]: row[1 + side] for row in grams if row[1 + side]}
-        for _ in range(ORDER - SHARED):
-            own, rest = _interpolate(counts)
-            for gram, share in own.items():
-                shares[gram][side] = share
-            for context, share in rest.items():
-                left[context][side] = share
-            counts = _shorter(counts)
-    kinds = {row[0]: 1 for row in grams}
+    def evidence(self, codes: np.ndarray) -> np.ndarray:
+        """log P(last character | those before) of toxic less that of ordinary texts, for rows of ``ORDER`` code points."""
+        p = np.full((2, len(codes)), self.unseen)
+        for n, known in enumerate(self.tables, 1):
+            own = _found(known.grams, known.shares, _hashes(codes[:, -n:]), 0.0)
+            p = own + _found(known.contexts, known.rests, _hashes(codes[:, -n:-1]), 1.0) * p
+        return np.log(p[0] / p[1])
+
+    def of_words(self, words: list[str]) -> np.ndarray:
+        """The evidence of every word: the sum over its characters and its end."""
+        lines = [START * (ORDER - 1) + word + END for word in words]
+        sizes = np.array([len(line) for line in lines])
+        codes = _codes(lines)
+        windows = np.lib.stride_tricks.sliding_window_view(codes, ORDER)
+        # Windows that reach into the next word are left out.
+        ends = np.cumsum(sizes)
+        starts = np.arange(len(windows))
+        inside = starts + ORDER <= np.repeat(ends, sizes)[: len(windows)]
+        windows = windows[inside]
+        _, first, where = np.unique(_hashes(windows), return_index=True, return_inverse=True)
+        found = self.evidence(windows[first])[where]
+        word = np.repeat(np.arange(len(words)), sizes)[: len(inside)][inside]
+        return np.bincount(word, found, minlength=len(words))
+
+
+def _codes(lines: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+
+
+def _hashes(codes: np.ndarray) -> np.ndarray:
+    """Of every row of code points, 64 bits."""
+    total = np.zeros(len(codes), dtype=np.uint64)
+    for column in codes.T:
+        total = (total ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        total ^= total >> np.uint64(29)
+    return total
+
+
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> np.ndarray:
+    """The columns of ``values`` at ``wanted`` among the sorted ``keys``."""
+    if not len(keys):
+        return np.full((2, len(wanted)), default)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[:, at], default)
+
+
+def _interpolate(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Hashes and discounted shares of different grams, hashes of their contexts and what these leave."""
+    contexts, place = np.unique(_hashes(codes[:, :-1]), return_inverse=True)
+    total = np.bincount(place, counts, minlength=len(contexts))
+    rests = DISCOUNT * np.bincount(place, minlength=len(contexts)) / total
+    return _hashes(codes), (counts - DISCOUNT) / total[place], contexts, rests
+
+
+def _shorter(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different grams without their first character, and how many different ones come before each."""
+    _, first, counts = np.unique(_hashes(codes[:, 1:]), return_index=True, return_counts=True)
+    return codes[first, 1:], counts.astype(float)
+
+
+def _both(sides: list[tuple[np.ndarray, np.ndarray]], default: float) -> tuple[np.ndarray, np.ndarray]:
+    """One sorted table of two classes' keys and values."""
+    keys = np.unique(np.concatenate([k for k, _ in sides]))
+    values = np.full((2, len(keys)), default)
+    for side, (own, value) in enumerate(sides):
+        values[side, np.searchsorted(keys, own)] = value
+    return keys, values
+
+
+def build(grams: list[str], toxic: np.ndarray, ordinary: np.ndarray) -> Model:
+    """From the counts of every different gram of ``ORDER`` characters in toxic and in ordinary texts."""
+    every = _codes(grams).reshape(-1, ORDER)
+    sides = [(every[n > 0], n[n > 0].astype(float)) for n in (toxic, ordinary)]
+    tables = []
+    for _ in range(ORDER - SHARED):
+        made = [_interpolate(*side) for side in sides]
+        tables.append(Table(*_both([m[:2] for m in made], 0.0), *_both([m[2:] for m in made], 1.0)))
+        sides = [_shorter(codes) for codes, _ in sides]
+    codes, counts = every, None
     for _ in range(ORDER - SHARED):
-        kinds = _shorter(kinds)
-    base, base_left, letters = {}, {}, 0
+        codes, counts = _shorter(codes)
+    letters = 0
     for _ in range(SHARED):
-        own, rest = _interpolate(kinds)
-        base |= own
-        base_left |= rest
-        letters = len(kinds)
-        kinds = _shorter(kinds)
-    pairs = lambda d: {k: tuple(v) for k, v in d.items()}
-    return Model(pairs(shares), pairs(left), base, base_left, 1.0 / (letters + 1))
+        made = _interpolate(codes, counts)
+        tables.append(Table(*_both([made[:2]] * 2, 0.0), *_both([made[2:]] * 2, 1.0)))
+        letters = len(codes)
+        codes, counts = _shorter(codes)
+    return Model(tables[::-1], 1.0 / (letters + 1))
 
 
 def _grams(texts: DataFrame) -> DataFrame:
@@ -147,51 +190,62 @@ def _measured(model: Model, texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame
     Mean evidence of a character, most of a word, log of the number of words; for each of ``TAILS``
     the log of the evidence beyond it and that evidence by word.
     """
-    by_gram, by_word = {}, {}
-    start, order, evidence = START * (ORDER - 1), ORDER, model.evidence
+    known: dict[str, float] = {}
     alike, words_of = str.maketrans(*ALIKE), re.compile("[^" + NOT_ALNUM[1:]).findall
+    low_tail, high_tail = TAILS
 
-    def of_word(word: str) -> tuple[float, ...]:
-        line, total = f"{start}{word}{END}", 0.0
-        for at in range(len(word) + 1):
-            gram = line[at : at + order]
-            known = by_gram.get(gram)
-            if known is None:
-                known = by_gram[gram] = evidence(gram)
-            total += known
-        return (total, len(word) + 1, *(max(0.0, min(total, MOST) - tail) for tail in TAILS))
+    def learn(counts: list[Counter]) -> None:
+        """Remember the evidence of all words of some texts."""
+        fresh = list({word for c in counts for word in c if word not in known})
+        if len(known) + len(fresh) > REMEMBERED:
+            known.clear()
+            fresh = list({word for c in counts for word in c})
+        for group in _groups(fresh):
+            known.update(zip(group, model.of_words(group).tolist(), strict=True))
 
     for batch in texts:
         rows = []
-        for text in batch:
-            words = Counter(words_of((text or "").translate(alike)))
-            total, top, characters, low, high = 0.0, 0.0, 0, 0.0, 0.0
-            for word, n in words.items():
-                found = by_word.get(word)
-                if found is None:
-                    if len(by_word) >= REMEMBERED:
-                        by_word.clear()
-                        by_gram.clear()
-                    found = by_word[word] = of_word(word)
-                total += n * found[0]
-                characters += n * found[1]
-                if found[2]:
-                    low += found[2]
-                    high += found[3]
-                    top = max(top, found[0])
-            kinds = max(1, len(words))
-            size = math.log1p(words.total())
-            rows.append((total / max(1, characters), top, size, math.log1p(low), low / kinds, math.log1p(high), high / kinds))
+        for at in range(0, len(batch), TEXTS):
+            counts = [Counter(words_of((t or "").translate(alike))) for t in batch.iloc[at : at + TEXTS]]
+            learn(counts)
+            for words in counts:
+                total, top, characters, low, high = 0.0, 0.0, 0, 0.0, 0.0
+                for word, n in words.items():
+                    found = known[word]
+                    total += n * found
+                    characters += n * (len(word) + 1)
+                    if found > low_tail:
+                        found = min(found, MOST)
+                        low += found - low_tail
+                        high += max(0.0, found - high_tail)
+                        top = max(top, found)
+                kinds = max(1, len(words))
+                size = math.log1p(words.total())
+                rows.append((total / max(1, characters), top, size, math.log1p(low), low / kinds, math.log1p(high), high / kinds))
         yield pd.DataFrame(rows, columns=FEATURES)
 
 
+def _groups(words: list[str]) -> Iterator[list[str]]:
+    """Words of ``CHARACTERS`` in all, or a longer one."""
+    group, size = [], 0
+    for word in words:
+        if group and size + len(word) > CHARACTERS:
+            yield group
+            group, size = [], 0
+        group.append(word)
+        size += len(word)
+    if group:
+        yield group
+
+
 def measured(docs: DataFrame, model: Model, name: str = "features") -> DataFrame:
     """``docs`` with a struct column of ``FEATURES``."""
     # As plain values, since a broadcast does not carry classes along.
-    sent = docs.sparkSession.sparkContext.broadcast(vars(model))
+    sent = docs.sparkSession.sparkContext.broadcast([vars(t) for t in model.tables])
+    unseen = model.unseen
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        yield from _measured(Model(**sent.value), texts)
+        yield from _measured(Model([Table(**t) for t in sent.value], unseen), texts)
 
     kind = ", ".join(f"{feature} double" for feature in FEATURES)
     features = F.pandas_udf(run, kind)
@@ -233,10 +287,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, fold_rows: int = F
     sample = F.broadcast(stored(sample.select("doc_id", "toxic", "fold")))
     texts = stored(docs.select("doc_id", "text").join(sample, "doc_id").select("text", "toxic", "fold"))
     have = {(r["toxic"], r["calibrating"]): r["n"] for r in known.groupBy("toxic", calibrating.alias("calibrating")).agg(F.count("*").alias("n")).collect()}
-    grams = [tuple(r) for r in _grams(texts.filter(~calibrating)).collect()]
-    model = build(grams)
+    grams = _grams(texts.filter(~calibrating)).toArrow()
+    toxic, ordinary = (grams.column(c).to_numpy() for c in ("toxic", "ordinary"))
+    model = build(grams.column("gram").to_pylist(), toxic, ordinary)
     seen = measured(texts.filter(calibrating), model).select("toxic", "features.*").toPandas()
-    if not (any(g[1] for g in grams) and any(g[2] for g in grams)) or seen["toxic"].nunique() < 2:
+    if not (toxic.any() and ordinary.any()) or seen["toxic"].nunique() < 2:
         total = sum(have.values())
         model.base_rate = sum(n for (toxic, _), n in have.items() if toxic == 1) / total if total else 0.0
         return model
