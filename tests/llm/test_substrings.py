@@ -1,9 +1,6 @@
 import random
 from collections import defaultdict
 
-import numpy as np
-import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from tallyweave.llm import substrings
