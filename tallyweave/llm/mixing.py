@@ -6,7 +6,7 @@ deals the blocks to shards, so every shard has integer quotas and sources are sp
 
 The documents of a source are laid end to end in a seeded order and cut into blocks as well. The source's quota is
 filled with its blocks in another seeded order, which is passed through again where the quota is larger than
-the source. What a document gives is the part of it that lies in the chosen blocks.
+the source. A source so small that whole blocks miss its target is filled in words, in the same order. What a document gives is the part of it that lies in the chosen blocks.
 
 Everything is built-in Spark expressions. Draws are md5 of the seed and the row, so reruns agree. Prefix sums
 go by buckets of the seeded order, so a source with most of the rows is not one task.
@@ -22,6 +22,8 @@ from tallyweave.llm.registry import query, table
 from tallyweave.llm.shared import keyed, space_words, stored
 
 BLOCKS = 20_000
+#: Share of a source's target by which its blocks may miss it; beyond, its last block is taken in part.
+SLACK = 0.01
 SHARDS = 16
 #: Weights of the sources by code point, null last, repeating.
 WEIGHTS = (1, 2, 3)
@@ -89,15 +91,19 @@ def _draw(*what: Column) -> Column:
 
 
 def block_copies(sources: DataFrame, given: DataFrame, block: int, seed: int = SEED, repeats: int = REPEATS) -> DataFrame:
-    """(rank, block, copies, shards, before): how often every block of a source is taken, and into which shards.
+    """(rank, block, copies, extra, shards, before): how often every block of a source is taken, and into which shards.
 
     Blocks are taken in a seeded order of the source, which begins anew when all are taken; no block more
-    than ``repeats`` times. ``before`` counts the words taken of the blocks before it, and a last row without
-    copies stands for the end of the source.
+    than ``repeats`` times. Where these are more than ``SLACK`` of the target away from it, the source gives as many words as
+    its target in that order instead, and ``extra`` counts those at the beginning of the block that are taken once more than
+    its copies; ``shards`` stay those of the source's seats. ``before`` counts the words taken of the blocks before it, and a
+    last row without copies stands for the end of the source.
     """
     count = F.ceil(F.col("source_size") / block).cast("int")
-    rows = sources.select("rank", count.alias("count"))
-    rows = rows.select("rank", "count", F.explode(F.sequence(F.lit(0), F.col("count"))).alias("block"))
+    rows = sources.select("rank", "source_size", "target", count.alias("count"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("count"))).alias("block"))
+    left = F.col("source_size") - F.col("block") * F.lit(block).cast("long")
+    rows = rows.withColumn("words", F.greatest(F.lit(0), F.least(F.lit(block), left)))
     order = Window.partitionBy("rank", F.col("block") < F.col("count"))
     draw = _draw(F.lit(f"block:{seed}"), F.col("rank"), F.col("block"))
     place = F.when(F.col("block") < F.col("count"), F.row_number().over(order.orderBy(draw, "block")) - 1)
@@ -106,9 +112,18 @@ def block_copies(sources: DataFrame, given: DataFrame, block: int, seed: int = S
     taken = taken.withColumn("place", F.col("nth") % F.col("count")).groupBy("rank", "place")
     taken = taken.agg(F.count("*").alias("copies"), F.sort_array(F.collect_list("shard")).alias("shards"))
     rows = rows.join(taken, ["rank", "place"], "left").withColumn("copies", F.coalesce("copies", F.lit(0)))
+    missed = F.abs(F.sum(F.col("copies") * F.col("words")).over(Window.partitionBy("rank")) - F.col("target"))
+    passed = Window.partitionBy("rank").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    goal, size = F.round("target").cast("long"), F.greatest("source_size", F.lit(1))
+    rest = goal % size - F.coalesce(F.sum("words").over(passed), F.lit(0))
+    rows = rows.withColumns({"missed": missed > F.col("target") * SLACK, "rest": F.greatest(F.lit(0), F.least("words", rest))})
+    last = F.col("rest") == F.col("words")
+    full = F.when(F.col("words") > 0, F.floor(goal / size) + last.cast("int")).otherwise(0).cast("long")
+    rows = rows.withColumn("copies", F.when(F.col("missed"), full).otherwise(F.col("copies")))
+    rows = rows.withColumn("extra", F.when(F.col("missed") & ~last, F.col("rest")).otherwise(0))
     earlier = Window.partitionBy("rank").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.col("copies") * block).over(earlier), F.lit(0))
-    return stored(rows.select("rank", "block", "copies", "shards", before.alias("before")))
+    before = F.coalesce(F.sum(F.col("copies") * F.col("words") + F.col("extra")).over(earlier), F.lit(0))
+    return stored(rows.select("rank", "block", "copies", "extra", "shards", before.alias("before")))
 
 
 def _laid_out(rows: DataFrame, seed: int) -> DataFrame:
@@ -145,7 +160,7 @@ def mix(
 
     ``taken`` counts the words that the mix takes of the row, repeats included, and is at most ``repeats`` times its
     size. A source's ``taken`` differs from its target by a few blocks at most, of the sum of all sizes
-    over ``blocks`` words each. Null and empty texts have no words and give none, a null source comes
+    over ``blocks`` words each, and by no more than ``SLACK`` of the target (or half a word). Null and empty texts have no words and give none, a null source comes
     last, repeated rows are rows of their own, other columns are ignored, and an empty table gives no rows.
     """
     rows = stored(sized(docs).select("doc_id", "source", *keep, "size"))
@@ -153,7 +168,7 @@ def mix(
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     block = max(1, -(-total // blocks))
     given = seats(sources, max(1, round(total / block)))
-    chosen = block_copies(sources, given, block, seed, repeats).select("rank", "block", "copies", "before")
+    chosen = block_copies(sources, given, block, seed, repeats).select("rank", "block", "copies", "extra", "before")
     chosen = _bounded(chosen, 10 * blocks)
     known = sources.withColumnsRenamed({"source": "name", "target": "goal"})
     same = (F.coalesce(rows["source"], F.lit("")) == known["name"]) & (rows["source"].isNull() == known["no_source"])
@@ -163,8 +178,9 @@ def mix(
     def until(df: DataFrame, place: Column, name: str) -> DataFrame:
         """With the words taken before ``place`` of the source."""
         df = df.withColumn("block", F.floor(place / block).cast("int")).join(chosen, ["rank", "block"])
-        taken = F.col("before") + F.col("copies") * (place - F.col("block") * block)
-        return df.withColumn(name, taken).drop("block", "copies", "before")
+        inside = place - F.col("block") * block
+        taken = F.col("before") + F.col("copies") * inside + F.least(inside, F.col("extra"))
+        return df.withColumn(name, taken).drop("block", "copies", "extra", "before")
 
     laid = until(laid, F.col("offset"), "opened")
     laid = until(laid, F.col("offset") + F.col("size"), "closed")

@@ -93,3 +93,19 @@ def test_highest_quotients(spark):
 
 def test_empty_table(spark):
     assert mixing.mix(spark.createDataFrame([], DOC)).collect() == []
+
+
+def test_tiny_sources_beside_huge_ones(spark):
+    """A block has 2,000 words: more than a tiny source, or two thirds of one with a short last block."""
+    rows = [(n, "w " * 4000, f"huge{n:02}") for n in range(10)]
+    rows += [(100 + n, "t " * 5, "tiny") for n in range(8)] + [(200, "s " * 700, "short"), (201, "u " * 900, "short")]
+    rows += [(300, "", "none")]
+    docs, taken, want = spark.createDataFrame(rows, DOC), defaultdict(int), {}
+    for r in mixing.mix(docs, blocks=20).collect():
+        assert 0 <= r.taken <= 3 * r["size"]
+        taken[r.source] += r.taken
+        want[r.source] = r.target
+    assert want["tiny"] == 120 and want["short"] > 1600
+    assert all(abs(taken[s] - t) <= 0.01 * t + 0.5 for s, t in want.items())
+    kept = mixing.select_rows(docs, blocks=20).filter("source = 'tiny'").collect()
+    assert sorted(r.doc_id for r in kept) == sorted([*range(100, 108)] * 3)
