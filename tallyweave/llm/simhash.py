@@ -14,7 +14,7 @@ gives a spanning forest of its links, not its pairs, and components follow from
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -165,12 +165,12 @@ def classes(
     return marked.join(labels, "fp").select("doc_id", *keep, "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, grouped: Callable[..., DataFrame] = classes) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """One row of every class of near-duplicates: that of the smallest id, of equal ids that of the smallest hash.
 
-    A null id is kept only where the class has no other. ``grouped`` gives every row the ``root`` of its class.
+    A null id is kept only where the class has no other.
     """
-    found = grouped(keyed(docs).select("doc_id", "doc", "text"), keep=("doc",))
+    found = classes(keyed(docs).select("doc_id", "doc", "text"), "text", width, radius, keep=("doc",))
     rank = F.struct(F.col("doc.no_id").alias("no_id"), "doc_id", F.col("doc.text").alias("text"))
     found = stored(found.select("doc", "root", rank.alias("rank")))
     kept = stored(found.groupBy("root").agg(F.min("rank").alias("least")))
