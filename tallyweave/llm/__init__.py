@@ -1,6 +1,18 @@
 """Operators for training-data pipelines, and their queries."""
 
-from tallyweave.llm import chat, decontaminate, licenses, mixing, quality, scoring, sharding, simhash, substrings, toxicity  # noqa: F401
+from tallyweave.llm import (  # noqa: F401
+    chat,
+    decontaminate,
+    licenses,
+    mixing,
+    quality,
+    scoring,
+    sharding,
+    simhash,
+    substrings,
+    tokens,
+    toxicity,
+)
 from tallyweave.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
