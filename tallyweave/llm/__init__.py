@@ -6,6 +6,7 @@ from tallyweave.llm import (  # noqa: F401
     licenses,
     mixing,
     quality,
+    runs,
     scoring,
     sharding,
     simhash,
