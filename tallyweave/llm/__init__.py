@@ -1,6 +1,7 @@
 """Operators for training-data pipelines, and their queries."""
 
 from tallyweave.llm import (  # noqa: F401
+    bitplanes,
     chat,
     decontaminate,
     licenses,
