@@ -12,21 +12,21 @@ Documents are dealt out by ranges of their id and sorted, so that the ids of the
 
 So a place in the corpus leads to one segment by its two tables' numbers alone, and to its id by a byte or two of each level.
 
-The vocabulary is a file of the tokenizers library, which the driver reads and sends to the tasks. Where its rules never put a
-single space between two other characters anywhere but at the beginning of a token, words after such spaces are
-encoded once and remembered, which gives the ids of the whole text; texts of other vocabularies are encoded as they are.
+The vocabulary is a file of the tokenizers library, which the driver reads and sends to the tasks. Where its rules put a single
+space between words always to the beginning of a token, a word after such a space has the same ids in every text, and is encoded
+once and remembered. Texts with other white space next to a space, and those of other vocabularies, are encoded as they are.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,12 +43,12 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 0
 #: A segment is closed when it has so many ids; it has more if a document has.
 SEGMENT = 1 << 18
-#: Words whose ids a task remembers, and characters of texts that it takes at a time, unless one text is longer.
-REMEMBERED, CHARACTERS = 200_000, 1 << 20
+#: Words whose ids a worker remembers; when it has more, those not met again before the next so many are forgotten.
+REMEMBERED = 400_000
+#: Bytes of texts taken at a time, unless one text is longer.
+BYTES = 4 << 20
 #: Bytes of a row group, so that a large file is read by several tasks.
 ROW_GROUP = 16 << 20
-#: Between two characters that are no white space.
-SPACE = re.compile(r"(?<=\S) (?=\S)")
 
 
 def vocabulary(name: str = VOCABULARY) -> str:
@@ -64,7 +64,7 @@ class Encoder:
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(spec), {}
+        self.tokenizer, self.young, self.old = Tokenizer.from_str(spec), {}, {}
         rules = json.loads(spec)
         before = rules.get("pre_tokenizer") or {}
         # These rules take a space as the beginning of the word after it, and encode every word by itself.
@@ -86,39 +86,77 @@ class Encoder:
             for name, i in names.items():
                 self.lengths[i] = added.get(i, len(name))
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Remember the ids of words, each with the space before it, from one call for all of them."""
-        raw = self._whole("".join([f" {word}" for word in words]))
-        ends = np.cumsum([1 + len(word.encode()) for word in words])
-        reached = np.cumsum(self.lengths[np.frombuffer(raw, "<u4")])
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn(self, words: set[str]) -> None:
+        """Bring the ids of words, each with the space before it, to ``young``: from ``old``, or from one call for all others."""
+        self.young.update((w, self.old[w]) for w in words.intersection(self.old))
+        fresh = list(words.difference(self.old))
+        if not fresh:
+            return
+        ids = self._whole("".join([f" {word}" for word in fresh]))
+        ends = np.cumsum([1 + len(word.encode()) for word in fresh])
+        reached = np.cumsum(self.lengths[ids])
         last = np.searchsorted(reached, ends)
         if not np.array_equal(reached[last], ends):
             raise ValueError("a token of the vocabulary goes beyond the word that it begins in")
-        stops = (4 * (last + 1)).tolist()
-        self.known.update((w, raw[a:b]) for w, a, b in zip(words, [0, *stops], stops, strict=False))
+        raw, stops = ids.tobytes(), (4 * (last + 1)).tolist()
+        self.young.update((w, raw[a:b]) for w, a, b in zip(fresh, [0, *stops], stops, strict=False))
 
-    def ids(self, texts: list[str]) -> list[bytes]:
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each has."""
         if not self.by_word:
-            return [self._whole(t) for t in texts]
-        pieces = [SPACE.split(t) for t in texts]
-        fresh = {w for p in pieces for w in p[1:]}.difference(self.known)
-        if fresh and len(self.known) + len(fresh) > REMEMBERED:
-            self.known.clear()
-            fresh = {w for p in pieces for w in p[1:]}
-        if fresh:
-            self._learn(list(fresh))
-        return [self._whole(p[0]) + b"".join(map(self.known.__getitem__, p[1:])) for p in pieces]
+            found = [self._whole(t) for t in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, "<u4"), *found]), np.array([len(f) for f in found], dtype=np.int64)
+        pieces = pc.split_pattern(texts, " ")
+        edges = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+        firsts, coded = edges[:-1], pieces.flatten().dictionary_encode()
+        which, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        # The first word of a text has no space before it.
+        needed = np.ones(len(which), dtype=bool)
+        needed[firsts] = False
+        used = np.zeros(len(words), dtype=bool)
+        used[which[needed]] = True
+        after = [w for w, u in zip(words, used.tolist(), strict=True) if u]
+        fresh = {w for w in after if w not in self.young}
+        # Known words have no white space at their ends, so only new ones can show that a space is next to another.
+        loose = {w for w in fresh if w not in self.old and (not w or w[0].isspace() or w[-1].isspace())}
+        self._learn(fresh - loose)
+        raw = [b"" if w in loose else self.young[w] for w in after]
+        # A text with such a space is encoded whole, in place of its first word.
+        loosely = np.zeros(len(words), dtype=bool)
+        if loose:
+            loosely[used] = [w in loose for w in after]
+        loosely = np.maximum.reduceat(loosely[which] & needed, firsts) if len(firsts) else np.zeros(0, dtype=bool)
+        heads = []
+        for n, (w, several) in enumerate(zip(which[firsts].tolist(), (np.diff(edges) > 1).tolist(), strict=True)):
+            head = words[w]
+            loosely[n] |= several and (not head or head[-1].isspace())
+            heads.append(self._whole(texts[n].as_py() if loosely[n] else head))
+        # Each word of a text is a range of the pool.
+        pool = np.concatenate([np.frombuffer(b"".join(raw), "<u4"), *heads])
+        sizes_of, starts_of = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+        sizes_of[used] = [len(r) // 4 for r in raw]
+        starts_of[used] = np.cumsum(sizes_of[used]) - sizes_of[used]
+        sizes, starts = sizes_of[which], starts_of[which]
+        sizes[np.repeat(loosely, np.diff(edges))] = 0
+        lengths = np.array([len(h) for h in heads], dtype=np.int64)
+        sizes[firsts] = lengths
+        starts[firsts] = len(pool) - lengths.sum() + np.cumsum(lengths) - lengths
+        ends = np.cumsum(sizes)
+        out = pool[np.repeat(starts - ends + sizes, sizes) + np.arange(sizes.sum())]
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        return out, np.add.reduceat(sizes, firsts) if len(firsts) else np.zeros(0, dtype=np.int64)
 
 
 def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbours of ``CHARACTERS`` in all, or a longer one."""
+    """Ranges of neighbours of ``BYTES`` in all, or a longer one."""
     at = 0
     while at < len(sizes):
         end, total = at + 1, sizes[at]
-        while end < len(sizes) and total + sizes[end] <= CHARACTERS:
+        while end < len(sizes) and total + sizes[end] <= BYTES:
             total += sizes[end]
             end += 1
         yield at, end
@@ -129,34 +167,37 @@ def _segments(spec: Broadcast, end: int, kind: pa.DataType):
     """Documents of a task, in their order, to its segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encoder, last = TaskContext.get().partitionId(), None, np.uint32(end).astype("<u4").tobytes()
-        nth, offset, size, held, doc_ids, sizes = 0, 0, 0, [], [], []
+        part, nth, offset, size, held, names, sizes = TaskContext.get().partitionId(), 0, 0, 0, [], [], []
 
         def closed() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), dtype="<u4")
             row = {
                 "part": pa.array([part], pa.int32()),
                 "nth": pa.array([nth], pa.int32()),
                 "offset": pa.array([offset], pa.int64()),
-                "n_ids": pa.array([len(ids)], pa.int64()),
-                "doc_ids": pa.array([doc_ids], pa.list_(kind)),
+                "n_ids": pa.array([size], pa.int64()),
+                "doc_ids": pa.array([names], pa.list_(kind)),
                 "sizes": pa.array([sizes], pa.list_(pa.int64())),
-                "codes": pa.array([pack(ids)], pa.binary()),
+                "codes": pa.array([pack(np.concatenate(held))], pa.binary()),
             }
             return pa.RecordBatch.from_arrays(list(row.values()), names=list(row))
 
         for batch in batches:
-            encoder = encoder or Encoder(spec.value)
-            names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in _groups([len(t) for t in texts]):
-                for name, ids in zip(names[a:b], encoder.ids(texts[a:b]), strict=True):
-                    held.append(ids + last)
-                    doc_ids.append(name)
-                    sizes.append(len(ids) // 4 + 1)
-                    size += sizes[-1]
+            # A worker keeps its copy of a broadcast value from task to task, and so what the encoder remembers.
+            encoder = spec.value.setdefault("encoder", None) or Encoder(spec.value["spec"])
+            spec.value["encoder"] = encoder
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("")
+            for a, b in _groups(pc.binary_length(texts).to_pylist()):
+                ids, counts = encoder.ids(texts.slice(a, b - a))
+                ids, counts = np.insert(ids, np.cumsum(counts), end), counts + 1
+                at = 0
+                for name, count in zip(doc_ids[a:b], counts.tolist(), strict=True):
+                    held.append(ids[at : at + count])
+                    names.append(name)
+                    sizes.append(count)
+                    at, size = at + count, size + count
                     if size >= SEGMENT:
                         yield closed()
-                        nth, offset, size, held, doc_ids, sizes = nth + 1, offset + size, 0, [], [], []
+                        nth, offset, size, held, names, sizes = nth + 1, offset + size, 0, [], [], []
         if sizes:
             yield closed()
 
@@ -172,7 +213,7 @@ def write(docs: DataFrame, path: str, vocabulary_file: str | None = None, end: i
     Strings of special tokens in a text are those tokens, as the library has it.
     """
     spark = docs.sparkSession
-    spec = spark.sparkContext.broadcast(Path(vocabulary_file or vocabulary()).read_text("utf-8"))
+    spec = spark.sparkContext.broadcast({"spec": Path(vocabulary_file or vocabulary()).read_text("utf-8")})
     rows = docs.select("doc_id", "text").withColumns({"hash": F.xxhash64("text"), "spread": F.rand(42)})
     order = ["doc_id", "hash", "spread"]
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
@@ -195,10 +236,7 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document; ``ids`` are little-endian unsigned 32-bit integers.
-
-    Read by ranges of its segment's codes, a document at a time.
-    """
+    """(doc_id, start, n_tokens, ids) of every document; ``ids`` are little-endian unsigned 32-bit integers."""
     found = segments(spark, path).select("doc_ids", "sizes", "start", "codes")
     kind = found.schema["doc_ids"].dataType.elementType.simpleString()
 
@@ -208,7 +246,8 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
                 doc_ids, sizes = batch.column(0)[row].values, np.array(batch.column(1)[row].as_py(), dtype=np.int64)
                 stops = np.cumsum(sizes)
                 codes = Codes(batch.column(3)[row].as_py())
-                ids = [codes.between(b - n, b).astype("<u4").tobytes() for n, b in zip(sizes.tolist(), stops.tolist(), strict=True)]
+                data = codes.between(0, len(codes)).astype("<u4").tobytes()
+                ids = [data[4 * (b - n) : 4 * b] for n, b in zip(sizes.tolist(), stops.tolist(), strict=True)]
                 starts = pa.array(batch.column(2)[row].as_py() + stops - sizes)
                 columns = [doc_ids, starts, pa.array(sizes), pa.array(ids, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids"])
