@@ -24,6 +24,7 @@ from tallyweave.operators import losses as scoring
 from tallyweave.operators.encode import EncodingPlan
 from tallyweave.operators.sample import with_latents
 from tallyweave.plans import network
+from tallyweave.plans.progress import Progress, State, study_of
 from tallyweave.session import scratch
 
 MAX_ROWS_PER_TASK = 20_000_000
@@ -372,8 +373,15 @@ def _written(df: DataFrame) -> str:
     return path
 
 
+def _over(last: State, settings: Settings) -> bool:
+    """Whether no epoch follows."""
+    done = last.epoch + 1
+    stale = done >= max(settings.min_epochs, 1) and last.epoch - last.best_epoch >= settings.patience
+    return done >= settings.max_epochs or (done > 0 and stale)
+
+
 def fit(
-    encoded: DataFrame, model: Model, key: Sequence[str], seed: int
+    encoded: DataFrame, model: Model, key: Sequence[str], seed: int, state: str | None = None
 ) -> tuple[Model, list[dict]]:
     """Train on the rows of split ``train``, and keep the parameters of the best val loss.
 
@@ -385,10 +393,19 @@ def fit(
     ``lr_decay`` per epoch; training stops after ``patience`` epochs without a
     better loss on split ``val`` (on ``train`` if there is no such row).
     Returns the model and the loss of each epoch.
+
+    With a folder ``state`` every epoch is stored there (see ``progress``), and a fit of the same rows, settings and
+    seed goes on after the last one stored, also with more epochs than before. Epochs that were read are ``resumed``
+    in the history. Random numbers depend on seed, epoch and task, so the result is that of a fit in one go.
     """
-    settings = model.settings
+    settings, spark = model.settings, encoded.sparkSession
     weights = token_weights(model)
-    encoded = encoded.sparkSession.read.parquet(_written(encoded))
+    encoded = spark.read.parquet(_written(encoded))
+    epochs, last = None, None
+    if state is not None:
+        study = study_of(settings, model.shape, key, seed, model.vector, encoded)
+        epochs = Progress(spark, state, study)
+        last = epochs.last()
     counts = {r["split"]: r["count"] for r in encoded.groupBy("split").count().collect()}
     rows = counts.get("train", 0)
     if not rows:
@@ -404,22 +421,27 @@ def fit(
     try:
         train = kept.where(F.col("split") == "train")
         judged = kept.where(F.col("split") == ("val" if counts.get("val") else "train"))
-        moments = (np.zeros(model.shape.length), np.zeros(model.shape.length))
-        best, history, step, rate = None, [], 0, settings.lr
-        for epoch in range(settings.max_epochs):
+        if last is None:
+            zeros = np.zeros(model.shape.length)
+            last = State(-1, 0, settings.lr, math.nan, -1, [], model.vector, zeros, zeros, model.vector)
+        for entry in last.history:
+            entry["resumed"] = True
+        while not _over(last, settings):
+            model = replace(model, vector=last.vector)
+            epoch, moments = last.epoch + 1, (last.moment, last.square)
             vector, moments, steps = _train_round(
-                train, tasks, model, moments, step, rate, weights, seed, epoch
+                train, tasks, model, moments, last.step, last.rate, weights, seed, epoch
             )
-            step += steps
-            rate *= settings.lr_decay
-            model = replace(model, vector=vector)
-            loss = split_losses(judged, model, key, seed, (), weights).first()["loss"]
-            history.append({"epoch": epoch, "loss": loss, "tasks": tasks})
-            if best is None or math.isnan(best[0]) or loss < best[0]:
+            loss = split_losses(judged, replace(model, vector=vector), key, seed, (), weights).first()["loss"]
+            history = [*last.history, {"epoch": epoch, "loss": loss, "tasks": tasks, "resumed": False}]
+            best = (last.best_loss, last.best_epoch, last.best)
+            if math.isnan(best[0]) or loss < best[0]:
                 best = (loss, epoch, vector)
-            if epoch + 1 >= settings.min_epochs and epoch - best[1] >= settings.patience:
-                break
-        return replace(model, vector=best[2]), history
+            rate = last.rate * settings.lr_decay
+            last = State(epoch, last.step + steps, rate, *best[:2], history, vector, *moments, best[2])
+            if epochs is not None:
+                epochs.commit(last)
+        return replace(model, vector=last.best), last.history
     finally:
         kept.unpersist()
 

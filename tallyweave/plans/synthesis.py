@@ -12,7 +12,7 @@ from tallyweave.operators import density, encode, sample, tables
 from tallyweave.plans import model as modelling
 from tallyweave.plans import stored
 from tallyweave.plans import trials as trialling
-from tallyweave.session import scratch
+from tallyweave.session import delete, scratch
 from tallyweave.sources import files
 
 
@@ -52,10 +52,11 @@ def prepare(
 
 
 def train(
-    prepared: Prepared, settings: modelling.Settings, seed: int
+    prepared: Prepared, settings: modelling.Settings, seed: int, state: str | None = None
 ) -> tuple[modelling.Model, list[dict]]:
+    """The fitted model and its epochs; those stored below ``state`` are not run again."""
     untrained = modelling.build(prepared.features, prepared.controls, settings, seed)
-    return modelling.fit(prepared.encoded, untrained, prepared.key, seed)
+    return modelling.fit(prepared.encoded, untrained, prepared.key, seed, state)
 
 
 def run(
@@ -69,11 +70,11 @@ def run(
 ) -> dict[str, DataFrame]:
     """Fit, then ``losses`` by split, ``synthetic`` rows and their ``errors``.
 
-    With ``out`` the model, losses, synthetic rows and latents are written below
+    With ``out`` the epochs, so that a run that was ended can be started again, the model, losses, synthetic rows and latents are written below
     it, and the errors are those of the written rows. A ``fitted`` model is taken
     as it is.
     """
-    model = fitted or train(prepared, settings, seed)[0]
+    model = fitted or train(prepared, settings, seed, out and f"{out}/epochs")[0]
     key = list(prepared.key)
     losses = modelling.split_losses(prepared.encoded, model, key, seed)
     made = modelling.generate(prepared.data, model, key, seed, sample_tokens, keep_latents=True)
@@ -81,6 +82,7 @@ def run(
     if out is not None:
         spark: SparkSession = prepared.data.sparkSession
         stored.save_model(spark, model, f"{out}/model")
+        delete(spark, f"{out}/epochs")
         files.write_losses(losses, f"{out}/losses")
         made.write.mode("overwrite").parquet(f"{out}/made")
         made = spark.read.parquet(f"{out}/made")

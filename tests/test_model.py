@@ -1,12 +1,14 @@
 """The network against finite differences, and the jobs around it."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.operators import density, encode, losses, sample
 from tallyweave.plans import model as modelling
-from tallyweave.plans import network, stored
+from tallyweave.plans import network, progress, stored
 
 SHAPE = network.Shape(
     features=(("categorical", 3), ("continuous", 1)),
@@ -77,6 +79,50 @@ def test_loss_falls(fitted):
     assert all(r["loss"] == pytest.approx(r["recon"] + r["kld"]) for r in after)
 
 
+def test_resumed_fit_is_the_uninterrupted_one(fitted, tmp_path):
+    """Also after a driver that ended within an epoch; other seeds and rows are refused."""
+    untrained, encoded, _, _ = fitted
+    state = f"file://{tmp_path}/state"
+
+    def fit(epochs, state=None, seed=9, rows=encoded):
+        settings = replace(untrained.settings, max_epochs=epochs, min_epochs=epochs)
+        return modelling.fit(rows, replace(untrained, settings=settings), ["id"], seed, state)
+
+    whole, once = fit(4)
+    _, first = fit(2, state)
+    assert [h["resumed"] for h in first] == [False, False]
+    # Half an epoch, as a driver leaves it that is killed.
+    half = tmp_path / "state" / "_epoch=2-1234" / "parameters"
+    half.mkdir(parents=True)
+    again, second = fit(4, state)
+    assert [h["resumed"] for h in second] == [True, True, False, False]
+    assert [h["loss"] for h in second] == pytest.approx([h["loss"] for h in once], rel=1e-9)
+    assert np.allclose(again.vector, whole.vector, rtol=1e-7, atol=1e-9)
+    # Nothing is left to do, and only the last two epochs are kept.
+    _, third = fit(4, state)
+    assert all(h["resumed"] for h in third) and [h["loss"] for h in third] == [h["loss"] for h in second]
+    assert {p.name for p in (tmp_path / "state").iterdir() if p.name[0] == "e"} == {"epoch=2", "epoch=3"}
+    with pytest.raises(ValueError, match="own folder"):
+        fit(4, state, seed=8)
+    with pytest.raises(ValueError, match="own folder"):
+        fit(4, state, rows=encoded.where("id <> 7"))
+
+
+def test_an_epoch_is_stored_once(spark, tmp_path):
+    """Two drivers on one folder: the first keeps its epoch."""
+    vector = np.arange(3.0)
+    one = progress.Progress(spark, f"{tmp_path}/both", "study")
+    two = progress.Progress(spark, f"{tmp_path}/both", "study")
+    assert one.last() is None
+    state = progress.State(0, 5, 0.1, float("nan"), 0, [{"epoch": 0}], vector, vector + 1, vector + 2, vector + 3)
+    assert one.commit(state)
+    assert not two.commit(replace(state, step=6))
+    got = two.last()
+    assert (got.epoch, got.step, got.rate, got.history) == (0, 5, 0.1, [{"epoch": 0}]) and np.isnan(got.best_loss)
+    assert np.array_equal(got.best, vector + 3) and np.array_equal(got.square, vector + 2)
+    assert sorted(p.name for p in (tmp_path / "both").iterdir()) == ["epoch=0"]
+
+
 def test_losses_equal_the_network(fitted):
     """The aggregation over Spark columns is the loss that training descends."""
     _, encoded, trained, _ = fitted
