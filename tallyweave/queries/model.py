@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import arrays, draws
 from tallyweave.functions.recode import AGE_BANDS, SEX_CODES, recode
-from tallyweave.operators import controls, density, encode, lookups, losses
+from tallyweave.operators import controls, density, encode, lookups, losses, sample
 from tallyweave.plans import model as modelling
 from tallyweave.plans import synthesis, trials
 from tallyweave.queries.encoding import _FLAG_SQL, flag_probabilities
@@ -356,21 +356,22 @@ _HAND_SQL = f"""rows AS (SELECT o_orderkey, o_totalprice / 100000.0 AS z,
         + {HAND_SET["label0"][1]}::DOUBLE AS label FROM rows)"""
 
 
-def hand_set_model(spark, folder):
+def hand_set_model(spark, folder, orders=None, weights=None, keep=("o_orderkey", "o_totalprice")):
     """Orders encoded with the status as control and the priority as feature, and the network."""
-    orders = spread(table(spark, folder, "orders")).select(
-        "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice"
-    )
+    if orders is None:
+        orders = spread(table(spark, folder, "orders")).select(
+            "o_orderkey", "o_orderstatus", "o_orderpriority", "o_totalprice"
+        )
     plan = encode.fit(orders, include=["o_orderstatus", "o_orderpriority"])
     features, given = plan.only(["o_orderpriority"]), plan.only(["o_orderstatus"])
     model = modelling.build(features, given, modelling.Settings(1, 1, 0, 0, 0), 0)
     views = model.shape.views(model.vector)
-    for name, value in HAND_SET.items():
+    for name, value in (weights or HAND_SET).items():
         if isinstance(value, list):
             views[name][:, 0] = value
         else:
             views[f"{name}.w"][...], views[f"{name}.b"][...] = value
-    return modelling.encode_rows(orders, features, given, ["o_orderkey", "o_totalprice"]), model
+    return modelling.encode_rows(orders, features, given, list(keep)), model
 
 
 @query(
@@ -404,3 +405,144 @@ def infer_fixed(spark, folder):
     return made.select(
         "o_orderkey", rounded(F.get("mu", F.lit(0))).alias("mu"), rounded(F.get("log_var", F.lit(0))).alias("log_var")
     )
+
+
+def _unit_sql(digest, start=1):
+    return f"('0x' || substr({digest}, {start}, 8))::UBIGINT / 4294967296.0::DOUBLE"
+
+
+def _noise_sql(seed, key="o_orderkey", dim="0"):
+    digest = f"md5('{seed}:' || {key} || ':' || {dim})"
+    return f"sqrt(-2 * ln(1 - {_unit_sql(digest)})) * cos(2 * pi() * {_unit_sql(digest, 9)})"
+
+
+# The hidden value of a latent, and the probabilities of its tokens.
+_DECODED_SQL = f"""hidden AS (SELECT *, z * {HAND_SET["dec0"][0]}::DOUBLE + {HAND_SET["dec0"][1]}::DOUBLE + label AS h FROM drawn),
+    scores AS (SELECT o_orderkey, k AS token, exp(h * {HAND_SET["out0"][0]}[k + 1]::DOUBLE
+            + {HAND_SET["out0"][1]}[k + 1]::DOUBLE) AS e FROM hidden, range(5) r(k)),
+    probs AS (SELECT o_orderkey, token, e / sum(e) OVER (PARTITION BY o_orderkey) AS p FROM scores)"""
+_ENCODED_SQL = f"""latents AS (SELECT *, h * {HAND_SET["mu"][0]}::DOUBLE + {HAND_SET["mu"][1]}::DOUBLE AS mu,
+        h * {HAND_SET["var"][0]}::DOUBLE + {HAND_SET["var"][1]}::DOUBLE AS log_var
+    FROM (SELECT *, ({HAND_SET["x0"]}[t + 1]::DOUBLE + label) * {HAND_SET["enc0"][0]}::DOUBLE + {HAND_SET["enc0"][1]}::DOUBLE AS h
+        FROM labels))"""
+
+
+@query(
+    f"""WITH {_HAND_SQL}, drawn AS (SELECT o_orderkey, label, {_noise_sql(1234)} AS z FROM labels), {_DECODED_SQL},
+    running AS (SELECT *, sum(p) OVER (PARTITION BY o_orderkey ORDER BY token ROWS UNBOUNDED PRECEDING) AS upto,
+        sum(p) OVER (PARTITION BY o_orderkey ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS total,
+        {_unit_sql("md5('1235:o_orderpriority:' || o_orderkey)")} AS u FROM probs),
+    tokens AS (SELECT o_orderkey, least(count(*) FILTER (upto <= u * total), 4) AS token FROM running GROUP BY o_orderkey),
+    words AS (SELECT o_orderpriority, row_number() OVER (ORDER BY o_orderpriority) - 1 AS token
+        FROM (SELECT DISTINCT o_orderpriority FROM orders))
+    SELECT o_orderkey, o.o_orderstatus, w.o_orderpriority FROM orders o JOIN tokens USING (o_orderkey) JOIN words w USING (token)"""
+)
+def generate_fixed(spark, folder):
+    """A priority for every order, drawn from a network of known weights and a latent of its own."""
+    _, model = hand_set_model(spark, folder)
+    given = spread(table(spark, folder, "orders")).select("o_orderkey", "o_orderstatus")
+    return modelling.generate(given, model, ["o_orderkey"], 1234, sample=True)
+
+
+@query(
+    f"""WITH {_HAND_SQL}, {_ENCODED_SQL}
+    SELECT o_orderkey, round(mu + exp(log_var / 2) * {_noise_sql(5)}, 9) AS z FROM latents"""
+)
+def infer_draws_fixed(spark, folder):
+    """A draw of every order's latent by a network of known weights."""
+    rows, model = hand_set_model(spark, folder)
+    made = modelling.infer(rows, model, ["o_orderkey"], 5, ["o_orderkey"])
+    return made.select("o_orderkey", rounded(F.get("z", F.lit(0))).alias("z"))
+
+
+@query(
+    f"""WITH {_HAND_SQL}, {_ENCODED_SQL}, drawn AS (SELECT * EXCLUDE (z, h), mu + exp(log_var / 2) * {_noise_sql(5)} AS z FROM latents),
+    {_DECODED_SQL}, weights AS (SELECT t, avg(count(*)) OVER () / count(*) AS w FROM rows GROUP BY t),
+    parts AS (SELECT d.o_orderkey, split, w, -ln(p) AS nll, -0.5 * (1 + log_var - mu * mu - exp(log_var)) AS kl
+        FROM drawn d JOIN probs p ON p.o_orderkey = d.o_orderkey AND p.token = d.t JOIN weights USING (t)
+        JOIN ({_SPLIT_SQL}) s ON s.o_orderkey = d.o_orderkey)
+    SELECT split, count(*) AS n, round(0.9::DOUBLE * sum(w * nll) / sum(w) + 0.1::DOUBLE * avg(kl), 9) AS loss,
+        round(0.9::DOUBLE * sum(w * nll) / sum(w), 9) AS recon, round(0.1::DOUBLE * avg(kl), 9) AS kld,
+        round(sum(w * nll) / sum(w), 9) AS recon_o_orderpriority FROM parts GROUP BY split"""
+)
+def split_losses_fixed(spark, folder):
+    """All losses by split of a network of known weights."""
+    rows, model = hand_set_model(spark, folder)
+    parts = sample.split(rows, ["o_orderkey"], 1234, 0.1, 0.1)
+    return round_doubles(modelling.split_losses(parts, model, ["o_orderkey"], 5))
+
+
+# For one step of training: latents with so little spread that their noise does not count.
+STEP_SET = {**HAND_SET, "var": (0.1, -80.0)}
+STEP_RATE = 0.01
+
+
+def _step_sql():
+    """The gradient by every parameter, written out by the chain rule, and one step of Adam by it."""
+    s = {n: v if isinstance(v, list) else [f"{x}::DOUBLE" for x in v] for n, v in STEP_SET.items()}
+    out_w, out_b = STEP_SET["out0"]
+    sums = [f"(SELECT sum(CASE WHEN s = {i} THEN grad_y * {s['label0'][0]} ELSE 0 END) FROM back)" for i in range(3)]
+    sums += ["(SELECT sum(y * grad_y) FROM back)", "(SELECT sum(grad_y) FROM back)"]
+    sums += [f"(SELECT sum(CASE WHEN t = {i} THEN grad_in ELSE 0 END) FROM back)" for i in range(5)]
+    sums += ["(SELECT sum(e * grad_e) FROM back)", "(SELECT sum(grad_e) FROM back)"]
+    for head in ("mu", "var"):
+        sums += [f"(SELECT sum(h * grad_{head}) FROM back)", f"(SELECT sum(grad_{head}) FROM back)"]
+    sums += ["(SELECT sum(mu * grad_h) FROM back)", "(SELECT sum(grad_h) FROM back)"]
+    sums += [f"(SELECT sum(k * grad) FROM heads WHERE c = {i})" for i in range(5)]
+    sums += [f"(SELECT sum(grad) FROM heads WHERE c = {i})" for i in range(5)]
+    start = [*STEP_SET["y0"], *STEP_SET["label0"], *STEP_SET["x0"], *STEP_SET["enc0"], *STEP_SET["mu"]]
+    start += [*STEP_SET["var"], *STEP_SET["dec0"], *out_w, *out_b]
+    return f"""WITH cells AS (SELECT DISTINCT o_orderstatus, o_orderpriority, month(o_orderdate) AS m FROM orders),
+    rows AS (SELECT *, row_number() OVER () AS id, dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS s,
+        dense_rank() OVER (ORDER BY o_orderpriority) - 1 AS t FROM cells),
+    weights AS (SELECT t, avg(count(*)) OVER () / count(*) AS w FROM rows GROUP BY t),
+    r1 AS (SELECT *, {STEP_SET["y0"]}[s + 1]::DOUBLE AS y, w / sum(w) OVER () AS share, count(*) OVER () AS n
+        FROM rows JOIN weights USING (t)),
+    r2 AS (SELECT *, y * {s["label0"][0]} + {s["label0"][1]} AS label FROM r1),
+    r3 AS (SELECT *, {STEP_SET["x0"]}[t + 1]::DOUBLE + label AS e FROM r2),
+    r4 AS (SELECT *, e * {s["enc0"][0]} + {s["enc0"][1]} AS h FROM r3),
+    r5 AS (SELECT *, h * {s["mu"][0]} + {s["mu"][1]} AS mu, h * {s["var"][0]} + {s["var"][1]} AS lv FROM r4),
+    r6 AS (SELECT *, mu * {s["dec0"][0]} + {s["dec0"][1]} + label AS k FROM r5),
+    scores AS (SELECT id, t, share, k, c, exp(k * {out_w}[c + 1]::DOUBLE + {out_b}[c + 1]::DOUBLE) AS x FROM r6, range(5) a(c)),
+    heads AS (SELECT *, (x / sum(x) OVER (PARTITION BY id) - CASE WHEN c = t THEN 1 ELSE 0 END) * share * 0.9::DOUBLE AS grad
+        FROM scores),
+    b1 AS (SELECT r6.*, grad_h FROM r6 JOIN (SELECT id, sum(grad * {out_w}[c + 1]::DOUBLE) AS grad_h FROM heads GROUP BY id) USING (id)),
+    b2 AS (SELECT *, grad_h * {s["dec0"][0]} + 0.1::DOUBLE * mu / n AS grad_mu, 0.05::DOUBLE * (exp(lv) - 1) / n AS grad_var FROM b1),
+    b3 AS (SELECT *, grad_mu * {s["mu"][0]} + grad_var * {s["var"][0]} AS grad_e FROM b2),
+    b4 AS (SELECT *, grad_e * {s["enc0"][0]} AS grad_in FROM b3),
+    back AS (SELECT *, grad_h + grad_in AS grad_y FROM b4),
+    steps AS (SELECT unnest(range(0, {len(sums)})) AS "at", unnest({start}::DOUBLE[]) AS old,
+        unnest([{", ".join(sums)}]) + 0.01::DOUBLE * unnest({start}::DOUBLE[]) AS g)
+    SELECT "at", round(old - {STEP_RATE}::DOUBLE * g / (abs(g) + 1e-8::DOUBLE), 9) AS vector, round(0.1::DOUBLE * g, 9) AS moment,
+        round(0.001::DOUBLE * g * g, 9) AS square FROM steps"""
+
+
+@query(_step_sql())
+def train_step_fixed(spark, folder):
+    """Parameters and moments after one step of training of a network of known weights, on all kinds of orders."""
+    kinds = spread(table(spark, folder, "orders")).select(
+        "o_orderstatus", "o_orderpriority", F.month("o_orderdate").alias("month")
+    ).distinct()
+    # A few hundred rows, and so a single step.
+    rows, model = hand_set_model(spark, folder, kinds, STEP_SET, ["o_orderstatus", "o_orderpriority", "month"])
+    model = replace(model, settings=replace(model.settings, lr=STEP_RATE, min_epochs=1, max_epochs=1))
+    key = ["o_orderstatus", "o_orderpriority", "month"]
+    state = scratch(spark, "step")
+    modelling.fit(rows.withColumn("split", F.lit("train")), model, key, 1, state)
+    return round_doubles(spark.read.parquet(f"{state}/epoch=0/parameters").drop("best"))
+
+
+@query("SELECT epoch, epoch < 2 AS resumed, true AS same FROM range(4) r(epoch), (SELECT count(*) FROM orders)")
+def resumed_fit(spark, folder):
+    """The epochs of a fit that was ended after two and resumed, and whether their losses are those of one in one go."""
+    prepared = prepared_orders(spark, folder)
+    state = scratch(spark, "epochs")
+    two, four = (replace(SETTINGS, min_epochs=n, max_epochs=n) for n in (2, 4))
+    _, whole = synthesis.train(prepared, four, 1234)
+    synthesis.train(prepared, two, 1234, state)
+    _, parts = synthesis.train(prepared, four, 1234, state)
+    rows = [
+        (a["epoch"], a["resumed"], abs(a["loss"] - b["loss"]) <= 1e-9 * abs(b["loss"]))
+        for a, b in zip(parts, whole, strict=True)
+    ]
+    return spark.createDataFrame(rows, "epoch bigint, resumed boolean, same boolean")
