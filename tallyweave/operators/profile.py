@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.columns import col
 from tallyweave.operators.density import grouping_set_counts
+from tallyweave.session import cut_lineage
 
 # Fixed value: "not applicable" in the census codes.
 SENTINEL = -8
@@ -133,60 +134,148 @@ def identifier_like(profiled: DataFrame) -> DataFrame:
     return profiled.where((F.col("n_rows") > 0) & (F.col("n_distinct") == F.col("n_rows")))
 
 
-@dataclass
-class _Bracket:
-    """Values between which a rank is known to lie; None is unbounded."""
+@dataclass(frozen=True)
+class _Rank:
+    """A wanted rank of a column, and ends that lie around it, from the nearest to the farthest.
+
+    None is an end beyond all values, and the last pair has no other.
+    """
 
     column: str
     rank: int
-    low: float | None = None
-    high: float | None = None
-    below: int = 0
-    inside: int = 0
+    ends: tuple[tuple[float | None, float | None], ...]
+
+
+#: Distances from a share at which its neighbourhood is bracketed, in units of the sketch's error.
+DISTANCES = (2, 20, 200)
+
+
+def _asked(shares: Sequence[float], accuracy: int) -> list[float]:
+    """The shares that a sketch is asked for: those at all distances to both sides of the wanted ones."""
+    steps = [d / accuracy for d in DISTANCES]
+    return sorted({min(max(q + side * d, 0.0), 1.0) for q in shares for d in steps for side in (-1, 1)})
+
 
-    def number(self) -> Column:
-        return col(self.column).cast("double")
+def _sketch(df: DataFrame, name: str, shares: Sequence[float], accuracy: int) -> Column:
+    """Approximate quantiles of a column, whose ranks are off by at most ``1 / accuracy`` of its values."""
+    return F.percentile_approx(_as_double(df, name), _asked(shares, accuracy), accuracy)
 
-    def holds(self) -> Column:
-        condition = self.number().isNotNull()
-        if self.low is not None:
-            condition &= self.number() >= F.lit(self.low)
-        if self.high is not None:
-            condition &= self.number() <= F.lit(self.high)
-        return condition
 
+def _ranks(name: str, n: int, found: Sequence[float], shares: Sequence[float], accuracy: int) -> list[_Rank]:
+    """The ranks of the shares, bracketed by what a sketch has found."""
+    asked, out = _asked(shares, accuracy), []
+    for share in shares:
+        rank, ends = math.floor((n - 1) * share + 0.5), []
+        for d in DISTANCES:
+            # An end is taken if its rank is on the right side even when it is off as far as it may be.
+            low = [x for s, x in zip(asked, found) if (s + 1 / accuracy) * n + 1 <= rank and s <= share - d / accuracy]
+            high = [x for s, x in zip(asked, found) if (s - 1 / accuracy) * n - 1 >= rank and s >= share + d / accuracy]
+            ends.append((low[-1] if low else None, high[0] if high else None))
+        out.append(_Rank(name, rank, (*ends, (None, None))))
+    return out
+
+
+def _intervals(ends: list[tuple[float | None, float | None]]) -> list[tuple[float, float]]:
+    """The brackets of a column as intervals without overlap, in order."""
+    out: list[tuple[float, float]] = []
+    spans = [(-math.inf if a is None else a, math.inf if b is None else b) for a, b in ends]
+    for low, high in sorted(spans):
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
+    return out
 
-def _narrow(df: DataFrame, brackets: list[_Bracket], accuracy: int) -> None:
-    """Move the ends of each bracket to approximate quantiles around its rank.
 
-    The ranks of approximate quantiles are off by at most ``1 / accuracy`` of the
-    rows; the ends keep twice that distance. Counts then prove where the rank lies.
+def _bracketed(df: DataFrame, intervals: dict[str, list[tuple[float, float]]]) -> DataFrame:
+    """``i, slot, x, n``: counts of the values in the intervals (odd slots) and, without ``x``, of those between them.
+
+    One scan for all columns; the counts are combined before the shuffle, and only values in
+    the intervals are many. NaN is larger than any number.
+    """
+    entries = []
+    for i, (name, spans) in enumerate(intervals.items()):
+        number, slot, kept = _as_double(df, name), F, F
+        for k, (low, high) in enumerate(spans):
+            if low != -math.inf:
+                slot, kept = slot.when(number < F.lit(low), 2 * k), kept.when(number < F.lit(low), None)
+            inside = F.lit(True) if high == math.inf else number <= F.lit(high)
+            slot, kept = slot.when(inside, 2 * k + 1), kept.when(inside, number)
+        slot = F.when(number.isNotNull(), slot.otherwise(2 * len(spans)))
+        entries.append(F.struct(F.lit(i).alias("i"), slot.alias("slot"), kept.otherwise(None).cast("double").alias("x")))
+    rows = df.select(F.inline(F.array(*entries))).where("slot is not null")
+    return rows.groupBy("i", "slot", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _at_ranks(values: DataFrame, wanted: list[tuple[int, int, int]], few: int) -> dict[tuple[int, int, int], float]:
+    """The value at each (i, slot, rank) of counted values; ranks begin with each slot.
+
+    Up to ``few`` values are ranked as they are. More are dealt out by ranges, whose sums tell in which of them
+    a rank lies; only those are ranked.
+    """
+    spark = values.sparkSession
+    wanted_rows = spark.createDataFrame(wanted, "i int, slot int, rank bigint")
+    by, begin = ["i", "slot"], F.lit(0).cast("bigint")
+    if values.count() > few:
+        placed = cut_lineage(
+            values.repartitionByRange("i", "slot", "x").withColumn("part", F.spark_partition_id())
+        )
+        sums = placed.groupBy("part", *by).agg(F.sum("n").alias("sum"))
+        # A row for each part and slot.
+        before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("begin", F.coalesce(F.sum("sum").over(before), begin))
+        inside = (F.col("rank") >= F.col("begin")) & (F.col("rank") < F.col("begin") + F.col("sum"))
+        held = sums.join(F.broadcast(wanted_rows), by).where(inside).select("part", *by, "begin").distinct()
+        values = placed.join(F.broadcast(held), ["part", *by])
+        by, begin = ["part", *by], F.col("begin")
+    upto = begin + F.sum("n").over(Window.partitionBy(*by).orderBy("x"))
+    ranked = values.withColumn("upto", upto).join(F.broadcast(wanted_rows), ["i", "slot"])
+    found = ranked.where(F.col("upto") > F.col("rank")).groupBy("i", "slot", "rank").agg(F.min("x").alias("x"))
+    return {(r["i"], r["slot"], r["rank"]): r["x"] for r in found.collect()}
+
+
+def _exact(df: DataFrame, ranks: list[_Rank], few: int) -> dict[_Rank, float]:
+    """The values at the ranks, from one scan.
+
+    Counts prove that a rank lies in its bracket. Should one not (sketches are merged, and a
+    merged one may be off by more than it promises), it is looked for between farther ends, in another scan.
     """
-    # Ranks of a column with the same bracket share one sketch.
-    groups: dict[tuple, list[_Bracket]] = {}
-    for b in brackets:
-        groups.setdefault((b.column, b.low, b.high), []).append(b)
-    ends = []
-    for i, group in enumerate(groups.values()):
-        near = []
-        for b in group:
-            share = (b.rank - b.below) / max(b.inside, 1)
-            near += [max(share - 2 / accuracy, 0.0), min(share + 2 / accuracy, 1.0)]
-        inside = F.when(group[0].holds(), group[0].number())
-        ends.append(F.percentile_approx(inside, near, accuracy).alias(f"e{i}"))
-    for group, found in zip(groups.values(), df.agg(*ends).first()):
-        for j, b in enumerate(group if found is not None else []):
-            b.low, b.high = found[2 * j : 2 * j + 2]
-
-
-def _count(df: DataFrame, brackets: list[_Bracket]) -> None:
-    counts = []
-    for i, b in enumerate(brackets):
-        low = F.lit(False) if b.low is None else b.number() < F.lit(b.low)
-        counts += [F.count_if(low).alias(f"b{i}"), F.count_if(b.holds()).alias(f"i{i}")]
-    got = df.agg(*counts).first()
-    for i, b in enumerate(brackets):
-        b.below, b.inside = got[f"b{i}"], got[f"i{i}"]
+    names = list(dict.fromkeys(r.column for r in ranks))
+    intervals = {n: _intervals([r.ends[0] for r in ranks if r.column == n]) for n in names}
+    values = cut_lineage(_bracketed(df, intervals))
+    slots: dict[int, list[tuple[int, int]]] = {i: [] for i in range(len(names))}
+    # At most seven rows for a column and three shares.
+    for row in values.groupBy("i", "slot").agg(F.sum("n").alias("n")).orderBy("i", "slot").collect():
+        slots[row["i"]].append((row["slot"], row["n"]))
+    wanted, missed = {}, []
+    for r in ranks:
+        i, rest = names.index(r.column), r.rank
+        for slot, n in slots[i]:
+            if rest < n:
+                break
+            rest -= n
+        if slot % 2:
+            wanted[r] = (i, slot, rest)
+        else:
+            missed.append(r)
+    found = _at_ranks(values.where("slot % 2 = 1"), sorted(set(wanted.values())), few) if wanted else {}
+    out = {r: found[place] for r, place in wanted.items()}
+    if missed:
+        farther = {replace(r, ends=r.ends[1:]): r for r in missed}
+        out.update({farther[r]: x for r, x in _exact(df, list(farther), few).items()})
+    return out
+
+
+def _quantiles(df, sketched, shares, accuracy, few) -> dict[str, list[float | None]]:
+    """Quantiles of the columns of ``{name: (values, sketch)}``."""
+    ranks = [
+        r for name, (n, found) in sketched.items() if n for r in _ranks(name, n, found, shares, accuracy)
+    ]
+    exact = _exact(df, ranks, few) if ranks else {}
+    out: dict[str, list[float | None]] = {name: [] for name in sketched}
+    for r in ranks:
+        out[r.column].append(exact[r])
+    return {name: got or [None] * len(shares) for name, got in out.items()}
 
 
 def quantiles(
@@ -198,78 +287,60 @@ def quantiles(
 ) -> dict[str, list[float | None]]:
     """Exact quantiles of numeric columns: the value whose rank is nearest to the share.
 
-    Approximate quantiles bracket each rank, until at most ``few`` values remain
-    that may hold it; only those are ranked. Every pass is one aggregation for
-    all columns, and each but the first leaves some ten-thousandths of the rows.
+    Two scans for all columns, however many rows there are. Sketches bracket each rank in the first. The second
+    counts what is below each bracket and the values inside, a few ten-thousandths of the rows, and these alone
+    are ranked, by ranges if they are more than ``few``.
     """
     names = list(columns)
-    rows = df.agg(*[F.count(col(n)).alias(f"n{i}") for i, n in enumerate(names)]).first()
-    brackets = [
-        _Bracket(name, math.floor((rows[f"n{i}"] - 1) * share + 0.5), inside=rows[f"n{i}"])
-        for i, name in enumerate(names)
-        for share in shares
-        if rows[f"n{i}"] > 0
-    ]
-    wide = [b for b in brackets if b.inside > few]
-    while wide:
-        before = {id(b): (b.low, b.high, b.below, b.inside) for b in wide}
-        _narrow(df, wide, accuracy)
-        _count(df, wide)
-        for b in wide:
-            if not b.below <= b.rank < b.below + b.inside:
-                b.low, b.high, b.below, b.inside = before[id(b)]
-        # Done where a single value is left, however often it occurs.
-        wide = [
-            b
-            for b in wide
-            if b.inside > few and b.inside < before[id(b)][3] and b.low != b.high
-        ]
+    if not names:
+        return {}
+    got = df.agg(
+        *[F.count(col(n)).alias(f"n{i}") for i, n in enumerate(names)],
+        *[_sketch(df, n, shares, accuracy).alias(f"q{i}") for i, n in enumerate(names)],
+    ).first()
+    sketched = {name: (got[f"n{i}"], got[f"q{i}"]) for i, name in enumerate(names)}
+    return _quantiles(df, sketched, shares, accuracy, few)
 
-    found: dict[str, list[float | None]] = {name: [] for name in names}
-    if brackets:
-        entries = [
-            F.struct(F.lit(i).alias("i"), F.when(b.holds(), b.number()).alias("x"))
-            for i, b in enumerate(brackets)
-        ]
-        values = (
-            df.select(F.inline(F.array(*entries))).where("x is not null").groupBy("i", "x").count()
-        )
-        # Distinct values inside a bracket, no more than ``few`` of them per rank.
-        upto = F.sum("count").over(Window.partitionBy("i").orderBy("x"))
-        rank = F.get(F.array(*[F.lit(b.rank - b.below) for b in brackets]), F.col("i"))
-        hit = values.withColumn("upto", upto).where(F.col("upto") > rank)
-        for row in hit.groupBy("i").agg(F.min("x").alias("x")).orderBy("i").collect():
-            found[brackets[row["i"]].column].append(row["x"])
-    return {name: got or [None] * len(shares) for name, got in found.items()}
 
+#: Of every column, in the result of :func:`summary`.
+SUMMARY_SCHEMA = (
+    "column string, n bigint, n_null bigint, mean double, std double, minimum double, q25 double, q50 double,"
+    " q75 double, maximum double, least string, greatest string"
+)
 
-def summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+
+def summary(
+    df: DataFrame, columns: Sequence[str] | None = None, accuracy: int = 10_000, few: int = 100_000
+) -> DataFrame:
     """Counts, nulls and extremes of every column; mean, std and quartiles of the numeric ones.
 
-    ``least`` and ``greatest`` are the extremes of the other columns, as text.
+    ``least`` and ``greatest`` are the extremes of the other columns, as text. Two scans: one has all statistics and the
+    sketches for the quartiles, the other the values around these (see :func:`quantiles`).
     """
     names, dtypes = list(columns or df.columns), dict(df.dtypes)
-    quartiles = quantiles(df, [n for n in names if is_number(dtypes[n])])
+    numbers, shares = [n for n in names if is_number(dtypes[n])], (0.25, 0.5, 0.75)
 
     def stats(i, name):
         number = _as_double(df, name)
-        other = F.lit(None).cast("string") if name in quartiles else col(name)
-        q25, q50, q75 = (F.lit(q).cast("double") for q in quartiles.get(name, [None] * 3))
+        is_other = name not in numbers
+        other = col(name) if is_other else F.lit(None).cast("string")
         return F.struct(
-            F.lit(name).alias("column"),
             F.count(col(name)).alias("n"),
             F.count_if(col(name).isNull()).alias("n_null"),
             F.avg(number).alias("mean"),
             F.stddev_samp(number).alias("std"),
             F.min(number).alias("minimum"),
-            q25.alias("q25"),
-            q50.alias("q50"),
-            q75.alias("q75"),
             F.max(number).alias("maximum"),
             F.min(other).cast("string").alias("least"),
             F.max(other).cast("string").alias("greatest"),
+            *([] if is_other else [_sketch(df, name, shares, accuracy).alias("sketch")]),
         ).alias(f"s{i}")
 
-    return df.agg(*[stats(i, n) for i, n in enumerate(names)]).select(
-        F.inline(F.array(*[F.col(f"s{i}") for i in range(len(names))]))
-    )
+    got = df.agg(*[stats(i, n) for i, n in enumerate(names)]).first()
+    facts = {name: got[f"s{i}"] for i, name in enumerate(names)}
+    quartiles = _quantiles(df, {n: (facts[n]["n"], facts[n]["sketch"]) for n in numbers}, shares, accuracy, few)
+    rows = []
+    for name, f in facts.items():
+        middle = quartiles.get(name, [None] * 3)
+        rows.append((name, f["n"], f["n_null"], f["mean"], f["std"], f["minimum"], *middle, f["maximum"], f["least"], f["greatest"]))
+    return df.sparkSession.createDataFrame(rows, SUMMARY_SCHEMA)
