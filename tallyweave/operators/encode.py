@@ -28,7 +28,7 @@ from tallyweave.operators.tables import (
     require_numeric,
     with_row_ids,
 )
-from tallyweave.session import cut_lineage
+from tallyweave.session import cut_lineage, scratch
 
 # A column of fewer distinct values is categorical; minutes of a day.
 MAX_CATEGORIES = 25
@@ -65,8 +65,8 @@ class ColumnPlan:
         few = self.size <= LITERALS and self.bytes <= LITERAL_BYTES
         return self.kind == "categorical" and few
 
-    def is_small(self) -> bool:
-        return self.size <= BROADCAST_ROWS and self.bytes <= BROADCAST_BYTES
+    def is_small(self, rows: int | None = None) -> bool:
+        return self.size <= (BROADCAST_ROWS if rows is None else rows) and self.bytes <= BROADCAST_BYTES
 
 
 @dataclass(frozen=True)
@@ -325,6 +325,41 @@ def _with_words(
     return split_join(keyed, lookup, "__key_in", hot).drop("__key_in")
 
 
+def _word_text(source: Column, dtype: str) -> Column:
+    """The text that a vocabulary has for a value; a negative zero is a zero there."""
+    return (source + F.lit(0.0) if dtype in ("float", "double") else source).cast("string")
+
+
+def _with_many_words(
+    df: DataFrame, plan: EncodingPlan, keys: Mapping[str, Column], by: str, adds: str
+) -> DataFrame:
+    """Add ``adds`` of the vocabulary as ``__found_<name>`` for several large columns in one join.
+
+    The rows are written once, with a number each, and their values are melted to (row, column, value). The most
+    frequent words of the vocabulary take a broadcast, the other values one join by column and value, and what is
+    found is grouped by row and joined back. So the rows are shuffled once, however many columns
+    there are, and only numbers and values besides.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, "rows")
+    df.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
+    rows = spark.read.parquet(path)
+    names = list(keys)
+    entries = [F.struct(F.lit(i).alias("__c"), key.alias("__k")) for i, key in enumerate(keys.values())]
+    melted = rows.select("__row", F.inline(F.array(*entries))).where(F.col("__k").isNotNull())
+    number = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])[F.col("column")]
+    words = plan.vocabulary.where(F.col("column").isin(names) & F.col("value").isNotNull())
+    words = words.select(number.alias("__c"), F.col(by).cast("string").alias("__k"), F.col(adds).alias("__found"), "n")
+    hot = cut_lineage(words.orderBy(F.desc("n"), "__c", "__k").limit(HOT_KEYS).drop("n"))
+    on, words = ["__c", "__k"], words.drop("n")
+    served = melted.join(F.broadcast(hot), on)
+    rest = melted.join(F.broadcast(hot.drop("__found")), on, "left_anti").join(words, on)
+    found = served.unionByName(rest).groupBy("__row").agg(
+        *[F.max(F.when(F.col("__c") == i, F.col("__found"))).alias(f"__found_{n}") for i, n in enumerate(names)]
+    )
+    return rows.join(found, "__row", "left").drop("__row")
+
+
 def encode(
     df: DataFrame,
     plan: EncodingPlan,
@@ -332,17 +367,24 @@ def encode(
     unseen: str = "error",
     prefix: str = "",
     as_vector: str | None = None,
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Numbers for every column of the plan: tokens, or values scaled to the unit interval.
 
     ``keep`` columns are passed through. A value not in the vocabulary is an
     error that names it, or the token -1 with ``unseen="code"``. ``as_vector``
-    names an extra ``array<double>`` column of all the numbers of the row.
+    names an extra ``array<double>`` column of all the numbers of the row. Vocabularies of more than ``broadcast_rows``
+    words (``BROADCAST_ROWS``) are joined by shuffling, together if there are several.
     """
     if unseen not in ("error", "code"):
         raise ValueError("unseen must be 'error' or 'code'")
     require_columns(df, plan.names())
     literal = _literal_words(plan)
+    large = [c for c in plan.columns if c.kind == "categorical" and c.name not in literal and not c.is_small(broadcast_rows)]
+    if len(large) > 1:
+        needed = dict.fromkeys([*keep, *plan.names()])
+        keys = {c.name: _word_text(col(c.name), c.dtype) for c in large}
+        df = _with_many_words(df.select(*map(col, needed)), plan, keys, "value", "token")
     out = {}
     for c in plan.columns:
         source = col(c.name)
@@ -360,6 +402,8 @@ def encode(
                 if value is not None:
                     pairs += [F.lit(value).cast(c.dtype), F.lit(token)]
             found = F.create_map(*pairs)[source] if pairs else F.lit(None).cast("int")
+        elif len(large) > 1 and c in large:
+            found = col(f"__found_{c.name}")
         else:
             df = _with_words(df, plan, c.name, "value", "token", source)
             df = df.withColumnRenamed("__found", f"__token_{c.name}")
@@ -391,14 +435,24 @@ def unseen_values(df: DataFrame, plan: EncodingPlan) -> DataFrame:
 
 
 def decode(
-    df: DataFrame, plan: EncodingPlan, keep: Sequence[str] = (), prefix: str = ""
+    df: DataFrame,
+    plan: EncodingPlan,
+    keep: Sequence[str] = (),
+    prefix: str = "",
+    broadcast_rows: int | None = None,
 ) -> DataFrame:
     """Values from the numbers of :func:`encode`, in their source types.
 
-    A token outside the vocabulary is an error that names it.
+    Large vocabularies are joined as there. A token outside the vocabulary is an error that names it.
     """
-    require_columns(df, [prefix + n for n in plan.names()])
+    names = [prefix + n for n in plan.names()]
+    require_columns(df, names)
     literal = _literal_words(plan)
+    large = [c for c in plan.columns if c.kind == "categorical" and c.name not in literal and not c.is_small(broadcast_rows)]
+    if len(large) > 1:
+        needed = dict.fromkeys([*keep, *names])
+        keys = {c.name: col(prefix + c.name).cast("int").cast("string") for c in large}
+        df = _with_many_words(df.select(*map(col, needed)), plan, keys, "token", "value")
     out = {}
     for c in plan.columns:
         source = col(prefix + c.name)
@@ -408,6 +462,8 @@ def decode(
         if c.name in literal:
             words = [F.lit(v).cast(c.dtype) for v in literal[c.name]]
             found = F.get(F.array(*words), source.cast("int"))
+        elif len(large) > 1 and c in large:
+            found = col(f"__found_{c.name}").cast(c.dtype)
         else:
             df = _with_words(df, plan, c.name, "token", "value", source)
             df = df.withColumnRenamed("__found", f"__value_{c.name}")

@@ -283,6 +283,33 @@ def decode_roundtrip(spark, folder):
     return decoded.withColumn("l_quantity", rounded("l_quantity"))
 
 
+WIDE = ["l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"]
+
+
+def _wide_lines(spark, folder):
+    df = table(spark, folder, "lineitem").select(*WIDE, "l_linenumber", "l_returnflag")
+    return df, encode.fit(df, include=WIDE, overrides={c: "categorical" for c in WIDE})
+
+
+@query(
+    f"""SELECT l_linenumber, l_returnflag, {", ".join(f"CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS INTEGER) AS {c}" for c in WIDE)}
+    FROM lineitem"""
+)
+def tokenise_wide(spark, folder):
+    """Several columns of many values each, as if none could be broadcast."""
+    df, plan = _wide_lines(spark, folder)
+    return encode.encode(df, plan, keep=["l_linenumber", "l_returnflag"], broadcast_rows=0)
+
+
+@query(f"SELECT l_linenumber, l_returnflag, {', '.join(WIDE)} FROM lineitem")
+def detokenise_wide(spark, folder):
+    """The same there and back."""
+    df, plan = _wide_lines(spark, folder)
+    keep = ["l_linenumber", "l_returnflag"]
+    tokens = encode.encode(df, plan, keep=keep, broadcast_rows=0)
+    return encode.decode(tokens, plan, keep=keep, broadcast_rows=0)
+
+
 # Shares of each return flag given the line status, one array per line status.
 _FLAG_SQL = """flags AS (SELECT l_returnflag, CAST(row_number() OVER (ORDER BY l_returnflag) - 1 AS INTEGER)
         AS token FROM (SELECT DISTINCT l_returnflag FROM lineitem)),

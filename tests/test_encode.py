@@ -64,6 +64,44 @@ def names(spark):
     )
 
 
+def exchanged(df, name):
+    """Shuffles in the plan whose rows have a column of that name."""
+    found, nodes = 0, [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        children = node.children()
+        nodes += [children.apply(i) for i in range(children.length())]
+        if node.nodeName() == "Exchange":
+            found += f"{name}#" in node.output().mkString(",")
+    return found
+
+
+def test_several_large_columns_take_one_shuffle_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(encode, "HOT_KEYS", 3)
+    monkeypatch.setattr(encode, "LITERALS", 2)
+    rows = [(i, f"a{i % 50}", i % 40, (i % 30) / 4 - 1, None if i % 9 == 0 else f"c{i % 7}", "rest") for i in range(900)]
+    rows += [(900 + i, "a0", 0, -0.0, None, "rest") for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, a string, b int, d double, c string, payload string")
+    names = ["a", "b", "c", "d"]
+    plan = encode.fit(df, include=names, overrides={n: "categorical" for n in names})
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        wide = encode.encode(df, plan, keep=["id", "payload"], broadcast_rows=0)
+        assert exchanged(wide, "payload") <= 1
+        back = encode.decode(wide, plan, keep=["id", "payload"], broadcast_rows=0)
+        assert exchanged(back, "payload") <= 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    want = encode.encode(df, plan, keep=["id", "payload"])
+    assert wide.exceptAll(want).count() == 0 and wide.count() == 1200
+    assert back.select("id", *names).exceptAll(df.select("id", *names)).count() == 0 and back.count() == 1200
+    other = df.withColumn("a", F.when(F.col("id") == 5, "new").otherwise(F.col("a")))
+    coded = encode.encode(other, plan, keep=["id"], unseen="code", broadcast_rows=0)
+    assert [r["id"] for r in coded.where("a = -1").collect()] == [5]
+    with pytest.raises(Exception, match="not in the vocabulary: new"):
+        encode.encode(other, plan, keep=["id"], broadcast_rows=0).collect()
+
+
 @pytest.mark.parametrize("broadcast_rows", [1_000, 10])
 def test_wide_vocabulary(spark, names, monkeypatch, broadcast_rows):
     """By broadcast join, and by numbering and joining without any broadcast."""
