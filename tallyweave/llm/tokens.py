@@ -43,10 +43,12 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 0
 #: A segment is closed when it has so many ids; it has more if a document has.
 SEGMENT = 1 << 18
-#: Words whose ids a worker remembers; when it has more, those not met again before the next so many are forgotten.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers; when it has more, those not met again since the last time are forgotten.
+REMEMBERED = 1_500_000
+#: New words that are encoded as one text.
+TOGETHER = 32
 #: Bytes of texts taken at a time, unless one text is longer.
-BYTES = 4 << 20
+BYTES = 8 << 20
 #: Bytes of a row group, so that a large file is read by several tasks.
 ROW_GROUP = 16 << 20
 
@@ -64,7 +66,10 @@ class Encoder:
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.young, self.old = Tokenizer.from_str(spec), {}, {}
+        self.tokenizer = Tokenizer.from_str(spec)
+        # Words and their ids, and which of them have been met again lately.
+        self.words, self.lists = pa.array([], pa.string()), pa.array([], pa.list_(pa.uint32()))
+        self.met = np.zeros(0, dtype=bool)
         rules = json.loads(spec)
         before = rules.get("pre_tokenizer") or {}
         # These rules take a space as the beginning of the word after it, and encode every word by itself.
@@ -89,66 +94,82 @@ class Encoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _learn(self, words: set[str]) -> None:
-        """Bring the ids of words, each with the space before it, to ``young``: from ``old``, or from one call for all others."""
-        self.young.update((w, self.old[w]) for w in words.intersection(self.old))
-        fresh = list(words.difference(self.old))
-        if not fresh:
-            return
-        ids = self._whole("".join([f" {word}" for word in fresh]))
-        ends = np.cumsum([1 + len(word.encode()) for word in fresh])
+    def _learn(self, words: list[str]) -> None:
+        """Remember the ids of words, each with the space before it; short texts of many words take the library least."""
+        found: list[int] = []
+        for at in range(0, len(words), TOGETHER):
+            text = "".join([f" {word}" for word in words[at : at + TOGETHER]])
+            found += self.tokenizer.encode(text, add_special_tokens=False).ids
+        ids = np.array(found, dtype="<u4")
+        ends = np.cumsum([1 + len(word.encode()) for word in words])
         reached = np.cumsum(self.lengths[ids])
         last = np.searchsorted(reached, ends)
         if not np.array_equal(reached[last], ends):
             raise ValueError("a token of the vocabulary goes beyond the word that it begins in")
-        raw, stops = ids.tobytes(), (4 * (last + 1)).tolist()
-        self.young.update((w, raw[a:b]) for w, a, b in zip(fresh, [0, *stops], stops, strict=False))
-
-    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one after the other, and how many each has."""
+        self.words = pa.concat_arrays([self.words, pa.array(words, pa.string())])
+        self.lists = pa.concat_arrays([self.lists, _lists(ids, np.diff(last + 1, prepend=0))])
+        self.met = np.concatenate((self.met, np.zeros(len(words), dtype=bool)))
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Where the ids of distinct words are, or -1 for a word that is empty or has white space at an end.
+
+        Only new words need a look for that, since none such is remembered.
+        """
+        found = pc.index_in(words, value_set=self.words)
+        places = found.fill_null(-1).to_numpy().copy()
+        self.met[places[places >= 0]] = True
+        fresh = words.filter(found.is_null()).to_pylist()
+        tight = np.array([bool(w) and not w[0].isspace() and not w[-1].isspace() for w in fresh], dtype=bool)
+        if tight.any():
+            at = np.flatnonzero(places < 0)[tight]
+            places[at] = len(self.words) + np.arange(len(at))
+            self._learn([w for w, t in zip(fresh, tight.tolist(), strict=True) if t])
+        return places
+
+    def ids(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, ``end`` behind each, and how many each has."""
+        if not len(texts):
+            return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
         if not self.by_word:
-            found = [self._whole(t) for t in texts.to_pylist()]
-            return np.concatenate([np.zeros(0, "<u4"), *found]), np.array([len(f) for f in found], dtype=np.int64)
+            found = [np.append(self._whole(t), np.uint32(end)) for t in texts.to_pylist()]
+            return np.concatenate(found), np.array([len(f) for f in found], dtype=np.int64)
         pieces = pc.split_pattern(texts, " ")
-        edges = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
-        firsts, coded = edges[:-1], pieces.flatten().dictionary_encode()
-        which, words = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        counts = pieces.value_lengths().to_numpy().astype(np.int64)
+        coded = pieces.flatten().dictionary_encode()
+        which, firsts = coded.indices.to_numpy(), np.cumsum(counts) - counts
         # The first word of a text has no space before it.
-        needed = np.ones(len(which), dtype=bool)
-        needed[firsts] = False
-        used = np.zeros(len(words), dtype=bool)
-        used[which[needed]] = True
-        after = [w for w, u in zip(words, used.tolist(), strict=True) if u]
-        fresh = {w for w in after if w not in self.young}
-        # Known words have no white space at their ends, so only new ones can show that a space is next to another.
-        loose = {w for w in fresh if w not in self.old and (not w or w[0].isspace() or w[-1].isspace())}
-        self._learn(fresh - loose)
-        raw = [b"" if w in loose else self.young[w] for w in after]
-        # A text with such a space is encoded whole, in place of its first word.
-        loosely = np.zeros(len(words), dtype=bool)
-        if loose:
-            loosely[used] = [w in loose for w in after]
-        loosely = np.maximum.reduceat(loosely[which] & needed, firsts) if len(firsts) else np.zeros(0, dtype=bool)
+        later = np.ones(len(which), dtype=bool)
+        later[firsts] = False
+        used = np.zeros(len(coded.dictionary), dtype=bool)
+        used[which[later]] = True
+        place = np.full(len(used), -1, dtype=np.int64)
+        place[used] = self._places(coded.dictionary.filter(pa.array(used)))
+        places = place[which]
+        # A text where white space is next to a space is encoded whole, in place of its first word.
+        loose = np.logical_or.reduceat((places < 0) & later, firsts)
         heads = []
-        for n, (w, several) in enumerate(zip(which[firsts].tolist(), (np.diff(edges) > 1).tolist(), strict=True)):
-            head = words[w]
-            loosely[n] |= several and (not head or head[-1].isspace())
-            heads.append(self._whole(texts[n].as_py() if loosely[n] else head))
-        # Each word of a text is a range of the pool.
-        pool = np.concatenate([np.frombuffer(b"".join(raw), "<u4"), *heads])
-        sizes_of, starts_of = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
-        sizes_of[used] = [len(r) // 4 for r in raw]
-        starts_of[used] = np.cumsum(sizes_of[used]) - sizes_of[used]
-        sizes, starts = sizes_of[which], starts_of[which]
-        sizes[np.repeat(loosely, np.diff(edges))] = 0
-        lengths = np.array([len(h) for h in heads], dtype=np.int64)
-        sizes[firsts] = lengths
-        starts[firsts] = len(pool) - lengths.sum() + np.cumsum(lengths) - lengths
-        ends = np.cumsum(sizes)
-        out = pool[np.repeat(starts - ends + sizes, sizes) + np.arange(sizes.sum())]
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young
-        return out, np.add.reduceat(sizes, firsts) if len(firsts) else np.zeros(0, dtype=np.int64)
+        for n, head in enumerate(coded.dictionary.take(pa.array(which[firsts])).to_pylist()):
+            loose[n] |= counts[n] > 1 and (not head or head[-1].isspace())
+            heads.append(np.array([end] * (n > 0), dtype="<u4"))
+            heads.append(self._whole(texts[n].as_py() if loose[n] else head))
+        sizes = np.array([len(a) + len(b) for a, b in zip(heads[::2], heads[1::2], strict=True)] + [0])
+        parts = pa.concat_arrays([self.lists, _lists(np.concatenate(heads), sizes)])
+        places[np.repeat(loose, counts)] = len(parts) - 1
+        places[firsts] = len(self.lists) + np.arange(len(texts))
+        out = parts.take(pa.array(places)).flatten().to_numpy()
+        counts = np.add.reduceat(parts.value_lengths().to_numpy()[places].astype(np.int64), firsts)
+        # The end of a text stands in front of the next one's head.
+        counts[:1] += 1
+        if len(self.words) > REMEMBERED:
+            kept = self.met if self.met.sum() <= REMEMBERED // 2 else np.zeros(len(self.met), dtype=bool)
+            self.words, self.lists = self.words.filter(pa.array(kept)), self.lists.filter(pa.array(kept))
+            self.met = np.zeros(len(self.words), dtype=bool)
+        return np.append(out, np.uint32(end)), counts
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    edges = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.ListArray.from_arrays(edges, pa.array(values, pa.uint32()))
 
 
 def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
@@ -187,8 +208,7 @@ def _segments(spec: Broadcast, end: int, kind: pa.DataType):
             spec.value["encoder"] = encoder
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).fill_null("")
             for a, b in _groups(pc.binary_length(texts).to_pylist()):
-                ids, counts = encoder.ids(texts.slice(a, b - a))
-                ids, counts = np.insert(ids, np.cumsum(counts), end), counts + 1
+                ids, counts = encoder.ids(texts.slice(a, b - a), end)
                 at = 0
                 for name, count in zip(doc_ids[a:b], counts.tolist(), strict=True):
                     held.append(ids[at : at + count])

@@ -83,16 +83,17 @@ def test_words_have_the_ids_of_the_whole_text(texts):
     want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     # Also where a part of an array is given, and words are known.
     for begin in (0, 2, 0):
-        ids, sizes = encoder.ids(pa.array(texts, pa.string())[begin:])
-        assert ids.tolist() == [i for w in want[begin:] for i in w] and sizes.tolist() == [len(w) for w in want[begin:]]
-    assert [x.tolist() for x in encoder.ids(pa.array([], pa.string()))] == [[], []]
+        ids, sizes = encoder.ids(pa.array(texts, pa.string())[begin:], 9)
+        assert ids.tolist() == [i for w in want[begin:] for i in [*w, 9]]
+        assert sizes.tolist() == [len(w) + 1 for w in want[begin:]]
+    assert [x.tolist() for x in encoder.ids(pa.array([], pa.string()), 9)] == [[], []]
 
 
 def test_forgetting_words(monkeypatch, tokenizer):
     monkeypatch.setattr(tokens, "REMEMBERED", 2)
     encoder = tokens.Encoder(tokenizer.to_str())
     for text in ("a b c d", "c d e", "e f g h i j", "a j"):
-        assert encoder.ids(pa.array([text]))[0].tolist() == tokenizer.encode(text).ids
+        assert encoder.ids(pa.array([text]), 0)[0].tolist() == [*tokenizer.encode(text).ids, 0]
 
 
 def test_other_vocabularies_encode_whole_texts(spark, tmp_path):
