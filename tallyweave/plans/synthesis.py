@@ -119,10 +119,11 @@ def tune(
     timeout: float | None = None,
     seed: int = 0,
     grid: bool = False,
+    workers: int = 1,
 ) -> DataFrame:
     """Fit and score one model per trial; ``tree`` holds model settings, some of them ranges.
 
-    The objective compares the categorical features only, at orders 1 and 2.
+    The objective compares the categorical features only, at orders 1 and 2. So many trials as ``workers`` run at once.
     """
     names = [c.name for c in prepared.features.columns if c.kind == "categorical"]
     target = prepared.data.select(*map(col, names))
@@ -136,4 +137,4 @@ def tune(
         return trialling.objective(target, target.sparkSession.read.parquet(folder))
 
     spark = prepared.data.sparkSession
-    return trialling.run_trials(spark, tree, score, path, trials, timeout, seed, grid)
+    return trialling.run_trials(spark, tree, score, path, trials, timeout, seed, grid, workers)

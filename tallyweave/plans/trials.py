@@ -7,15 +7,17 @@ import json
 import math
 import time
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions import draws
 from tallyweave.functions.columns import col
 from tallyweave.operators import density
+from tallyweave.session import names_below, put_if_absent
 
 TRIALS_SCHEMA = (
     "trial bigint, objective double, seconds double, settings map<string, string>, study string"
@@ -149,10 +151,13 @@ def run_trials(
     timeout: float | None = None,
     seed: int = 0,
     grid: bool = False,
+    workers: int = 1,
 ) -> DataFrame:
-    """Score trial after trial, appending each to the table at ``path``; resumes where it ended.
+    """Score the trials and store each below ``path`` as it ends; resumes with those that are missing.
 
-    ``score(settings, trial)`` runs the distributed work of one trial. A table that holds trials of
+    ``score(settings, trial)`` runs the distributed work of one trial. With several ``workers`` so many trials run at
+    once, each in a scheduler pool of its own, which a session in FAIR mode gives equal shares; what a trial draws and
+    scores does not depend on that. The result is in order of trials. A table that holds trials of
     another tree or seed is refused. With a ``timeout`` in seconds no trial starts after it; the trials that
     were asked for and did not run are in the result without an objective, and run when it is resumed.
     """
@@ -161,21 +166,37 @@ def run_trials(
     known = read_trials(spark, path).select("trial", "study").collect()
     if any(r["study"] != study for r in known):
         raise ValueError(f"{path} holds trials of another tree or seed; give each study its own path")
-    done, missing = {r["trial"] for r in known}, []
+    done = {r["trial"] for r in known}
     # As many rows as trials were asked for.
-    for row in draw_trials(spark, tree, trials, seed, grid).orderBy("trial").collect():
-        if row["trial"] in done:
-            continue
-        drawn = row.asDict()
-        trial = drawn.pop("trial")
+    asked = [row.asDict() for row in draw_trials(spark, tree, trials, seed, grid).orderBy("trial").collect()]
+    todo = [(drawn.pop("trial"), drawn) for drawn in asked if drawn["trial"] not in done]
+
+    def run(trial: int, drawn: dict) -> tuple | None:
+        """The row of a trial that did not start, else None."""
         if timeout is not None and time.monotonic() - started > timeout:
-            missing.append(_trial_row(trial, None, None, drawn, study))
-            continue
+            return _trial_row(trial, None, None, drawn, study)
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{trial % workers}" if workers > 1 else None)
         began = time.monotonic()
         value = score(resolve(tree, drawn), trial)
-        append_trial(spark, path, _trial_row(trial, value, time.monotonic() - began, drawn, study))
+        put_trial(spark, path, _trial_row(trial, value, time.monotonic() - began, drawn, study))
+        return None
+
+    if workers == 1:
+        missing = [run(*each) for each in todo]
+    else:
+        # A thread has its own jobs and properties in the JVM; those of this thread are handed on.
+        with ThreadPoolExecutor(workers) as pool:
+            running = [pool.submit(inheritable_thread_target(spark)(run), *each) for each in todo]
+            try:
+                missing = [each.result() for each in running]
+            except BaseException:
+                pool.shutdown(cancel_futures=True)
+                raise
+    missing = [row for row in missing if row]
     stored = read_trials(spark, path)
-    return stored.unionByName(spark.createDataFrame(missing, TRIALS_SCHEMA)) if missing else stored
+    if missing:
+        stored = stored.unionByName(spark.createDataFrame(missing, TRIALS_SCHEMA))
+    return stored.orderBy("trial")
 
 
 def study_of(tree: Mapping, seed: int, grid: bool = False) -> str:
@@ -189,18 +210,18 @@ def _trial_row(trial, value, seconds, drawn, study) -> tuple:
     return (trial, value, seconds, {k: str(v) for k, v in drawn.items()}, study)
 
 
-def append_trial(spark, path, row) -> None:
-    spark.createDataFrame([row], TRIALS_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+def put_trial(spark: SparkSession, path: str, row: tuple) -> bool:
+    """Store a trial in a folder of its own, which appears at once; False if another writer has stored it already."""
+    trial, kept = row[0], spark.createDataFrame([row], TRIALS_SCHEMA).drop("trial").coalesce(1)
+    return put_if_absent(spark, f"{path.rstrip('/')}/trial={trial}", kept.write.parquet)
 
 
 def read_trials(spark: SparkSession, path: str) -> DataFrame:
     """The stored trials, none if there is no table yet."""
-    try:
-        return spark.read.schema(TRIALS_SCHEMA).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], TRIALS_SCHEMA)
+    none = spark.createDataFrame([], TRIALS_SCHEMA)
+    if not any(name.startswith("trial=") for name in names_below(spark, path)):
+        return none
+    return spark.read.schema(TRIALS_SCHEMA).parquet(path).select(none.columns)
 
 
 def best_trials(trials: DataFrame, k: int = 1) -> DataFrame:

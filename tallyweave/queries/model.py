@@ -546,3 +546,42 @@ def resumed_fit(spark, folder):
         for a, b in zip(parts, whole, strict=True)
     ]
     return spark.createDataFrame(rows, "epoch bigint, resumed boolean, same boolean")
+
+
+_CONCURRENT_SQL = f"""t AS (SELECT trial, 50000 + {_draw_sql("limit")} * 250000 AS "limit",
+        CASE WHEN {_draw_sql("priority")} < 0.5 THEN '1-URGENT' ELSE '5-LOW' END AS priority FROM range(6) r(trial)),
+    sides AS (SELECT trial, o_orderstatus AS a, o_orderpriority AS b, 1 AS side FROM orders, t
+        UNION ALL SELECT trial, o_orderstatus, CASE WHEN o_totalprice > "limit" THEN priority ELSE o_orderpriority END, -1
+        FROM orders, t),
+    cells AS (SELECT trial, 1 AS k, 'a' AS combo, a AS x, NULL AS y, sum(side) AS d FROM sides GROUP BY ALL
+        UNION ALL SELECT trial, 1, 'b', b, NULL, sum(side) FROM sides GROUP BY ALL
+        UNION ALL SELECT trial, 2, 'ab', a, b, sum(side) FROM sides GROUP BY ALL),
+    errors AS (SELECT trial, k, combo, avg(abs(d) / (SELECT count(*) FROM orders)::DOUBLE) AS mae FROM cells GROUP BY ALL),
+    means AS (SELECT trial, avg(mmae) AS objective FROM (SELECT trial, k, avg(mae) AS mmae FROM errors GROUP BY ALL) GROUP BY trial)"""
+
+
+@query(
+    f"""WITH {_CONCURRENT_SQL} SELECT trial, round("limit", 9) AS "limit", priority, round(objective, 9) AS objective,
+        CAST(row_number() OVER (ORDER BY objective, trial) AS INTEGER) AS place FROM t JOIN means USING (trial)"""
+)
+def concurrent_trials(spark, folder):
+    """Trials that run at once, their objectives and ranks: orders against themselves with other priorities above a price."""
+    orders = table(spark, folder, "orders").select("o_orderstatus", "o_orderpriority", "o_totalprice")
+    target = orders.drop("o_totalprice")
+
+    def score(settings, trial):
+        raised = F.when(F.col("o_totalprice") > settings["limit"], settings["priority"]).otherwise(F.col("o_orderpriority"))
+        return trials.objective(target, orders.withColumn("o_orderpriority", raised).drop("o_totalprice"))
+
+    tree = {"limit": trials.FloatRange(50_000, 300_000), "priority": trials.Choice(["1-URGENT", "5-LOW"])}
+    found = trials.run_trials(spark, tree, score, scratch(spark, "trials"), trials=6, seed=7, workers=4)
+    settings = F.col("settings")
+    # As many rows as trials.
+    place = F.row_number().over(Window.orderBy("objective", "trial"))
+    return found.select(
+        "trial",
+        rounded(settings["limit"].cast("double")).alias("limit"),
+        settings["priority"].alias("priority"),
+        rounded("objective").alias("objective"),
+        place.alias("place"),
+    )

@@ -64,7 +64,7 @@ def put_if_absent(spark: SparkSession, path: str, write: Callable[[str], None])
     if system.exists(place):
         return False
     parent, name = path.rstrip("/").rsplit("/", 1)
-    hidden, _ = _place(spark, f"{parent}/_{name}-{uuid.uuid4().hex}")
+    hidden, _ = _place(spark, f"{parent}/.{name}-{uuid.uuid4().hex}")
     try:
         write(hidden.toString())
         fs = spark._jvm.org.apache.hadoop.fs

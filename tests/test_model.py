@@ -92,7 +92,7 @@ def test_resumed_fit_is_the_uninterrupted_one(fitted, tmp_path):
     _, first = fit(2, state)
     assert [h["resumed"] for h in first] == [False, False]
     # Half an epoch, as a driver leaves it that is killed.
-    half = tmp_path / "state" / "_epoch=2-1234" / "parameters"
+    half = tmp_path / "state" / ".epoch=2-1234" / "parameters"
     half.mkdir(parents=True)
     again, second = fit(4, state)
     assert [h["resumed"] for h in second] == [True, True, False, False]

@@ -1,6 +1,8 @@
 """Splits, row ids, draws, recodes, control totals, columns and files."""
 
+import time
 import zipfile
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -216,3 +218,62 @@ def test_whole_run(spark, tmp_path):
     zs = spark.read.csv(str(tmp_path / "out" / "latents"))
     assert len(zs.columns) == 2 and zs.count() == 3000
     assert spark.read.json(str(tmp_path / "out" / "losses")).count() == 3
+
+
+def slow(spark, seconds):
+    """A score that takes a job of so many seconds on one core."""
+
+    def wait(batches):
+        time.sleep(seconds)
+        yield from batches
+
+    def score(settings, trial):
+        return float(spark.range(1, numPartitions=1).mapInArrow(wait, "id long").count() * settings["x"] % 4)
+
+    return score
+
+
+def test_trials_at_once(spark, tmp_path):
+    """The same table as one after the other, in less time; a failing trial fails the study and keeps the others."""
+    tree, found, took = {"x": trials.IntRange(0, 9)}, {}, {}
+    for workers in (1, 4):
+        began = time.monotonic()
+        path = str(tmp_path / f"of-{workers}")
+        got = trials.run_trials(spark, tree, slow(spark, 1.0), path, trials=8, grid=True, workers=workers)
+        found[workers] = [(r["trial"], r["objective"], r["settings"]) for r in got.collect()]
+        took[workers] = time.monotonic() - began
+    assert found[1] == found[4] and [t for t, _, _ in found[4]] == list(range(8))
+    assert took[4] < 0.7 * took[1]
+
+    def failing(settings, trial):
+        if trial == 2:
+            raise RuntimeError("no luck")
+        return 0.0
+
+    path = str(tmp_path / "failing")
+    with pytest.raises(RuntimeError, match="no luck"):
+        trials.run_trials(spark, tree, failing, path, trials=4, grid=True, workers=2)
+    assert {0, 1} <= {r["trial"] for r in trials.read_trials(spark, path).collect()} <= {0, 1, 3}
+
+
+def test_two_writers_store_each_trial_once(spark, tmp_path):
+    path, tree = f"file://{tmp_path}/both", {"x": trials.IntRange(0, 5)}
+
+    def study(value):
+        def score(settings, trial):
+            time.sleep(0.1)
+            return value
+
+        return trials.run_trials(spark, tree, score, path, trials=6, grid=True)
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(study, [1.0, 2.0]))
+    found = trials.read_trials(spark, path).collect()
+    assert sorted(r["trial"] for r in found) == list(range(6))
+    row = (3, 9.0, 0.0, {"x": "3"}, found[0]["study"])
+    assert not trials.put_trial(spark, path, row)
+    assert trials.read_trials(spark, path).where("objective = 9").count() == 0
+    # What a killed writer leaves is no trial.
+    (tmp_path / "both" / ".trial=7-1234").mkdir()
+    assert trials.read_trials(spark, path).count() == 6
+    assert trials.put_trial(spark, path, (7, *row[1:])) and trials.read_trials(spark, path).count() == 7
