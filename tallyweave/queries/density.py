@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from tallyweave.operators import density
+from tallyweave.operators import bins, density
 from tallyweave.queries.registry import query, round_doubles, table
 
 COLUMNS = ("l_returnflag", "l_linenumber", "l_discount", "l_tax", "l_quantity")
@@ -177,3 +177,30 @@ def value_counts_outer(spark, folder):
 )
 def unique_row_share(spark, folder):
     return round_doubles(density.unique_row_share(table(spark, folder, "lineitem").select(*COLUMNS)))
+
+
+_EDGES = ", ".join(f"s[CAST(floor((len(s) - 1) * {i / 10} + 0.5) AS BIGINT) + 1]" for i in range(11))
+_BIN_SQL = """CASE WHEN o_totalprice IS NULL THEN NULL WHEN o_totalprice < edges[1] THEN -1
+        WHEN o_totalprice > edges[len(edges)] THEN len(edges) - 1
+        ELSE least(len(list_filter(edges, lambda e: e <= o_totalprice)), len(edges) - 1) - 1 END"""
+
+
+@query(
+    f"""WITH ranked AS (SELECT list_sort(list(o_totalprice)) AS s FROM orders WHERE o_orderstatus = 'F'),
+    edges AS (SELECT list_sort(list_distinct([{_EDGES}])) AS edges FROM ranked),
+    cut AS (SELECT o_orderstatus, o_orderpriority, {_BIN_SQL} AS bin FROM orders, edges),
+    sizes AS (SELECT count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o FROM orders),
+    cells AS (SELECT 'o_totalprice' AS combo, bin AS a, NULL AS b, o_orderstatus AS side FROM cut
+        UNION ALL SELECT 'o_orderpriority', NULL, o_orderpriority, o_orderstatus FROM cut
+        UNION ALL SELECT 'o_totalprice_o_orderpriority', bin, o_orderpriority, o_orderstatus FROM cut),
+    counted AS (SELECT combo, a, b, count(*) FILTER (side = 'F') / any_value(f)::DOUBLE AS p,
+        count(*) FILTER (side = 'O') / any_value(o)::DOUBLE AS q FROM cells, sizes WHERE side IN ('F', 'O') GROUP BY combo, a, b)
+    SELECT combo, count(*) AS cells, round(avg(abs(p - q)), 9) AS mae FROM counted GROUP BY combo"""
+)
+def binned_marginals(spark, folder):
+    """Prices of orders of the one status against the bins of the other, alone and by priority."""
+    orders = table(spark, folder, "orders")
+    target, synthetic = (
+        orders.where(F.col("o_orderstatus") == s).select("o_totalprice", "o_orderpriority") for s in "FO"
+    )
+    return round_doubles(bins.evaluate(target, synthetic, [1, 2]).select("combo", "cells", "mae"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyweave.functions import arrays, scale
-from tallyweave.operators import encode, lookups, profile
+from tallyweave.operators import checks, encode, lookups, profile, tables
 from tallyweave.queries.registry import query, round_doubles, rounded, table
-from tallyweave.session import cut_lineage
+from tallyweave.session import cut_lineage, scratch
 
 PROFILED = {
     "l_linenumber": "int",
@@ -395,3 +395,51 @@ def multinomial_decode(spark, folder):
 def most_likely_token(spark, folder):
     _, given = flag_probabilities(spark, folder)
     return given.select("l_linestatus", arrays.most_likely(F.col("p_l_returnflag")).alias("token"))
+
+
+@query(
+    """WITH p AS (SELECT count(*) AS n FROM part), checks("check", "column", rows) AS (
+        SELECT 'missing column', 'p_brand', n FROM p
+        UNION ALL SELECT 'different columns', 'p_brand', n FROM p UNION ALL SELECT 'different columns', 'p_maker', n FROM p
+        UNION ALL SELECT 'not a number', 'p_name', count(*) FROM part WHERE try_cast(p_name AS DOUBLE) IS NULL
+        UNION ALL SELECT 'not a number', 'p_size', 0
+        UNION ALL SELECT 'identifier', 'p_partkey', n FROM p UNION ALL SELECT 'identifier', 'p_type', 0
+        UNION ALL SELECT 'no range', 'p_size', n FROM p UNION ALL SELECT 'no range', 'p_retailprice', 0
+        UNION ALL SELECT 'unseen value', 'p_partkey', 0
+        UNION ALL SELECT 'unseen value', 'p_type', count(*) FROM part WHERE p_type = 'PROMO'
+        UNION ALL SELECT 'outside the range', 'p_size', 0
+        UNION ALL SELECT 'outside the range', 'p_retailprice', count(*) FROM part WHERE p_retailprice > 905)
+    SELECT "check", "column", rows FROM checks"""
+)
+def checked_encoding(spark, folder):
+    """What is wrong with a table of parts, counted while it is encoded by a plan of another one."""
+    parts = table(spark, folder, "part")
+    other = F.when(F.col("p_type") == "PROMO", "ECONOMY").otherwise(F.col("p_type"))
+    known = parts.withColumns({"p_type": other, "p_retailprice": F.least("p_retailprice", F.lit(905.0))})
+    kinds = {"p_partkey": "categorical", "p_size": "continuous", "p_retailprice": "continuous"}
+    plan = encode.fit(known, include=["p_partkey", "p_type", "p_brand", "p_size", "p_retailprice"], overrides=kinds)
+    given = parts.withColumnRenamed("p_brand", "p_maker").withColumn("p_size", F.lit(7))
+    encoded, report = checks.encode_checked(
+        given, plan, keep=["p_name"], numeric=["p_size", "p_name"], like=parts.columns
+    )
+    encoded.write.parquet(scratch(spark, "checked"))
+    return spark.createDataFrame(report.rows(), checks.SCHEMA)
+
+
+@query(
+    f"""SELECT l_orderkey, l_linenumber, f.l_returnflag FROM lineitem l
+    LEFT JOIN {_rank_sql("l_returnflag", "lineitem")} f ON f.token = l.l_linenumber - 2"""
+)
+def decode_unseen(spark, folder):
+    """Line numbers taken as tokens of the return flag, of which most are unknown."""
+    lines = table(spark, folder, "lineitem")
+    plan = encode.fit(lines, include=["l_returnflag"])
+    tokens = lines.select("l_orderkey", "l_linenumber", (F.col("l_linenumber") - 2).alias("l_returnflag"))
+    return checks.decode_checked(tokens, plan, keep=["l_orderkey", "l_linenumber"])[0]
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def preview_rows(spark, folder):
+    """The first rows of a table in an order."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return tables.preview(orders.orderBy(F.desc("o_totalprice"), "o_orderkey"), 20)

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tallyweave.operators import density, sample
+from tallyweave.operators import density, lookups, sample
 from tallyweave.queries.density import _errors_sql, populations
 from tallyweave.queries.registry import query, rounded, table
 from tallyweave.session import shared_dir
@@ -65,3 +65,17 @@ def metrics_sink(spark, folder):
     errors = density.evaluate(*populations(spark, folder, ["l_returnflag", "l_linenumber"]), [1, 2])
     files.write_losses(errors.select("combo", "cells", rounded("mae").alias("mae")), path)
     return spark.read.schema("combo string, cells bigint, mae double").json(path)
+
+
+@query("SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def lookup_csv(spark, folder):
+    """Customers with their nation, from a lookup file as spreadsheets write it: with a byte order mark and CRLF."""
+    path = scratch(spark, "nations")
+    nations = table(spark, folder, "nation").select(F.concat_ws(",", "n_nationkey", "n_name").alias("value"))
+    head = spark.createDataFrame([("\ufeffc_nationkey,n_name",)], "value string")
+    lines = head.unionByName(nations).select(F.concat("value", F.lit("\r")).alias("value"))
+    # A lookup of a few rows, in one file, its head first.
+    lines.coalesce(1).write.text(path)
+    lookup = files.read_csv(spark, path, "c_nationkey int, n_name string")
+    customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
+    return lookups.look_up(customers, lookup, "c_nationkey").drop("c_nationkey")
