@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyweave.functions import arrays, scale
-from tallyweave.operators import checks, encode, lookups, profile, tables
+from tallyweave.operators import checks, encode, guide, lookups, profile, tables
 from tallyweave.queries.registry import query, round_doubles, rounded, table
 from tallyweave.session import cut_lineage, scratch
 
@@ -368,8 +368,7 @@ def _orders_with(spark, folder, given):
     return found.withColumn("p_l_returnflag", F.coalesce("p_l_returnflag", every))
 
 
-@query(
-    f"""WITH {_ORDER_FLAG_SQL}, running AS (SELECT *, sum(p) OVER (PARTITION BY l_linestatus ORDER BY token
+_MULTINOMIAL_SQL = f"""WITH {_ORDER_FLAG_SQL}, running AS (SELECT *, sum(p) OVER (PARTITION BY l_linestatus ORDER BY token
             ROWS UNBOUNDED PRECEDING) AS upto, sum(p) OVER (PARTITION BY l_linestatus ORDER BY token
             ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS total,
             count(*) OVER (PARTITION BY l_linestatus) AS k FROM probs),
@@ -378,7 +377,9 @@ def _orders_with(spark, folder, given):
     tokens AS (SELECT o_orderkey, o_orderstatus, least(count(*) FILTER (upto <= u * total), any_value(k) - 1) AS token
         FROM drawn JOIN running ON o_orderstatus = l_linestatus GROUP BY o_orderkey, o_orderstatus)
     SELECT o_orderkey, o_orderstatus, l_returnflag FROM tokens JOIN flags USING (token)"""
-)
+
+
+@query(_MULTINOMIAL_SQL)
 def multinomial_decode(spark, folder):
     """A return flag drawn for each order from the shares of its status."""
     plan, given = flag_probabilities(spark, folder)
@@ -443,3 +444,24 @@ def preview_rows(spark, folder):
     """The first rows of a table in an order."""
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     return tables.preview(orders.orderBy(F.desc("o_totalprice"), "o_orderkey"), 20)
+
+
+@query(_MULTINOMIAL_SQL)
+def multinomial_by_group(spark, folder):
+    """The same draws from one table of shares by status, joined by group and cell."""
+    lines = table(spark, folder, "lineitem").select("l_linestatus", "l_returnflag")
+    plan = encode.fit(lines, include=["l_returnflag"])
+    tokens = encode.encode(lines, plan, keep=["l_linestatus"])
+    counts = tokens.groupBy("l_linestatus", F.col("l_returnflag").alias("token")).agg(F.count("*").alias("share"))
+    counts = cut_lineage(counts)
+    # A status that no line has draws from all lines, which have no status here.
+    every = counts.groupBy("token").agg(F.sum("share").alias("share")).withColumn("l_linestatus", F.lit(None).cast("string"))
+    known = counts.select("l_linestatus").distinct().withColumn("known", F.lit(True))
+    orders = lookups.look_up(
+        table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderstatus").alias("l_linestatus")),
+        known,
+        "l_linestatus",
+    )
+    orders = orders.withColumn("l_linestatus", F.when(F.col("known"), F.col("l_linestatus"))).drop("known")
+    drawn = guide.draw(orders, counts.unionByName(every), ["l_linestatus"], 7, ["o_orderkey"], "l_returnflag")
+    return encode.decode(drawn, plan, keep=["o_orderkey", "o_orderstatus"])

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyweave.operators import lookups, sample, tables
-from tallyweave.queries.registry import query, rounded, table
-from tallyweave.session import spread
+from tallyweave.operators import bucketed, lookups, sample, tables
+from tallyweave.queries.registry import ORACLES, query, rounded, table
+from tallyweave.session import scratch, spread
 
 _U_SQL = "('0x' || substr(md5('1234:' || o_orderkey), 1, 8))::UBIGINT / 4294967296.0::DOUBLE"
 
@@ -76,3 +76,26 @@ def pair_rows(spark, folder):
 def unpaired_rows(spark, folder):
     """Ids that only the documents or only the labels have."""
     return lookups.key_gaps(table(spark, folder, "documents"), table(spark, folder, "labels"), "doc_id")
+
+
+@query(ORACLES["pair_rows"])
+def paired_stored(spark, folder):
+    """The same from tables that lie in buckets of their key."""
+    documents, labels = _stored_pair(spark, folder)
+    return bucketed.paired(documents, labels, "doc_id")
+
+
+@query(ORACLES["unpaired_rows"])
+def unpaired_stored(spark, folder):
+    """The ids that one of them only has."""
+    return bucketed.key_gaps(*_stored_pair(spark, folder), "doc_id")
+
+
+def _stored_pair(spark, folder, buckets=16):
+    path = scratch(spark, "buckets")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    documents = table(spark, folder, "documents").select("doc_id", "lang", "n_chars")
+    return (
+        bucketed.store(documents, f"{name}_documents", f"{path}/documents", "doc_id", buckets),
+        bucketed.store(table(spark, folder, "labels"), f"{name}_labels", f"{path}/labels", "doc_id", buckets),
+    )

@@ -79,3 +79,26 @@ def lookup_csv(spark, folder):
     lookup = files.read_csv(spark, path, "c_nationkey int, n_name string")
     customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
     return lookups.look_up(customers, lookup, "c_nationkey").drop("c_nationkey")
+
+
+_BROKEN_SQL = """CASE WHEN o_orderstatus = 'P' THEN o_orderkey || ',P'
+    WHEN o_orderpriority = '5-LOW' THEN o_orderkey || ',' || o_orderstatus || ',unknown,5-LOW' END"""
+
+
+@query(
+    f"""SELECT CASE WHEN line IS NULL THEN o_orderkey END AS o_orderkey, CASE WHEN line IS NULL THEN o_orderstatus END AS o_orderstatus,
+        CASE WHEN line IS NULL THEN o_totalprice END AS o_totalprice, CASE WHEN line IS NULL THEN o_orderpriority END
+        AS o_orderpriority, line FROM (SELECT *, {_BROKEN_SQL} AS line FROM orders)"""
+)
+def csv_rejects(spark, folder):
+    """Orders from a file in which lines of some are cut off and prices of others are no numbers, and those lines."""
+    path = scratch(spark, "broken")
+    orders = table(spark, folder, "orders")
+    price = F.when(F.col("o_orderpriority") == "5-LOW", "unknown").otherwise(F.col("o_totalprice").cast("string"))
+    short = F.concat_ws(",", "o_orderkey", "o_orderstatus")
+    whole = F.concat_ws(",", "o_orderkey", "o_orderstatus", price, "o_orderpriority")
+    orders.select(F.when(F.col("o_orderstatus") == "P", short).otherwise(whole).alias("value")).write.text(path)
+    rows, rejects = files.read_csv_checked(spark, path, _CSV_SCHEMA, header=False)
+    return rows.withColumn("line", F.lit(None).cast("string")).unionByName(
+        rejects.select("line"), allowMissingColumns=True
+    )

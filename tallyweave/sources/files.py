@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyweave.functions.columns import col
+from tallyweave.session import scratch
 
 Schema = T.StructType | str
 
@@ -28,6 +29,41 @@ def read_csv(
     return reader.csv(path)
 
 
+#: Name of the column that a line which does not fit its schema is kept in.
+LINE = "__line"
+
+
+def read_csv_checked(
+    spark: SparkSession,
+    path: str,
+    schema: Schema,
+    sep: str = ",",
+    required: Sequence[str] = (),
+    header: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of a CSV file that fit its schema, and ``file, line`` of all the others.
+
+    A line does not fit if it has too few or too many fields, if a field is not of its type, or if one of the ``required``
+    columns is empty. Rejects of that last kind are written out as a line again. No line gets lost, and none is read half.
+    The file is parsed once, and what it holds is landed in the shared folder, where both are read from.
+    """
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    names = schema.names
+    kept = T.StructType([*schema.fields, T.StructField(LINE, T.StringType())])
+    reader = spark.read.schema(kept).option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
+    reader = reader.option("columnNameOfCorruptRecord", LINE).option("columnPruning", False)
+    landed = scratch(spark, "lines")
+    reader.csv(path).select("*", F.col("_metadata.file_name").alias("__file")).write.parquet(landed)
+    rows = spark.read.parquet(landed)
+    empty = F.lit(False)
+    for name in required:
+        empty = empty | col(name).isNull()
+    broken = F.col(LINE).isNotNull()
+    good = rows.where(~broken & ~empty).select(*map(col, names))
+    line = F.coalesce(F.col(LINE), F.to_csv(F.struct(*map(col, names)), {"sep": sep}))
+    return good, rows.where(broken | empty).select(F.col("__file").alias("file"), line.alias("line"))
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Cast text columns to bigint or double where every value allows it, in one pass."""
 
