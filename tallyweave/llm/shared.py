@@ -5,7 +5,7 @@ from __future__ import annotations
 import string
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.session import shared_dir
@@ -65,6 +65,26 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def running(df: DataFrame, group: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` in the rows of its group that come before it in ``order``, which has no ties.
+
+    Rows are dealt out by ranges of group and order and the sums of ranges added up, so a group of most rows is
+    not one task. ``value`` is a whole number, so that sums do not depend on the ranges.
+    """
+    by = [*group, *order]
+    placed = stored(df.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()))
+    sums = placed.groupBy("__part", *group).agg(F.sum(value).alias("__sum"))
+    earlier = Window.unboundedPreceding, -1
+    # A row for each range and group in it.
+    parts = Window.partitionBy(*group).orderBy("__part") if group else Window.orderBy("__part")
+    begin = F.coalesce(F.sum("__sum").over(parts.rowsBetween(*earlier)), F.lit(0))
+    begins = stored(sums.withColumn("__begin", begin).drop("__sum"))
+    within = Window.partitionBy("__part", *group).orderBy(*order).rowsBetween(*earlier)
+    inner = placed.withColumn("__inner", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    summed = (F.col("__begin") + F.col("__inner")).alias(name)
+    return inner.join(begins, ["__part", *group]).select(*df.columns, summed)
+
+
 def if_small(df: DataFrame, *sizes: Column) -> DataFrame:
     """``df``, stored, and marked for broadcast if its rows and its ``sizes`` in bytes are few enough in all.
 

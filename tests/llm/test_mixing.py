@@ -24,7 +24,7 @@ def brute_targets(sizes):
         stopped |= {s: 3.0 * sizes[s] for s in above}
 
 
-def check(got, rows, blocks):
+def check(got, rows):
     """``rows`` are (doc_id, text, source)."""
     words = defaultdict(list)
     for doc, text, source in rows:
@@ -33,7 +33,7 @@ def check(got, rows, blocks):
     for found in words.values():
         for size, source in found:
             sizes[source] += size
-    want, total = brute_targets(sizes), sum(sizes.values())
+    want = brute_targets(sizes)
     assert len(got) == len(rows)
     taken = defaultdict(int)
     for r in got:
@@ -42,20 +42,24 @@ def check(got, rows, blocks):
         assert r.target == pytest.approx(want[r.source])
         assert 0 <= r.taken <= 3 * r.size
         taken[r.source] += r.taken
-    for source, size in sizes.items():
-        assert abs(taken[source] - want[source]) <= 4 * (total / blocks + 1), source
+    for source in sizes:
+        assert abs(taken[source] - want[source]) <= 0.5 + 1e-6 * want[source], source
 
 
-def test_query_against_sql_and_brute_force(spark, folder, given):
-    got = mixing.op8_mixing(spark, folder).collect()
+def by_sql(folder):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
-    want = con.execute(mixing.ORACLE).fetchall()
-    assert sorted(tuple(r) for r in got) == sorted(want)
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'" if folder.endswith("/tiny") else
+                f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    return sorted(con.execute(mixing.ORACLE).fetchall(), key=repr)
+
+
+def test_query_against_sql_and_brute_force(spark, folder, given):
+    got = [tuple(r) for r in mixing.op8_mixing(spark, folder).collect()]
+    assert sorted(got, key=repr) == by_sql(folder)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     rows = [(r["doc_id"], r["text"], r["source"]) for r in given("documents")]
-    check(mixing.mix(docs).collect(), rows, mixing.BLOCKS)
-    check(mixing.mix(docs, blocks=500, seed=7).collect(), rows, 500)
+    check(mixing.mix(docs).collect(), rows)
+    check(mixing.mix(docs, blocks=500, seed=7).collect(), rows)
 
 
 ROWS = [
@@ -74,7 +78,7 @@ ROWS = [
 
 def test_odd_rows(spark):
     docs = spark.createDataFrame(ROWS, DOC).withColumns({c: F.lit("clash") for c in ("size", "rank", "target", "block")})
-    check(mixing.mix(docs).collect(), ROWS, mixing.BLOCKS)
+    check(mixing.mix(docs).collect(), ROWS)
 
 
 def test_reruns_agree_on_any_partitions(spark, folder):
@@ -106,6 +110,44 @@ def test_tiny_sources_beside_huge_ones(spark):
         taken[r.source] += r.taken
         want[r.source] = r.target
     assert want["tiny"] == 120 and want["short"] > 1600
-    assert all(abs(taken[s] - t) <= 0.01 * t + 0.5 for s, t in want.items())
+    assert all(abs(taken[s] - t) <= 0.5 for s, t in want.items())
     kept = mixing.select_rows(docs, blocks=20).filter("source = 'tiny'").collect()
     assert sorted(r.doc_id for r in kept) == sorted([*range(100, 108)] * 3)
+
+
+def test_sql_of_tiny_sources(spark, tmp_path):
+    """Sources far below a block, with short last blocks, and more of them than blocks are left for."""
+    rows = [(n, "w " * 9000, f"huge{n:02}") for n in range(4)] + [(10 + n, "x " * (n % 5), f"tiny{n:03}") for n in range(60)]
+    rows += [(100, "y " * 333, None), (101, "", "none"), (102, None, None), (103, "z z z", "huge01")]
+    spark.createDataFrame(rows, DOC).write.parquet(str(tmp_path / "tiny" / "documents.parquet"))
+    got = [tuple(r) for r in mixing.op8_mixing(spark, str(tmp_path / "tiny")).collect()]
+    assert sorted(got, key=repr) == by_sql(str(tmp_path / "tiny"))
+    check(mixing.mix(spark.createDataFrame(rows, DOC), blocks=30).collect(), rows)
+
+
+def test_shards_have_integer_quotas(spark, folder):
+    """Every shard has as many blocks of the mix as another, give or take one, and no source more than its share of it."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    sources = mixing.targets(mixing.sized(docs))
+    given = mixing.seats(sources, 400, shards=8)
+    per_shard, per_source = defaultdict(int), defaultdict(list)
+    for r in mixing.quotas(given).collect():
+        per_shard[r["shard"]] += r.blocks
+        per_source[r["rank"]].append(r.blocks)
+    assert set(per_shard.values()) == {50}
+    total = sum(r.target for r in sources.collect())
+    for r in sources.collect():
+        want = r.target / total * 50
+        assert all(abs(n - want) <= 3 for n in per_source[r["rank"]])
+    assert {r.shard for r in mixing.mix(docs).select("shard").distinct().collect()} >= set(range(mixing.SHARDS))
+
+
+def test_copies_come_near_the_targets(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    want, sizes, largest = {}, defaultdict(int), defaultdict(int)
+    for r in mixing.mix(docs).collect():
+        want[r.source] = r.target
+        largest[r.source] = max(largest[r.source], r["size"])
+    for r in mixing.sized(mixing.select_rows(docs)).collect():
+        sizes[r.source] += r["size"]
+    assert all(abs(sizes[s] - t) <= 1.5 * largest[s] for s, t in want.items())
