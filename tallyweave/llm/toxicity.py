@@ -41,6 +41,8 @@ ROWS, FOLD_ROWS = 6000, 2000
 FOLDS, HELD_OUT, CALIBRATE = 5, 0, 1
 #: A text with this score or more is taken for toxic.
 LIMIT = 0.5
+#: Weight of the mean evidence of a character where labels are too few for a regression.
+SLOPE = 20.0
 #: Words whose evidence a task remembers, texts that it takes at a time, and characters of words looked up at a time.
 REMEMBERED, TEXTS, CHARACTERS = 200_000, 500, 500_000
 #: Evidence of a word, in nats, is counted beyond each of these and up to ``MOST``.
@@ -269,10 +271,34 @@ def _regression(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float =
     return (float(w[0]), *(w[1:] / scale).tolist())
 
 
+def _seen(texts: DataFrame, model: Model) -> pd.DataFrame:
+    return measured(texts, model).select("toxic", "features.*").toPandas()
+
+
+def _model(texts: DataFrame) -> Model | None:
+    """The models of (text, toxic) rows, or None where a class is missing."""
+    grams = _grams(texts).toArrow()
+    toxic, ordinary = (grams.column(c).to_numpy() for c in ("toxic", "ordinary"))
+    return build(grams.column("gram").to_pylist(), toxic, ordinary) if toxic.any() and ordinary.any() else None
+
+
+def _crossed(texts: DataFrame) -> pd.DataFrame:
+    """Features of the texts of each half by models of the other half, none where a class is missing there."""
+    out = [pd.DataFrame(columns=["toxic", *FEATURES], dtype=float)]
+    for half in (0, 1):
+        model = _model(texts.filter(F.col("half") != half))
+        if model is not None:
+            out.append(_seen(texts.filter(F.col("half") == half), model))
+    return pd.concat(out)
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, fold_rows: int = FOLD_ROWS) -> Model:
     """The models and the regression from labelled texts outside the held-out part.
 
-    A document with several labels is toxic if any says so; null labels and ids are not learnt from.
+    A document with several labels is toxic if any says so; null labels and ids are not learnt from. Where the part for
+    the regression lacks a class, it is fitted on the models' own texts instead, each half of them measured by models of
+    the other. Where that gives one class only as well, the score is the mean evidence of a character with a fixed ``SLOPE``. Only where a
+    class has no text at all nothing can be compared, and every score is the share of toxic labels.
     """
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = stored(known.withColumn("fold", fold(F.col("doc_id"))).filter(F.col("fold") != HELD_OUT))
@@ -284,22 +310,31 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = ROWS, fold_rows: int = F
             parts.append(known.filter((F.col("toxic") == toxic) & part).orderBy(*order).limit(most))
     sample = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     # At most twice ``rows`` and ``fold_rows`` ids.
-    sample = F.broadcast(stored(sample.select("doc_id", "toxic", "fold")))
-    texts = stored(docs.select("doc_id", "text").join(sample, "doc_id").select("text", "toxic", "fold"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half")
+    sample = F.broadcast(stored(sample.select("doc_id", "toxic", "fold", half)))
+    texts = stored(docs.select("doc_id", "text").join(sample, "doc_id").select("text", "toxic", "fold", "half"))
     have = {(r["toxic"], r["calibrating"]): r["n"] for r in known.groupBy("toxic", calibrating.alias("calibrating")).agg(F.count("*").alias("n")).collect()}
-    grams = _grams(texts.filter(~calibrating)).toArrow()
-    toxic, ordinary = (grams.column(c).to_numpy() for c in ("toxic", "ordinary"))
-    model = build(grams.column("gram").to_pylist(), toxic, ordinary)
-    seen = measured(texts.filter(calibrating), model).select("toxic", "features.*").toPandas()
-    if not (toxic.any() and ordinary.any()) or seen["toxic"].nunique() < 2:
-        total = sum(have.values())
-        model.base_rate = sum(n for (toxic, _), n in have.items() if toxic == 1) / total if total else 0.0
-        return model
+    model = _model(texts.filter(~calibrating))
+    seen = _seen(texts.filter(calibrating), model) if model else None
+    apart = True
+    if model is None or seen["toxic"].nunique() < 2:
+        # All labels make the models then.
+        apart = False
+        model = _model(texts)
+        if model is None:
+            total = sum(have.values())
+            rate = sum(n for (toxic, _), n in have.items() if toxic == 1) / total if total else 0.0
+            return Model([], 1.0, base_rate=rate)
+        seen = _crossed(texts)
+        if seen["toxic"].nunique() < 2:
+            model.weights = (0.0, SLOPE, *[0.0] * (len(FEATURES) - 1))
+            return model
     y = seen["toxic"].to_numpy(dtype=float)
     # Classes weigh as much as they have labels.
-    share = {toxic: have[toxic, True] / max(1, int((y == toxic).sum())) for toxic in (0, 1)}
+    counts = {t: have.get((t, True), 0) + (0 if apart else have.get((t, False), 0)) for t in (0, 1)}
+    share = {toxic: counts[toxic] / max(1, int((y == toxic).sum())) for toxic in (0, 1)}
     weight = np.where(y == 1, share[1], share[0])
-    model.weights = _regression(seen[list(FEATURES)].to_numpy(), y, weight)
+    model.weights = _regression(seen[list(FEATURES)].to_numpy(dtype=float), y, weight)
     return model
 
 
@@ -321,7 +356,9 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: Model, limit: float = LIMIT) -> DataFrame:
-    """The rows of ``docs`` that score below ``limit``."""
+    """The rows of ``docs`` that score below ``limit``; all of them, where a class has no labels and nothing is compared."""
+    if model.base_rate is not None:
+        return docs
     return scored(docs.select("text", F.struct(*docs.columns).alias("row")), model).filter(F.col("score") < limit).select("row.*")
 
 

@@ -1,5 +1,7 @@
 import math
 import random
+import re
+import zlib
 
 import numpy as np
 import pytest
@@ -134,3 +136,72 @@ def test_too_few_labels(spark, labels, rate):
     model = toxicity.fit(docs, spark.createDataFrame(labels, LABEL))
     assert {r.score for r in toxicity.scored(docs, model).collect()} == {rate}
     assert toxicity.scored(docs.limit(0), model).collect() == []
+    # Nothing is known to tell documents apart by, so none is rejected.
+    assert toxicity.reject(docs, model).count() == 5
+
+
+def longhand(model, text):
+    """The score of a text, character by character."""
+    low_tail, high_tail = toxicity.TAILS
+    alike = str.maketrans(*toxicity.ALIKE)
+    lowered = "".join(c.lower() if c < "\x80" else c for c in (text or "").translate(alike))
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered)
+
+    def evidence(word):
+        line = toxicity.START * (toxicity.ORDER - 1) + word + toxicity.END
+        grams = [line[at : at + toxicity.ORDER] for at in range(len(word) + 1)]
+        return sum(model.evidence(toxicity._codes([g]).reshape(1, -1))[0] for g in grams)
+
+    found = {w: evidence(w) for w in words}
+    kinds = max(1, len(found))
+    capped = [min(e, toxicity.MOST) for e in found.values() if e > low_tail]
+    low, high = sum(e - low_tail for e in capped), sum(max(0.0, e - high_tail) for e in capped)
+    features = [
+        sum(found[w] for w in words) / max(1, sum(len(w) + 1 for w in words)),
+        max(capped, default=0.0),
+        math.log1p(len(words)),
+        math.log1p(low),
+        low / kinds,
+        math.log1p(high),
+        high / kinds,
+    ]
+    z = model.weights[0] + sum(w * f for w, f in zip(model.weights[1:], features, strict=True))
+    return 1 / (1 + math.exp(-z))
+
+
+def test_every_score_of_the_query_longhand(spark, folder, given):
+    rows = given("documents")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    got = {r.doc_id: r for r in toxicity.op10_toxicity(spark, folder).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        want, row = longhand(model, r["text"]), got[r["doc_id"]]
+        assert row.score == pytest.approx(want, abs=1e-9)
+        assert row.held_out == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and row.predicted == (row.score >= 0.5)
+
+
+def few(spark, toxic_folds, n=200):
+    """The model and texts where toxic labels are kept in some folds only, and as many as given there."""
+    docs, labels = made(n)
+    left = dict(toxic_folds)
+    kept = []
+    for i, toxic in labels:
+        fold = zlib.crc32(str(i).encode()) % 5
+        if toxic and not left.get(fold, 0):
+            continue
+        left[fold] = left.get(fold, 0) - toxic
+        kept.append((i, toxic))
+    frame = spark.createDataFrame(docs, DOC)
+    model = toxicity.fit(frame, spark.createDataFrame(kept, LABEL))
+    return model, {r.doc_id: r.score for r in toxicity.scored(frame, model).collect()}, dict(labels)
+
+
+@pytest.mark.parametrize("toxic_folds", [{2: 9, 3: 9}, {1: 12}, {0: 5, 2: 1}])
+def test_a_class_that_the_regression_lacks(spark, toxic_folds):
+    """No toxic label to calibrate by, or none to model, or a single one in all: texts are told apart all the same."""
+    model, scores, truth = few(spark, toxic_folds)
+    assert model.base_rate is None and len(set(scores.values())) > 50
+    toxic, plain = ([scores[i] for i in scores if truth[i] == t] for t in (1, 0))
+    above = sum(a > b for a in toxic for b in plain) / (len(toxic) * len(plain))
+    assert above > (0.9 if len(toxic_folds) < 2 or 3 in toxic_folds else 0.7)
