@@ -11,6 +11,9 @@ Test items are looked up as phrases in the index, not the other way round:
    on which a window has them all go on to the words of the document.
 5. A window is found where all of its words stand at their offsets.
 
+A proximity match has the rarest terms of a window in any order within a few more words. Lists of its anchors are intersected
+by distance instead, and the words around what is left are looked at. Every exact match is one too.
+
 Everything is built-in Spark expressions. Words are those of ``alnum_words``. The terms and anchors
 of the test items are broadcast up to a size that is measured, and joined beyond.
 """
@@ -26,6 +29,8 @@ from tallyweave.llm.shared import alnum_words, if_small, keyed, stored, without
 WINDOW = 10
 #: Anchors of a window: its rarest terms, which must all be in place before words are compared.
 ANCHORS = 2
+#: Distinct terms of a window that a proximity match has, and consecutive words that they lie within.
+TERMS, SPAN = 5, 2 * WINDOW
 
 
 def item_words(items: DataFrame) -> DataFrame:
@@ -69,6 +74,28 @@ def anchors(items: DataFrame, counts: DataFrame, width: int = WINDOW, rarest: in
     )
 
 
+def near_windows(
+    items: DataFrame, counts: DataFrame, width: int = WINDOW, terms: int = TERMS, rarest: int = ANCHORS
+) -> DataFrame:
+    """(item, anchors, need): for every window its ``terms`` rarest distinct terms that training texts have, each list once.
+
+    Terms that no training text has are passed over. A window with fewer distinct words needs all of them, and one that has not
+    enough terms left is left out. ``anchors`` are the ``rarest`` of them.
+    """
+    placed = _item_terms(items).join(counts, "term", "left")
+    last = F.greatest(F.col("size") - width, F.lit(0))
+    starts = F.sequence(F.greatest(F.col("at") - (width - 1), F.lit(0)), F.least("at", last))
+    distinct = placed.select("item", "term", "n", F.explode(starts).alias("first")).distinct()
+    own = Window.partitionBy("item", "first")
+    needed = F.least(F.lit(terms), F.count("*").over(own)).alias("needed")
+    place = F.row_number().over(own.orderBy(F.col("n").asc_nulls_last(), "term")).alias("place")
+    ranked = distinct.select("item", "first", "term", "n", needed, place).filter("place <= needed and n is not null")
+    listed = ranked.groupBy("item", "first", "needed").agg(F.sort_array(F.collect_list(F.struct("place", "term"))).alias("ranked"))
+    need = F.transform("ranked", lambda r: r["term"]).alias("need")
+    listed = listed.filter(F.size("ranked") == F.col("needed")).select("item", need).distinct()
+    return listed.select("item", F.slice("need", 1, rarest).alias("anchors"), "need")
+
+
 def alignments(index: DataFrame, picked: DataFrame) -> DataFrame:
     """(doc, doc_id, item, shift): where some window has all of its anchors in place.
 
@@ -91,17 +118,23 @@ class Search:
     A window is ``width`` consecutive words of an item, or all of a shorter item. Null and empty texts have no
     words. Rows that are equal in id and text are one document, and a null id is an id like others;
     an item without an id counts in hits but has no id to name. Empty tables hit nothing,
-    and other columns are ignored.
+    and other columns are ignored. Proximity matches are found where ``proximity`` asks for their lists in the index.
     """
 
-    def __init__(self, docs: DataFrame, items: DataFrame, width: int = WINDOW, rarest: int = ANCHORS):
+    def __init__(
+        self, docs: DataFrame, items: DataFrame, width: int = WINDOW, rarest: int = ANCHORS, proximity: bool = True
+    ):
         self.docs, self.width = docs, width
         self.items = stored(item_words(items))
         self.words = document_words(docs)
         terms = if_small(_item_terms(self.items).select("term").distinct(), F.octet_length("term"))
         self.counts = stored(term_counts(self.words, terms))
         self.picked = stored(anchors(self.items, self.counts, width, rarest))
-        self.index = self._index(self.picked.select("term").distinct())
+        wanted = self.picked.select("term")
+        self.loose = stored(near_windows(self.items, self.counts, width, rarest=rarest)) if proximity else None
+        if proximity:
+            wanted = wanted.unionByName(self.loose.select(F.explode("anchors").alias("term")))
+        self.index = self._index(wanted.distinct())
 
     def _index(self, terms: DataFrame) -> DataFrame:
         """The postings (doc, doc_id, n_words, pos, term) of ``terms``, stored.
@@ -121,43 +154,57 @@ class Search:
         """
         postings = self.index.filter("term is not null").select("doc", "doc_id", "pos", "term").distinct()
         aligned = stored(alignments(postings, self.picked))
-        # Only documents with an alignment go on with their words, each once.
-        hit = if_small(aligned.select("doc").distinct(), F.octet_length("doc.id"))
-        texts = keyed(self.docs).select("doc", "text").join(hit, "doc", "left_semi")
-        texts = texts.dropDuplicates(["doc"]).select("doc", alnum_words(F.col("text")).alias("words"))
+        # Only documents with an alignment go on with their words.
+        texts = self._hit_texts(aligned)
         placed = aligned.join(if_small(self.items.withColumnRenamed("words", "phrase"), F.octet_length(F.concat_ws(" ", "phrase"))), "item")
         return _stretches(placed.join(texts, "doc"), self.width).select("doc", "doc_id", "item", "item_id", "start", "stop")
 
-    def near(self, terms: int = 5, span: int = 2 * WINDOW) -> DataFrame:
-        """(doc, doc_id, item, item_id, start): proximity matches, the first place of each.
+    def near(self, span: int = SPAN) -> DataFrame:
+        """(doc, doc_id, item, item_id, start): proximity matches, where the first one of each begins.
 
-        An item is near where its ``terms`` rarest distinct terms (all, if it has fewer) stand in
-        any order within ``span`` consecutive words. ``start`` is the first word of the first such place.
+        An item is near where the ``TERMS`` rarest distinct terms of one of its windows (all, if it has fewer) stand in
+        any order within ``span`` consecutive words; ``start`` is the first of these.
         """
-        distinct = _item_terms(self.items).select("item", "term").distinct().join(self.counts, "term", "left")
-        own = Window.partitionBy("item")
-        ranked = distinct.withColumn("place", F.row_number().over(own.orderBy("n", "term"))).filter(F.col("place") <= terms)
-        ranked = ranked.withColumns({"need": F.count("*").over(own), "gone": F.max(F.col("n").isNull()).over(own)})
-        ranked = stored(ranked.filter("not gone").select("item", "term", "need"))
-        postings = self._index(ranked.select("term").distinct()).filter("term is not null")
-        hits = postings.select("doc", "doc_id", "pos", "term").distinct().join(if_small(ranked, F.octet_length("term")), "term")
-        # Every posting opens a span, in which distinct terms are counted.
+        anchored = self.loose.select("item", F.explode("anchors").alias("term")).distinct()
+        postings = self.index.filter("term is not null").select("doc", "doc_id", "pos", "term").distinct()
+        hits = postings.join(if_small(anchored, F.octet_length("term")), "term")
+        windows = self.loose.groupBy("item").agg(F.collect_list(F.struct("anchors", "need")).alias("windows"))
+        windows = if_small(windows, F.octet_length(F.to_json("windows")))
+        # Every posting opens a span, in which the anchors are looked for.
         ahead = Window.partitionBy("doc", "item").orderBy("pos").rangeBetween(0, span - 1)
-        found = hits.withColumn("held", F.size(F.collect_set("term").over(ahead))).filter("held >= need")
-        found = found.groupBy("doc", "doc_id", "item").agg(F.min("pos").alias("start"))
+        opened = hits.withColumn("held", F.collect_set("term").over(ahead)).join(windows, "item")
+        anchors = F.exists("windows", lambda w: F.size(F.array_except(w["anchors"], F.col("held"))) == 0)
+        opened = stored(opened.filter(anchors).select("doc", "doc_id", "item", "pos").distinct())
+        placed = opened.join(windows, "item").join(self._hit_texts(opened), "doc")
+        # All spans that hold the posting; the words of each have to hold a window's terms.
+        begins = F.sequence(F.greatest(F.col("pos") - (span - 1), F.lit(0)), F.col("pos"))
+        around = lambda s: F.slice("words", s + 1, F.lit(span))
+        whole = lambda s: F.exists("windows", lambda w: F.size(F.array_except(w["need"], around(s))) == 0)
+        found = placed.withColumn("start", F.array_min(F.filter(begins, whole))).filter("start is not null")
+        found = found.groupBy("doc", "doc_id", "item").agg(F.min("start").alias("start"))
         return found.join(if_small(self.items.select("item", "item_id")), "item").select("doc", "doc_id", "item", "item_id", "start")
 
+    def _hit_texts(self, hits: DataFrame) -> DataFrame:
+        """(doc, words) of the documents of ``hits``, each once."""
+        hit = if_small(hits.select("doc").distinct(), F.octet_length("doc.id"))
+        texts = keyed(self.docs).select("doc", "text").join(hit, "doc", "left_semi")
+        return texts.dropDuplicates(["doc"]).select("doc", alnum_words(F.col("text")).alias("words"))
+
     def report(self) -> DataFrame:
-        """(doc, doc_id, n_words, n_hit, items) of every document; ``items`` are the ids hit, as strings."""
+        """(doc, doc_id, n_words, n_hit, items, near) of every document.
+
+        ``items`` are the ids hit, as strings, and ``near`` those of proximity matches, if these are asked for.
+        """
         hits = stored(hit_words(stored(self.phrases())))
-        every = self.index.select("doc", "doc_id", "n_words").distinct()
-        return every.join(hits, "doc", "left").select(
-            "doc",
-            "doc_id",
-            "n_words",
-            F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-            F.coalesce("items", F.array().cast("array<string>")).alias("items"),
-        )
+        every = self.index.select("doc", "doc_id", "n_words").distinct().join(hits, "doc", "left")
+        none = F.array().cast("array<string>")
+        names = [F.coalesce("items", none).alias("items")]
+        if self.loose is not None:
+            near = self.near().groupBy("doc").agg(F.collect_set(F.col("item_id").cast("string")).alias("near"))
+            every = every.join(stored(near), "doc", "left")
+            names.append(F.coalesce("near", none).alias("near"))
+        n_hit = F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit")
+        return every.select("doc", "doc_id", "n_words", n_hit, *names)
 
 
 def _stretches(placed: DataFrame, width: int) -> DataFrame:
@@ -192,7 +239,7 @@ def hit_words(stretches: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, width: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` in which no window of an item occurs."""
-    return without(docs, Search(docs, items, width).phrases())
+    return without(docs, Search(docs, items, width, proximity=False).phrases())
 
 
 def ids_digest(items: Column) -> Column:
@@ -201,7 +248,7 @@ def ids_digest(items: Column) -> Column:
 
 @query()
 def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
-    """Words of every document that lie in benchmark windows, and the items hit."""
+    """Words of every document that lie in benchmark windows, the items hit, and those that are near."""
     found = Search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.report().select(
         "doc_id",
@@ -210,4 +257,6 @@ def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         ids_digest(F.col("items")).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.size("near").cast("long").alias("n_near"),
+        ids_digest(F.col("near")).alias("near_sha256"),
     )

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,9 +35,32 @@ def brute(docs, items, width=10):
     return out
 
 
+def brute_near(docs, items, width=10, terms=5, span=20):
+    """{(id, text): ids of items near}."""
+    counts = Counter(w for d, t in set(docs) for w in split(t))
+    needs = {}
+    for item, text in items:
+        words = split(text)
+        for at in range(max(1, len(words) - width + 1) if words else 0):
+            own = set(words[at : at + width])
+            known = sorted((w for w in own if counts[w]), key=lambda w: (counts[w], w.encode()))
+            if len(known) >= (least := min(terms, len(own))):
+                needs.setdefault(frozenset(known[:least]), set()).add(item)
+    out = {}
+    for doc, text in docs:
+        words = split(text)
+        have, near = set(words), set()
+        for need, found in needs.items():
+            if need <= have and any(need <= set(words[s : s + span]) for s in range(len(words))):
+                near |= found
+        out[doc, text] = {str(i) for i in near if i is not None}
+    return out
+
+
 def test_query_against_brute_force(spark, folder, given):
     docs = [(r["doc_id"], r["text"]) for r in given("documents")]
     want = {k[0]: v for k, v in brute(docs, [(r["item_id"], r["text"]) for r in given("benchmark")]).items()}
+    near = {k[0]: v for k, v in brute_near(docs, [(r["item_id"], r["text"]) for r in given("benchmark")]).items()}
     got = decontaminate.op1_decontaminate(spark, folder).collect()
     assert len(got) == len(docs)
     assert sum(r.contaminated for r in got) > 0
@@ -43,6 +68,9 @@ def test_query_against_brute_force(spark, folder, given):
         n_words, hit, items = want[r.doc_id]
         assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (n_words, len(hit), len(items), bool(hit))
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+        # Every exact match is a proximity match.
+        assert items <= near[r.doc_id] and r.n_near == len(near[r.doc_id])
+        assert r.near_sha256 == hashlib.sha256(",".join(sorted(near[r.doc_id])).encode()).hexdigest()
 
 
 LINE = "one two three four five six seven eight nine ten eleven twelve"
@@ -85,6 +113,9 @@ def test_odd_rows(spark, monkeypatch, small):
     got = [(r.doc_id, r.n_words, r.n_hit, sorted(r["items"])) for r in search.report().collect()]
     want = [(k[0], n, len(hit), sorted(ids)) for k, (n, hit, ids) in brute(DOCS, ITEMS).items()]
     assert sorted(got, key=str) == sorted(want, key=str)
+    near = [(r.doc_id, r.n_words, sorted(r.near)) for r in search.report().collect()]
+    want = [(k[0], len(split(k[1])), sorted(ids)) for k, ids in brute_near(DOCS, ITEMS).items()]
+    assert sorted(near, key=str) == sorted(want, key=str)
     kept = decontaminate.clean(docs, items)
     assert kept.columns == docs.columns
     hit = {k for k, v in brute(DOCS, ITEMS).items() if v[1]}
@@ -95,7 +126,26 @@ def test_proximity(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma"), (2, "alpha omega")], "item_id long, text string")
     rows = [(1, "x gamma y beta z alpha"), (2, "alpha " + "x " * 30 + "beta gamma"), (3, "alpha beta"), (4, "omega alpha")]
     search = decontaminate.Search(spark.createDataFrame(rows, "doc_id long, text string"), items)
-    assert sorted((r.doc_id, r.item_id, r.start) for r in search.near().collect()) == [(1, 1, 1), (4, 2, 0)]
+    assert sorted((r.doc_id, r.item_id, r.start) for r in search.near().collect()) == [(1, 1, 0), (4, 2, 0)]
+
+
+def test_shuffled_items_are_near(spark, folder, given):
+    """Copies of items with their words in another order, and some words put between."""
+    rng, words = random.Random(4), {r["item_id"]: split(r["text"]) for r in given("benchmark")}
+    items = {i: w for i, w in words.items() if len(w) >= 10}
+    docs = []
+    for i, w in items.items():
+        at = rng.randrange(len(w) - 9)
+        window = w[at : at + 10]
+        rng.shuffle(window)
+        mixed = [x for n, word in enumerate(window) for x in ([word, "zwischen"] if n % 2 else [word])]
+        docs.append((i, " ".join(["vorher"] * 30 + mixed + ["danach"] * 30)))
+    docs += [(10_000, "vorher zwischen danach " * 40)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    search = decontaminate.Search(rows, spark.read.parquet(f"{folder}/benchmark.parquet"))
+    near = {r.doc_id: {int(i) for i in r.near} for r in search.report().collect()}
+    assert all(i in near[i] for i in items) and near[10_000] == set()
+    assert search.phrases().count() < len(items) // 4
 
 
 def test_empty_tables(spark):
