@@ -12,7 +12,7 @@ not on their order.
 What grows with the corpus, its distinct words, stays in tables:
 
 1. Words are counted in the tasks and added up by Spark.
-2. Expected uses of the pieces are summed over the distinct words; there is one number for each piece.
+2. Expected uses of the pieces are summed over the distinct words, each counted once; there is one number for each piece.
 3. Every distinct word is scored once.
 4. Documents are read again. The most frequent words, ``HEAD`` at most, are sent to the tasks, and sums over them are taken there;
    all other words are joined.
@@ -40,8 +40,6 @@ HEAD, HEAD_BYTES = 50_000, 64
 #: Distinct words that a task counts before it hands them on.
 COUNTED = 300_000
 ROUNDS = 2
-#: Uses of a word that the expectation counts: pieces are for rare words.
-RARE = 3
 #: Tokens in the urn at first.
 URN = 1600.0
 BATCH = 20_000
@@ -148,9 +146,10 @@ class Model:
         self.discount = min(0.9, max(0.1, discount))
         self.pieces = pieces = lattice.read_pieces(vocabulary)
         weights = lattice.normalise(pieces, np.zeros(len(pieces.texts) + 256), 0.0)
-        rare = words.filter("train > 0").select("word", F.least("train", F.lit(RARE)).cast("long").alias("n"))
+        # As in Kneser-Ney smoothing, what is backed off to goes by how many different words a piece is in.
+        different = words.filter("train > 0").select("word", F.lit(1).cast("long").alias("n"))
         for _ in range(rounds if self.words else 0):
-            weights = lattice.normalise(pieces, *expected_uses(rare, pieces, weights))
+            weights = lattice.normalise(pieces, *expected_uses(different, pieces, weights))
         self.weights = weights
         own = F.greatest(F.col("train") - self.discount, F.lit(0.0)) / max(1, self.tokens)
         made = spelled(words, pieces, weights)
@@ -158,7 +157,8 @@ class Model:
         in_pieces = F.col("spelled") + math.log(self.left)
         both = F.greatest(F.log(own), in_pieces)
         both = F.when(own > 0, both + F.log1p(F.exp(-F.abs(F.log(own) - in_pieces)))).otherwise(in_pieces)
-        self.table = stored(made.select("word", "train", "all", (both / math.log(10)).alias("score")))
+        logs = (both / math.log(10)).alias("score"), (F.col("spelled") / math.log(10)).alias("lattice")
+        self.table = stored(made.select("word", "train", "all", *logs))
 
     @property
     def left(self) -> float:
@@ -185,14 +185,15 @@ def drawn(score: Column, times: Column, urn: float = URN) -> Column:
 
 
 def score(docs: DataFrame, model: Model, urn: float = URN) -> DataFrame:
-    """``docs`` with n_tokens, n_known, base_score and score, in place of the text.
+    """``docs`` with n_tokens, n_known, base_score, score and lattice_score, in place of the text.
 
     ``docs`` is what the model has counted. ``base_score`` adds one to every token's count. ``score`` is log10 of the
-    text's probability, with its end.
+    text's probability, with its end. ``lattice_score`` is that of the lattice alone: every word from its segmentations into
+    pieces, whether the corpus has it or not, in the share that the end leaves, and without the urn.
     """
     head = model.table.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("all"), "word").limit(HEAD)
     head = stored(head.withColumn("base", model.base(F.col("train"))))
-    rows = {bytes(r["word"]): (r["score"], r["base"], int(r["train"] > 0)) for r in head.collect()}
+    rows = {bytes(r["word"]): (r["score"], r["base"], int(r["train"] > 0), r["lattice"]) for r in head.collect()}
     sent = docs.sparkSession.sparkContext.broadcast(rows)
     names = [c for c in docs.columns if c != "text"]
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
@@ -202,7 +203,7 @@ def score(docs: DataFrame, model: Model, urn: float = URN) -> DataFrame:
         for batch in batches:
             sums, rest, counts = [], [], []
             for words in _texts(batch.column(len(names))):
-                total = base = 0.0
+                total = base = spelled = 0.0
                 seen, n, others = 0, 0, {}
                 for word, times in Counter(words).items():
                     n += times
@@ -216,9 +217,10 @@ def score(docs: DataFrame, model: Model, urn: float = URN) -> DataFrame:
                             total += (lgamma(share + times) - lgamma(share + 1.0)) / ten
                         base += times * found[1]
                         seen += times * found[2]
+                        spelled += times * found[3]
                 # The urn has a token more after every draw, the end's included.
                 total -= (lgamma(urn + n + 1) - lgamma(urn)) / ten
-                sums.append((n, seen, base, total))
+                sums.append((n, seen, base, total, spelled))
                 rest.append(list(others))
                 counts.append(list(others.values()))
             columns = [pa.array(c, t) for c, t in zip(zip(*sums, strict=True), _KINDS, strict=True)]
@@ -227,7 +229,7 @@ def score(docs: DataFrame, model: Model, urn: float = URN) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*own, *columns, *lists], names=[*names, *_SUMS, "rest", "times"])
 
     made = docs.select(*names, "text").mapInArrow(
-        run, f"{kinds}, _n long, _known long, _base double, _score double, rest array<binary>, times array<long>"
+        run, f"{kinds}, _n long, _known long, _base double, _score double, _lattice double, rest array<binary>, times array<long>"
     )
     made = stored(made.withColumn("_row", F.monotonically_increasing_id()))
     other = made.select("_row", F.explode(F.arrays_zip("rest", "times")).alias("word"))
@@ -239,9 +241,12 @@ def score(docs: DataFrame, model: Model, urn: float = URN) -> DataFrame:
             F.sum(F.when(F.col("train") > 0, F.col("times")).otherwise(0)).alias("more_known"),
             F.sum(F.col("times") * model.base(F.col("train"))).alias("more_base"),
             F.sum(drawn(F.col("score"), F.col("times"), urn)).alias("more_score"),
+            F.sum(F.col("times") * F.col("lattice")).alias("more_lattice"),
         )
     )
     ends = F.lit(model.ends).cast("long")
+    # log10 of what the end leaves for words.
+    rest_share = math.log10(max(1.0 - 10.0**model.end, 1e-300))
 
     def added(name: str, end: Column) -> Column:
         return F.col(f"_{name}") + F.coalesce(f"more_{name}", F.lit(0)) + end
@@ -252,11 +257,12 @@ def score(docs: DataFrame, model: Model, urn: float = URN) -> DataFrame:
         added("known", F.when(ends > 0, 1).otherwise(0)).cast("long").alias("n_known"),
         added("base", model.base(ends)).alias("base_score"),
         added("score", F.lit(model.end + math.log10(urn))).alias("score"),
+        added("lattice", F.col("_n") * F.lit(rest_share) + F.lit(model.end)).alias("lattice_score"),
     )
 
 
-_SUMS = ["_n", "_known", "_base", "_score"]
-_KINDS = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+_SUMS = ["_n", "_known", "_base", "_score", "_lattice"]
+_KINDS = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
 
 
 @query()

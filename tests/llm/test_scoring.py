@@ -98,7 +98,8 @@ def longhand(texts, learn, model):
             drawn[w] += 1
         score += math.log10(scoring.URN * end / (scoring.URN + len(own)))
         known = sum(train[w] > 0 for w in own) + (ends > 0)
-        out.append((len(own) + 1, known, total, base, score))
+        alone = sum(spelled[w] / math.log(10) + math.log10(1 - end) for w in own) + math.log10(end)
+        out.append((len(own) + 1, known, total, base, score, alone))
     return out
 
 
@@ -113,11 +114,12 @@ def test_query_against_longhand(spark, folder, given, monkeypatch, head):
     want = longhand([r["text"] for r in rows], [not h for h in held_out], model)
     got = {r.doc_id: r for r in scoring.op3_lm_score(spark, folder).collect()}
     assert len(got) == len(rows)
-    for r, h, (n, known, total, base, score) in zip(rows, held_out, want, strict=True):
+    for r, h, (n, known, total, base, score, alone) in zip(rows, held_out, want, strict=True):
         g = got[r["doc_id"]]
         assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (h, n, known, total)
         assert g.base_score == pytest.approx(base, rel=1e-9)
         assert g.score == pytest.approx(score, rel=1e-9)
+        assert g.lattice_score == pytest.approx(alone, rel=1e-9)
 
 
 def test_corpus_words_are_likelier_than_others(spark):
@@ -128,7 +130,7 @@ def test_corpus_words_are_likelier_than_others(spark):
     assert got[0].score < got[1].score - 10
 
 
-ODD = [(None, None), (1, ""), (2, " \n\t"), (3, "x" * 3000), (None, "a \x0b b"), (4, "a a a"), (4, "a a a"), (5, "　 é é")]
+ODD = [(None, None), (1, ""), (2, " \n\t"), (3, "x" * 20_000 + " y" * 50_000), (None, "a \x0b b"), (4, "a a a"), (4, "a a a"), (5, "　 é é")]
 
 
 @pytest.mark.parametrize("learn", [True, False])
@@ -145,3 +147,10 @@ def test_odd_rows(spark, learn):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "text string, learn boolean")
     assert scoring.score(docs, scoring.Model(docs)).collect() == []
+
+
+def test_frequent_words_teach_pieces_no_more_than_rare_ones(spark):
+    """Pieces go by different words, so repeating a text changes none of their weights."""
+    once = [("alpha beta gamma", True), ("delta", True)]
+    models = [scoring.Model(spark.createDataFrame(rows, "text string, learn boolean")) for rows in (once, once + once[:1] * 50)]
+    assert np.allclose(models[0].weights.piece, models[1].weights.piece) and models[0].weights.stop == models[1].weights.stop
