@@ -2,9 +2,10 @@
 
 A gear hash rolls over the bytes of a text, and a text is cut where the hash is small. Whether a place is a
 cut depends on the ``REACH`` bytes before it only, so an insertion moves no other cut, and equal
-passages are cut alike wherever they stand. A chunk runs from a cut to the first one that is ``SPAN`` words or
-``LONG`` bytes on; a chunk begins at every cut, so chunks overlap and a passage longer than about two
-chunks holds a whole one.
+passages are cut alike wherever they stand. Where the hash is smaller still a chunk begins, and it runs to the first
+cut that is ``SPAN`` words or ``LONG`` bytes on, or a little further without one. So chunks overlap, their ends are close at hand,
+and a passage longer than about two chunks holds a whole one. Text that repeats itself may have no small hash at all; where no chunk
+begins for ``GAP`` bytes, one begins at the smallest hash of every ``GAP``, which is at the same place of what is repeated.
 
 Chunks are deduplicated by digest: a digest that two documents have is repeated, and the document of
 the smallest id keeps it. Digests are counted before they are shuffled, and repeated ones are joined back to their places, where
@@ -19,19 +20,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm.registry import query, table
 from tallyweave.llm.shared import stored
 
-#: Mean bytes between cuts, and bytes that decide about a cut (the bits of the hash).
-MEAN, REACH = 32, 32
-#: A chunk has at least so many words, or so many bytes.
-SPAN, LONG = 12, 512
+#: Mean bytes between places where chunks begin, between cuts, and bytes that decide about one (the bits of the hash).
+MEAN, CUT, REACH = 24, 8, 32
+#: Bytes without the beginning of a chunk after which the smallest hash begins one.
+GAP = 96
+#: A chunk has at least so many words, or so many bytes; and words and bytes more after which it ends without a cut.
+SPAN, LONG, MORE, LONGER = 12, 512, 4, 64
 #: Bytes hashed at a time, unless one text is longer.
 BLOCK = 1 << 22
-NO_ID = -(1 << 63)
+#: Rows without an id have numbers from here on, by the hash of their text.
+NO_ID, NO_IDS = -(1 << 63), 1 << 40
 SPACES = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
@@ -53,6 +57,18 @@ def rolling(numbers: np.ndarray) -> np.ndarray:
     return sums
 
 
+def _beginnings(hashes: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """Where chunks of a text begin: at 0, behind every small hash, and behind the first smallest of every ``GAP`` without one."""
+    found = np.unique(np.concatenate(([0], np.flatnonzero(small) + 1)))
+    more = []
+    ends = np.append(found[1:], len(hashes))
+    for begin, end in zip(found[ends - found > GAP].tolist(), ends[ends - found > GAP].tolist(), strict=True):
+        rows = (end - begin) // GAP
+        least = hashes[begin : begin + rows * GAP].reshape(rows, GAP).argmin(axis=1)
+        more.append(begin + np.arange(rows) * GAP + least + 1)
+    return np.unique(np.concatenate([found, *more]))
+
+
 def chunks(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Starts and stops, in bytes, of every text's chunks."""
     # Texts are kept apart by zeros, so that none reaches into the next.
@@ -63,7 +79,8 @@ def chunks(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     numbers = gear()[data]
     for begin, size in zip(begins.tolist(), sizes.tolist(), strict=True):
         numbers[begin + size : begin + size + REACH] = 0
-    cut = rolling(numbers) < np.uint32((1 << 32) // MEAN)
+    hashes = rolling(numbers)
+    cut, open_ = hashes < np.uint32((1 << 32) // CUT), hashes < np.uint32((1 << 32) // MEAN)
     space = SPACES[data]
     first = ~space
     first[1:] &= space[:-1]
@@ -71,15 +88,32 @@ def chunks(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
     for begin, size in zip(begins.tolist(), sizes.tolist(), strict=True):
         own = np.unique(np.concatenate(([0], np.flatnonzero(cut[begin : begin + size]) + 1, [size])))
-        words = np.concatenate(([0], np.cumsum(first[begin : begin + size])))[own]
-        stop = np.minimum(np.searchsorted(words, words + SPAN), np.searchsorted(own, own + LONG))
-        whole = stop < len(own)
-        out.append((own[whole], own[stop[whole]]))
+        from_ = _beginnings(hashes[begin : begin + size], open_[begin : begin + size])
+        words = np.concatenate(([0], np.cumsum(first[begin : begin + size])))
+        at = np.minimum(np.searchsorted(words[own], words[from_] + SPAN), np.searchsorted(own, from_ + LONG))
+        after = size + 1
+        stop = np.append(own, after)[at]
+        # The byte before the first of a word has all words before it.
+        word = np.searchsorted(words, words[from_] + SPAN + MORE) - 1
+        stop = np.minimum(stop, np.where(word < size, word, after))
+        stop = np.minimum(stop, np.where(from_ + LONG + LONGER <= size, from_ + LONG + LONGER, after))
+        whole = stop < after
+        out.append((from_[whole], stop[whole]))
     return out
 
 
+def _number(text: str = "text") -> Column:
+    """The id, or for a row without one a number of its text that no id has."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.pmod(F.xxhash64(text), F.lit(NO_IDS)))
+
+
+def _known(number: Column) -> Column:
+    """The id of a number, null for a row without one."""
+    return F.when(number >= NO_ID + NO_IDS, number)
+
+
 def digested(docs: DataFrame) -> DataFrame:
-    """(row, doc, text_key, digests, starts, stops) of every row, stored; ``doc`` is the id, or ``NO_ID``."""
+    """(row, doc, text_key, digests, starts, stops) of every row, stored; ``doc`` is the id, or a number in its place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
@@ -102,7 +136,7 @@ def digested(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*own, *lists], names=["doc", "text_key", "digests", "starts", "stops"])
                 at = end
 
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("text_key"), "text")
+    rows = docs.select(_number().alias("doc"), F.xxhash64("text").alias("text_key"), "text")
     made = rows.mapInArrow(
         run, "doc long, text_key long, digests array<long>, starts array<int>, stops array<int>"
     )
@@ -125,8 +159,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     """(row, doc_id, text_key, repeated, dropped, kept_by) of the rows with passages that other documents have.
 
     ``repeated`` has the spans (starts, stops) in bytes of UTF-8; ``dropped`` has those of them that a document
-    of a smaller id keeps, and ``kept_by`` these ids. Repeated rows of an id are one document, which does not repeat
-    itself, and so are all rows without an id. Null and short texts have no chunks, other columns are ignored, and
+    of a smaller id keeps, and ``kept_by`` these ids. Ids are whole numbers. Repeated rows of an id are one document, which does
+    not repeat itself, and so are rows without an id of the same text; these come before all others. Null and short texts have no chunks, other columns are ignored, and
     texts without repetitions (and so an empty table) give no rows.
     """
     rows = digested(docs)
@@ -151,9 +185,8 @@ def repeats(docs: DataFrame) -> DataFrame:
         "row", merged("starts", "stops").alias("repeated"), merged("later_starts", "later_stops").alias("dropped"), "kept_by"
     )
     own = rows.select("row", "doc", "text_key")
-    doc_id = F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id")
-    no_id = F.transform("kept_by", lambda d: F.when(d != NO_ID, d)).alias("kept_by")
-    return own.join(stored(spans), "row").select("row", doc_id, "text_key", "repeated", "dropped", no_id)
+    no_id = F.transform("kept_by", _known).alias("kept_by")
+    return own.join(stored(spans), "row").select("row", _known(F.col("doc")).alias("doc_id"), "text_key", "repeated", "dropped", no_id)
 
 
 def clean(docs: DataFrame) -> DataFrame:
@@ -163,7 +196,7 @@ def clean(docs: DataFrame) -> DataFrame:
     """
     found = repeats(docs).filter(F.size("dropped.starts") > 0)
     drops = found.groupBy("doc_id", "text_key").agg(F.first("dropped").alias("dropped"))
-    known = F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text_key")
+    known = F.struct("doc_id", "text_key")
     drops = drops.select(known.alias("key"), "dropped")
 
     @F.pandas_udf("string")
@@ -176,8 +209,9 @@ def clean(docs: DataFrame) -> DataFrame:
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    key = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64("text").alias("text_key"))
-    joined = docs.select(F.struct(*docs.columns).alias("own"), key.alias("key")).join(drops, "key", "left")
+    key = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"))
+    joined = docs.select(F.struct(*docs.columns).alias("own"), key.alias("own_key"))
+    joined = joined.join(drops, F.col("own_key").eqNullSafe(F.col("key")), "left")
     text = without(F.col("own.text"), F.col("dropped"))
     return joined.select(*[text.alias(c) if c == "text" else F.col("own")[c].alias(c) for c in docs.columns])
 
