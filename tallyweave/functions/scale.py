@@ -11,7 +11,7 @@ INTEGERS = ("tinyint", "smallint", "int", "bigint")
 def scale(column: Column, low: float, span: float) -> Column:
     """``(x - low) / span``; values outside the fitted range fall outside [0, 1]."""
     if span == 0:
-        raise ValueError("data has no range, cannot scale")
+        raise ValueError("a range of one value cannot be scaled to; drop the column or keep it as it is")
     return (column.cast("double") - F.lit(float(low))) / F.lit(float(span))
 
 
@@ -28,11 +28,11 @@ def unscale(column: Column, low: float, span: float, dtype: str) -> Column:
 def cycle_scale(column: Column, low: float = 0, cycle: float = 1440) -> Column:
     """A time on a cycle (by default minutes of a day) as a share of the cycle."""
     if cycle <= 0:
-        raise ValueError("cycle must be larger than 0")
+        raise ValueError(f"give the cycle a positive length instead of {cycle}")
     return scale(column, low, cycle)
 
 
 def cycle_unscale(column: Column, dtype: str, low: float = 0, cycle: float = 1440) -> Column:
     if cycle <= 0:
-        raise ValueError("cycle must be larger than 0")
+        raise ValueError(f"give the cycle a positive length instead of {cycle}")
     return unscale(column, low, cycle, dtype)

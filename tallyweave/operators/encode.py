@@ -147,7 +147,7 @@ def kind_rules(
         elif profiling.is_number(dtype):
             kinds[name] = "continuous"
         else:
-            raise ValueError(f"column {name!r} is not supported for encoding: {dtype}")
+            raise ValueError(f"{dtype} column {name!r} is not supported; cast it, or say its kind in overrides")
         if kinds[name] not in KINDS:
             raise ValueError(f"unknown kind {kinds[name]!r} for column {name!r}")
     return kinds
@@ -273,7 +273,7 @@ def fit(
             continue
         low, span = cycles.get(name, DAY) if kind == "time" else (fact["minimum"], fact["span"])
         if not span:
-            raise ValueError(f"column {name!r} has no range, cannot encode")
+            raise ValueError(f"all values of {name!r} are the same, a range of one value; exclude it or make it categorical")
         plans.append(
             ColumnPlan(name, kind, fact["dtype"], 1, low, span, fact["mean"], fact["std"])
         )

@@ -17,14 +17,14 @@ IDENTIFIERS = ("pid", "iid", "hid")
 def require_columns(df: DataFrame, columns: Sequence[str]) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
-        raise ValueError(f"columns not found: {missing}")
+        raise ValueError(f"{missing} not found; the table has {df.columns}")
 
 
 def require_same_columns(left: DataFrame, right: DataFrame) -> None:
     """Both tables must have the same set of columns; the error lists the difference."""
     difference = set(left.columns) ^ set(right.columns)
     if difference:
-        raise ValueError(f"the tables must have the same columns, differing: {sorted(difference)}")
+        raise ValueError(f"the columns of the tables differ; add or drop {sorted(difference)}")
 
 
 def require_numeric(df: DataFrame, columns: Sequence[str]) -> None:
@@ -32,7 +32,7 @@ def require_numeric(df: DataFrame, columns: Sequence[str]) -> None:
     require_columns(df, columns)
     wrong = [c for c in columns if df.schema[c].dataType.typeName() not in numeric]
     if wrong:
-        raise ValueError(f"columns declared numeric are not: {wrong}")
+        raise ValueError(f"cast {wrong} to a numeric type, or treat them as categorical")
 
 
 def rename_select(df: DataFrame, columns: Mapping[str, str] | None = None) -> DataFrame:
@@ -63,7 +63,7 @@ def encodable_columns(
         and (exclude is None or c not in exclude)
     ]
     if not kept:
-        raise ValueError("no columns found to encode")
+        raise ValueError("no columns are left; include one that is no identifier, or exclude fewer")
     return kept
 
 

@@ -331,10 +331,11 @@ def projected_people(spark, folder):
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("zone", "sex", "age_group", "person")]
     people = controls.expand_controls(totals).withColumn("pid", F.concat_ws("|", *parts))
     made = modelling.generate(people, model, ["pid"], 1234, sample=True)
-    segments = [r[0] for r in prepared.features.words("c_mktsegment").select("value").collect()]
+    segments = prepared.features.words("c_mktsegment").select(F.col("value").alias("c_mktsegment"), F.lit(True).alias("known"))
+    made = lookups.look_up(made, segments, "c_mktsegment")
     return (
         made.groupBy(F.substring_index("pid", "|", 1).alias("zone"), "region", "sex", "age_group")
-        .agg(F.count("*").alias("n"), F.count_if(F.col("c_mktsegment").isin(segments)).alias("valid"))
+        .agg(F.count("*").alias("n"), F.count_if("known").alias("valid"))
     )
 
 
