@@ -12,16 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm.shared import stored
+from tallyweave.session import delete
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    least = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("least")))
+def _large_star(edges: DataFrame, paths: list[str]) -> DataFrame:
+    both = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), paths)
+    least = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("least")), paths)
     return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    least = stored(edges.groupBy("a").agg(F.min("b").alias("least")))
+def _small_star(edges: DataFrame, paths: list[str]) -> DataFrame:
+    least = stored(edges.groupBy("a").agg(F.min("b").alias("least")), paths)
     moved = edges.join(least, "a").filter("b > least").select(F.col("b").alias("a"), F.col("least").alias("b"))
     return moved.unionByName(least.withColumnRenamed("least", "b")).distinct()
 
@@ -37,10 +38,15 @@ def components(edges: DataFrame) -> DataFrame:
     do not matter, and an empty table gives no rows.
     """
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = stored(pairs.filter("a > b").distinct())
+    paths: list[str] = []
+    edges = stored(pairs.filter("a > b").distinct(), paths)
     state = None
     while state != (now := _state(edges)):
-        state = now
-        edges = stored(_small_star(stored(_large_star(edges))))
+        state, old = now, paths
+        paths = []
+        edges = stored(_small_star(stored(_large_star(edges, old), old), old), paths)
+        # Nothing reads the tables of a round once the next edges are there.
+        for path in old:
+            delete(edges.sparkSession, path)
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

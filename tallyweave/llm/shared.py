@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import string
-import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyweave.session import shared_dir
+from tallyweave.session import scratch
 
 #: Between alphanumeric words, after A-Z has been lower-cased.
 NOT_ALNUM = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -51,17 +50,17 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
     """``df`` written to the shared folder and read from there.
 
     Cuts the lineage, so that a lost executor costs a read and not the work before
-    it. The files go when the session ends.
+    it. The files go when the session ends, or before if the folder, which is added to ``paths``, is removed.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    path = scratch(spark, "llm")
     df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    if paths is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
