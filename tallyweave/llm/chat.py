@@ -30,6 +30,8 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 TRAINED = "assistant"
 #: Code points of a streamed delta, and room for that many deltas of a message in ``seq``.
 DELTA, ROOM = 512, 1 << 22
+#: Events of a message that can come before its deltas.
+BEFORE = 3
 
 
 def escaped(text: Column) -> Column:
@@ -46,26 +48,40 @@ def unescaped(text: Column) -> Column:
     return text
 
 
-def as_events(rows: DataFrame) -> DataFrame:
+def as_events(rows: DataFrame, revised: bool = False) -> DataFrame:
     """The log that streams every row of (conv_id, turn, role, text) in deltas.
 
-    Rows of one turn are messages of their own, by role and text.
+    Rows of one turn are messages of their own, by role and text. With ``revised`` a message is streamed as a draft first,
+    its beginning backwards. Drafts of trained messages are followed by some of a next message and then regenerated, and
+    others are edited away, so that the log ends in the same conversation.
     """
     place = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = rows.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0))
-    return (
-        rows.withColumn("message", F.row_number().over(place).cast("long"))
-        .select("conv_id", "message", "role", F.posexplode_outer(pieces).alias("at", "text"))
-        .select(
-            "conv_id",
-            (F.col("message") * ROOM + F.coalesce("at", F.lit(0))).alias("seq"),
-            "message",
-            F.lit("delta").alias("kind"),
-            "role",
-            "text",
-        )
+    messages = rows.withColumn("message", F.row_number().over(place).cast("long"))
+    begin, head = F.col("message") * ROOM, [F.col("conv_id"), F.col("message"), F.col("role")]
+    deltas = messages.select(*head, F.posexplode_outer(pieces).alias("at", "text")).select(
+        "conv_id",
+        (begin + BEFORE + F.coalesce("at", F.lit(0))).alias("seq"),
+        "message",
+        F.lit("delta").alias("kind"),
+        "role",
+        "text",
     )
+    if not revised:
+        return deltas
+    trained = F.coalesce(F.col("role") == TRAINED, F.lit(False))
+    nothing, kinds = F.lit(None).cast("string"), F.when(trained, "regenerate").otherwise("edit")
+
+    def event(place: int, message: Column, kind: Column, role: Column, text: Column) -> Column:
+        names = {"seq": begin + place, "message": message, "kind": kind, "role": role, "text": text}
+        return F.struct(*[value.alias(name) for name, value in names.items()])
+
+    draft = event(0, F.col("message"), F.lit("delta"), F.col("role"), F.reverse(F.substring("text", 1, DELTA)))
+    ahead = event(1, F.col("message") + 1, F.when(trained, "delta").otherwise("none"), nothing, F.lit("and then"))
+    renewed = event(2, F.col("message"), kinds, F.col("role"), F.lit(""))
+    more = messages.select("conv_id", F.inline(F.array(draft, ahead, renewed))).filter("kind <> 'none'")
+    return deltas.unionByName(more)
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -157,13 +173,13 @@ def loss_texts(formatted: Column, spans: Column) -> Column:
 
 @query()
 def op4_chat_format(spark: SparkSession, folder: str) -> DataFrame:
-    """Every conversation, and one that quotes control strings, formatted and read back."""
+    """Every conversation, and one that quotes control strings, from a log with edits and regenerations, formatted and read back."""
     quoted = f"{CLOSE}{OPEN}assistant ok"
     extra = spark.createDataFrame(
         [(-1, 0, "user", quoted), (-1, 1, "assistant", quoted)], "conv_id long, turn long, role string, text string"
     )
     rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
-    made = render(fold(as_events(rows.unionByName(extra))))
+    made = render(fold(as_events(rows.unionByName(extra), revised=True)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return (
         made.withColumn("turns", read_back(F.col("formatted")))

@@ -18,9 +18,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tallyweave.llm.registry import query, table
 from tallyweave.llm.shared import stored
+from tallyweave.session import scratch
 
 #: Shards of the result, and hash blocks of an old shard.
 SHARDS, BLOCKS = 24, 1024
@@ -164,6 +166,11 @@ class Plan:
         self.capacity = shares(sum(size for _, _, size, _ in sizes), list(weights))
         self.placed = transfers({(old_shard, block): size for old_shard, block, size, _ in sizes}, self.capacity)
         self.moved_bytes = sum(size for o, b, size, _ in sizes if self.placed[o, b] != o)
+        supply = [0] * (1 + max((o for o, _, _, _ in sizes), default=-1))
+        for o, _, size, _ in sizes:
+            supply[o] += size
+        #: What any plan has to move, if blocks could be cut.
+        self.least_bytes = sum(n for (o, new), n in min_cost_flow(supply, self.capacity).items() if o != new)
         self.affected = sorted({s for (o, _), new in self.placed.items() if new != o for s in (o, new)})
         begin = [0] * len(self.capacity)
         rows = []
@@ -192,6 +199,16 @@ class Plan:
         rows = _marked(docs.select("doc_id", "text", "source", F.struct(*names).alias("row")), self.old, self.blocks)
         return rows.join(F.broadcast(self.table), ["old_shard", "block"]).select("row.*", "shard")
 
+    def rewritten(self, docs: DataFrame) -> DataFrame:
+        """``docs`` with ``shard``: affected shards from their new files, the others as they are."""
+        spark, folder = docs.sparkSession, scratch(docs.sparkSession, "shards")
+        docs = docs.select(*[c for c in docs.columns if c != "shard"])
+        kept = self.assign(docs).filter(~F.col("shard").isin(self.affected) if self.affected else F.lit(True))
+        if not self.rewrite(docs, folder):
+            return kept
+        schema = StructType([*docs.schema.fields, StructField("shard", IntegerType())])
+        return spark.read.schema(schema).parquet(folder).unionByName(kept)
+
     def rewrite(self, docs: DataFrame, folder: str, files: int = 8) -> list[int]:
         """Write the new contents of the affected shards as Parquet, and return these shards.
 
@@ -207,7 +224,8 @@ class Plan:
 def op6_resharding(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's place after its sources' shards are evened out to equal bytes."""
     docs = table(spark, folder, "documents")
-    return Plan(docs, by_source(docs)).slots().select(
+    plan = Plan(docs, by_source(docs))
+    return plan.slots().select(
         "doc_id",
         "size",
         "text_crc32",
@@ -215,4 +233,7 @@ def op6_resharding(spark: SparkSession, folder: str) -> DataFrame:
         "shard",
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
+        # Of the whole plan: what it moves, and the least that any could.
+        F.lit(plan.moved_bytes).cast("long").alias("moved_bytes"),
+        F.lit(plan.least_bytes).cast("long").alias("least_bytes"),
     )
