@@ -17,11 +17,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallyweave.llm.graph import components
 from tallyweave.llm.registry import query, table
@@ -35,7 +35,7 @@ SEED = 42
 CROWD = 256
 LEVELS = 3
 #: Hashes whose bits are counted at a time.
-BLOCK = 1 << 16
+BLOCK = 1 << 14
 
 
 def _of_words(words: list[bytes], width: int) -> int:
@@ -44,15 +44,16 @@ def _of_words(words: list[bytes], width: int) -> int:
         return 0
     width = min(width, len(words))
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
+    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1]
+    ends = ends[width - 1 :]
     line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    spans = list(zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True))
     ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, len(spans), BLOCK):
-        part = np.fromiter((digest(line[a:b], SEED) for a, b in spans[at : at + BLOCK]), dtype="<u8")
+    for at in range(0, len(starts), BLOCK):
+        spans = zip(starts[at : at + BLOCK].tolist(), ends[at : at + BLOCK].tolist(), strict=True)
+        part = np.fromiter((digest(line[a:b], SEED) for a, b in spans), dtype="<u8")
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         ones += bits.sum(axis=0, dtype=np.int64)
-    majority = np.packbits(2 * ones > len(spans), bitorder="little")
+    majority = np.packbits(2 * ones > len(starts), bitorder="little")
     return int(majority.view("<i8")[0])
 
 
@@ -60,14 +61,19 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = SHINGLE) -> D
     """``docs`` with ``fp``, the fingerprint as a signed long, in place of the text.
 
     Words lie between white space and A-Z is lowered. Fewer words than ``width`` make one
-    shingle, and no words (or a null text) fingerprint 0.
+    shingle, and no words (or a null text) fingerprint 0. Texts stay in Arrow memory and are taken from there one by one.
     """
+    names = [c for c in docs.columns if c not in (text, "fp")]
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in texts:
-            yield pd.Series([_of_words((t or "").encode().lower().split(), width) for t in batch], dtype="int64")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(len(names)).cast(pa.binary())
+            fps = [_of_words((t.as_py() or b"").lower().split(), width) for t in texts]
+            own = [batch.column(i) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(fps, pa.int64())], names=[*names, "fp"])
 
-    return docs.withColumn("fp", F.pandas_udf(run, "long")(text)).drop(text)
+    schema = StructType([*[docs.schema[c] for c in names], StructField("fp", LongType())])
+    return docs.select(*names, text).mapInArrow(run, schema)
 
 
 def _signed(value: int) -> int:
