@@ -291,7 +291,7 @@ def trial_ranking(spark, folder):
         "min_epochs": 1,
     }
     prepared = prepared_orders(spark, folder)
-    scored = synthesis.tune(prepared, tree, scratch(spark, "trials"), trials=2, seed=7)
+    scored = synthesis.tune(prepared, tree, scratch(spark, "trials"), trials=2, seed=7, workers=2)
     # As many rows as trials.
     ranked = trials.best_trials(scored, 2).withColumn("place", F.monotonically_increasing_id())
     before = F.lag("objective").over(Window.orderBy("place"))
