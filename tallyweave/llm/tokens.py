@@ -34,7 +34,6 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyweave.llm.codes import Codes, pack
 from tallyweave.llm.registry import query, table
-from tallyweave.llm.shared import if_small
 from tallyweave.session import scratch
 
 #: File of the vocabulary below the folder of public tokenizers.
@@ -49,6 +48,8 @@ REMEMBERED = 1_500_000
 TOGETHER = 32
 #: Bytes of texts taken at a time, unless one text is longer.
 BYTES = 8 << 20
+#: Parts whose places are broadcast.
+PARTS = 4_000_000
 #: Bytes of a row group, so that a large file is read by several tasks.
 ROW_GROUP = 16 << 20
 
@@ -250,7 +251,9 @@ def write(docs: DataFrame, path: str, vocabulary_file: str | None = None, end: i
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
     """The segments with ``start``, the place of their first id in the corpus, instead of an offset."""
-    parts = if_small(spark.read.parquet(f"{path}/parts").withColumnRenamed("start", "begin"))
+    parts = spark.read.parquet(f"{path}/parts").withColumnRenamed("start", "begin")
+    # Two numbers a part, so that codes need no shuffle.
+    parts = F.broadcast(parts) if parts.count() <= PARTS else parts
     found = spark.read.parquet(f"{path}/segments").join(parts, "part")
     return found.withColumn("start", F.col("begin") + F.col("offset")).drop("begin", "offset")
 

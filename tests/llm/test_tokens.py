@@ -108,8 +108,10 @@ def test_other_vocabularies_encode_whole_texts(spark, tmp_path):
     assert [np.frombuffer(r.ids, "<u4").tolist() for r in got] == want
 
 
-def test_any_place_can_be_read(spark, tmp_path, monkeypatch, tokenizer):
+@pytest.mark.parametrize("parts", [tokens.PARTS, 0])
+def test_any_place_can_be_read(spark, tmp_path, monkeypatch, tokenizer, parts):
     monkeypatch.setattr(tokens, "SEGMENT", 50)
+    monkeypatch.setattr(tokens, "PARTS", parts)
     texts = ["many words of text " * n for n in (1, 40, 3, 0, 7, 2)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     path = str(tmp_path / "out")
