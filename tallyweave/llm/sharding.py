@@ -30,6 +30,8 @@ SHARDS, BLOCKS = 24, 1024
 ROW_BYTES = 8
 #: Shards that the documents lie in before, by source.
 OLD_SHARDS = 16
+#: Bytes of documents in a file of a shard.
+FILE_BYTES = 128 << 20
 
 
 def min_cost_flow(
@@ -209,14 +211,17 @@ class Plan:
         schema = StructType([*docs.schema.fields, StructField("shard", IntegerType())])
         return spark.read.schema(schema).parquet(folder).unionByName(kept)
 
-    def rewrite(self, docs: DataFrame, folder: str, files: int = 8) -> list[int]:
+    def rewrite(self, docs: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> list[int]:
         """Write the new contents of the affected shards as Parquet, and return these shards.
 
-        Folders are named ``shard=<n>``, with up to ``files`` files each. Other shards stay as they are.
+        Folders are named ``shard=<n>``, with files of about ``file_bytes`` of documents or less. Other shards stay as they are.
         """
         rows = self.assign(docs).filter(F.col("shard").isin(self.affected) if self.affected else F.lit(False))
+        # However much a shard holds, a task writes a few files' worth.
+        files = max(1, -(-max(self.capacity, default=0) // file_bytes))
         part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(files))
-        rows.repartition("shard", part).write.mode("overwrite").partitionBy("shard").parquet(folder)
+        dealt = rows.repartition(max(1, len(self.affected) * files), "shard", part)
+        dealt.write.mode("overwrite").partitionBy("shard").parquet(folder)
         return self.affected
 
 
