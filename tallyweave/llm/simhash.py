@@ -71,6 +71,8 @@ def fingerprints(docs: DataFrame, text: str = "text", width: int = SHINGLE) -> D
             fps = [_of_words((t.as_py() or b"").lower().split(), width) for t in texts]
             own = [batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*own, pa.array(fps, pa.int64())], names=[*names, "fp"])
+        # Workers live on, beside what the next stages need.
+        pa.default_memory_pool().release_unused()
 
     schema = StructType([*[docs.schema[c] for c in names], StructField("fp", LongType())])
     return docs.select(*names, text).mapInArrow(run, schema)

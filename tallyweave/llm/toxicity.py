@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -225,6 +226,9 @@ def _measured(model: Model, texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame
                 size = math.log1p(words.total())
                 rows.append((total / max(1, characters), top, size, math.log1p(low), low / kinds, math.log1p(high), high / kinds))
         yield pd.DataFrame(rows, columns=FEATURES)
+    # Workers live on, beside what the next stages need.
+    known.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def _groups(words: list[str]) -> Iterator[list[str]]:
