@@ -5,6 +5,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from tallyweave import session
 from tallyweave.functions import draws
 from tallyweave.operators import bucketed, guide
 from tallyweave.sources import files
@@ -91,3 +92,26 @@ def test_rejected_lines_are_kept(spark, tmp_path):
     assert rows.select("id").count() == 4 and rows.select("name").where("name = 'd'").count() == 1
     rows, rejects = files.read_csv_checked(spark, path, "id int, name string, x double", required=["name"])
     assert rows.count() == 3 and "7,,7.5" in [r["line"] for r in rejects.collect()]
+
+
+def test_a_writer_that_is_overtaken_leaves_the_other_ones_folder(spark, tmp_path):
+    path = f"file://{tmp_path}/trial=1"
+
+    def late(folder):
+        spark.range(3).write.parquet(folder)
+        # Another writer is done meanwhile.
+        spark.range(5).write.parquet(path)
+
+    assert not session.put_if_absent(spark, path, late)
+    assert spark.read.parquet(path).count() == 5
+    assert session.names_below(spark, f"file://{tmp_path}") == ["trial=1"]
+    assert not session.put_if_absent(spark, path, late)
+
+    def failing(folder):
+        spark.range(3).write.parquet(folder)
+        raise RuntimeError("no luck")
+
+    with pytest.raises(RuntimeError, match="no luck"):
+        session.put_if_absent(spark, f"file://{tmp_path}/trial=2", failing)
+    assert session.names_below(spark, f"file://{tmp_path}") == ["trial=1"]
+    assert session.names_below(spark, f"file://{tmp_path}/nowhere") == []
