@@ -1,6 +1,6 @@
 """Language-model scores of texts by a subword lattice.
 
-A text is its words between white space and one end. A word's probability is the sum over all of its
+A text is its words between white space, A-Z in lower case, and one end. A word's probability is the sum over all of its
 segmentations (``lattice``): into the pieces of a given vocabulary, or into one piece that is the whole word, if the corpus
 has it. Whole words weigh their count less a discount; what the discounts leave weighs the
 segmentations into pieces. So the probabilities of all words and the end add up to at most 1.
@@ -50,9 +50,10 @@ def fold(doc_id: Column) -> Column:
 
 
 def _texts(column: pa.Array) -> Iterator[list[str]]:
-    """The words of every text."""
+    """The words of every text, A-Z in lower case."""
     for text in column.cast(pa.binary()):
-        yield (text.as_py() or b"").split()
+        # Of bytes, lower() changes A-Z alone.
+        yield (text.as_py() or b"").lower().split()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:

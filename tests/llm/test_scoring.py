@@ -1,5 +1,6 @@
 import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -154,3 +155,29 @@ def test_frequent_words_teach_pieces_no_more_than_rare_ones(spark):
     once = [("alpha beta gamma", True), ("delta", True)]
     models = [scoring.Model(spark.createDataFrame(rows, "text string, learn boolean")) for rows in (once, once + once[:1] * 50)]
     assert np.allclose(models[0].weights.piece, models[1].weights.piece) and models[0].weights.stop == models[1].weights.stop
+
+
+def test_query_counts_words_in_lower_case(spark, tmp_path):
+    """Only A-Z is folded, in learnt and in held out texts, and other letters stay as they are."""
+    texts = ["The the THE cat", "É é Cat", "the CAT sat", None, "Dog", "ΣAs", "cAt\u2028x Sat"] * 3
+    spark.createDataFrame(list(enumerate(texts)), DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    held_out = [zlib.crc32(str(n).encode()) % 7 == 2 for n in range(len(texts))]
+    fold = str.maketrans({chr(n): chr(n + 32) for n in range(ord("A"), ord("Z") + 1)})
+    words = [re.findall("[^\x20\x09-\x0d]+", (t or "").translate(fold)) for t in texts]
+    train = Counter(w for own, h in zip(words, held_out, strict=True) if not h for w in [*own, None])
+    total, kinds = sum(train.values()), len(train)
+    assert any(held_out) and train["the"] > 3 and train["É"] and train["é"]
+    got = {r.doc_id: r for r in scoring.op3_lm_score(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for n, (own, h) in enumerate(zip(words, held_out, strict=True)):
+        tokens, g = [*own, None], got[n]
+        known = sum(train[w] > 0 for w in tokens)
+        assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (h, len(tokens), known, total)
+        base = sum(math.log10((train[w] + 1) / (total + kinds + 1)) for w in tokens)
+        assert g.base_score == pytest.approx(base, rel=1e-9)
+    # The score is of the folded text too.
+    folded = tmp_path / "folded"
+    low = [(n, t and t.translate(fold)) for n, t in enumerate(texts)]
+    spark.createDataFrame(low, DOC).write.parquet(str(folded / "documents.parquet"))
+    for r in scoring.op3_lm_score(spark, str(folded)).collect():
+        assert got[r.doc_id].score == pytest.approx(r.score, rel=1e-9)
