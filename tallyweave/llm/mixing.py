@@ -31,6 +31,8 @@ REPEATS = 3
 SEED = 42
 #: Buckets of a source's seeded order.
 BUCKETS = 4096
+#: Size classes of documents for each doubling of the size.
+CLASSES = 12
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -193,18 +195,22 @@ def mix(
 def select_rows(docs: DataFrame, seed: int = SEED, **settings) -> DataFrame:
     """The mix as rows: each document as often as its ``taken`` says, in whole copies.
 
-    What it is taken of a document is a number of times, seldom a whole one. These add up along the documents of a source from
-    the smallest to the largest, beginning with a seeded part of one, and a document gets a copy wherever the sum passes a whole
-    number. So copies miss a source's words by about its largest document at most. Rows
+    What it is taken of a document is a number of times, seldom a whole one. These add up along the documents of a source,
+    beginning with a seeded part of one, and a document gets a copy wherever the sum passes a whole
+    number. The order is by size class, within it by the shard of the mix, and then by size. So copies miss a source's words by about
+    its largest document, and in every class each shard gets the copies that the mix takes in it, to less than one: the quotas
+    of the shards decide which documents are copied. Documents whose first word is not taken have no shard and are a group as well. Rows
     equal in id, source and text are one document, which has the copies of all of them.
     """
     own = keyed(docs).withColumn("doc", F.struct("doc.*", F.xxhash64("source").alias("source")))
     taken = mix(own.select("doc_id", "text", "source", "doc"), seed=seed, keep=("doc",), **settings)
     one = F.lit(1 << 32)
     times = F.round(F.sum("taken") / F.first("size") * one).cast("long")
-    taken = taken.filter("size > 0").groupBy("doc").agg(times.alias("times"), F.first("size").alias("size"))
+    shard = F.coalesce(F.min("shard"), F.lit(-1)).alias("shard")
+    taken = taken.filter("size > 0").groupBy("doc").agg(times.alias("times"), F.first("size").alias("size"), shard)
+    taken = taken.withColumn("class", F.floor(F.log2("size") * CLASSES))
     taken = taken.withColumns({"source": F.col("doc.source"), "draw": _draw(F.lit(f"copies:{seed}"), F.col("doc.id"), F.col("doc.text"))})
-    summed = running(taken, ["source"], ["size", "draw", "doc"], "times", "sum")
+    summed = running(taken, ["source"], ["class", "shard", "size", "draw", "doc"], "times", "sum")
     begin = F.conv(F.substring(_draw(F.lit(f"source:{seed}"), F.col("source")), 1, 8), 16, 10).cast("long")
     summed = summed.withColumn("sum", F.col("sum") + begin)
     copies = (F.floor((F.col("sum") + F.col("times")) / one) - F.floor(F.col("sum") / one)).cast("int")

@@ -1,4 +1,4 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -151,3 +151,17 @@ def test_copies_come_near_the_targets(spark, folder):
     for r in mixing.sized(mixing.select_rows(docs)).collect():
         sizes[r.source] += r["size"]
     assert all(abs(sizes[s] - t) <= 1.5 * largest[s] for s, t in want.items())
+
+
+def test_copies_follow_the_quotas_of_the_shards(spark):
+    """Documents of one size: every shard of a source has the copies that the mix takes in it, to less than one."""
+    rows = [(n, f"{n} " * 20, f"source{n % 3}") for n in range(1500)]
+    docs = spark.createDataFrame(rows, DOC)
+    mixed = {r.doc_id: r for r in mixing.mix(docs).collect()}
+    copies = Counter(r.doc_id for r in mixing.select_rows(docs).collect())
+    want, got = defaultdict(float), defaultdict(int)
+    for n, r in mixed.items():
+        want[r.source, r.shard] += r.taken / r["size"]
+        got[r.source, r.shard] += copies[n]
+    assert len(want) > 2 * mixing.SHARDS and any(n % 1 for n in want.values())
+    assert all(abs(got[k] - n) < 1.001 for k, n in want.items())
