@@ -325,39 +325,57 @@ def _with_words(
     return split_join(keyed, lookup, "__key_in", hot).drop("__key_in")
 
 
-def _word_text(source: Column, dtype: str) -> Column:
-    """The text that a vocabulary has for a value; a negative zero is a zero there."""
-    return (source + F.lit(0.0) if dtype in ("float", "double") else source).cast("string")
+def _many_words(plan: EncodingPlan, names: Sequence[str], by: str, adds: str) -> dict[str, tuple[DataFrame, DataFrame | None]]:
+    """``__key, __found`` of every column's words, and those of its hot ones if there are any.
+
+    A word is hot if it has more than one in ``HOT_KEYS`` of the column's rows, so there are fewer than that.
+    """
+    words = plan.vocabulary.where(F.col("column").isin(list(names)) & F.col("value").isNotNull())
+    sums = {r["column"]: r["n"] for r in words.groupBy("column").agg(F.sum("n").alias("n")).collect()}
+    above = F.lit(False)
+    for name, n in sums.items():
+        above |= (F.col("column") == name) & (F.col("n") * F.lit(HOT_KEYS) > F.lit(n))
+    hot = cut_lineage(words.where(above))
+    with_hot = {r["column"] for r in hot.select("column").distinct().collect()}
+
+    def lookup(table: DataFrame, name: str) -> DataFrame:
+        dtype = plan[name].dtype
+        value = F.col("value").cast(dtype)
+        # Numbers are joined as they are, other values as the text that the vocabulary has.
+        key = F.col("token") if by == "token" else value if profiling.is_number(dtype) else F.col("value")
+        found = F.col("token") if adds == "token" else value
+        table = table.where(F.col("column") == name).select(key.alias("__key"), found.alias("__found"))
+        if by == "value" and dtype.startswith("timestamp"):
+            # Two instants may have one text where clocks are set back.
+            table = table.groupBy("__key").agg(F.max("__found").alias("__found"))
+        return table
+
+    return {n: (lookup(words, n), lookup(hot, n) if n in with_hot else None) for n in names}
 
 
 def _with_many_words(
     df: DataFrame, plan: EncodingPlan, keys: Mapping[str, Column], by: str, adds: str
 ) -> DataFrame:
-    """Add ``adds`` of the vocabulary as ``__found_<name>`` for several large columns in one join.
+    """Add ``adds`` of the vocabulary as ``__found_<name>`` for several large columns.
 
-    The rows are written once, with a number each, and their values are melted to (row, column, value). The most
-    frequent words of the vocabulary take a broadcast, the other values one join by column and value, and what is
-    found is grouped by row and joined back. So the rows are shuffled once, however many columns
-    there are, and only numbers and values besides.
+    The rows are written once, with a number each. Of every column, pairs of number and value are joined with its words by the
+    value, hot words by broadcast, and what is found is joined back by the number. So the rows
+    are shuffled once, however many columns there are, and only numbers and values besides. All joins sort by
+    one value of its own type, and nothing is melted or grouped.
     """
     spark = df.sparkSession
     path = scratch(spark, "rows")
     df.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
     rows = spark.read.parquet(path)
-    names = list(keys)
-    entries = [F.struct(F.lit(i).alias("__c"), key.alias("__k")) for i, key in enumerate(keys.values())]
-    melted = rows.select("__row", F.inline(F.array(*entries))).where(F.col("__k").isNotNull())
-    number = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])[F.col("column")]
-    words = plan.vocabulary.where(F.col("column").isin(names) & F.col("value").isNotNull())
-    words = words.select(number.alias("__c"), F.col(by).cast("string").alias("__k"), F.col(adds).alias("__found"), "n")
-    hot = cut_lineage(words.orderBy(F.desc("n"), "__c", "__k").limit(HOT_KEYS).drop("n"))
-    on, words = ["__c", "__k"], words.drop("n")
-    served = melted.join(F.broadcast(hot), on)
-    rest = melted.join(F.broadcast(hot.drop("__found")), on, "left_anti").join(words, on)
-    found = served.unionByName(rest).groupBy("__row").agg(
-        *[F.max(F.when(F.col("__c") == i, F.col("__found"))).alias(f"__found_{n}") for i, n in enumerate(names)]
-    )
-    return rows.join(found, "__row", "left").drop("__row")
+    out = rows
+    for name, (words, hot) in _many_words(plan, list(keys), by, adds).items():
+        pairs = rows.select("__row", keys[name].alias("__key")).where(F.col("__key").isNotNull())
+        rest = pairs if hot is None else pairs.join(F.broadcast(hot), "__key", "left_anti")
+        found = rest.join(words, "__key").select("__row", "__found")
+        if hot is not None:
+            found = found.unionByName(pairs.join(F.broadcast(hot), "__key").select("__row", "__found"))
+        out = out.join(found.withColumnRenamed("__found", f"__found_{name}"), "__row", "left")
+    return out.drop("__row")
 
 
 def encode(
@@ -383,7 +401,7 @@ def encode(
     large = [c for c in plan.columns if c.kind == "categorical" and c.name not in literal and not c.is_small(broadcast_rows)]
     if len(large) > 1:
         needed = dict.fromkeys([*keep, *plan.names()])
-        keys = {c.name: _word_text(col(c.name), c.dtype) for c in large}
+        keys = {c.name: col(c.name) if profiling.is_number(c.dtype) else col(c.name).cast("string") for c in large}
         df = _with_many_words(df.select(*map(col, needed)), plan, keys, "value", "token")
     out = {}
     for c in plan.columns:
@@ -451,7 +469,7 @@ def decode(
     large = [c for c in plan.columns if c.kind == "categorical" and c.name not in literal and not c.is_small(broadcast_rows)]
     if len(large) > 1:
         needed = dict.fromkeys([*keep, *names])
-        keys = {c.name: col(prefix + c.name).cast("int").cast("string") for c in large}
+        keys = {c.name: col(prefix + c.name).cast("int") for c in large}
         df = _with_many_words(df.select(*map(col, needed)), plan, keys, "token", "value")
     out = {}
     for c in plan.columns:
@@ -463,7 +481,7 @@ def decode(
             words = [F.lit(v).cast(c.dtype) for v in literal[c.name]]
             found = F.get(F.array(*words), source.cast("int"))
         elif len(large) > 1 and c in large:
-            found = col(f"__found_{c.name}").cast(c.dtype)
+            found = col(f"__found_{c.name}")
         else:
             df = _with_words(df, plan, c.name, "token", "value", source)
             df = df.withColumnRenamed("__found", f"__value_{c.name}")

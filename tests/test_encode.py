@@ -102,6 +102,38 @@ def test_several_large_columns_take_one_shuffle_of_the_rows(spark, monkeypatch):
         encode.encode(other, plan, keep=["id"], broadcast_rows=0).collect()
 
 
+def test_large_columns_are_neither_melted_nor_grouped(spark, monkeypatch):
+    """Joins by one value of its own type, for values of all types, there and back, with hot words and without."""
+    monkeypatch.setattr(encode, "LITERALS", 2)
+    df = spark.range(600).select(
+        "id",
+        F.when(F.col("id") % 7 > 0, F.col("id") % 31).alias("whole"),
+        F.when(F.col("id") % 9 == 0, F.lit(-0.0)).when(F.col("id") % 9 == 1, F.lit(float("nan"))).otherwise(F.col("id") / 8).alias("real"),
+        (F.col("id") / 4).cast("float").alias("short"),
+        (F.col("id") % 50 / 100).cast("decimal(10,2)").alias("price"),
+        F.concat(F.lit("t"), F.col("id") % 40).alias("text"),
+        F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 70).cast("int")).alias("day"),
+        F.timestamp_seconds(F.col("id") % 90 * 1801).alias("at"),
+    )
+    names = df.columns[1:]
+    plan = encode.fit(df, include=names, overrides={n: "categorical" for n in names})
+    want = encode.encode(df, plan, keep=["id"])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        # With 20, some words of the numbers are hot; with 1, none are.
+        for hot in (1, 20):
+            monkeypatch.setattr(encode, "HOT_KEYS", hot)
+            wide = encode.encode(df, plan, keep=["id"], broadcast_rows=0)
+            back = encode.decode(wide, plan, keep=["id"], broadcast_rows=0)
+            for made in (wide.select("id", "whole", "real", "text"), back):
+                steps = made._jdf.queryExecution().executedPlan().toString()
+                assert "Generate" not in steps and "Aggregate(keys=[__row" not in steps
+            assert wide.count() == 600 and wide.exceptAll(want).count() == 0
+            assert back.count() == 600 and back.exceptAll(df.withColumn("real", F.col("real") + 0.0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 @pytest.mark.parametrize("broadcast_rows", [1_000, 10])
 def test_wide_vocabulary(spark, names, monkeypatch, broadcast_rows):
     """By broadcast join, and by numbering and joining without any broadcast."""
