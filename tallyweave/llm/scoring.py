@@ -21,11 +21,11 @@ What grows with the corpus, its distinct words, stays in tables:
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +37,10 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 FOLDS, HELD_OUT = 7, 2
 #: Words that are sent to the tasks, and the longest of them in bytes.
 HEAD, HEAD_BYTES = 50_000, 64
-#: Distinct words that a task counts before it hands them on.
-COUNTED = 300_000
+#: Counts of words that a task holds before it adds them up and hands them on.
+COUNTED = 1_000_000
+#: Texts whose words are taken at once.
+TEXTS = 1_000
 ROUNDS = 2
 #: Tokens in the urn at first.
 URN = 1600.0
@@ -49,36 +51,50 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def _texts(column: pa.Array) -> Iterator[list[str]]:
-    """The words of every text, A-Z in lower case."""
-    for text in column.cast(pa.binary()):
-        # Of bytes, lower() changes A-Z alone.
-        yield (text.as_py() or b"").lower().split()
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """At most ``TEXTS`` rows at once; gives Arrow's memory back at the end, since workers live on beside the next stages."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, TEXTS):
+            yield batch.slice(start, TEXTS)
+    pa.default_memory_pool().release_unused()
+
+
+def _words(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Of all words of the texts, A-Z in lower case: the row and the number among the different words, and these as binary."""
+    # Of bytes, these take A-Z and ASCII's white space alone.
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column.fill_null("")))
+    rows, flat = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten()
+    # White space at an end of a text leaves an empty part there.
+    kept = pc.greater(pc.binary_length(flat), 0)
+    encoded = flat.filter(kept).dictionary_encode()
+    codes = encoded.indices.to_numpy().astype(np.int64)
+    return rows[kept.to_numpy(zero_copy_only=False)], encoded.dictionary.cast(pa.binary()), codes
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, train, all): occurrences in rows where ``learn`` is true, and in all rows; word as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = (Counter(), Counter())
-
-        def flush() -> pa.RecordBatch:
-            words = list(counts[0] | counts[1])
-            train, rest = ([c[w] for w in words] for c in counts)
-            for c in counts:
-                c.clear()
-            both = [a + b for a, b in zip(train, rest, strict=True)]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()), pa.array(train, pa.int64()), pa.array(both, pa.int64())],
-                names=["word", "train", "all"],
-            )
-
-        for batch in batches:
-            for words, learn in zip(_texts(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                counts[0 if learn else 1].update(words)
-                if len(counts[0]) + len(counts[1]) >= COUNTED:
-                    yield flush()
-        yield flush()
+        held: list[pa.RecordBatch] = []
+
+        def merged() -> Iterator[pa.RecordBatch]:
+            parts = pa.Table.from_batches(held)
+            if len(held) > 1:
+                sums = [("train", "sum"), ("all", "sum")]
+                parts = parts.group_by("word", use_threads=False).aggregate(sums).select(["word", "train_sum", "all_sum"])
+            held.clear()
+            return iter(parts.rename_columns(["word", "train", "all"]).combine_chunks().to_batches())
+
+        for batch in _slices(batches):
+            rows, words, codes = _words(batch.column(0))
+            learn = np.array(batch.column(1).to_pylist(), dtype=bool)
+            train = np.bincount(codes[learn[rows]], minlength=len(words))
+            both = np.bincount(codes, minlength=len(words))
+            held.append(pa.RecordBatch.from_arrays([words, pa.array(train), pa.array(both)], names=["word", "train", "all"]))
+            if sum(part.num_rows for part in held) >= COUNTED:
+                yield from merged()
+        if held:
+            yield from merged()
 
     parts = docs.select("text", "learn").mapInArrow(run, "word binary, train long, all long")
     return parts.groupBy("word").agg(F.sum("train").alias("train"), F.sum("all").alias("all"))
@@ -185,6 +201,10 @@ def drawn(score: Column, times: Column, urn: float = URN) -> Column:
     return score + math.log10(urn) + F.when(times > 1, more).otherwise(0.0)
 
 
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    return np.fromiter(map(math.lgamma, x.tolist()), float, len(x))
+
+
 def score(docs: DataFrame, model: Model, urn: float = URN) -> DataFrame:
     """``docs`` with n_tokens, n_known, base_score, score and lattice_score, in place of the text.
 
@@ -194,38 +214,43 @@ def score(docs: DataFrame, model: Model, urn: float = URN) -> DataFrame:
     """
     head = model.table.filter(F.octet_length("word") <= HEAD_BYTES).orderBy(F.desc("all"), "word").limit(HEAD)
     head = stored(head.withColumn("base", model.base(F.col("train"))))
-    rows = {bytes(r["word"]): (r["score"], r["base"], int(r["train"] > 0), r["lattice"]) for r in head.collect()}
-    sent = docs.sparkSession.sparkContext.broadcast(rows)
+    rows = head.select("word", "score", "base", "lattice", (F.col("train") > 0).cast("long")).collect()
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    heads = [pa.array(map(bytes, columns[0]), pa.binary()), *[np.array(c, dtype=float) for c in columns[1:]]]
+    sent = docs.sparkSession.sparkContext.broadcast(heads)
     names = [c for c in docs.columns if c != "text"]
     kinds = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes if c != "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, first, lgamma, ten = sent.value, math.log10(urn), math.lgamma, math.log(10)
-        for batch in batches:
-            sums, rest, counts = [], [], []
-            for words in _texts(batch.column(len(names))):
-                total = base = spelled = 0.0
-                seen, n, others = 0, 0, {}
-                for word, times in Counter(words).items():
-                    n += times
-                    found = known.get(word)
-                    if found is None:
-                        others[word] = times
-                    else:
-                        total += found[0] + first
-                        if times > 1:
-                            share = urn * 10.0 ** found[0]
-                            total += (lgamma(share + times) - lgamma(share + 1.0)) / ten
-                        base += times * found[1]
-                        seen += times * found[2]
-                        spelled += times * found[3]
-                # The urn has a token more after every draw, the end's included.
-                total -= (lgamma(urn + n + 1) - lgamma(urn)) / ten
-                sums.append((n, seen, base, total, spelled))
-                rest.append(list(others))
-                counts.append(list(others.values()))
-            columns = [pa.array(c, t) for c, t in zip(zip(*sums, strict=True), _KINDS, strict=True)]
-            lists = [pa.array(rest, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int64()))]
+        (known, scores, bases, lattices, in_train), first, ten = sent.value, math.log10(urn), math.log(10)
+        shares = urn * 10.0**scores
+        for batch in _slices(batches):
+            rows, words, codes = _words(batch.column(len(names)))
+            size, different = batch.num_rows, max(1, len(words))
+            # Every word of a text once, texts in order.
+            places, times = np.unique(rows * different + codes, return_counts=True)
+            row, code = np.divmod(places, different)
+            at = pc.index_in(words, value_set=known).fill_null(-1).to_numpy()[code]
+            of_head = at >= 0
+            where, found, count = row[of_head], at[of_head], times[of_head]
+
+            def summed(values: np.ndarray, where: np.ndarray = where, size: int = size) -> np.ndarray:
+                # Without values these are whole numbers.
+                return np.bincount(where, values, minlength=size).astype(float)
+
+            n = np.bincount(rows, minlength=size)
+            total = summed(scores[found] + first)
+            again = count > 1
+            share, more = shares[found[again]], count[again]
+            total += summed((_lgamma(share + more) - _lgamma(share + 1.0)) / ten, where[again])
+            # The urn has a token more after every draw, the end's included.
+            total -= (_lgamma(urn + n + 1) - math.lgamma(urn)) / ten
+            seen = np.rint(summed(count * in_train[found]))
+            sums = [n, seen, summed(count * bases[found]), total, summed(count * lattices[found])]
+            others = np.append(0, np.cumsum(np.bincount(row[~of_head], minlength=size)))
+            rest = words.take(pa.array(code[~of_head]))
+            columns = [pa.array(c.astype(t)) for c, t in zip(sums, _KINDS, strict=True)]
+            lists = [pa.ListArray.from_arrays(pa.array(others, pa.int32()), c) for c in (rest, pa.array(times[~of_head]))]
             own = [batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*own, *columns, *lists], names=[*names, *_SUMS, "rest", "times"])
 
@@ -263,7 +288,7 @@ def score(docs: DataFrame, model: Model, urn: float = URN) -> DataFrame:
 
 
 _SUMS = ["_n", "_known", "_base", "_score", "_lattice"]
-_KINDS = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+_KINDS = [np.int64, np.int64, np.float64, np.float64, np.float64]
 
 
 @query()

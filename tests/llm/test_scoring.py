@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +182,32 @@ def test_query_counts_words_in_lower_case(spark, tmp_path):
     spark.createDataFrame(low, DOC).write.parquet(str(folded / "documents.parquet"))
     for r in scoring.op3_lm_score(spark, str(folded)).collect():
         assert got[r.doc_id].score == pytest.approx(r.score, rel=1e-9)
+
+
+def test_words_are_those_between_ascii_white_space():
+    texts = [None, "", " \n\t", "  a \x0b B\r\x0c", "　 é É Ab\x1cC\u0085d e  f", "A a A"]
+    want = [(text or "").encode().lower().split() for text in texts]
+    for start in (0, 3):
+        rows, words, codes = scoring._words(pa.array(texts, pa.string()).slice(start))
+        got = [[] for _ in texts[start:]]
+        for row, code in zip(rows.tolist(), codes.tolist(), strict=True):
+            got[row].append(words[code].as_py())
+        assert got == want[start:] and len(set(words.to_pylist())) == len(words)
+
+
+@pytest.mark.parametrize("counted", [1, 40, 10**6])
+def test_counts_of_many_batches(spark, monkeypatch, counted):
+    monkeypatch.setattr(scoring, "COUNTED", counted)
+    rows = [(None if i % 11 == 0 else f"W{i % 3} w{i % 7} w{i % 7}\tx{i}", i % 4 != 0) for i in range(60)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        docs = spark.createDataFrame(rows, "text string, learn boolean").coalesce(2)
+        got = {bytes(r.word).decode(): (r.train, r.all) for r in scoring.word_counts(docs).collect()}
+        scored = scoring.score(docs, scoring.Model(docs)).select("n_tokens", "n_known").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    every = Counter(w for t, _ in rows for w in (t or "").lower().split())
+    train = Counter(w for t, learn in rows if learn for w in (t or "").lower().split())
+    assert got == {w: (train[w], n) for w, n in every.items()}
+    want = [((t or "").lower().split()) for t, _ in rows]
+    assert sorted(map(tuple, scored)) == sorted((len(w) + 1, sum(train[x] > 0 for x in w) + 1) for w in want)
