@@ -7,7 +7,7 @@ folder; only those of few values become literals in the query.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,6 +40,10 @@ MAX_VALUES, MAX_WEIGHTS = 100_000_000, 20_000_000
 LITERALS = 64
 LITERAL_BYTES = 64 << 10
 
+# One side of a join in a shuffle's partition is hashed up to this size, and both are sorted beyond it; what a
+# word takes there besides its text.
+HASHED_BYTES, WORD_BYTES = 128 << 20, 72
+
 KINDS = ("categorical", "continuous", "time")
 
 
@@ -177,7 +181,9 @@ def _facts(df, names, overrides, max_categories, sentinel):
         raise ValueError(f"nested columns are not supported: {nested}")
     numbers = [n for n, kind in overrides.items() if n in names and kind != "categorical"]
     require_numeric(df, numbers)
-    rows = profiling.profile(df, names, sentinel).collect()
+    # Categories need no statistics of numbers.
+    known = [n for n, kind in overrides.items() if n in names and kind == "categorical"]
+    rows = profiling.profile(df, names, sentinel, counted=known).collect()
     facts = {row["column"]: row.asDict() for row in rows}
 
     def may_be_categorical(name):
@@ -197,7 +203,8 @@ def _facts(df, names, overrides, max_categories, sentinel):
         raise ValueError(
             f"columns {large} have more than {MAX_VALUES} values; exclude them, or recode them before"
         )
-    values = cut_lineage(profiling.column_values(df, candidates))
+    many = [n for n in candidates if facts[n]["n_distinct"] > BROADCAST_ROWS]
+    values = cut_lineage(profiling.column_values(df, candidates, many))
     length = F.sum(F.coalesce(F.octet_length("value"), F.lit(0)).cast("bigint"))
     sizes = values.groupBy("column").agg(F.count(F.lit(1)).alias("n"), length.alias("bytes"))
     for row in sizes.collect():
@@ -249,7 +256,7 @@ def fit(
     """Decide how each column is encoded and number its categories.
 
     Two passes over ``df``: the profile of all columns and the distinct values
-    of the ones that may be categorical. The latter, as many rows as there are
+    of the ones that may be categorical; those of more than ``BROADCAST_ROWS`` values are read by themselves. The latter, as many rows as there are
     categories, go to the shared folder. ``overrides`` gives the kind of a column;
     ``("time", start, cycle)`` is a time with its own start and length of cycle.
     """
@@ -354,28 +361,60 @@ def _many_words(plan: EncodingPlan, names: Sequence[str], by: str, adds: str) ->
 
 
 def _with_many_words(
-    df: DataFrame, plan: EncodingPlan, keys: Mapping[str, Column], by: str, adds: str
+    df: DataFrame,
+    plan: EncodingPlan,
+    large: Mapping[str, str],
+    rest: Sequence[str],
+    key: Callable[[ColumnPlan, Column], Column],
+    by: str,
+    adds: str,
+    resolved: Callable[[ColumnPlan, Column, Column], Column],
+    dealt: Callable[[ColumnPlan], bool],
 ) -> DataFrame:
-    """Add ``adds`` of the vocabulary as ``__found_<name>`` for several large columns.
+    """``rest`` and ``__found_<name>`` for several large columns: ``resolved(plan, source, found)`` of the vocabulary's ``adds``.
 
-    The rows are written once, with a number each. Of every column, pairs of number and value are joined with its words by the
-    value, hot words by broadcast, and what is found is joined back by the number. So the rows
-    are shuffled once, however many columns there are, and only numbers and values besides. All joins sort by
-    one value of its own type, and nothing is melted or grouped.
+    ``large`` has the column of ``df`` for every name. The rows are written once, with a number each. Number and sources
+    alone go from join to join, one for each column, in which a source is
+    replaced by what it stands for; hot words are found by broadcast. ``rest`` is joined back by the number at last. So
+    other columns are shuffled once, however many large ones there are, and nothing is melted or grouped. Null keys, if ``dealt``, and
+    rows of hot words are dealt out.
     """
     spark = df.sparkSession
     path = scratch(spark, "rows")
-    df.withColumn("__row", F.monotonically_increasing_id()).write.parquet(path)
-    rows = spark.read.parquet(path)
-    out = rows
-    for name, (words, hot) in _many_words(plan, list(keys), by, adds).items():
-        pairs = rows.select("__row", keys[name].alias("__key")).where(F.col("__key").isNotNull())
-        rest = pairs if hot is None else pairs.join(F.broadcast(hot), "__key", "left_anti")
-        found = rest.join(words, "__key").select("__row", "__found")
+    rows = df.withColumn("__row", F.monotonically_increasing_id())
+    # Values of large vocabularies fill a dictionary in vain.
+    rows.write.option("parquet.enable.dictionary", "false").parquet(path)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = rows.select("__row", *[col(source).alias(f"__source_{n}") for n, source in large.items()])
+    for name, (words, hot) in _many_words(plan, list(large), by, adds).items():
+        c, source = plan[name], col(f"__source_{name}")
+        on, value = ["__key"], F.col("__found")
+        if hot is None and not dealt(c) and key(c, source) is source:
+            on = [f"__source_{name}"]
+            words = words.withColumnRenamed("__key", *on)
+        else:
+            found = found.withColumn("__key", key(c, source))
         if hot is not None:
-            found = found.unionByName(pairs.join(F.broadcast(hot), "__key").select("__row", "__found"))
-        out = out.join(found.withColumnRenamed("__found", f"__found_{name}"), "__row", "left")
-    return out.drop("__row")
+            found = found.join(F.broadcast(hot.withColumnRenamed("__found", "__hot")), "__key", "left")
+            found = found.withColumn("__key", F.when(F.col("__hot").isNull(), F.col("__key")))
+            value = F.coalesce("__hot", "__found")
+        if hot is not None or dealt(c):
+            on = ["__key", "__spread"]
+            place = F.when(F.col("__key").isNull(), F.pmod(F.xxhash64("__row"), F.lit(4096))).otherwise(F.lit(0))
+            found = found.withColumn("__spread", place.cast("int"))
+            # Always 0, but not a literal: the optimizer would take that out of the join keys.
+            words = words.withColumn("__spread", F.pmod(F.xxhash64("__key"), F.lit(1)).cast("int"))
+        if c.size * WORD_BYTES + c.bytes <= parts * HASHED_BYTES:
+            words = words.hint("shuffle_hash")
+        found = found.join(words, on, "left").withColumn(f"__found_{name}", resolved(c, source, value))
+        found = found.drop("__key", "__found", "__hot", "__spread", f"__source_{name}")
+    if rest:
+        of_fixed_size = not any(t.startswith(("string", "char", "varchar", "binary")) for _, t in found.dtypes)
+        if of_fixed_size and rows.count() * (WORD_BYTES + 8 * len(large)) <= parts * HASHED_BYTES:
+            found = found.hint("shuffle_hash")
+        found = rows.select("__row", *map(col, rest)).join(found, "__row")
+    return found.drop("__row")
 
 
 def encode(
@@ -399,21 +438,34 @@ def encode(
     require_columns(df, plan.names())
     literal = _literal_words(plan)
     large = [c for c in plan.columns if c.kind == "categorical" and c.name not in literal and not c.is_small(broadcast_rows)]
+
+    def token_of(c: ColumnPlan, source: Column, found: Column) -> Column:
+        unknown = F.lit(-1) if unseen == "code" else _fail(f"{c.name}: value not in the vocabulary: ", source, "int")
+        # Nulls sort first, so theirs is always token 0.
+        nulls = F.when(source.isNull(), F.lit(0)) if c.has_null else F.lit(None).cast("int")
+        return F.coalesce(found, nulls, unknown)
+
     if len(large) > 1:
-        needed = dict.fromkeys([*keep, *plan.names()])
-        keys = {c.name: col(c.name) if profiling.is_number(c.dtype) else col(c.name).cast("string") for c in large}
-        df = _with_many_words(df.select(*map(col, needed)), plan, keys, "value", "token")
+        several = {c.name: c.name for c in large}
+        rest = list(dict.fromkeys([*keep, *[n for n in plan.names() if n not in several]]))
+        needed = dict.fromkeys([*rest, *several])
+        df = _with_many_words(
+            df.select(*map(col, needed)),
+            plan,
+            several,
+            rest,
+            lambda c, source: source if profiling.is_number(c.dtype) else source.cast("string"),
+            "value",
+            "token",
+            token_of,
+            lambda c: c.has_null or unseen == "code",
+        )
     out = {}
     for c in plan.columns:
         source = col(c.name)
         if c.kind != "categorical":
             out[c.name] = scale.scale(source, c.low, c.span)
             continue
-        unknown = (
-            F.lit(-1)
-            if unseen == "code"
-            else _fail(f"{c.name}: value not in the vocabulary: ", source, "int")
-        )
         if c.name in literal:
             pairs = []
             for token, value in enumerate(literal[c.name]):
@@ -421,14 +473,13 @@ def encode(
                     pairs += [F.lit(value).cast(c.dtype), F.lit(token)]
             found = F.create_map(*pairs)[source] if pairs else F.lit(None).cast("int")
         elif len(large) > 1 and c in large:
-            found = col(f"__found_{c.name}")
+            out[c.name] = col(f"__found_{c.name}")
+            continue
         else:
             df = _with_words(df, plan, c.name, "value", "token", source)
             df = df.withColumnRenamed("__found", f"__token_{c.name}")
             found = col(f"__token_{c.name}")
-        # Nulls sort first, so theirs is always token 0.
-        nulls = F.when(source.isNull(), F.lit(0)) if c.has_null else F.lit(None).cast("int")
-        out[c.name] = F.coalesce(found, nulls, unknown)
+        out[c.name] = token_of(c, source, found)
     columns = [*map(col, keep), *[value.alias(prefix + name) for name, value in out.items()]]
     encoded = df.select(*columns)
     if as_vector is None:
@@ -467,10 +518,22 @@ def decode(
     require_columns(df, names)
     literal = _literal_words(plan)
     large = [c for c in plan.columns if c.kind == "categorical" and c.name not in literal and not c.is_small(broadcast_rows)]
+
+    def value_of(c: ColumnPlan, source: Column, found: Column) -> Column:
+        known = (source >= 0) & (source < c.size)
+        return F.when(known, found).otherwise(_fail(f"{c.name}: token not in the vocabulary: ", source, c.dtype))
+
+    def key(c: ColumnPlan, source: Column) -> Column:
+        # Null's token is in no join.
+        source = source.cast("int")
+        return F.when(source > 0, source) if c.has_null else source
+
     if len(large) > 1:
-        needed = dict.fromkeys([*keep, *names])
-        keys = {c.name: col(prefix + c.name).cast("int") for c in large}
-        df = _with_many_words(df.select(*map(col, needed)), plan, keys, "token", "value")
+        several = {c.name: prefix + c.name for c in large}
+        rest = list(dict.fromkeys([*keep, *[n for n in names if n not in several.values()]]))
+        needed = dict.fromkeys([*rest, *several.values()])
+        df = df.select(*map(col, needed))
+        df = _with_many_words(df, plan, several, rest, key, "token", "value", value_of, lambda c: c.has_null)
     out = {}
     for c in plan.columns:
         source = col(prefix + c.name)
@@ -481,15 +544,13 @@ def decode(
             words = [F.lit(v).cast(c.dtype) for v in literal[c.name]]
             found = F.get(F.array(*words), source.cast("int"))
         elif len(large) > 1 and c in large:
-            found = col(f"__found_{c.name}")
+            out[c.name] = col(f"__found_{c.name}")
+            continue
         else:
             df = _with_words(df, plan, c.name, "token", "value", source)
             df = df.withColumnRenamed("__found", f"__value_{c.name}")
             found = col(f"__value_{c.name}")
-        known = (source >= 0) & (source < c.size)
-        out[c.name] = F.when(known, found).otherwise(
-            _fail(f"{c.name}: token not in the vocabulary: ", source, c.dtype)
-        )
+        out[c.name] = value_of(c, source, found)
     return df.select(*map(col, keep), *[value.alias(name) for name, value in out.items()])
 
 

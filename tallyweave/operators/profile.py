@@ -40,10 +40,12 @@ def profile(
     columns: Sequence[str] | None = None,
     sentinel: float = SENTINEL,
     exact: bool = False,
+    counted: Sequence[str] = (),
 ) -> DataFrame:
     """One row per column: ``column, dtype, n_rows, n_null, minimum, maximum, span, mean,
     std, has_sentinel, n_distinct``.
 
+    Of the columns in ``counted`` only rows, nulls and distinct values are looked at, as if they were no numbers.
     ``n_distinct`` counts null as a value. It is approximate, unless ``exact``
     asks for a second pass that counts the distinct values of each column.
     """
@@ -51,7 +53,7 @@ def profile(
     dtypes = dict(df.dtypes)
 
     def stats(i, name):
-        number = _as_double(df, name)
+        number = F.lit(None).cast("double") if name in counted else _as_double(df, name)
         held = F.coalesce(F.bool_or(number == F.lit(float(sentinel))), F.lit(False))
         distinct = F.approx_count_distinct(col(name)) + F.max(col(name).isNull().cast("bigint"))
         return F.struct(
@@ -80,33 +82,38 @@ def profile(
 def value_order(name: str, dtype: str) -> list[Column]:
     """Sort keys that put text forms of a column's values in its native order.
 
-    Nulls first, whole numbers as decimals (a double would merge those beyond
+    Nulls first, whole numbers as such (a double would merge those beyond
     2^53), other numbers as doubles, text by itself.
     """
     column = col(name)
-    whole = F.lit(None).cast("decimal(38,0)")
+    whole = F.lit(None).cast("bigint")
     real = F.lit(None).cast("double")
     if dtype == "boolean":
-        whole = column.cast("int").cast("decimal(38,0)")
+        whole = column.cast("bigint")
     elif dtype == "date":
-        whole = F.unix_date(column).cast("decimal(38,0)")
+        whole = F.unix_date(column).cast("bigint")
     elif dtype.startswith("timestamp"):
-        whole = F.unix_micros(column.cast("timestamp")).cast("decimal(38,0)")
+        whole = F.unix_micros(column.cast("timestamp")).cast("bigint")
     elif dtype in WHOLE:
-        whole = column.cast("decimal(38,0)")
+        whole = column.cast("bigint")
     elif is_number(dtype):
         real = column.cast("double")
     return [whole, real, column.cast("string")]
 
 
-def column_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Distinct values of each column with their counts: ``column, whole, real, value, n``."""
+def column_values(df: DataFrame, columns: Sequence[str], many: Sequence[str] = ()) -> DataFrame:
+    """Distinct values of each column with their counts: ``column, whole, real, value, n``.
+
+    All columns are counted in one pass but those in ``many``. These are counted by themselves, in their own type: where
+    most rows have a value of their own, counting sets of columns shuffles nearly all rows, as wide as all columns, for each.
+    """
     dtypes = dict(df.dtypes)
+    alone = [c for c in columns if c in many]
+    columns = [c for c in columns if c not in many]
     frames = []
     wanted = df.select(*map(col, columns))
-    for batch, _, frame in grouping_set_counts(
-        wanted, [(c,) for c in columns], [F.count(F.lit(1)).alias("__n")]
-    ):
+    sets = [(c,) for c in columns]
+    for batch, _, frame in grouping_set_counts(wanted, sets, [F.count(F.lit(1)).alias("__n")]) if sets else []:
         keyed = [
             (F.col("__set") == i, [F.lit(columns[i]), *value_order(columns[i], dtypes[columns[i]])])
             for i in batch
@@ -118,6 +125,10 @@ def column_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 case = case.when(condition, values[j])
             picked.append(case.alias(name))
         frames.append(frame.select(*picked, F.col("__n").alias("n")))
+    for name in alone:
+        frame = df.select(col(name)).groupBy(col(name)).agg(F.count(F.lit(1)).alias("__n"))
+        named = zip(["whole", "real", "value"], value_order(name, dtypes[name]), strict=True)
+        frames.append(frame.select(F.lit(name).alias("column"), *[v.alias(k) for k, v in named], F.col("__n").alias("n")))
     out = frames[0]
     for frame in frames[1:]:
         out = out.union(frame)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.functions import arrays, scale
-from tallyweave.operators import encode, lookups
+from tallyweave.operators import encode, lookups, profile
 
 
 def words(plan, name):
@@ -134,6 +134,48 @@ def test_large_columns_are_neither_melted_nor_grouped(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+@pytest.mark.parametrize("size", [encode.HASHED_BYTES, 0])
+def test_numbers_and_values_go_from_join_to_join(spark, monkeypatch, size):
+    """One shuffle for each large column and two by the number, hashed where words are few enough for it."""
+    monkeypatch.setattr(encode, "LITERALS", 2)
+    monkeypatch.setattr(encode, "HASHED_BYTES", size)
+    rows = [(i, i % 90, 2**53 + i % 80, f"c{i % 70}", None if i % 3 else i / 4, "rest") for i in range(800)]
+    df = spark.createDataFrame(rows, "id int, a int, b long, c string, d double, payload string")
+    names = ["a", "b", "c", "d"]
+    plan = encode.fit(df, include=names, overrides={n: "categorical" for n in names})
+    want = encode.encode(df, plan, keep=["id", "payload"])
+    alone = encode.encode(df, plan, broadcast_rows=0)
+    monkeypatch.setattr(encode, "HOT_KEYS", 1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        wide = encode.encode(df, plan, keep=["id", "payload"], broadcast_rows=0)
+        back = encode.decode(wide, plan, keep=["id", "payload"], broadcast_rows=0)
+        for made in (wide, back):
+            assert exchanged(made, "__row") == len(names) + 2
+        assert ("SortMergeJoin" in wide._jdf.queryExecution().executedPlan().toString()) == (size == 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert wide.exceptAll(want).count() == 0 and wide.count() == 800
+    assert back.select("id", *names).exceptAll(df.select("id", *names)).count() == 0 and back.count() == 800
+    assert alone.exceptAll(want.select(*names)).count() == 0 and alone.count() == 800
+
+
+def test_columns_of_many_values_are_counted_alike_by_themselves(spark):
+    df = spark.range(500).select(
+        F.when(F.col("id") % 7 > 0, F.lit(2**62) + F.col("id") % 31).alias("whole"),
+        F.when(F.col("id") % 9 == 0, F.lit(-0.0)).when(F.col("id") % 9 == 1, F.lit(float("nan"))).otherwise(F.col("id") % 5).alias("real"),
+        F.concat(F.lit("t"), F.col("id") % 40).alias("text"),
+        F.timestamp_seconds(F.col("id") % 90 * 1801).alias("at"),
+        (F.col("id") % 2 == 0).alias("flag"),
+    )
+    want = profile.column_values(df, df.columns)
+    for many in (["real"], ["whole", "text", "at"], df.columns):
+        got = profile.column_values(df, df.columns, many)
+        assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
 @pytest.mark.parametrize("broadcast_rows", [1_000, 10])
 def test_wide_vocabulary(spark, names, monkeypatch, broadcast_rows):
     """By broadcast join, and by numbering and joining without any broadcast."""
